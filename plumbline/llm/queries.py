@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.exact_dedup import exact_duplicates
+from plumbline.llm.flat_tokens import token_counts
 from plumbline.llm.shared import table
+from plumbline.llm.token_output import read_shards, write_shards
 from plumbline.llm.url_filter import judge_urls
 
 
@@ -15,11 +18,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and n_tokens (with the end id) of every document, by the 49k vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keeps_space=False, end_id=49407)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keeps_space=True, end_id=2)
+    return read_shards(spark, shards)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_token_output": op4_token_output,
     "op10_url_filter": op10_url_filter,
 }
