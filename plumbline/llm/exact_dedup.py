@@ -154,6 +154,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.when((F.col("texts") == 1) & (F.col("n") == F.col("n_bytes")), F.col("n")).otherwise(F.raise_error(F.lit("texts of one hash differ in their bytes"))).alias("group_size"),
         )
     )
+    groups = written(groups, "op1-groups")  # so that the join below, by a key that may be hot, deals out both its sides
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     once = marked.where("not suspect").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     more = marked.where("suspect").join(groups, "sha").select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), sha)
