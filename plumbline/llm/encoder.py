@@ -12,92 +12,78 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Words held in a worker's table before it starts afresh.
-HELD_WORDS = 800_000
+HELD_WORDS = 1_200_000
 _CHUNKS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-_WORD = re.compile(r"(\n?)([ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+_WORD = re.compile(r"(\n?)([ ]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
 #: White space that only Unicode, or only Python, takes for such.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
-class Encoder:
-    """``keeps_space``: blanks belong to the words after them (byte level), else they are dropped."""
+def _byte_sign(byte: int) -> str:
+    """The printable sign by which byte-level vocabularies write a byte: itself, or one of those from 256 on."""
+    own = lambda b: 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255
+    return chr(byte) if own(byte) else chr(256 + sum(not own(b) for b in range(byte)))
+
+
+class Encoder(dict):
+    """Ids by word, learned as words are first met.
+
+    ``keeps_space``: blanks belong to the words after them (byte level), else
+    they are dropped and words are lower-cased.
+    """
 
     def __init__(self, path: str, keeps_space: bool):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.plain, self.joint = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.joint.token_to_id(self.mark)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.library.model
         self.keeps_space = keeps_space
         self.split = _CHUNKS.findall if keeps_space else str.split
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of new words; a run of letters with a line end before it or signs behind it is taken apart first."""
-        known, apart, new = self.known, {}, set()
-        for w in words:
-            if (m := _WORD.fullmatch(w)) and m[2] != w:
-                apart[w] = m.groups()
-                new.update(x for x in m.groups() if x and x not in known)
-            else:
-                new.add(w)
-        odd = [w for w in new if "<|" in w or "|>" in w]
-        for w in odd:
-            known[w] = self._whole(w)
-        todo = list(new.difference(odd))
-        for i in range(0, len(todo), 512):
-            part = todo[i : i + 512]
-            ids = np.array(self.joint.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, (ends * 4).tolist(), strict=True):
-                known[w] = raw[at:end]
-                at = end + 4
-        for w, parts in apart.items():
-            known[w] = b"".join(known[x] for x in parts if x)
+        self.shown = {i: "".join(_byte_sign(b) for b in chr(i).encode()) for i in range(0x250)}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _single(self, word: str) -> bytes:
+        """Ids of a run of letters (with the blank before it) or of signs: one pre-token, which goes straight to the model."""
+        text = word if self.keeps_space else word.lower()
+        return array("I", [t.id for t in self.model.tokenize(text.translate(self.shown))]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        """Most words are a run of letters, perhaps with a line end before it or signs behind it: three pre-tokens."""
+        if m := _WORD.fullmatch(word):
+            out = b""
+            for x in m.groups():
+                if x:
+                    ids = self.get(x)
+                    if ids is None:
+                        ids = self[x] = self._single(x)
+                    out += ids
+        else:
+            out = self.whole(word)
+        self[word] = out
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.known) > HELD_WORDS:
-            self.known.clear()
-        get, split, out = self.known.get, self.split, []
-        late: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
+        if len(self) > HELD_WORDS:
+            self.clear()
+        of, split, out = self.__getitem__, self.split, []
         for text in texts:
             if not text:
                 out.append(b"")
-            elif not text.isascii() and _ODD.search(text) or text.isascii() and not text.isprintable() and _ODD.search(text):
-                out.append(self._whole(text))
+            elif _ODD.search(text):
+                out.append(self.whole(text))
             else:
-                words = split(text)
-                found = list(map(get, words))
-                if None in found:
-                    new.update(w for w, x in zip(words, found, strict=True) if x is None)
-                    late.append((len(out), words))
-                    out.append(b"")
-                    if len(new) > 50_000:
-                        self._settle(new, late, out)
-                else:
-                    out.append(b"".join(found))
-        self._settle(new, late, out)
+                out.append(b"".join(map(of, split(text))))
         return out
 
-    def _settle(self, new: set[str], late: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        self._learn(new)
-        for i, words in late:
-            out[i] = b"".join(map(self.known.__getitem__, words))
-        new.clear()
-        late.clear()
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, keeps_space: bool) -> Encoder:

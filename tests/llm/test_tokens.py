@@ -21,7 +21,7 @@ def test_words_encode_as_whole_texts_do(path, keeps):
     e = Encoder(path, keeps)
     for _ in range(2):  # the second time from the table
         for text, got in zip(HARD, e.encode(HARD), strict=True):
-            assert got == e._whole(text or "")
+            assert got == e.whole(text or "")
 
 
 def docs_of(spark, rows):
@@ -37,7 +37,7 @@ def test_shards_round_trip(spark):
     e = Encoder(BYTE, True)
     want, start = [], 0
     for doc_id, text in sorted(((r[0], r[1]) for r in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
-        raw = e._whole(text or "") + np.array([2], "<u4").tobytes()
+        raw = e.whole(text or "") + np.array([2], "<u4").tobytes()
         want.append((doc_id, start, len(raw) // 4, zlib.crc32(raw), np.frombuffer(raw, "<u4").tolist()))
         start += len(raw) // 4
     assert sorted(got, key=lambda x: x[1]) == want
@@ -70,7 +70,7 @@ def test_flat_counts(spark, block_ids):
     rows = [r for r in ROWS if r[0] != 40] + [(40, "long " * 50, None, None, None)]
     got = sorted(tuple(r) for r in token_counts(docs_of(spark, rows).coalesce(2), WORD, False, 49407, block_ids=block_ids).fillna(-9).collect())
     e = Encoder(WORD, False)
-    assert got == sorted((-9 if r[0] is None else r[0], len(e._whole(r[1] or "")) // 4 + 1) for r in rows)
+    assert got == sorted((-9 if r[0] is None else r[0], len(e.whole(r[1] or "")) // 4 + 1) for r in rows)
 
 
 def test_empty_tables(spark):
