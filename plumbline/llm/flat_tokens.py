@@ -105,4 +105,5 @@ def scan_flat(files: DataFrame, end_id: int, block_ids: int = BLOCK_IDS) -> Data
 def token_counts(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """doc_id and n_tokens (with the end id) of every document, counted in flat files that are written first."""
     places, files = write_flat(docs, tokenizer, keeps_space, end_id, id_col, text_col)
-    return places.join(scan_flat(files, end_id, block_ids), ["path", "place"]).select(F.col("id").alias("doc_id"), "n_tokens")
+    # both sides grow with the documents, so neither is broadcast
+    return places.join(scan_flat(files, end_id, block_ids).hint("merge"), ["path", "place"]).select(F.col("id").alias("doc_id"), "n_tokens")
