@@ -16,6 +16,19 @@ from t join g using (text_sha256)
 """
 
 
+OP7 = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), g as (
+  select payload_digest, max(page_id) as largest from p where payload_bytes >= 1000 group by payload_digest having count(*) > 1
+)
+select p.page_id, p.payload_bytes, p.payload_digest,
+  case when g.largest is null or p.page_id = g.largest then 'response' else 'revisit' end as record_type,
+  case when p.page_id <> g.largest then g.largest end as refers_to
+from p left join g using (payload_digest)
+"""
+
+
 def op10() -> str:
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.text}')" for r in RULES)
     return f"""
@@ -36,4 +49,4 @@ select page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') as verdict from
 """
 
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op10_url_filter": op10()}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op7_warc": OP7, "op10_url_filter": op10()}

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.flat_tokens import token_counts
+from plumbline.llm.hamming import nearest
+from plumbline.llm.language_id import hierarchical_language_id
+from plumbline.llm.packing import encode_pieces, pack
 from plumbline.llm.shared import table
 from plumbline.llm.token_output import read_shards, write_shards
 from plumbline.llm.url_filter import judge_urls
+from plumbline.llm.warc import read_archives, write_archives
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +33,26 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, shards)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchical_language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keeps_space=False, end_id=0)
+    return pack(pieces).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes for every vector whose id is divisible by 20, among all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=10)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -36,5 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_token_output": op4_token_output,
+    "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op9_top_k": op9_top_k,
     "op10_url_filter": op10_url_filter,
 }
