@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Families of languages by ISO code; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -210,7 +211,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     text if the model knows no language. Nothing but the text is looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(functools.partial(_predict, model=model), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(functools.partial(_predict, model=model), schema)
+
+
+def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``: those of a null text or one without any letter.
+
+    All other rows stay, with the columns they came with. What the model is
+    fitted on is told by ``held_out``; the language that a row has is not changed.
+    """
+    model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
+    told = identify(docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))), model, "__row", text_col)
+    return told.where(F.col("lang_pred") != UNDETERMINED).select("doc_id.*")
 
 
 def hierarchical_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -12,7 +12,9 @@ from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.flat_tokens import token_counts
 from plumbline.llm.hamming import nearest
 from plumbline.llm.language_id import hierarchical_language_id
+from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import encode_pieces, pack
+from plumbline.llm.piece_sampling import decode_pieces, sample_pieces
 from plumbline.llm.shared import table
 from plumbline.llm.token_output import read_shards, write_shards
 from plumbline.llm.url_filter import judge_urls
@@ -23,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and n_tokens (with the end id) of every document, by the 49k vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keeps_space=False, end_id=49407)
@@ -47,6 +53,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the number and crc32 of the sampled ids of its whole text, and the crc32 of the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = decode_pieces(sample_pieces(table(spark, sf_dir, "documents"), model), model)
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_pieces")
+    return back.select("doc_id", n, F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest sign codes for every vector whose id is divisible by 20, among all rows."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -57,13 +71,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which stands at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_top_k": op9_top_k,
     "op10_url_filter": op10_url_filter,
+    "pipeline": pipeline,
 }
