@@ -40,7 +40,7 @@ BANDS, BAND_HASHES = 20, 5
 #: Chance at which a pair that reaches the threshold may be dropped, and hashes between two looks.
 MISS, BATCH = 1e-6, 32
 #: Rows and bytes of sets in a block of a bucket.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 16_000_000
+BLOCK_ROWS, BLOCK_BYTES = 384, 16_000_000
 _FACTORS = np.random.default_rng(5).integers(0, 2**64, BAND_HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -80,42 +80,46 @@ def _survey(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator
             row += n
 
 
+_PLACES = [("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int64()))]
+
+
 @functools.lru_cache(maxsize=2)
-def _asked(folder: str, part: int) -> dict[int, int]:
-    """By hash of the text: the nodes of a partition whose sets are needed."""
+def _asked(folder: str, part: int) -> dict[int, tuple]:
+    """By hash of the text: node, buckets and their blocks, of the texts of a partition whose sets are needed."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = open_folder(folder)
-    out: dict[int, int] = {}
+    out: dict[int, tuple] = {}
     for info in store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True)):
         if info.path.endswith(".parquet"):
             with store.open_input_file(info.path) as file:
-                rows = pq.read_table(file, columns=["hash", "node"])
-            out.update(zip(rows["hash"].to_pylist(), rows["node"].to_pylist(), strict=True))
+                rows = pq.read_table(file, columns=["hash", "node", "keys", "blocks"])
+            out.update(zip(rows["hash"].to_pylist(), zip(*(rows[c].to_pylist() for c, _ in _PLACES), strict=True), strict=True))
     return out
 
 
-def _with_sets(nodes: list[int], texts: pa.Array) -> Iterator[pa.RecordBatch]:
-    """(node, set, sig); 16 bits of each hash are enough to compare."""
-    for i in range(0, len(nodes), 256):
+def _with_sets(places: list[tuple], texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(node, keys, blocks, set, sig); 16 bits of each hash are enough to compare."""
+    for i in range(0, len(places), 256):
         own = [shingles(t) for t in texts.slice(i, 256).to_pylist()]
         sigs = [(signature(s) & np.uint32(0xFFFF)).astype("<u2").tobytes() for s in own]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 256], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()), pa.array(sigs, pa.binary())], names=["node", "set", "sig"])
+        columns = [pa.array(x, t) for x, (_, t) in zip(zip(*places[i : i + 256], strict=True), _PLACES, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in own], pa.binary()), pa.array(sigs, pa.binary())], names=[*(c for c, _ in _PLACES), "set", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Sets of the texts that are asked for and still in the partition they were in."""
     asked = dict(_asked(folder, TaskContext.get().partitionId()))
     for batch in batches:
-        nodes = [asked.pop(h, None) for h in batch["hash"].to_pylist()]
-        wanted = batch["text"].filter(pa.array([x is not None for x in nodes], pa.bool_()))
-        yield from _with_sets([x for x in nodes if x is not None], wanted)
+        places = [asked.pop(h, None) for h in batch["hash"].to_pylist()]
+        wanted = batch["text"].filter(pa.array([x is not None for x in places], pa.bool_()))
+        yield from _with_sets([x for x in places if x is not None], wanted)
 
 
 def _late_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from _with_sets(batch["node"].to_pylist(), batch["text"])
+        yield from _with_sets(list(zip(*(batch[c].to_pylist() for c, _ in _PLACES), strict=True)), batch["text"])
 
 
 class _Forest:
@@ -202,29 +206,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("n") * 8 / BLOCK_BYTES)).cast("long")
     buckets = written(buckets.select("key", blocks.alias("blocks")), "op2-buckets")
     members = written(held.join(buckets, "key").select("key", "blocks", "node"), "op2-members")
-    active = members.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has no more keys than bands
+    # a node has no more buckets than bands
+    active = members.groupBy("node").agg(F.collect_list(F.struct("key", "blocks")).alias("own")).select("node", F.col("own.key").alias("keys"), F.col("own.blocks").alias("blocks"))
 
-    # sets of those that share a bucket, from a second reading of their partitions
+    # sets of those that share a bucket, from a second reading of their partitions, which are told where each goes
     folder = new_folder(spark, "op2-asked")
-    asked = leads.join(active.select("node"), "node", "left_semi").select("part", "hash", "node")
+    asked = leads.select("part", "hash", "node").join(active, "node")
     asked.repartition("part").write.partitionBy("part").parquet(folder)
-    schema = "node long, set binary, sig binary"
-    found = written(rows.select("hash", "text").mapInArrow(functools.partial(_sets, folder=folder), schema), "op2-found")
+    schema = "node long, keys array<long>, blocks array<long>, set binary, sig binary"
+    sets = written(rows.select("hash", "text").mapInArrow(functools.partial(_sets, folder=folder), schema), "op2-sets")
     # an input whose rows change places between readings leaves some out: those are joined by hash
     asked = spark.read.schema(asked.schema).parquet(folder)
-    late = written(asked.join(found.select("node"), "node", "left_anti").select("hash", "node"), "op2-late")
+    late = written(asked.join(sets.select("node"), "node", "left_anti").drop("part"), "op2-late")
     if not late.isEmpty():
-        texts = rows.select("hash", "text").join(late, "hash").dropDuplicates(["node"]).select("node", "text")
-        found = found.unionByName(texts.mapInArrow(_late_sets, schema))
-    sets = written(found.join(active, "node"), "op2-sets")
+        texts = rows.select("hash", "text").join(late, "hash").dropDuplicates(["node"]).select("node", "keys", "blocks", "text")
+        sets = sets.unionByName(texts.mapInArrow(_late_sets, schema))
+
+    placed = sets.select("node", "keys", "set", "sig", F.explode(F.arrays_zip(F.col("keys").alias("key"), "blocks")).alias("to"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "to.blocks"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("to.blocks") - 1), lambda x: F.struct(F.least("block", x).alias("one"), F.greatest("block", x).alias("two"))))
+    dealt = placed.select("node", "keys", "set", "sig", "block", F.col("to.key").alias("key"), pairs.alias("pair")).select("key", "pair.one", "pair.two", "node", "block", "keys", "set", "sig")
 
-    placed = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("one"), F.greatest("block", x).alias("two"))))
-    dealt = placed.select("key", "node", "block", pairs.alias("pair")).select("key", "node", "block", "pair.one", "pair.two")
     def link(keys, rows):
         return _link(keys, rows, threshold)
 
-    links = dealt.join(sets, "node").groupBy("key", "one", "two").applyInArrow(link, "a long, b long")
+    links = dealt.groupBy("key", "one", "two").applyInArrow(link, "a long, b long")
     labels = components(written(links, "op2-links"))
 
     # by component, then by class, then by row
