@@ -14,8 +14,10 @@ import os
 import re
 from array import array
 
+from plumbline.llm.shared import sole
+
 #: Words held in a worker's table before it starts afresh.
-HELD_WORDS = 1_200_000
+HELD_WORDS = 1_000_000
 _CHUNKS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _WORD = re.compile(r"(\n?)([ ]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
 #: White space that only Unicode, or only Python, takes for such.
@@ -85,7 +87,12 @@ class Encoder(dict):
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
+def _made(path: str, keeps_space: bool) -> Encoder:
+    return Encoder(path, keeps_space)
+
+
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """A worker's own encoder, which outlives its tasks."""
-    return Encoder(path, keeps_space)
+    sole(f"encoder {path}", _made.cache_clear)
+    return _made(path, keeps_space)

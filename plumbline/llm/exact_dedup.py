@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import golomb
-from plumbline.llm.shared import new_folder, normalised, open_folder, partitions, written
+from plumbline.llm.shared import drop_rows, new_folder, normalised, open_folder, partitions, text_batches, written
 
 #: Bits of a fingerprint, taken from the front of the SHA-256 of the text.
 FINGERPRINT_BITS = 48
@@ -116,6 +116,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an empty result. Other columns of ``docs`` play no part, whatever their names.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     owner_bits = max(1, ((owners or 2 * partitions(spark)) - 1).bit_length())
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
     hashed = rows.select("id", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
@@ -167,10 +168,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are told apart by id and text; of rows that agree in both, one stays.
     """
     found = exact_duplicates(docs, id_col, text_col).where("group_size > 1")
-    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
-    gone = written(marks.where("not __kept or __rows > 1"), "op1-gone")
-    named = docs.withColumn("__own", F.sha2(normalised(text_col), 256))
-    joined = named.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left")
-    whole = joined.where("__kept is null").select(*docs.columns)
-    repeated = joined.where("__kept").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
-    return whole.unionByName(repeated)
+    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key")).agg(F.max("kept").alias("kept"), F.min("kept").alias("all")).where("not all")
+    return drop_rows(docs, F.sha2(normalised(text_col), 256), marks, id_col)

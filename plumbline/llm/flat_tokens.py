@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.encoder import encoder
-from plumbline.llm.shared import new_folder, open_folder, written
+from plumbline.llm.shared import new_folder, open_folder, text_batches, written
 
 BATCH_ROWS = 256
 #: Ids in a block of a file, 16 MB of 16-bit ids.
@@ -61,6 +61,7 @@ def write_flat(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     write = functools.partial(_write, folder=new_folder(docs.sparkSession, "op3-flat"), tokenizer=tokenizer, keeps_space=keeps_space, end_id=end_id, id_type=to_arrow_type(kind))

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.shared import sole, text_batches
+
 #: Families of languages by ISO code; a language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi fo",
@@ -40,7 +42,7 @@ UNDETERMINED = "und"
 #: Hashed features; labelled texts of a language that the machines are fitted on, at most; passes over them.
 FEATURE_BITS, SAMPLE_TEXTS, PASSES, PENALTY = 15, 600, 12, 1e-3
 #: Bytes of text whose trigrams are looked up at a time.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 class Machine(NamedTuple):
@@ -189,6 +191,7 @@ def predict(texts: list[str], model: Model) -> list[tuple[str, float]]:
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     import regex
 
+    sole("language")
     letter = regex.compile(r"\p{L}").search
     for batch in batches:
         texts = [t if t is not None and letter(t) else None for t in batch["__text"].to_pylist()]
@@ -210,6 +213,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A null text, or one without any letter, is ``und`` with score 0; so is every
     text if the model knows no language. Nothing but the text is looked at.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(functools.partial(_predict, model=model), schema)

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import new_folder, open_folder, written
-from plumbline.llm.shingles import HASHES, mixed, shingles, signature
+from plumbline.llm.shared import drop_rows, new_folder, open_folder, sole, text_batches, written
+from plumbline.llm.shingles import HASHES, forget, mixed, shingles, signature
 
 #: Least similarity of a link, in hundredths.
 THRESHOLD = 85
@@ -64,6 +64,7 @@ def least_agreements(n: int, threshold: int = THRESHOLD, miss: float = MISS) ->
 
 def _survey(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """For each text: node, id, hash of the text, number of shingles, class, bands."""
+    sole("shingles", forget)
     part, row = TaskContext.get().partitionId(), 0
     schema = pa.schema([("part", pa.int32()), ("node", pa.int64()), ("id", id_type), ("hash", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
@@ -110,6 +111,7 @@ def _with_sets(places: list[tuple], texts: pa.Array) -> Iterator[pa.RecordBatch]
 
 def _sets(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Sets of the texts that are asked for and still in the partition they were in."""
+    sole("shingles", forget)
     asked = dict(_asked(folder, TaskContext.get().partitionId()))
     for batch in batches:
         places = [asked.pop(h, None) for h in batch["hash"].to_pylist()]
@@ -118,6 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 
 
 def _late_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole("shingles", forget)
     for batch in batches:
         yield from _with_sets(list(zip(*(batch[c].to_pylist() for c, _ in _PLACES), strict=True)), batch["text"])
 
@@ -189,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     survey = written(rows.mapInArrow(functools.partial(_survey, id_type=to_arrow_type(kind)), f"part int, node long, id {kind.simpleString()}, hash long, n long, class binary, bands array<long>"), "op2-survey")
@@ -250,10 +254,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     where any does.
     """
     found = near_duplicates(docs, id_col, text_col, threshold)
-    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).agg(F.max("kept").alias("__kept"), F.min("kept").alias("__all"))
-    gone = written(marks.where("not __all").drop("__all"), "op2-gone")
-    named = docs.withColumn("__own", F.xxhash64(F.col(text_col)))
-    joined = named.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
-    whole = joined.where("__kept is null").select(*docs.columns)
-    repeated = joined.where("__kept").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return whole.unionByName(repeated)
+    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__key")).agg(F.max("kept").alias("kept"), F.min("kept").alias("all")).where("not all")
+    return drop_rows(docs, F.xxhash64(F.col(text_col)), marks, id_col)

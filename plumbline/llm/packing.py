@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.encoder import encoder
-from plumbline.llm.shared import new_folder, open_folder, partitions, written
+from plumbline.llm.shared import new_folder, open_folder, partitions, text_batches, written
 
 CAPACITY = 2048
 BATCH_ROWS = 128
@@ -109,6 +109,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: in
     empty text is one piece of one id. ``ids`` are little-endian unsigned 32-bit
     integers; (part, rank) numbers the pieces of a length in a partition.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     encode = functools.partial(_encode, tokenizer=tokenizer, keeps_space=keeps_space, end_id=end_id, capacity=capacity)
     return written(rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, part int, rank long"), "op6-pieces")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.shared import sole, text_batches
 from plumbline.llm.shingles import mixed
 
 BLANK = "▁"
@@ -219,11 +220,16 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode().removeprefix(" ")
 
 
-@functools.lru_cache(maxsize=2)
-def pieces_of(path: str, temperature: float) -> Pieces:
+@functools.lru_cache(maxsize=1)
+def _made(path: str, temperature: float) -> Pieces:
     return Pieces(path, temperature)
 
 
+def pieces_of(path: str, temperature: float) -> Pieces:
+    sole(f"pieces {path}", _made.cache_clear)
+    return _made(path, temperature)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, temperature: float, seed: int) -> Iterator[pa.RecordBatch]:
     own = pieces_of(path, temperature)
     for batch in batches:
@@ -253,6 +259,7 @@ def sample_pieces(docs: DataFrame, model: str, temperature: float = TEMPERATURE,
     same pieces, a null id is a key like others. A null or empty text has none.
     A low temperature gives the best segmentation, a high one any.
     """
+    text_batches(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("none"))).alias("key")
     rows = docs.select(F.col(id_col).alias("id"), key, F.col(text_col).alias("text"))
     encode = functools.partial(_encode, path=model, temperature=temperature, seed=seed)

@@ -8,11 +8,15 @@ local disk of one machine.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -54,6 +58,53 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to Python at a time; Spark's own default is meant for short rows.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches hold so few rows that texts of some 10 KB make batches of some 10 MB."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+_tables: dict[str, Callable[[], None]] = {}
+
+
+def sole(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """In a worker: tables that tasks of another operator have left make way for those of this one.
+
+    Workers outlive their tasks, so without this they would hold the words of
+    every operator that a session has run.
+    """
+    others = [x for x in _tables if x != name]
+    for x in others:
+        _tables.pop(x)()
+    _tables[name] = clear
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def drop_rows(docs: DataFrame, key: Column, marks: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without some rows. ``marks`` has __id, __key, kept and all: pairs with rows to drop.
+
+    Where no row of a pair (id, key) is kept all go, where some are one stays. A
+    null id equals a null id.
+    """
+    marks = written(marks, "marks")
+    same = lambda m: F.col(id_col).eqNullSafe(m["__id"]) & (F.col("__own") == m["__key"])
+    gone, repeated = marks.where("not kept").select("__id", "__key"), marks.where("kept and not all").select("__id", "__key")
+    left = docs.withColumn("__own", key)
+    left = left.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    left = written(left, "left")
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__own"])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
+
+
 def open_folder(path: str):
     """(filesystem, path in it) by which Python reaches a shared folder, whatever store holds it."""
     from pyarrow import fs

@@ -9,7 +9,7 @@ import xxhash
 WORDS = 5
 #: Hash functions of a signature.
 HASHES = 128
-HELD_WORDS = 1_000_000
+HELD_WORDS = 400_000
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -25,6 +25,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Each bit of the result hangs on all bits of ``x``."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import sstable
 from plumbline.llm.encoder import encoder
-from plumbline.llm.shared import new_folder, open_folder, partitions, written
+from plumbline.llm.shared import new_folder, open_folder, partitions, text_batches, written
 
 #: Rows handed to the library at a time.
 BATCH_ROWS = 256
@@ -51,6 +51,7 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int
     that is run again writes a file of its own; only those listed count.
     """
     spark = docs.sparkSession
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     write = functools.partial(_write, folder=new_folder(spark, "op4-shards"), tokenizer=tokenizer, keeps_space=keeps_space, end_id=end_id, width=width)

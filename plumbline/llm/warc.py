@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import new_folder, open_folder, partitions, written
+from plumbline.llm.shared import new_folder, open_folder, partitions, text_batches, written
 
 #: Equal payloads of fewer bytes are stored again each time.
 REVISIT_BYTES = 1000
@@ -161,6 +161,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     repeat this id with it; the others revisit it, rows without id too, unless no
     row of the group has an id: then all are responses.
     """
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     hashed = rows.withColumn("sha", F.unhex(F.sha2("html", 256)))
     large = F.octet_length("html") >= least
