@@ -192,10 +192,10 @@ def first_of(chain: Sequence[tuple[Column, str]], otherwise: str | None = None)
     return out.otherwise(F.lit(otherwise))
 
 
-def resolution(home_price: Cols, away_price: Cols, tolerance: float = 0.05) -> Column:
+def resolution(home_price: Cols, away_price: Cols, tolerance: float = 1e-6) -> Column:
     """Who won by two settlement prices. A tie is looked for before the complement, which it would break."""
     h, a = col(home_price), col(away_price)
-    return first_of([(h.isNull() | a.isNull(), "malformed"), (F.abs(h - a) <= 1e-9, "tie"), (F.abs(h + a - 1) > tolerance, "non_complementary"), (h > a, "home")], "away")
+    return first_of([(h.isNull() | a.isNull(), "malformed"), (F.abs(h - a) <= 1e-9, "tie"), (F.abs(h + a - 1) >= tolerance, "non_complementary"), (h > a, "home")], "away")
 
 
 def label_agreement(market: Cols, schedule: Cols) -> Column:
@@ -207,3 +207,29 @@ def settled_bet(paid_side: Cols, fair: Cols, won: Cols, half_spread: Cols, fee:
     p = col(paid_side)
     paid = p + col(half_spread) + col(fee) * p * (1 - p)
     return F.when((col(fair) > paid) & (paid < 1), F.struct(paid.alias("paid"), (col(won).cast("double") - paid).alias("profit")))
+
+
+def outcome_reason(market: Cols, saw_events: Cols, partial_only: Cols, start_ok: Cols, points: Cols, complement_ok: Cols, resolved: Cols, schedule: Cols) -> Column:
+    """Why a game has no price, by the first rule that holds; null if it is priced. Unknown complementarity is no reason."""
+    no = lambda c: ~F.coalesce(col(c), F.lit(False))
+    agreement = label_agreement(resolved, schedule)
+    return first_of([
+        (no(market) & F.coalesce(col(partial_only), F.lit(False)), "no_moneyline_market"),
+        (no(market) & F.coalesce(col(saw_events), F.lit(False)), "label_mismatch_at_slug"),
+        (no(market), "no_market"),
+        (no(start_ok), "implausible_game_start_time"),
+        (F.coalesce(col(points), F.lit(0)) == 0, "no_pre_tipoff_points"),
+        (~col(complement_ok), "complementarity_failed"),
+        (col(resolved) == "tie", "postponed_or_split_resolution"),
+        (col(resolved) == "non_complementary", "outcome_prices_not_complementary"),
+        (col(resolved) == "malformed", "malformed_outcome_prices"),
+        (agreement == "unresolved", "unresolved_market"),
+        (agreement == "disagree", "label_disagreement"),
+    ])
+
+
+def moneyline(markets: Cols, wanted: str = "moneyline", partial: Sequence[str] = ()) -> Column:
+    """Of an array of markets (structs with ``type``) the first of the wanted type; else the only one, unless it is of part of a game."""
+    typed = F.filter(col(markets), lambda m: m["type"] == wanted)
+    rest = F.filter(col(markets), lambda m: ~F.coalesce(m["type"].isin(list(partial)), F.lit(False)))
+    return F.when(F.size(typed) > 0, F.element_at(typed, 1)).when((F.size(col(markets)) == 1) & (F.size(rest) == 1), F.element_at(rest, 1))

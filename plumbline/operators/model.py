@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.cox import FitError, cox, logistic_mle
@@ -75,7 +75,9 @@ class Data(NamedTuple):
 
 
 class Priors(NamedTuple):
-    intercept: float = 0.5
+    """Standard deviations of the priors."""
+
+    intercept: float = 1.5
     home: float = 0.5
     rating: float = 1.0
     feature: float = 0.5
@@ -201,6 +203,33 @@ def posterior_predictive(draws: DataFrame, d: Data, seed: int = 0) -> np.ndarray
     return total / count
 
 
+def hyperprior_sensitivity(spark: SparkSession, d: Data, seed: int = 0, factors: Sequence[float] = (0.5, 1.0, 2.0), tolerance: float = 0.25, **sizes: int) -> DataFrame:
+    """Posterior means of both scales under wider and narrower priors; ``prior_driven`` where a mean moves by more than the tolerance, relative to that at factor 1."""
+    k, out = d.x.shape[1], None
+    for name, at in (("team", 3 + k), ("team_home", 4 + k)):
+        for factor in factors:
+            priors = Priors()._replace(**{name: getattr(Priors(), name) * factor})
+            draws = sample_chains(spark, d, priors, seed, **sizes)
+            one = draws.agg(F.lit(name).alias("scale"), F.lit(float(factor)).alias("factor"), F.avg(F.exp(F.col("values")[at])).alias("mean"))
+            out = one if out is None else out.unionByName(one)
+    base = F.max(F.when(F.col("factor") == 1.0, F.col("mean"))).over(Window.partitionBy("scale"))
+    return out.withColumn("prior_driven", F.abs(F.col("mean") / base - 1) > tolerance)
+
+
+def data_of(df: DataFrame, covariates: Sequence[str], rating: str, sealed: str | None = None) -> tuple[Data, dict[str, int]]:
+    """Arrays of a standardised design in canonical order, and the index of each team and season. Rows of a sealed season are refused."""
+    from plumbline.sources.seal import assert_dev_only
+
+    if sealed is not None:
+        assert_dev_only(df, sealed)
+    rows = df.select("season", "game_id", "home", "away", "neutral", "y", rating, *covariates).toPandas().sort_values(["season", "game_id"])
+    names = sorted({f"{s}:{t}" for side in ("home", "away") for s, t in zip(rows["season"], rows[side], strict=True)})
+    index = {n: i for i, n in enumerate(names)}
+    at = lambda side: np.array([index[f"{s}:{t}"] for s, t in zip(rows["season"], rows[side], strict=True)])
+    x = rows[list(covariates)].to_numpy(float) if covariates else np.zeros((len(rows), 0))
+    return Data(x, rows[rating].to_numpy(float), at("home"), at("away"), rows["neutral"].to_numpy(float), rows["y"].to_numpy(float), len(names)), index
+
+
 def recalibration_null(p_fit: np.ndarray, y_fit: np.ndarray, p_apply: np.ndarray) -> np.ndarray:
     """Prices recalibrated by a fit on earlier games."""
     slope, intercept = cox(p_fit, y_fit)

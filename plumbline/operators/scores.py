@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import log_loss, logit, squared_error
-from plumbline.schemas import BIN_MAXIMUM, BIN_MINIMUM, RISK_TIERS
+from plumbline.schemas import BIN_MAXIMUM, BIN_MINIMUM, NULL_TABLE, RISK_TIERS
 
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", total: str = "total") -> DataFrame:
@@ -172,3 +172,14 @@ def clark_west(df: DataFrame, a: str, b: str, y: str = "y", by: Sequence[str] =
     return df.groupBy(*by).agg(F.count(term).alias("n"), mean.alias("mean_term"), se.alias("se"), (mean / se).alias("z"))
 
 
+
+
+def null_reference(df: DataFrame, n: str = "n", by: str = "sport") -> DataFrame:
+    """The tabulated null of the largest n that a sample reaches; below the table the smallest, and ``below_table``."""
+    rows = df.sparkSession.createDataFrame(NULL_TABLE, "__sport string, __n long, ece_p99 double, slope_lo double, slope_hi double")
+    # a table of fixed size
+    table = F.broadcast(rows.groupBy("__sport").agg(F.sort_array(F.collect_list(F.struct("__n", "ece_p99", "slope_lo", "slope_hi"))).alias("__t")))
+    reached = F.filter("__t", lambda r: r["__n"] <= F.col(n))
+    row = F.when(F.size(reached) > 0, F.element_at(reached, -1)).otherwise(F.element_at("__t", 1))
+    out = df.join(table, F.col(by) == F.col("__sport"), "left").withColumn("__r", row)
+    return out.select(*df.columns, F.col("__r.__n").alias("ref_n"), "__r.ece_p99", "__r.slope_lo", "__r.slope_hi", (F.size(reached) == 0).alias("below_table"))

@@ -17,7 +17,7 @@ from plumbline.operators.outcomes import latest
 EASTERN = ZoneInfo("America/New_York")
 #: Seconds between polls, and of a session; earliest and latest Eastern time of a poll, and hours before the first game.
 INTERVAL, SESSION = 300, 19_800
-FLOOR, OPENS, CLOSES, LEAD_HOURS = dt.time(9, 0), dt.time(16, 0), dt.time(2, 30), 2
+FLOOR, OPENS, CLOSES, LEAD_HOURS = dt.time(9, 0), dt.time(16, 0), dt.time(2, 30), 3
 
 
 def quote_rows(raw: DataFrame) -> DataFrame:
