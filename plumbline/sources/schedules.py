@@ -44,8 +44,8 @@ def upcoming_games(scoreboards: DataFrame) -> DataFrame:
     team = "struct<homeAway:string,team:struct<abbreviation:string>>"
     shape = f"struct<events:array<struct<id:string,date:string,competitions:array<struct<neutralSite:boolean,status:struct<type:struct<state:string>>,competitors:array<{team}>>>>>>"
     events = scoreboards.select(F.explode(F.from_json("body", shape)["events"]).alias("e"))
-    held = events.select("e.id", "e.date", F.element_at("e.competitions", 1).alias("c"))
-    side = lambda s: F.lower(F.element_at(F.filter("c.competitors", lambda x: x["homeAway"] == s), 1)["team"]["abbreviation"])
+    held = events.select("e.id", "e.date", F.get("e.competitions", F.lit(0)).alias("c"))
+    side = lambda s: F.lower(F.get(F.filter("c.competitors", lambda x: x["homeAway"] == s), F.lit(0))["team"]["abbreviation"])
     return held.where("c.status.type.state = 'pre'").select(F.col("id").alias("game_id"), side("away").alias("away"), side("home").alias("home"), F.coalesce("c.neutralSite", F.lit(False)).alias("neutral_site"), aware_timestamp("date").alias("start_time_utc")).withColumn("et_date", F.to_date(F.from_utc_timestamp("start_time_utc", "America/New_York")))
 
 
