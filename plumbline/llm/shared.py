@@ -97,7 +97,8 @@ def drop_rows(docs: DataFrame, key: Column, marks: DataFrame, id_col: str) -> Da
     same = lambda m: F.col(id_col).eqNullSafe(m["__id"]) & (F.col("__own") == m["__key"])
     gone, repeated = marks.where("not kept").select("__id", "__key"), marks.where("kept and not all").select("__id", "__key")
     left = docs.withColumn("__own", key)
-    left = left.join(gone, same(gone), "left_anti")
+    # what goes grows with the documents, so it is dealt out with them at every size and never broadcast
+    left = left.join(gone.hint("merge"), same(gone), "left_anti")
     if repeated.isEmpty():
         return left.select(*docs.columns)
     left = written(left, "left")
