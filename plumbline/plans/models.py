@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import analysis as Y
 from plumbline.operators import cox as X
 from plumbline.operators import elo as E
 from plumbline.operators import features as P
 from plumbline.operators import frame as R
+from plumbline.operators import ingest as I
 from plumbline.operators import matching, resample
 from plumbline.operators import model as M
 from plumbline.operators import scores as C
@@ -221,3 +223,50 @@ def stream_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(current(spark.read.parquet(f"{folder}/table")).select("dedup_key", "game_id", "token", "captured_at", "midpoint", "run_id"))
 
 
+
+
+def _frame(spark: SparkSession, d: str) -> DataFrame:
+    return R.analysis_frame(D.priced(spark, d), D.games(spark, d), D.patch(spark, d))
+
+
+@query()
+def calibration_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Y.in_bands(Y.calibration_report(look(spark, d), ["sport"])))
+
+
+@query()
+def cell_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Y.cell_stats(_frame(spark, d)))
+
+
+@query()
+def primary_test(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Y.primary_test(_frame(spark, d), reps=REPS))
+
+
+@query()
+def range_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Y.range_sensitivity(_frame(spark, d)))
+
+
+@query()
+def look_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Y.sensitivity(_frame(spark, d)))
+
+
+@query()
+def null_bands(spark: SparkSession, d: str) -> DataFrame:
+    found = resample.intervals(resample.simulate_null(look(spark, d), 4661, REPS), ["ece", "max_bin_dev", "slope", "intercept"])
+    return rounded(Y.null_breaches(found))
+
+
+@query(with_sql("select g.sport, g.season, g.game_id, count(*) filter (where q.t <= s.tip_t) as n_pre_tipoff, max(q.t) filter (where q.t <= s.tip_t) as t_close, arg_max(q.p, q.t) filter (where q.t <= s.tip_t) as p_close from ticks q join starts s using (sport, season, game_id) join starts g using (sport, season, game_id) where q.side = 'click' group by all", D.QUOTES, D.STARTS, "ticks as (select sport, season, game_id, side, t, max(p) as p from quotes group by all)"))
+def closing_prices(spark: SparkSession, d: str) -> DataFrame:
+    ticks = D.quotes(spark, d).groupBy("sport", "season", "game_id", "side", "t").agg(F.max("p").alias("p"))
+    sides = ticks.withColumn("side", F.when(F.col("side") == "click", "home").when(F.col("side") == "view", "away").otherwise(F.col("side")))
+    return I.closing(sides, D.starts(spark, d)).select("sport", "season", "game_id", "n_pre_tipoff", "t_close", "p_close")
+
+
+@query(with_sql("select reason, count(*) as n from misses where reason in ('no_market') group by reason", GAMES, D.MISSES))
+def reprobe(spark: SparkSession, d: str) -> DataFrame:
+    return I.to_reprobe(D.misses(spark, d)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
