@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import haversine_km, result_delay
-from plumbline.operators.asof import asof_join
 from plumbline.schemas import DENSITY_SECONDS
 
 TEAM = ("sport", "season", "team")
@@ -63,6 +62,37 @@ def refuse_started(targets: DataFrame, games: DataFrame) -> None:
         raise LeakError("a target has started before its as-of time")
 
 
+def _history(asked: DataFrame, played: DataFrame, delays: Mapping[str, int] | None) -> DataFrame:
+    """Each asked side with its team's previous game and what was known of earlier ones, at its own as-of time.
+
+    Starts, results becoming public, and questions are rows of one timeline per
+    team and season; counts run along it. So a question meets no pairs, and all
+    of it is one shuffle and one sort. At one time a result comes before a
+    question (it is public by then) and a start after it (it is not earlier). A
+    second question a week before gives the games of the last seven days.
+    """
+    none = lambda c: F.lit(None).cast(c)
+    row, prev = F.struct(*asked.columns), F.struct(F.col("start_t").alias("at"), F.col("et_date").alias("prev_date"), F.col("host").alias("prev_host"), F.col("neutral").alias("prev_neutral"), F.col("game_id").alias("prev_game"))
+    row_type, prev_type = asked.select(row.alias("x")).schema["x"].dataType, played.select(prev.alias("x")).schema["x"].dataType
+    zero, one = F.lit(0), F.lit(1)
+
+    def events(df: DataFrame, at: Column, order: int, games: Column = zero, settled: Column = zero, wins: Column = zero, kept: Column | None = None, question: Column | None = None, now: bool = True) -> DataFrame:
+        return df.select(*TEAM, at.cast("long").alias("at"), F.lit(order).alias("order"), games.alias("games"), settled.alias("settled"), wins.alias("wins"), (none(prev_type) if kept is None else kept).alias("kept"), (none(row_type) if question is None else question).alias("row"), F.lit(now).alias("now"), "game_id")
+
+    won = F.coalesce((F.col("winner") == F.col("side")).cast("int"), zero)
+    timeline = (
+        events(played, F.col("start_t") + result_delay("sport", delays), 0, settled=one, wins=won)
+        .unionByName(events(asked, F.col("as_of"), 1, question=row))
+        .unionByName(events(asked, F.col("as_of") - DENSITY_SECONDS, 1, question=row, now=False))
+        .unionByName(events(played, F.col("start_t"), 2, games=one, kept=prev))
+    )
+    along = Window.partitionBy(*TEAM).orderBy("at", "order", "game_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = timeline.withColumns({"prior_games": F.sum("games").over(along), "prior_settled": F.sum("settled").over(along), "prior_wins": F.sum("wins").over(along), "prev": F.last("kept", ignorenulls=True).over(along)}).where("row is not null")
+    own = F.when(F.col("now"), F.struct("row", "prev", "prior_games", "prior_settled", "prior_wins"))
+    both = counted.groupBy(*TEAM, "game_id", F.col("row.side").alias("__side"), F.col("row.as_of").alias("__as_of")).agg(F.first(own, ignorenulls=True).alias("own"), F.max(F.when(~F.col("now"), F.col("prior_games"))).alias("before_week"))
+    return both.select("own.row.*", "own.prev.prev_date", "own.prev.prev_host", "own.prev.prev_neutral", "own.prior_games", "own.prior_settled", "own.prior_wins", (F.col("own.prior_games") - F.col("before_week")).alias("games_7d"))
+
+
 def assemble(games: DataFrame, targets: DataFrame, venues: DataFrame, sites: DataFrame | None = None, delays: Mapping[str, int] | None = None, *, check: bool = True) -> DataFrame:
     """One row per target: rest, travel and form of both sides, and their differences (home - away).
 
@@ -75,20 +105,7 @@ def assemble(games: DataFrame, targets: DataFrame, venues: DataFrame, sites: Dat
     played = by_team(neutral(games, sites), "start_t", "winner")
     asked = by_team(neutral(targets, sites), "as_of")
 
-    before = played.select(*TEAM, F.col("start_t").alias("prev_start"), F.col("et_date").alias("prev_date"), F.col("host").alias("prev_host"), F.col("neutral").alias("prev_neutral"), F.col("game_id").alias("prev_game"))
-    seen = asof_join(asked, before, TEAM, "as_of", "prev_start", strict=True, take=["prev_date", "prev_host", "prev_neutral", "prev_game"], tie=["prev_game"])
-
-    # what a team had played, by then: counts over the earlier rows of its own key
-    past = played.select(*TEAM, F.col("start_t"), (F.col("start_t") + result_delay("sport", delays)).alias("public_t"), (F.col("winner") == F.col("side")).alias("won"))
-    p = past.select(*(F.col(c).alias(f"h_{c}") for c in past.columns))
-    earlier = (F.col("h_sport") == F.col("sport")) & (F.col("h_season") == F.col("season")) & (F.col("h_team") == F.col("team")) & (F.col("h_start_t") < F.col("as_of"))
-    public = F.col("h_public_t") <= F.col("as_of")
-    history = seen.join(p, earlier, "left").groupBy(*seen.columns).agg(
-        F.count("h_start_t").alias("prior_games"),
-        F.count(F.when(public, 1)).alias("prior_settled"),
-        F.count(F.when(public & F.col("h_won"), 1)).alias("prior_wins"),
-        F.count(F.when(F.col("h_start_t") >= F.col("as_of") - DENSITY_SECONDS, 1)).alias("games_7d"),
-    )
+    history = _history(asked, played, delays)
 
     place = lambda prefix: F.broadcast(venues.select("sport", F.col("team").alias(prefix), F.col("lat").alias(f"{prefix}_lat"), F.col("lon").alias(f"{prefix}_lon"), F.col("tz_offset_std").alias(f"{prefix}_tz")))  # noqa: E731 - a row per team of a league
     located = history.join(place("host"), ["sport", "host"], "left").join(place("prev_host"), ["sport", "prev_host"], "left")
