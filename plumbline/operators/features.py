@@ -125,8 +125,10 @@ def assemble(games: DataFrame, targets: DataFrame, venues: DataFrame, sites: Dat
         "win_rate": F.when(F.col("prior_settled") > 0, F.col("prior_wins") / F.col("prior_settled")),
     }
     sides = located.select(*GAME, "side", "et_date", "as_of", "neutral", "team", *(v.alias(k) for k, v in values.items()))
-    of = lambda s: sides.where(F.col("side") == s).select(*GAME, F.col("team").alias(s), *(F.col(k).alias(f"{s}_{k}") for k in values))
-    both = sides.where("side = 'home'").select(*GAME, "et_date", "as_of", "neutral").join(of("away"), list(GAME)).join(of("home"), list(GAME))
+    own = F.struct("team", *values)
+    of = lambda s: F.first(F.when(F.col("side") == s, own), ignorenulls=True).alias(s)
+    pairs = sides.groupBy(*GAME, "et_date", "as_of", "neutral").agg(of("away"), of("home"))
+    both = pairs.select(*GAME, "et_date", "as_of", "neutral", *(F.col(f"{s}.team").alias(f"__{s}") for s in ("away", "home")), *(F.col(f"{s}.{k}").alias(f"{s}_{k}") for s in ("away", "home") for k in values)).withColumnsRenamed({"__away": "away", "__home": "home"})
     differences = [(F.col(f"home_{k}") - F.col(f"away_{k}")).alias(f"{k}_diff") for k in ("rest_days", "travel_km", "games_7d", "win_rate")]
     return both.select("*", *differences)
 
