@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import abbreviation_candidates, labels_match, moneyline, outcome_reason, resolution, slug
+from plumbline.functions.scalars import abbreviation_candidates, labels_match, moneyline, outcome_reason, parse_slug, resolution, slug
 from plumbline.operators.anchors import anchors_wide
-from plumbline.operators.outcomes import KEY, one_of, rematches
+from plumbline.operators.outcomes import KEY, one_of, rematches, slice_games
 from plumbline.operators.series import complementarity, stale_flat_run
 from plumbline.schemas import MONEYLINE, PARTIAL_MARKETS
 
@@ -51,6 +51,26 @@ def confirm(candidates: DataFrame, events: DataFrame) -> DataFrame:
     ).select(*KEY, F.col("hit.slug").alias("slug"), F.col("hit.market").alias("market"), "saw_events", "partial_only", "attempted")
 
 
+def learned_priors(confirmed: DataFrame, games: DataFrame) -> DataFrame:
+    """By team, the abbreviation that most of its found slugs use; two that are as frequent teach nothing."""
+    told = confirmed.where("slug is not null").join(games.select(*KEY, "away", "home"), list(KEY)).withColumn("s", parse_slug("slug"))
+    pairs = told.select("sport", F.inline(F.array(F.struct(F.col("away").alias("team"), F.col("s.away").alias("abbr")), F.struct(F.col("home").alias("team"), F.col("s.home").alias("abbr")))))
+    counts = pairs.groupBy("sport", "team", "abbr").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.withColumn("top", F.max("n").over(Window.partitionBy("sport", "team"))).where("n = top")
+    return best.groupBy("sport", "team").agg(F.min("abbr").alias("learned"), F.count(F.lit(1)).alias("ties")).where("ties = 1").select("sport", "team", "learned")
+
+
+def resolve(games: DataFrame, teams: DataFrame, events: DataFrame, first: int = 20) -> DataFrame:
+    """Confirms games in two passes: the first games of each sport and season teach the abbreviations that the rest are looked up by.
+
+    A game that its team's learned abbreviation doesn't find is tried by all others too.
+    """
+    probes = slice_games(games, first, "stride")
+    taught = learned_priors(confirm(slug_candidates(probes, teams), events), games)
+    ahead = teams.join(taught, ["sport", "team"], "left").withColumn("priors", F.array_compact(F.concat(F.array("learned"), "priors"))).drop("learned")
+    return confirm(slug_candidates(games, ahead), events)
+
+
 def closing(quotes: DataFrame, starts: DataFrame) -> DataFrame:
     """One row per game: prices of the home side at all horizons, points, staleness and complementarity.
 

@@ -182,6 +182,32 @@ def diagnostics(draws: DataFrame) -> DataFrame:
     return by.groupBy("parameter").agg(sound.alias("rhat"), F.sum("bad").alias("divergences"), F.count(F.lit(1)).alias("chains"))
 
 
+def effective_size(chains: np.ndarray) -> float:
+    """Independent draws that chains (rows) of one parameter are worth, by the autocorrelation up to the first pair of lags whose sum isn't positive."""
+    m, n = chains.shape
+    centred = chains - chains.mean(axis=1, keepdims=True)
+    spectrum = np.abs(np.fft.rfft(centred, 2 * n, axis=1)) ** 2
+    covariance = np.fft.irfft(spectrum, axis=1)[:, :n].mean(axis=0) / n
+    variance = covariance[0] + (chains.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+    if not variance > 0:
+        return float("nan")
+    rho = 1 - (covariance[0] - covariance) / variance
+    pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(axis=1)
+    stop = int(np.argmax(pairs <= 0)) if np.any(pairs <= 0) else len(pairs)
+    return float(m * n / max(1.0, 2 * pairs[:stop].sum() - 1))
+
+
+def effective_sizes(draws: DataFrame) -> DataFrame:
+    """``parameter`` and ``ess``; a parameter's draws are bounded by the length of the chains."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        chains = rows.sort_values(["chain", "draw"]).pivot(index="chain", columns="draw", values="v").to_numpy()
+        return pd.DataFrame({"parameter": [rows["parameter"].iloc[0]], "ess": [effective_size(chains)]})
+
+    values = draws.select("chain", "draw", F.posexplode("values").alias("parameter", "v"))
+    return values.groupBy("parameter").applyInPandas(run, "parameter int, ess double")
+
+
 def assert_sound(found: DataFrame) -> None:
     worst = found.agg(F.max("rhat").alias("rhat"), F.max("divergences").alias("bad"), F.min("chains").alias("chains")).first()
     if worst["chains"] is None or worst["chains"] < 2 or worst["rhat"] > MAX_RHAT or worst["bad"]:

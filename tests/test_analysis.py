@@ -53,6 +53,9 @@ def test_games_are_resolved_and_classified(spark):
     confirmed = I.confirm(candidates, spark.createDataFrame(events, "slug string, markets array<struct<type:string,away_label:string,home_label:string,token:string>>"))
     got = {r.game_id: (r.slug, r.saw_events, r.partial_only) for r in confirmed.collect()}
     assert got == {"g0": ("nba-bos-nyk-2025-01-01", True, False), "g1": ("nba-bos-ny-2025-01-11", True, False), "g2": (None, True, True), "g3": (None, True, False), "g4": (None, False, False)}
+    assert {(r.team, r.learned) for r in I.learned_priors(confirmed, games).collect()} == {("BOS", "bos")}
+    again = I.resolve(games, teams, spark.createDataFrame(events, "slug string, markets array<struct<type:string,away_label:string,home_label:string,token:string>>"))
+    assert {r.game_id: r.slug for r in again.collect()} == {g: x[0] for g, x in got.items()}
     tip = 1_700_000_000
     quotes = spark.createDataFrame([("nba", "24", g, s, tip - 60 * i, 0.6 if s == "home" else 0.4) for g in ("g0",) for s in ("home", "away") for i in range(12)], f"{KEYS}, side string, t long, p double")
     starts = games.select("sport", "season", "game_id", F.lit(tip).cast("long").alias("tip_t"))
