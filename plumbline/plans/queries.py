@@ -14,7 +14,7 @@ from plumbline.operators import frame as R
 from plumbline.operators import outcomes as O
 from plumbline.operators import scores as C
 from plumbline.operators import series as Q
-from plumbline.operators.asof import asof_join
+from plumbline.operators.asof import asof_join, range_history
 from plumbline.plans import domain as D
 from plumbline.plans.domain import GAMES, MISSES, PATCH, PRICED, QUOTES, STARTS, VENUES, with_sql
 
@@ -512,3 +512,11 @@ def array_zip_insert(spark: SparkSession, d: str) -> DataFrame:
     rows = D.table(spark, d, "events").select("user_id").distinct()
     arrays = rows.select("user_id", F.array(*map(F.lit, (1, 2, 3))).alias("p"), F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda x: x * F.col("user_id")).alias("t"))
     return Q.insert_series(arrays).select("user_id", F.col("p").alias("i"), "t")
+
+
+@query(with_sql("select t.sport, t.season, t.game_id, t.team, count(b.game_id) as earlier from (select * from app where game_id % 50 = 0) t left join app b on t.sport = b.sport and t.season = b.season and t.team = b.team and b.start_t < t.start_t group by all", GAMES, _APP))
+def earlier_games(spark: SparkSession, d: str) -> DataFrame:
+    """Earlier games of both teams of every fiftieth game, by a range join; the features count all of them along one timeline."""
+    rows = P.by_team(P.neutral(D.games(spark, d), None), "start_t").select("sport", "season", "game_id", "team", "start_t")
+    found = range_history(rows.where("game_id % 50 = 0"), rows, ["sport", "season", "team"], "start_t", "start_t")
+    return found.groupBy("sport", "season", "game_id", "team").agg(F.count("__b_game_id").alias("earlier"))
