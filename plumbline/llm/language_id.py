@@ -223,9 +223,13 @@ def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` without the rows whose language is ``und``: those of a null text or one without any letter.
 
     All other rows stay, with the columns they came with. What the model is
-    fitted on is told by ``held_out``; the language that a row has is not changed.
+    fitted on is told by ``held_out``, and a row labelled ``und`` teaches nothing;
+    the language that a row has is not changed. Where nothing can be learned from,
+    all texts with a letter count as of one language.
     """
-    model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
+    model = fit(docs.where(~held_out(id_col) & (F.col(lang_col) != UNDETERMINED)), text_col, lang_col)
+    if not model.families:
+        model = Model({"": [""]}, [], [])
     told = identify(docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))), model, "__row", text_col)
     return told.where(F.col("lang_pred") != UNDETERMINED).select("doc_id.*")
 

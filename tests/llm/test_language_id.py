@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from plumbline.llm.language_id import fit, hierarchical_language_id, identify
+from plumbline.llm.language_id import drop_undetermined, fit, hierarchical_language_id, identify
 
 WORDS = {
     "en": "the of and that with this from have they will would there their what about which when make can like time just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most us".split(),
@@ -50,3 +50,13 @@ def test_few_or_no_languages(spark):
     one = spark.createDataFrame([(1, "hello there", "zz", None, None)], SCHEMA)
     assert [tuple(r) for r in identify(docs, fit(one)).collect()] == [(1, "zz", 1.0)]
     assert hierarchical_language_id(docs.limit(0)).collect() == []
+
+
+def test_texts_stay_where_nothing_can_be_learned(spark):
+    texts = [(1, "hello there"), (2, None), (3, "12 !?"), (4, "漢字"), (5, ""), (None, "of no id")]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:2]
+    for rows in ([(*r, None, "s", 0.5) for r in texts], [(*r, "und", "s", 0.5) for r in texts], [(i, f"hello {i}", "en", "s", 0.5) for i in held]):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        left = drop_undetermined(docs)
+        assert left.columns == docs.columns
+        assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text is not None and any(c.isalpha() for c in r.text))

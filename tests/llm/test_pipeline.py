@@ -65,6 +65,12 @@ def test_missing_and_odd_rows(spark):
         assert none.collect() == []
 
 
+def test_documents_without_labels(spark):
+    rows = [(1, None), (2, "12 !?"), (3, "Hello there"), (4, "hello\tthere"), (5, "漢字"), (6, "word " * 3000)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    held_against(spark, docs, rows, docs.columns)
+
+
 def test_stages_are_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
