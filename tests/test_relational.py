@@ -12,7 +12,7 @@ from plumbline.operators import features as P
 from plumbline.operators import frame as R
 from plumbline.operators import outcomes as O
 from plumbline.operators import series as Q
-from plumbline.operators.asof import asof_join
+from plumbline.operators.asof import asof_join, range_history
 
 T0, DAY = 1735689600, 86400
 GAME = "sport string, season string, game_id string, et_date date, away string, home string, winner string, neutral_site boolean, start_t long"
@@ -38,6 +38,30 @@ def test_asof_against_brute_force(spark, probes, builds, strict, tolerance):
         assert got[n] == ((best[2], best[3]) if best else (None, None))
 
 
+def test_history_against_brute_force(spark):
+    probes = [(k, t, n) for n, (k, t) in enumerate([(1, 5), (1, 1), (1, None), (2, 9), (3, 4), (None, 7), (1, 5)])]
+    builds = [(k, t, n) for n, (k, t) in enumerate([(1, 1), (1, 4), (1, 5), (1, 4), (1, None), (2, 10), (2, 8), (None, 1)])]
+    p, b = spark.createDataFrame(probes, "k int, t long, n int"), spark.createDataFrame(builds, "k int, s long, n int")
+    got = sorted((r.n, -1 if r["__b_n"] is None else r["__b_n"]) for r in range_history(p, b, ["k"], "t", "s").collect())
+    want = []
+    for k, t, n in probes:
+        want += [(n, i) for own, s, i in builds if None not in (k, t, s) and own == k and s < t] or [(n, -1)]
+    assert got == sorted(want)
+
+
+def test_earlier_games_are_counted_for_all_games(spark):
+    from plumbline.plans import domain as D
+    from plumbline.plans.queries import QUERIES
+
+    assert "earlier_games" not in QUERIES
+    games = D.games(spark, "/root/testdata/sf0.001")
+    rows = P.by_team(P.neutral(games, None), "start_t").select("sport", "season", "game_id", "team", "start_t")
+    found = range_history(rows, rows, ["sport", "season", "team"], "start_t", "start_t").groupBy("game_id", "team").agg(F.count("__b_game_id").alias("n"))
+    want = sorted((r.game_id, r.team, r.n) for r in found.collect())
+    got = sorted((r.game_id, r.team, r.prior_games) for r in QUERIES["rolling_counts"](spark, "/root/testdata/sf0.001").collect())
+    assert got == want and len(got) == 2 * games.count()
+
+
 def quotes(spark, rows):
     return spark.createDataFrame([("nba", "24", "g", "home", t, p) for t, p in rows], "sport string, season string, game_id string, side string, t long, p double")
 
