@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,11 @@ SETTINGS = {s: E.Setting(*map(float, v)) for s, v in RATING_SETTINGS.items()}
 REPS = 200
 
 
+def each_sport(run: Callable[[str], DataFrame]) -> DataFrame:
+    """The results of all sports, each with its name."""
+    return functools.reduce(DataFrame.unionByName, (run(s).withColumn("sport", F.lit(s)) for s in sorted(SETTINGS)))
+
+
 def _newton_sql(by: str) -> str:
     """Ten Newton steps, unrolled; each is the solution of two equations whose five sums are aggregates."""
     key = f"{by}, " if by else ""
@@ -183,13 +191,33 @@ def gbm_ceiling(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.gbm_ceiling(rows.withColumn("logit", F.ln(F.col("p") / (1 - F.col("p")))).where("sport = 'nba'"), ["logit", "home_games_7d", "away_games_7d"], "season < '2000'", rounds=10), 4)
 
 
+#: Covariates of the hierarchical model by sport, and what is filled with medians before they are derived.
+COVARIATES = {"nba": ["rest_diff", "b2b_diff", "travel_diff", "tz_diff"], "nhl": ["rest_diff", "home_b2b", "away_b2b", "travel_diff", "tz_diff"]}
+FILLED = [f"{side}_{c}" for c in ("rest_days", "travel_km", "tz_shift") for side in ("away", "home")]
+
+
+def model_data(spark: SparkSession, d: str, sport: str) -> M.Data:
+    """All games of a sport, with standardised covariates and ratings."""
+    key = ["sport", "season", "game_id"]
+    ratings = E.ratings(D.games(spark, d).where(F.col("sport") == sport), SETTINGS).select(*key, (F.col("r_home") - F.col("r_away")).alias("rating_diff"), "y")
+    rows = features_of(spark, d).where(F.col("sport") == sport).join(ratings, key).persist()
+    b2b = {f"{s}_b2b": F.coalesce(f"{s}_b2b", F.lit(False)).cast("double") for s in ("home", "away")}
+    terms = M.derive_terms(M.fill(rows, M.medians(rows, FILLED, "true")).withColumns(b2b))
+    scaled = M.standardise(terms, M.scaler(terms, [*COVARIATES[sport], "rating_diff"], "true"))
+    data, _ = M.data_of(scaled, [f"z_{c}" for c in COVARIATES[sport]], "z_rating_diff")
+    rows.unpersist()
+    return data
+
+
 @query()
 def hierarchical_chains(spark: SparkSession, d: str) -> DataFrame:
-    """R-hat of each parameter of a short fit on one season of one sport."""
-    rows = D.games(spark, d).where("sport = 'nba' and season = '1995'").select("season", "game_id", "home", "away", F.col("neutral_site").alias("neutral"), (F.col("winner") == "home").cast("double").alias("y"), F.lit(0.0).alias("rating"))
-    data, _ = M.data_of(rows, [], "rating")
-    draws = M.sample_chains(spark, data, seed=1, chains=4, warmup=150, samples=150)
-    return M.diagnostics(draws).select("parameter", F.round("rhat", 3).alias("rhat"), "divergences", "chains")
+    """R-hat of each parameter of the fit of each sport over all its seasons."""
+
+    def found(sport: str) -> DataFrame:
+        draws = M.sample_chains(spark, model_data(spark, d, sport), seed=1)
+        return M.diagnostics(draws).select("parameter", F.round("rhat", 3).alias("rhat"), "divergences", "chains")
+
+    return each_sport(found)
 
 
 @query()
