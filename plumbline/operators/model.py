@@ -300,3 +300,21 @@ def gbm_ceiling(df: DataFrame, features: Sequence[str], train: str, y: str = "y"
     rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
     model = GBTClassifier(labelCol=y, maxIter=rounds, stepSize=0.05, maxDepth=3, minInstancesPerNode=20, seed=7).fit(rows.where(train))
     return model.transform(rows.where(~F.expr(train))).select(key, y, vector_to_array("probability")[1].alias("p"))
+
+
+def rolling_ceiling(df: DataFrame, origins: Sequence[int], features: Sequence[str], y: str = "y", key: str = "game_id", rounds: int = 40) -> DataFrame:
+    """``gbm_ceiling`` at each origin, trained on what started before it: fold, key, y, p.
+
+    A fold that has nothing to train on or to test is refused. Nothing of a
+    fold's test rows goes into its trees.
+    """
+    rows = folds(df.where(F.col(y).isNotNull()), origins)
+    sizes = {(r["fold"], r["role"]) for r in rows.select("fold", "role").distinct().collect()}
+    empty = [(i, role) for i in range(len(origins)) for role in ("train", "test") if (i, role) not in sizes]
+    if empty:
+        raise ValueError(f"folds with an empty side: {empty}")
+    out = None
+    for i in range(len(origins)):
+        one = gbm_ceiling(rows.where(F.col("fold") == i), features, "role = 'train'", y, key, rounds).select(F.lit(i).alias("fold"), key, y, "p")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -113,10 +113,14 @@ def elo_final(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def elo_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every point of the first sport's grid, over one season."""
-    ks, homes, carries = RATING_GRIDS["nba"]
-    grid = [E.Setting(k, h, c) for k in ks for h in homes for c in carries]
-    return rounded(E.grid_search(D.games(spark, d).where("sport = 'nba'"), grid, "2000"))
+    """Every point of each sport's grid, over all its games; scored on one season."""
+
+    def search(sport: str) -> DataFrame:
+        ks, homes, carries = RATING_GRIDS[sport]
+        grid = [E.Setting(k, h, c) for k in ks for h in homes for c in carries]
+        return E.grid_search(D.games(spark, d).where(F.col("sport") == sport), grid, "2000")
+
+    return rounded(each_sport(search))
 
 
 @query(with_sql("select sport, game_id from games where false", GAMES))
@@ -127,8 +131,11 @@ def elo_causality(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    found = resample.bootstrap_scalars(look(spark, d).where("sport = 'nba'"), REPS)
-    return rounded(resample.intervals(found, ["ece", "brier", "slope", "intercept"]))
+    def found(sport: str) -> DataFrame:
+        own = resample.bootstrap_scalars(look(spark, d).where(F.col("sport") == sport), REPS)
+        return resample.intervals(own, ["ece", "brier", "slope", "intercept"])
+
+    return rounded(each_sport(found))
 
 
 @query()
@@ -187,8 +194,11 @@ def rolling_nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gbm_ceiling(spark: SparkSession, d: str) -> DataFrame:
-    rows = features_of(spark, d).join(look(spark, d).select("sport", "season", "game_id", "p", "y"), ["sport", "season", "game_id"])
-    return rounded(M.gbm_ceiling(rows.withColumn("logit", F.ln(F.col("p") / (1 - F.col("p")))).where("sport = 'nba'"), ["logit", "home_games_7d", "away_games_7d"], "season < '2000'", rounds=10), 4)
+    """Out-of-fold forecasts of each sport, by the folds of ``rolling_folds``."""
+    key = ["sport", "season", "game_id"]
+    rows = features_of(spark, d).join(look(spark, d).select(*key, "p", "y"), key).join(D.games(spark, d).select(*key, "start_t"), key)
+    rows = rows.withColumn("logit", F.ln(F.col("p") / (1 - F.col("p"))))
+    return rounded(each_sport(lambda s: M.rolling_ceiling(rows.where(F.col("sport") == s), ORIGINS, ["logit", "home_games_7d", "away_games_7d"])), 4)
 
 
 #: Covariates of the hierarchical model by sport, and what is filled with medians before they are derived.
