@@ -23,8 +23,6 @@ from plumbline.plans.queries import _LOOKED, _features_sql, look, query, rounded
 from plumbline.schemas import NULL_TABLE, RATING_GRIDS, RATING_SETTINGS
 
 SETTINGS = {s: E.Setting(*map(float, v)) for s, v in RATING_SETTINGS.items()}
-#: Replicates of the registered queries; the operators' own defaults are larger.
-REPS = 200
 
 
 def each_sport(run: Callable[[str], DataFrame]) -> DataFrame:
@@ -132,7 +130,7 @@ def elo_causality(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     def found(sport: str) -> DataFrame:
-        own = resample.bootstrap_scalars(look(spark, d).where(F.col("sport") == sport), REPS)
+        own = resample.bootstrap_scalars(look(spark, d).where(F.col("sport") == sport))
         return resample.intervals(own, ["ece", "brier", "slope", "intercept"])
 
     return rounded(each_sport(found))
@@ -140,12 +138,12 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(resample.bootstrap_curve(look(spark, d), [0.2, 0.4, 0.6, 0.8], REPS))
+    return rounded(resample.bootstrap_curve(look(spark, d), [0.2, 0.4, 0.6, 0.8]))
 
 
 @query()
 def null_simulation(spark: SparkSession, d: str) -> DataFrame:
-    found = resample.simulate_null(look(spark, d), 1226, REPS)
+    found = resample.simulate_null(look(spark, d), 1226)
     return rounded(resample.intervals(found, ["ece", "max_bin_dev", "slope", "intercept"]))
 
 
@@ -157,20 +155,20 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def slope_difference(spark: SparkSession, d: str) -> DataFrame:
     rows = _levels(spark, d).where("sport = 'nba'")
-    found = resample.slope_difference(rows.where("liquidity = 'low'"), rows.where("liquidity = 'high'"), REPS)
+    found = resample.slope_difference(rows.where("liquidity = 'low'"), rows.where("liquidity = 'high'"))
     return rounded(resample.intervals(found, ["difference"]).crossJoin(resample.achieved_level(found)))
 
 
 @query()
 def cluster_slope_difference(spark: SparkSession, d: str) -> DataFrame:
-    found = resample.cluster_slope_difference(_levels(spark, d).where("sport = 'nba'"), "liquidity", "et_date", "low", "high", REPS)
+    found = resample.cluster_slope_difference(_levels(spark, d).where("sport = 'nba'"), "liquidity", "et_date", "low", "high")
     return rounded(resample.intervals(found, ["difference"]))
 
 
 @query()
 def stationary_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     rows = look(spark, d).select("et_date", F.pow(F.col("p") - F.col("y"), 2).alias("loss"))
-    return rounded(resample.intervals(resample.stationary_mean(rows, "loss", "et_date", REPS), ["mean"]))
+    return rounded(resample.intervals(resample.stationary_mean(rows, "loss", "et_date"), ["mean"]))
 
 
 @query()
@@ -279,7 +277,7 @@ def cell_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def primary_test(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(Y.primary_test(_frame(spark, d), reps=REPS))
+    return rounded(Y.primary_test(_frame(spark, d)))
 
 
 @query()
@@ -294,7 +292,7 @@ def look_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def null_bands(spark: SparkSession, d: str) -> DataFrame:
-    found = resample.intervals(resample.simulate_null(look(spark, d), 4661, REPS), ["ece", "max_bin_dev", "slope", "intercept"])
+    found = resample.intervals(resample.simulate_null(look(spark, d), 4661), ["ece", "max_bin_dev", "slope", "intercept"])
     return rounded(Y.null_breaches(found))
 
 
