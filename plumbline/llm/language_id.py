@@ -103,19 +103,20 @@ def _machine(positive: str, negative: str, rows: list[tuple[np.ndarray, np.ndarr
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Model:
-    """Fits on at most ``sample_texts`` texts of each language, chosen by a hash of the text.
+    """Fits on at most ``sample_texts`` distinct texts of each language, chosen by a hash of the text.
 
-    Rows without a language, text or letter teach nothing. Without any, the
+    Copies of a text under one language count once. Rows without a language, text or letter teach nothing. Without any, the
     model knows no language. The driver gets sparse features of the sample only.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model({}, [], [])
     # a share of each language by the hash, generous, then the exact number; texts that don't come in are not shuffled
     shares = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.5 * sample_texts / v + 20 / v))) for k, v in counts.items()))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < shares[F.col("lang")])
+    draw = F.pmod(F.col("hash"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < shares[F.col("lang")]).groupBy("lang", "hash", "draw").agg(F.min("text").alias("text"))
     ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("n") <= sample_texts)
     found = ranked.select("lang", "text").mapInArrow(_features, "lang string, places array<int>, shares array<float>").toPandas()
     texts: dict[str, list] = defaultdict(list)

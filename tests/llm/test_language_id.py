@@ -60,3 +60,18 @@ def test_texts_stay_where_nothing_can_be_learned(spark):
         left = drop_undetermined(docs)
         assert left.columns == docs.columns
         assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r.text is not None and any(c.isalpha() for c in r.text))
+
+
+def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
+    import plumbline.llm.language_id as L
+
+    fitted = []
+    whole = L._machine
+    monkeypatch.setattr(L, "_machine", lambda a, b, rows, *rest: fitted.append(len({(at.tobytes(), x.tobytes()) for at, x in rows})) or whole(a, b, rows, *rest))
+    texts = [f"text {i} of many words" for i in range(100)]
+    drawn = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "pmod(xxhash64(text), 1000003) as draw").orderBy("draw").collect()
+    german = [(10_000 + i, f"texte {i} mit worten", "de", "s", 0.5) for i in range(100)]
+    for hot in (drawn[0].text, drawn[-1].text):  # copies that come first, or that not one of comes in
+        rows = [(i, t, "en", "s", 0.5) for i, t in enumerate(texts + [hot] * 3000)] + german
+        fit(spark.createDataFrame(rows, SCHEMA).repartition(3), sample_texts=40)
+    assert fitted == [80, 80]
