@@ -14,12 +14,16 @@ import os
 import re
 from array import array
 
-from plumbline.llm.shared import sole
+import numpy as np
 
-#: Words held in a worker's table before it starts afresh.
-HELD_WORDS = 1_000_000
+#: Words held in a worker's table before it starts afresh, and the longest word that is held: some 150 MB.
+HELD_WORDS, HELD_CHARS = 1_000_000, 40
+#: Words of a text that are looked up between two looks at the size of the table.
+STEP_WORDS = 100_000
 _CHUNKS = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-_WORD = re.compile(r"(\n?)([ ]?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
+#: White space other than single blanks and single line ends between words.
+_UNEVEN = ("  ", " \n", "\n\n", "\n ", "\t", "\v", "\f", "\r")
 #: White space that only Unicode, or only Python, takes for such.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -31,10 +35,13 @@ def _byte_sign(byte: int) -> str:
 
 
 class Encoder(dict):
-    """Ids by word, learned as words are first met.
+    """Ids by key of a word, learned as words are first met.
 
     ``keeps_space``: blanks belong to the words after them (byte level), else
-    they are dropped and words are lower-cased.
+    they are dropped, words are lower-cased, and a word is its own key. With
+    blanks a key stands for the word with a blank before it; a key that begins
+    with a line end stands for itself, and one that begins with a carriage
+    return for what follows that.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -44,55 +51,86 @@ class Encoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.keeps_space = keeps_space
-        self.split = _CHUNKS.findall if keeps_space else str.split
         self.shown = {i: "".join(_byte_sign(b) for b in chr(i).encode()) for i in range(0x250)}
+        self.blank = _byte_sign(32) if keeps_space else ""
+        self.signs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _single(self, word: str) -> bytes:
-        """Ids of a run of letters (with the blank before it) or of signs: one pre-token, which goes straight to the model."""
-        text = word if self.keeps_space else word.lower()
-        return array("I", [t.id for t in self.model.tokenize(text.translate(self.shown))]).tobytes()
+    def _single(self, shown: str) -> bytes:
+        """Ids of one pre-token, a run of letters or of signs as the vocabulary writes it, straight from the model."""
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        """Most words are a run of letters, perhaps with a line end before it or signs behind it: three pre-tokens."""
+    def __missing__(self, key: str) -> bytes:
+        """Most words are a run of letters, perhaps with signs behind it: two pre-tokens."""
+        word, blank, before = key, self.blank, ""
+        if self.keeps_space and key[:1] in ("\n", "\r"):
+            word, blank, before = key[1:], "", key[0].strip("\r")
         if m := _WORD.fullmatch(word):
-            out = b""
-            for x in m.groups():
-                if x:
-                    ids = self.get(x)
-                    if ids is None:
-                        ids = self[x] = self._single(x)
-                    out += ids
+            letters, tail = m.groups()
+            out = self.get(own := letters if blank == self.blank else "\r" + letters) if tail or before else None
+            if out is None:
+                shown = letters if self.keeps_space else letters.lower()
+                out = self._single(blank + (shown if shown.isascii() else shown.translate(self.shown)))
+                if tail and len(own) <= HELD_CHARS:
+                    self[own] = out
+            if before:
+                out = self._sign(before) + out
+            if tail:
+                out += self._sign(tail)
         else:
-            out = self.whole(word)
-        self[word] = out
+            out = self.whole((" " if blank else before) + word)
+        if len(key) <= HELD_CHARS:
+            self[key] = out
         return out
 
+    def _sign(self, signs: str) -> bytes:
+        """Ids of a run of ASCII signs, or of a line end, of which there are few."""
+        out = self.signs.get(signs)
+        if out is None:
+            out = self.whole(signs) if signs == "\n" else self._single(signs)
+            if len(signs) < 4:
+                self.signs[signs] = out
+        return out
+
+    def _keys(self, text: str) -> list[str]:
+        if not self.keeps_space:
+            return text.split()
+        if not any(x in text for x in _UNEVEN):
+            return ("\r" + text.replace("\n", " \n")).split(" ")
+        return [c[1:] if c[0] == " " and c[1:2] not in ("\n", "\r") else c if c[0] == "\n" else "\r" + c for c in _CHUNKS.findall(text)]
+
+    def _text(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return self.whole(text)
+        keys, out = self._keys(text), []
+        for at in range(0, len(keys), STEP_WORDS):
+            if len(self) > HELD_WORDS:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, keys[at : at + STEP_WORDS])))
+        return out[0] if len(out) == 1 else b"".join(out)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self) > HELD_WORDS:
-            self.clear()
-        of, split, out = self.__getitem__, self.split, []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif _ODD.search(text):
-                out.append(self.whole(text))
-            else:
-                out.append(b"".join(map(of, split(text))))
-        return out
+        return [self._text(t) if t else b"" for t in texts]
 
 
 @functools.lru_cache(maxsize=1)
-def _made(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool) -> Encoder:
+    """A worker's own encoder, for functions that hold it by ``shared.holding(forget)``."""
     return Encoder(path, keeps_space)
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
-    """A worker's own encoder, which outlives its tasks."""
-    sole(f"encoder {path}", _made.cache_clear)
-    return _made(path, keeps_space)
+def forget() -> None:
+    encoder.cache_clear()
+
+
+def narrow(raw: bytes) -> bytes:
+    """32-bit ids as 16-bit ones. Raises for an id that these don't hold."""
+    ids = np.frombuffer(raw, "<u4")
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} needs more than 16 bits")
+    return ids.astype("<u2").tobytes()

@@ -19,14 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.encoder import encoder
-from plumbline.llm.shared import new_folder, open_folder, text_batches, written
+from plumbline.llm.encoder import encoder, forget, narrow
+from plumbline.llm.shared import holding, new_folder, open_folder, text_batches, written
 
 BATCH_ROWS = 256
 #: Ids in a block of a file, 16 MB of 16-bit ids.
 BLOCK_IDS = 8 * 1024 * 1024
 
 
+@holding(forget)
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, keeps_space: bool, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """One flat file for the partition; yields for each document the file and its place there, then the file's size."""
     task = TaskContext.get()
@@ -42,7 +43,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, keeps
                 store.create_dir(root, recursive=True)
                 file = store.open_output_stream(f"{root}/{name}")
             for raw in encode(part["text"].to_pylist()):
-                own = np.frombuffer(raw, "<u4").astype("<u2").tobytes() + end
+                own = narrow(raw) + end
                 file.write(own)
                 size += len(own) // 2
         n = batch.num_rows

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.shared import sole, text_batches
+from plumbline.llm.shared import text_batches
 
 #: Families of languages by ISO code; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -192,7 +192,6 @@ def predict(texts: list[str], model: Model) -> list[tuple[str, float]]:
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     import regex
 
-    sole("language")
     letter = regex.compile(r"\p{L}").search
     for batch in batches:
         texts = [t if t is not None and letter(t) else None for t in batch["__text"].to_pylist()]

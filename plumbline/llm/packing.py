@@ -12,6 +12,7 @@ rank in its partition, and ranks of earlier partitions are a sum by length.
 from __future__ import annotations
 
 import functools
+import io
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -22,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.encoder import encoder
-from plumbline.llm.shared import new_folder, open_folder, partitions, text_batches, written
+from plumbline.llm.encoder import encoder, forget
+from plumbline.llm.shared import files_of, holding, new_folder, put_file, text_batches, written
 
 CAPACITY = 2048
 BATCH_ROWS = 128
@@ -85,6 +86,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Plac
     return places, sequences
 
 
+@holding(forget)
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, keeps_space: bool, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encode, end, part = encoder(tokenizer, keeps_space).encode, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
     ranks: Counter[int] = Counter()
@@ -115,22 +117,25 @@ def encode_pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: in
     return written(rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, part int, rank long"), "op6-pieces")
 
 
+def _tell(counts: pa.Table, folder: str) -> pa.Table:
+    """How many pieces of each length earlier partitions have, as a file for one partition."""
+    part, out = counts["part"][0].as_py(), io.BytesIO()
+    np.savez(out, length=counts["length"].to_numpy(), before=counts["before"].to_numpy())
+    put_file(f"{folder}/{part}", "before", out.getvalue())
+    return pa.table({"part": pa.array([part], pa.int32())})
+
+
 @functools.lru_cache(maxsize=4)
 def _before(folder: str, part: int, capacity: int) -> np.ndarray:
     """By length: how many pieces earlier partitions have."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, root = open_folder(folder)
     out = np.zeros(capacity + 1, np.int64)
-    for info in store.get_file_info(fs.FileSelector(f"{root}/part={part}")):
-        if info.path.endswith(".parquet"):
-            with store.open_input_file(info.path) as file:
-                rows = pq.read_table(file, columns=["length", "before"])
-            out[rows["length"].to_numpy()] = rows["before"].to_numpy()
+    for data in files_of(f"{folder}/{part}").values():
+        own = np.load(io.BytesIO(data))
+        out[own["length"]] = own["before"]
     return out
 
 
+@holding(_before.cache_clear)
 def _place(batches: Iterator[pa.RecordBatch], folder: str, keys: np.ndarray, places: np.ndarray, capacity: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         part, length = batch["part"].to_numpy(), batch["length"].to_numpy()
@@ -149,13 +154,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The driver sees a count for each length, and the plan that goes to all tasks
     is bounded by the capacity, not by the number of pieces. No piece is moved.
     """
-    counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "op6-counts")
+    counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "op6-counts", narrow=True)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places, _ = plan(histogram, capacity)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     folder = new_folder(pieces.sparkSession, "op6-before")
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    before.repartition(partitions(pieces.sparkSession), "part").write.partitionBy("part").parquet(folder)
+
+    def tell(own: pa.Table) -> pa.Table:
+        return _tell(own, folder)
+
+    before.groupBy("part").applyInArrow(tell, "part int").agg(F.count(F.lit(1))).first()
     table = np.array(sorted(places), np.int64).reshape(-1, 5)
     place = functools.partial(_place, folder=folder, keys=(table[:, 0] << 48) | table[:, 1], places=table, capacity=capacity)
     return pieces.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import sole, text_batches
+from plumbline.llm.shared import holding, text_batches
 from plumbline.llm.shingles import mixed
 
 BLANK = "▁"
@@ -221,15 +221,15 @@ class Pieces:
 
 
 @functools.lru_cache(maxsize=1)
-def _made(path: str, temperature: float) -> Pieces:
+def pieces_of(path: str, temperature: float) -> Pieces:
     return Pieces(path, temperature)
 
 
-def pieces_of(path: str, temperature: float) -> Pieces:
-    sole(f"pieces {path}", _made.cache_clear)
-    return _made(path, temperature)
+def forget() -> None:
+    pieces_of.cache_clear()
 
 
+@holding(forget)
 def _encode(batches: Iterator[pa.RecordBatch], path: str, temperature: float, seed: int) -> Iterator[pa.RecordBatch]:
     own = pieces_of(path, temperature)
     for batch in batches:
@@ -243,6 +243,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, temperature: float, se
             yield pa.RecordBatch.from_arrays([rows["id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
 
+@holding(forget)
 def _decode(batches: Iterator[pa.RecordBatch], path: str, temperature: float) -> Iterator[pa.RecordBatch]:
     own = pieces_of(path, temperature)
     for batch in batches:

@@ -10,12 +10,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +31,8 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset.
 
-    Without the setting a local session gets a temporary folder, a cluster a
-    folder beside its warehouse, which its executors share.
+    Without the setting a local session gets a temporary folder. A cluster must
+    have it: nothing else says which folder its executors share.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
@@ -39,22 +43,40 @@ def shared_dir(spark: SparkSession) -> str:
             _own[app] = tempfile.mkdtemp(prefix="plumbline-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         else:
-            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return _own[app]
 
 
+_scratch: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators put into the shared folder within this block goes at its end; results must be written by then."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        store, root = open_folder(path)
+        if store.get_file_info(root).type.name == "Directory":
+            store.delete_dir(root)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; nothing is made there yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again.
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again."""
+    ``narrow``: its rows are a few numbers each, so it goes in an eighth as many
+    files as the session has shuffle partitions.
+    """
     path = new_folder(df.sparkSession, name)
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
+    (df.coalesce(max(4, partitions(df.sparkSession) // 8)) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,42 +90,110 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-_tables: dict[str, Callable[[], None]] = {}
+#: Seconds after its last task at which a worker gives up the tables that it holds.
+IDLE_S = 1.0
+_lock = threading.Lock()
+_held: dict[Callable[[], None], None] = {}
+_running, _timer = 0, None
 
 
-def sole(name: str, clear: Callable[[], None] = lambda: None) -> None:
-    """In a worker: tables that tasks of another operator have left make way for those of this one.
-
-    Workers outlive their tasks, so without this they would hold the words of
-    every operator that a session has run.
-    """
-    others = [x for x in _tables if x != name]
-    for x in others:
-        _tables.pop(x)()
-    _tables[name] = clear
-    if others:
+def _release() -> None:
+    with _lock:
+        if _running:
+            return
+        for forget in _held:
+            forget()
+        _held.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def holding(forget: Callable[[], None]):
+    """For functions over batches that keep tables in their worker, for the tasks that come after them.
+
+    Workers outlive their tasks. ``forget`` is called once no such function has
+    run in the worker for a second, and before one that holds other tables.
+    """
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(batches, *args, **kwargs):
+            global _running, _timer
+            with _lock:
+                _running += 1
+                if _timer is not None:
+                    _timer.cancel()
+                for other in [x for x in _held if x is not forget and _running == 1]:
+                    del _held[other]
+                    other()
+                _held[forget] = None
+            try:
+                yield from f(batches, *args, **kwargs)
+            finally:
+                with _lock:
+                    _running -= 1
+                    if not _running:
+                        _timer = threading.Timer(IDLE_S, _release)
+                        _timer.daemon = True
+                        _timer.start()
+
+        return run
+
+    return wrap
+
+
 def drop_rows(docs: DataFrame, key: Column, marks: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without some rows. ``marks`` has __id, __key, kept and all: pairs with rows to drop.
 
     Where no row of a pair (id, key) is kept all go, where some are one stays. A
-    null id equals a null id.
+    null id equals a null id. Columns of ``docs`` may have any names.
     """
-    marks = written(marks, "marks")
-    same = lambda m: F.col(id_col).eqNullSafe(m["__id"]) & (F.col("__own") == m["__key"])
+    marks = written(marks, "marks", narrow=True)
+    same = lambda m: F.col("id").eqNullSafe(m["__id"]) & (F.col("key") == m["__key"])
     gone, repeated = marks.where("not kept").select("__id", "__key"), marks.where("kept and not all").select("__id", "__key")
-    left = docs.withColumn("__own", key)
+    left = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(id_col)).alias("id"), key.alias("key"))
     # what goes grows with the documents, so it is dealt out with them at every size and never broadcast
     left = left.join(gone.hint("merge"), same(gone), "left_anti")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
+        return left.select("row.*")
     left = written(left, "left")
-    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__own"])
-    return left.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["id", "key"])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(once).select("row.*")
+
+
+def quoted(column: str) -> str:
+    """A column's name as it may stand in an expression, whatever it is made of."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """In a task: a file of the shared folder that is there whole or not at all; of several attempts one file stays."""
+    store, root = open_folder(folder)
+    store.create_dir(root, recursive=True)
+    own = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
+    with store.open_output_stream(own) as file:
+        file.write(data)
+    try:
+        store.move(own, f"{root}/{name}")
+    except OSError:  # a store that doesn't replace: another attempt was first
+        if not store.get_file_info(f"{root}/{name}").is_file:
+            raise
+        store.delete_file(own)
+
+
+def files_of(folder: str) -> dict[str, bytes]:
+    """What ``put_file`` has put into a folder, by name; nothing if there is no such folder."""
+    from pyarrow import fs
+
+    store, root = open_folder(folder)
+    out = {}
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.is_file and not info.base_name.startswith("."):
+            with store.open_input_stream(info.path) as file:
+                out[info.base_name] = file.read()
+    return out
 
 
 def open_folder(path: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -13,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import sstable
-from plumbline.llm.encoder import encoder
-from plumbline.llm.shared import new_folder, open_folder, partitions, text_batches, written
+from plumbline.llm.encoder import encoder, forget
+from plumbline.llm.shared import holding, new_folder, open_folder, partitions, text_batches
 
 #: Rows handed to the library at a time.
 BATCH_ROWS = 256
 
 
+@holding(forget)
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, keeps_space: bool, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     """One shard for the partition; yields its place in the order, path, documents and tokens."""
     task = TaskContext.get()
@@ -42,6 +44,20 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, keeps
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{folder}/{name}"], "docs": [writer.docs], "tokens": [writer.tokens]})
 
 
+def _by_range(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` in ``n`` partitions by range of id, nulls in the first. Bounds come from the ids alone, so texts are read once."""
+    found = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], F.lit(max(10_000, 20 * n)))).first()[0] if n > 1 else None
+    if not found:
+        return rows.repartitionById(n, F.lit(0))
+    bounds = sorted(set(found))
+    step = math.isqrt(len(bounds)) + 1  # two short searches stand for one over all bounds
+    every, coarse = (F.array(*(F.lit(b) for b in x)) for x in (bounds, bounds[::step]))
+    before = lambda own: F.size(F.filter(own, lambda b: b < F.col("id")))
+    block = before(coarse)
+    part = F.when(block > 0, (block - 1) * step + before(F.slice(every, (block - 1) * step + 1, step))).otherwise(0)
+    return rows.withColumn("part", F.coalesce(part, F.lit(0))).repartitionById(n, "part").drop("part")
+
+
 def write_shards(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """Writes the shards in the shared folder and returns their list: part, path, docs, tokens.
 
@@ -53,9 +69,10 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int
     spark = docs.sparkSession
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    dealt = _by_range(rows, partitions(spark)).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     write = functools.partial(_write, folder=new_folder(spark, "op4-shards"), tokenizer=tokenizer, keeps_space=keeps_space, end_id=end_id, width=width)
-    return written(dealt.mapInArrow(write, "part long, path string, docs long, tokens long"), "op4-list")
+    schema = "part long, path string, docs long, tokens long"
+    return spark.createDataFrame(dealt.mapInArrow(write, schema).collect(), schema)  # a row for each shard
 
 
 def _read(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[pa.RecordBatch]:

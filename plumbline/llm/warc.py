@@ -167,10 +167,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     large = F.octet_length("html") >= least
     # aggregated before the shuffle; what is joined back are payloads that occur more than once
     groups = hashed.where(large).groupBy("sha").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1 and largest is not null").select("sha", "largest")
-    groups = written(groups, "op7-groups")
+    groups = written(groups, "op7-groups", narrow=True)
     revisit = F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))
     told = hashed.join(groups, (hashed["sha"] == groups["sha"]) & large, "left").select("id", "url", "html", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
-    return written(told.mapInArrow(functools.partial(_write, folder=new_folder(pages.sparkSession, "op7-warc")), "path string, records long"), "op7-list")
+    write = functools.partial(_write, folder=new_folder(pages.sparkSession, "op7-warc"))
+    return pages.sparkSession.createDataFrame(told.mapInArrow(write, "path string, records long").collect(), "path string, records long")  # a row for each archive
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
