@@ -1,21 +1,24 @@
 """Exact deduplication by a Golomb-coded exchange of fingerprints.
 
 1. Each partition (a sender) hashes its normalised texts, sorts the distinct
-   fingerprints and sends to each owner of a hash range one Golomb-coded run.
-2. An owner merges its runs and answers each with a bitmap of the fingerprints
-   that another sender has too.
-3. The senders read their rows a second time; only suspects (by bitmap, or
-   twice in one partition) are shuffled, whole, and compared byte by byte.
-
-What travels for a text that occurs once is a few bytes. Copies inside one
-partition are folded before anything is sent, and the byte comparison
-aggregates before its shuffle, so a group with a third of all rows costs each
-partition one row. Rows, runs and bitmaps are tables in the shared folder.
+   fingerprints, keeps them Golomb-coded in a file of the shared folder and
+   sends each owner of a hash range its part of them.
+2. An owner merges what it gets and answers each sender with a bitmap of the
+   fingerprints that another sender has too. Answers are a file per sender.
+3. The senders read their rows a second time and apply their own bitmaps: a row
+   that occurs once is done, with no shuffle. Only suspects (by bitmap, or twice
+   in one partition) are shuffled, whole, and compared byte by byte.
+
+What travels for a text that occurs once is a few bytes of its fingerprint.
+Copies inside one partition are folded before anything is sent, and the byte
+comparison aggregates before its shuffle, so a group with a third of all rows
+costs each partition one row there.
 """
 
 from __future__ import annotations
 
 import functools
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import golomb
-from plumbline.llm.shared import drop_rows, new_folder, normalised, open_folder, partitions, text_batches, written
+from plumbline.llm.shared import drop_rows, files_of, holding, new_folder, normalised, partitions, put_file, text_batches, written
 
 #: Bits of a fingerprint, taken from the front of the SHA-256 of the text.
 FINGERPRINT_BITS = 48
@@ -33,77 +36,91 @@ FINGERPRINT_BITS = 48
 SENDER_ROWS = 1_000_000
 
 
-def _send(batches: Iterator[pa.RecordBatch], owner_bits: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (sender, row, owner, place, twice, id, sha) and runs (sender, owner, run)."""
+def _fronts(sha: pa.Array) -> np.ndarray:
+    """The fingerprints of hashes of 32 bytes each, none of them null."""
+    if not len(sha):
+        return np.zeros(0, np.uint64)
+    whole = np.frombuffer(b"".join(sha.to_pylist()), ">u8")
+    return (whole[::4] >> np.uint64(64 - FINGERPRINT_BITS)).astype(np.uint64)
+
+
+def _send(batches: Iterator[pa.RecordBatch], folder: str, owner_bits: int) -> Iterator[pa.RecordBatch]:
+    """(part, number, owner, run) of each run that an owner gets; what was sent, and which of it is there twice, stays in a file."""
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("part", pa.int32()), ("sender", pa.int64()), ("row", pa.int64()), ("owner", pa.int32()), ("place", pa.int32()), ("twice", pa.bool_()), ("id", id_type), ("sha", pa.binary()), ("run", pa.binary())])
-
-    def flush(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        n, sender = rows.num_rows, (part << 20) | number
-        sha = rows["sha"].combine_chunks()
-        front = np.frombuffer(b"".join(x[:8] for x in sha.to_pylist()), ">u8") >> np.uint64(64 - FINGERPRINT_BITS)
-        distinct, at, count = np.unique(front, return_inverse=True, return_counts=True)
+
+    def flush(held: list[np.ndarray], number: int) -> pa.RecordBatch:
+        distinct, count = np.unique(np.concatenate(held), return_counts=True)
         owner = (distinct >> np.uint64(FINGERPRINT_BITS - owner_bits)).astype(np.int64)
-        first = np.searchsorted(owner, np.arange(1 << owner_bits))
-        one = lambda value, kind, size=n: pa.array(np.full(size, value), kind)
-        yield pa.RecordBatch.from_arrays([one(part, pa.int32()), one(sender, pa.int64()), pa.array(np.arange(n)), pa.array(owner[at], pa.int32()), pa.array(at - first[owner[at]], pa.int32()), pa.array(count[at] > 1), rows["id"].combine_chunks(), sha, pa.nulls(n, pa.binary())], schema=schema)
-        runs, base = [], np.append(first, len(distinct))
-        owners = np.unique(owner)
-        for o in owners:
-            own = distinct[base[o] : base[o + 1]] - (np.uint64(o) << np.uint64(FINGERPRINT_BITS - owner_bits))
-            runs.append(golomb.encode(own))
+        owners, first = np.unique(owner, return_index=True)
+        base = np.append(first, len(distinct))
+        runs = [golomb.encode(distinct[a:b] - (np.uint64(o) << np.uint64(FINGERPRINT_BITS - owner_bits))) for o, a, b in zip(owners.tolist(), base, base[1:], strict=False)]
+        out = io.BytesIO()
+        np.savez(out, run=np.frombuffer(golomb.encode(distinct), np.uint8), twice=np.packbits(count > 1), owners=owners, base=base)
+        put_file(f"{folder}/sent/{part}", str(number), out.getvalue())
         m = len(owners)
-        yield pa.RecordBatch.from_arrays([one(part, pa.int32(), m), one(sender, pa.int64(), m), pa.nulls(m, pa.int64()), pa.array(owners, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, id_type), pa.nulls(m, pa.binary()), pa.array(runs, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, part), pa.int32()), pa.array(np.full(m, number), pa.int32()), pa.array(owners, pa.int32()), pa.array(runs, pa.binary())], names=["part", "number", "owner", "run"])
 
     held, rows, number = [], 0, 0
     for batch in batches:
         if batch.num_rows:
-            held.append(batch)
+            held.append(_fronts(batch["sha"]))
             rows += batch.num_rows
         if rows >= SENDER_ROWS:
-            yield from flush(held, number)
+            yield flush(held, number)
             held, rows, number = [], 0, number + 1
     if rows:
-        yield from flush(held, number)
+        yield flush(held, number)
 
 
 def _own(runs: pa.Table) -> pa.Table:
-    """All runs of one owner: for each sender the bitmap, in 64-bit words, of fingerprints sent by another too."""
+    """All runs of one owner: for each sender the bitmap of fingerprints that another has sent too."""
     decoded = [golomb.decode(x) for x in runs["run"].to_pylist()]
     distinct, count = np.unique(np.concatenate(decoded), return_counts=True)
-    bitmaps = []
-    for values in decoded:
-        bits = np.zeros(-(-len(values) // 64) * 64, np.uint8)
-        bits[: len(values)] = count[np.searchsorted(distinct, values)] > 1
-        bitmaps.append(np.packbits(bits, bitorder="little").view("<i8"))
-    return pa.table({"sender": runs["sender"], "owner": runs["owner"], "bitmap": pa.array(bitmaps, pa.list_(pa.int64()))})
+    bitmaps = [np.packbits(count[np.searchsorted(distinct, values)] > 1).tobytes() for values in decoded]
+    return pa.table({"part": runs["part"], "number": runs["number"], "owner": runs["owner"], "bitmap": pa.array(bitmaps, pa.binary())})
+
+
+def _answer(bitmaps: pa.Table, folder: str) -> pa.Table:
+    """All bitmaps of one sender, as a file for its second reading."""
+    part = bitmaps["part"][0].as_py()
+    out = io.BytesIO()
+    with pa.ipc.new_file(out, bitmaps.schema) as writer:
+        writer.write_table(bitmaps)
+    put_file(f"{folder}/answers/{part}", "bitmaps", out.getvalue())
+    return pa.table({"part": pa.array([part], pa.int32())})
 
 
 @functools.lru_cache(maxsize=2)
-def _singles(folder: str, part: int) -> frozenset[bytes]:
-    """The texts' hashes of a sender's partition that are certain to occur once."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, root = open_folder(folder)
-    found = store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
-    out: set[bytes] = set()
-    for info in found:
-        if info.path.endswith(".parquet"):
-            with store.open_input_file(info.path) as file:
-                rows = pq.read_table(file, columns=["sha", "suspect"])
-            out.update(rows.filter(pa.compute.invert(rows["suspect"]))["sha"].to_pylist())
-    return frozenset(out)
-
-
-def _suspects(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """The rows whose text may occur again. A hash that this partition's list lacks is a suspect too."""
-    import pyarrow.compute  # noqa: F401
-
-    singles = _singles(folder, TaskContext.get().partitionId())
+def _singles(folder: str, part: int) -> np.ndarray:
+    """The fingerprints, sorted, that a sender's partition had once and that no other had."""
+    answers = {}
+    for data in files_of(f"{folder}/answers/{part}").values():
+        rows = pa.ipc.open_file(data).read_all()
+        answers = {(n, o): b for n, o, b in zip(*(rows[c].to_pylist() for c in ("number", "owner", "bitmap")), strict=True)}
+    found = []
+    for number, data in files_of(f"{folder}/sent/{part}").items():
+        kept = np.load(io.BytesIO(data))
+        values = golomb.decode(kept["run"].tobytes()).astype(np.uint64)
+        again = np.unpackbits(kept["twice"], count=len(values)).astype(bool)
+        for o, a, b in zip(kept["owners"].tolist(), kept["base"], kept["base"][1:], strict=False):
+            own = answers.get((int(number), o))
+            again[a:b] |= np.unpackbits(np.frombuffer(own, np.uint8), count=b - a).astype(bool) if own is not None else True
+        found.append(values[~again])
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+@holding(_singles.cache_clear)
+def _apply(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """The rows, numbered, with ``suspect``; texts of suspects only. A fingerprint that this partition hasn't sent is a suspect too."""
+    part, row = TaskContext.get().partitionId(), 0
+    singles = _singles(folder, part)
     for batch in batches:
-        yield batch.filter(pa.array([x not in singles for x in batch["sha"].to_pylist()], pa.bool_()))
+        n, fronts = batch.num_rows, _fronts(batch["sha"])
+        at = np.minimum(np.searchsorted(singles, fronts), max(0, len(singles) - 1))
+        suspect = pa.array(singles[at] != fronts if len(singles) else np.ones(n, bool))
+        norm = pa.compute.if_else(suspect, batch["norm"], pa.scalar(None, batch.schema.field("norm").type))
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["sha"], norm, suspect, pa.array((part << 40) + row + np.arange(n))], names=["id", "sha", "norm", "suspect", "at"])
+        row += n
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -118,47 +135,38 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     text_batches(spark)
     owner_bits = max(1, ((owners or 2 * partitions(spark)) - 1).bit_length())
-    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    hashed = rows.select("id", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
-    kind = hashed.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(kind)
-    schema = f"part int, sender long, row long, owner int, place int, twice boolean, id {kind.simpleString()}, sha binary, run binary"
-    sent = written(hashed.mapInArrow(functools.partial(_send, owner_bits=owner_bits, id_type=id_type), schema), "op1-sent")
-
-    runs = sent.where(F.col("run").isNotNull()).select("sender", "owner", "run")
-    bitmaps = runs.groupBy("owner").applyInArrow(_own, "sender long, owner int, bitmap array<long>")
-    bit = F.expr("shiftrightunsigned(bitmap[place div 64], cast(place % 64 as int)) & 1L") == 1
-    folder = new_folder(spark, "op1-rows")
-    marked = (
-        sent.where(F.col("run").isNull())
-        .join(bitmaps, ["sender", "owner"])
-        .select("part", F.struct("sender", "row").alias("at"), "id", "sha", (F.col("twice") | bit).alias("suspect"))
-    )
-    marked.repartition("part").write.partitionBy("part").parquet(folder)
-    marked = spark.read.schema(marked.schema).parquet(folder)
+    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm"), 256)))
+    kind, folder = rows.schema["id"].dataType.simpleString(), new_folder(spark, "op1")
+
+    runs = rows.select("sha").mapInArrow(functools.partial(_send, folder=folder, owner_bits=owner_bits), "part int, number int, owner int, run binary")
+    bitmaps = runs.groupBy("owner").applyInArrow(_own, "part int, number int, owner int, bitmap binary")
+
+    def answer(own: pa.Table) -> pa.Table:
+        return _answer(own, folder)
+
+    bitmaps.groupBy("part").applyInArrow(answer, "part int").agg(F.count(F.lit(1))).first()
 
-    # the second reading; only suspects go on, whole
-    again = rows.select("norm", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"))
-    suspects = again.mapInArrow(functools.partial(_suspects, folder=folder), again.schema)
-    verified = suspects.groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_bytes"))
+    # the second reading; only suspects keep their texts
+    schema = f"id {kind}, sha binary, norm string, suspect boolean, at long"
+    told = written(rows.select("id", "norm", "sha").mapInArrow(functools.partial(_apply, folder=folder), schema), "op1-rows")
+    suspects = told.where("suspect")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
     groups = (
-        marked.where("suspect")
+        suspects.groupBy("sha", "norm")
+        .agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
         .groupBy("sha")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .join(verified, "sha", "left")
+        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
         .select(
             "sha",
             F.col("first.id").alias("keep_id"),
             F.col("first.at").alias("keep_at"),
-            F.when((F.col("texts") == 1) & (F.col("n") == F.col("n_bytes")), F.col("n")).otherwise(F.raise_error(F.lit("texts of one hash differ in their bytes"))).alias("group_size"),
+            F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("texts of one hash differ in their bytes"))).alias("group_size"),
         )
     )
-    groups = written(groups, "op1-groups")  # so that the join below, by a key that may be hot, deals out both its sides
+    groups = written(groups, "op1-groups", narrow=True)  # so that the join below, by a key that may be hot, deals out both its sides
     sha = F.lower(F.hex("sha")).alias("text_sha256")
-    once = marked.where("not suspect").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    more = marked.where("suspect").join(groups, "sha").select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), sha)
+    once = told.where("not suspect").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    more = suspects.select("id", "sha", "at").join(groups, "sha").select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), sha)
     return once.unionByName(more)
 
 
