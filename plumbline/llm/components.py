@@ -16,8 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     shared folder; a node with very many links is aggregated before each shuffle.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    edges = written(both, "links")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    edges = written(both, "links", narrow=True)
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels", narrow=True)
     total = None
     while True:
         # labels only fall, so they are final once their sum stays
@@ -26,5 +26,5 @@ def components(links: DataFrame) -> DataFrame:
             return labels
         total = now
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = written(labels.join(near, "node").select("node", F.least("label", "near").alias("label")), "labels")
-        labels = written(new.join(new.select(F.col("node").alias("label"), F.col("label").alias("root")), "label").select("node", F.col("root").alias("label")), "labels")
+        new = written(labels.join(near, "node").select("node", F.least("label", "near").alias("label")), "labels", narrow=True)
+        labels = written(new.join(new.select(F.col("node").alias("label"), F.col("label").alias("root")), "label").select("node", F.col("root").alias("label")), "labels", narrow=True)
