@@ -16,7 +16,7 @@ from plumbline.llm.exact_dedup import drop_duplicates
 from plumbline.llm.language_id import drop_undetermined
 from plumbline.llm.near_dedup import drop_near_duplicates
 from plumbline.llm.packing import encode_pieces, pack
-from plumbline.llm.shared import table, written
+from plumbline.llm.shared import new_folder, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the row with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of each component of near-duplicates, linked from a similarity of 0.8, the row with the smallest doc_id stays."""
+    return drop_near_duplicates(docs, threshold=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = new_folder(spark, f"stage-{name}")
+        with scratch(spark):
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(out)
+        docs = spark.read.schema(done.schema).parquet(out)
     return STAGES[-1][1](spark, docs, sf_dir)
