@@ -14,13 +14,13 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 
 
 def kept_by_brute_force(rows):
-    """(doc_id, text) of what the first three stages keep, for distinct ids."""
+    """(doc_id, text) of what the first three stages keep, for distinct ids; near-duplicates from a similarity of 0.8."""
     out = [r for r in rows if r[1] is not None and any(c.isalpha() for c in r[1])]
     first = {}
     for r in sorted(out):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
     out = sorted(first.values())
-    return [r for r, (doc_id, _, component) in zip(out, sorted(brute(out)), strict=True) if doc_id == component]
+    return [r for r, (doc_id, _, component) in zip(out, sorted(brute(out, 80)), strict=True) if doc_id == component]
 
 
 def held_against(spark, docs, rows, columns):
