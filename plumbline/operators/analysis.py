@@ -39,21 +39,41 @@ def cell_stats(frame: DataFrame, look_name: str = "p_close") -> DataFrame:
     return null_reference(calibration_report(rows, ["sport", "season", "phase", "liquidity"]))
 
 
+def _slopes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sizes and slopes of both strata, and the low one's slope less the high one's."""
+    found = cox_by(rows, [*by, "liquidity"]).groupBy(*by).agg(*(F.max(F.when(F.col("liquidity") == k, F.col(c))).alias(f"{c}_{k}") for c in ("n", "slope") for k in ("low", "high")))
+    return found.withColumn("difference", F.col("slope_low") - F.col("slope_high"))
+
+
 def primary_test(frame: DataFrame, sport: str = "nba", look_name: str = "p_close", reps: int = 4000, seed: int = 0) -> DataFrame:
-    """Slope of the liquid games less that of the others: both slopes, the interval over games, that over dates, and the wider of them."""
+    """Slope of the less liquid games less that of the liquid ones, of all seasons (``season`` is null) and of each.
+
+    Both slopes, their difference, its interval over games, the share of
+    replicates of another sign, and of all seasons also the interval over dates
+    and which of the two is wider. A season with too few fits has no interval.
+    """
     rows = look(assign_strata(frame), look_name).where((F.col("sport") == sport) & F.col("liquidity").isNotNull())
-    slopes = cox_by(rows, ["liquidity"]).groupBy().agg(*(F.max(F.when(F.col("liquidity") == k, F.col("slope"))).alias(f"slope_{k}") for k in ("low", "high")))
-    games = resample.intervals(resample.slope_difference(rows.where("liquidity = 'low'"), rows.where("liquidity = 'high'"), reps, seed), ["difference"]).select(F.col("lo").alias("game_lo"), F.col("hi").alias("game_hi"))
+    slopes = _slopes(rows).first()
+    drawn = resample.slope_difference(rows.where("liquidity = 'low'"), rows.where("liquidity = 'high'"), reps, seed)
+    games = resample.intervals(drawn, ["difference"]).select(F.col("lo").alias("game_lo"), F.col("hi").alias("game_hi"))
     dates = resample.intervals(resample.cluster_slope_difference(rows, "liquidity", "et_date", "low", "high", reps, seed), ["difference"]).select(F.col("lo").alias("date_lo"), F.col("hi").alias("date_hi"))
     wider = F.when(F.col("date_hi") - F.col("date_lo") > F.col("game_hi") - F.col("game_lo"), "dates").otherwise("games")
-    return slopes.crossJoin(games).crossJoin(dates).withColumn("difference", F.col("slope_high") - F.col("slope_low")).withColumn("wider", wider)
+    level = resample.achieved_level(drawn, slopes["difference"] or 0.0)
+    pooled = _slopes(rows).crossJoin(games).crossJoin(level).crossJoin(dates).withColumn("wider", wider).withColumn("season", F.lit(None).cast("string"))
+
+    own = resample.slope_differences(rows, "season", "liquidity", "low", "high", reps, seed)
+    value = F.when(~F.isnan("difference"), F.col("difference"))
+    enough = F.count(value) >= (1 - resample.FAILURES) * F.count(F.lit(1))
+    seasons = own.groupBy("season").agg(*(F.when(enough, F.percentile(value, q)).alias(c) for c, q in (("game_lo", 0.025), ("game_hi", 0.975))), (F.count(F.when(value <= 0, 1)) / F.count(value)).alias("below"), (F.count(F.when(value >= 0, 1)) / F.count(value)).alias("above"), (1 / F.count(F.lit(1))).alias("asl_floor"))
+    each = _slopes(rows, ["season"]).join(seasons, "season").withColumn("asl", F.when(F.col("difference") > 0, F.col("below")).otherwise(F.col("above"))).drop("below", "above")
+    return pooled.unionByName(each, allowMissingColumns=True)
 
 
 def range_sensitivity(frame: DataFrame, sport: str = "nba", look_name: str = "p_close", caliper: float = CALIPER) -> DataFrame:
     """Slopes by liquidity over all prices, within bands, and over games matched on price; with the spread of the prices."""
     rows = look(assign_strata(frame), look_name).where((F.col("sport") == sport) & F.col("liquidity").isNotNull())
     samples = [("all", rows)] + [(f"{lo:.2f}-{hi:.2f}", rows.where(F.col("p").between(lo, hi))) for lo, hi in PRICE_BANDS]
-    pairs = caliper_match(rows, ["sport"], "liquidity", "low", "high", "game_id", caliper=caliper)
+    pairs = caliper_match(rows, ["sport"], "liquidity", "low", "high", "game_id", caliper=caliper, order=["season"])
     ids = pairs.select(F.explode(F.array("low_key", "high_key")).alias("game_id"))
     samples.append(("matched", rows.join(ids, "game_id", "left_semi")))
     out = None

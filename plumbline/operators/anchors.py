@@ -17,14 +17,17 @@ def anchors_wide(quotes: DataFrame, starts: DataFrame, keys: Sequence[str] = KEY
     """For each series, one row: tip_t, n_pre_tipoff, and price and time at each horizon (null where it has none).
 
     Ticks are reduced before the shuffle, by partial aggregation; of the starts
-    only those are asked that have a tick. Null prices are no ticks.
+    only those are asked that have a tick. Null prices are no ticks; of ticks at
+    one time that with the largest price counts.
     """
+    # one number that sorts by time, then price, so that the aggregate keeps its hash table
+    order = F.col("t").cast("decimal(20,0)") + (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) / 2).cast("decimal(18,17)")
     by = [k for k in keys if k in starts.columns]
     held = quotes.join(starts.select(*by, "tip_t"), by)
     last = []
     for name, seconds in horizons.items():
         seen = (F.col("t") <= F.col("tip_t") - seconds) & F.col("p").isNotNull()
-        last += [F.max_by(F.when(seen, F.col("p")), F.when(seen, F.col("t"))).alias(f"p_{name}"), F.max(F.when(seen, F.col("t"))).alias(f"t_{name}")]
+        last += [F.max_by(F.when(seen, F.col("p")), F.when(seen, order)).alias(f"p_{name}"), F.max(F.when(seen, F.col("t"))).alias(f"t_{name}")]
     return held.groupBy(*keys).agg(F.max("tip_t").alias("tip_t"), F.count(F.when((F.col("t") <= F.col("tip_t")) & F.col("p").isNotNull(), 1)).alias("n_pre_tipoff"), *last)
 
 

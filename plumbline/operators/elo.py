@@ -11,11 +11,12 @@ import heapq
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import MARGIN_ADD, MARGIN_BASE, MARGIN_EDGE, MARGIN_POWER, RATING_SCALE, RATING_START, log_loss
+from plumbline.functions.scalars import MARGIN_ADD, MARGIN_BASE, MARGIN_EDGE, MARGIN_POWER, RATING_SCALE, RATING_START
 from plumbline.schemas import RESULT_DELAY
 
 
@@ -147,10 +148,12 @@ def grid_search(games: DataFrame, grid: Sequence[Setting], season: str, delays:
         out, _ = walk(games_of(rows), Setting(k, home, carry), _delay(sport, delays))
         own = pd.DataFrame(out, columns=Forecast._fields)
         own = own[own["season"] == season]
-        return pd.DataFrame({"sport": sport, "k": k, "home_bonus": home, "carry": carry, "p": own["p_home"].to_numpy(), "y": own["y"].to_numpy()})
+        p, y = own["p_home"].to_numpy(float), own["y"].to_numpy(float)
+        q = np.clip(p, 1e-15, 1 - 1e-15)
+        loss = -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q)) if len(p) else None
+        return pd.DataFrame({"sport": [sport], "k": [k], "home_bonus": [home], "carry": [carry], "n": [len(p)], "log_loss": [loss], "brier": [np.mean((p - y) ** 2) if len(p) else None]})
 
-    rows = games.select(*INPUT).crossJoin(F.broadcast(points)).groupBy("sport", "k", "home_bonus", "carry").applyInPandas(run, "sport string, k double, home_bonus double, carry double, p double, y double")
-    scores = rows.groupBy("sport", "k", "home_bonus", "carry").agg(F.count("p").alias("n"), F.avg(log_loss("p", "y")).alias("log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    scores = games.select(*INPUT).crossJoin(F.broadcast(points)).groupBy("sport", "k", "home_bonus", "carry").applyInPandas(run, "sport string, k double, home_bonus double, carry double, n long, log_loss double, brier double")
     return scores.orderBy("sport", "log_loss", "k", "home_bonus", F.desc("carry"))
 
 

@@ -107,7 +107,7 @@ def assemble(games: DataFrame, targets: DataFrame, venues: DataFrame, sites: Dat
 
     history = _history(asked, played, delays)
 
-    place = lambda prefix: F.broadcast(venues.select("sport", F.col("team").alias(prefix), F.col("lat").alias(f"{prefix}_lat"), F.col("lon").alias(f"{prefix}_lon"), F.col("tz_offset_std").alias(f"{prefix}_tz")))  # noqa: E731 - a row per team of a league
+    place = lambda prefix: venues.select("sport", F.col("team").alias(prefix), F.col("lat").alias(f"{prefix}_lat"), F.col("lon").alias(f"{prefix}_lon"), F.col("tz_offset_std").alias(f"{prefix}_tz"))
     located = history.join(place("host"), ["sport", "host"], "left").join(place("prev_host"), ["sport", "prev_host"], "left")
     has = F.col("prev_date").isNotNull()
     known = has & ~F.col("neutral") & ~F.coalesce("prev_neutral", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from plumbline.operators.resample import shuffled_agreement
 from plumbline.operators.scores import discrimination
 
 #: What the checks allow.
-UNCHECKED_SHARE, SIGMAS, HOME_RATE, SHUFFLE_SE = 0.05, 2.0, (0.35, 0.75), 5.0
+UNCHECKED_SHARE, SIGMAS, HOME_RATE, SHUFFLE_SE, SHUFFLE_ROWS = 0.05, 2.0, (0.35, 0.75), 5.0, 30
 
 
 class Census(NamedTuple):
@@ -79,21 +79,23 @@ def discriminates(c: Census) -> Result:
 
 
 def shuffled_join(c: Census) -> Result:
-    """With outcomes dealt out at random the favourite must win as often as by chance; else the join itself carries labels."""
-    rows = _home_side(c)
-    n, rate = rows.agg(F.count("y"), F.avg("y")).first()
-    if not n or not HOME_RATE[0] <= rate <= HOME_RATE[1]:
-        return Result("shuffled join", False, f"home rate {rate} over {n} games")
-    mean, chance = shuffled_agreement(rows).agg(F.avg("agreement"), F.avg("chance")).first()
-    se = (chance * (1 - chance) / (n * 20)) ** 0.5
-    return Result("shuffled join", abs(mean - chance) <= SHUFFLE_SE * se, f"{mean:.4f} against {chance:.4f}")
+    """The market's winners are the league's, and dealt out at random they agree as often as by chance; else the join itself carries labels."""
+    rows = c.priced.select(*KEY, F.col("market_winner").alias("market")).join(c.games.select(*KEY, F.col("winner").alias("league")), list(KEY)).dropna()
+    n, same, home = rows.agg(F.count(F.lit(1)), F.avg((F.col("market") == F.col("league")).cast("double")), F.avg((F.col("league") == "home").cast("double"))).first()
+    if n < SHUFFLE_ROWS:
+        return Result("shuffled join", False, f"only {n} games")
+    if not HOME_RATE[0] <= home <= HOME_RATE[1]:
+        return Result("shuffled join", False, f"home rate {home} over {n} games")
+    mean, chance = shuffled_agreement(rows, "market", "league").agg(F.avg("agreement"), F.avg("chance")).first()
+    se = (max(chance * (1 - chance), 1e-9) / n) ** 0.5
+    return Result("shuffled join", same == 1.0 and abs(mean - chance) <= SHUFFLE_SE * se, f"{same:.4f} agree; shuffled {mean:.4f} against {chance:.4f}")
 
 
 CHECKS: tuple[Callable[[Census], Result], ...] = (label_agreement, complementarity, reconciliation, price_series, fault_injection, discriminates, shuffled_join)
 
 
-def run_gate(c: Census) -> list[Result]:
-    return [check(c) for check in CHECKS]
+def run_gate(c: Census, checks: Sequence[Callable[[Census], Result]] = CHECKS) -> list[Result]:
+    return [check(c) for check in checks]
 
 
 def report(results: list[Result]) -> str:

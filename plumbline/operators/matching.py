@@ -1,4 +1,4 @@
-"""One-to-one matching of two strata on the logit of price, within a caliper."""
+"""One-to-one matching of two strata on the size of the logit of price, within a caliper."""
 
 from __future__ import annotations
 
@@ -12,49 +12,54 @@ CALIPER = 0.10
 
 
 def match(low: np.ndarray, high: np.ndarray, caliper: float = CALIPER) -> list[tuple[int, int]]:
-    """Greedy: in order of logit each of the smaller side takes the nearest that is free, if near enough.
+    """Greedy: in the order given each of ``low`` takes the nearest of ``high`` that is free, if near enough.
 
-    The free ones are held as two linked lists over the sorted side, so a
-    search skips what is taken.
+    Of two equally near the one fewer places away in the order of ``high``, and
+    then the larger, is taken. The free ones are held as two linked lists over
+    the sorted side, so a search skips what is taken.
     """
-    swap = len(low) > len(high)
-    few, many = (high, low) if swap else (low, high)
-    order = np.argsort(many, kind="stable")
-    values = many[order]
+    order = np.argsort(high, kind="stable")
+    values = high[order]
+    n = len(values)
+    # the next place that may be free: upwards from i is up[i], downwards from i is down[i + 1] - 1
+    up, down = list(range(n + 1)), list(range(n + 1))
 
-    def free(links: list[int], at: int) -> int:
-        path = []
-        while 0 <= at < len(values) and taken[at]:
-            path.append(at)
-            at = links[at + 1] if links is left else links[at]
-        for x in path:
-            links[x + 1 if links is left else x] = at
-        return at
+    def settle(links: list[int], at: int) -> int:
+        root = at
+        while links[root] != root:
+            root = links[root]
+        while links[at] != root:
+            links[at], at = root, links[at]
+        return root
 
-    # left[i + 1] and right[i] lead from place i to a place that may be free
-    left = [i - 1 for i in range(-1, len(values))]
-    right = [i + 1 for i in range(len(values))]
-    taken, out = np.zeros(len(values), bool), []
-    for i in np.argsort(few, kind="stable"):
-        at = int(np.searchsorted(values, few[i]))
-        candidates = [x for x in (free(left, at - 1), free(right, at)) if 0 <= x < len(values)]
-        if candidates:
-            best = min(candidates, key=lambda x: (abs(values[x] - few[i]), x))
-            if abs(values[best] - few[i]) <= caliper:
-                taken[best] = True
-                out.append((int(order[best]), int(i)) if swap else (int(i), int(order[best])))
+    out = []
+    for i, x in enumerate(low):
+        at = int(np.searchsorted(values, x))
+        above, below = settle(up, at), settle(down, at) - 1
+        found = []
+        if above < n:
+            found.append((abs(values[above] - x), above - at, 0, above))
+        if below >= 0:
+            found.append((abs(values[below] - x), at - 1 - below, 1, below))
+        if found and (best := min(found))[0] <= caliper:
+            place = best[3]
+            up[place], down[place + 1] = place + 1, place
+            out.append((i, int(order[place])))
     return out
 
 
-def caliper_match(df: DataFrame, by: Sequence[str], level: str, low: str, high: str, key: str, p: str = "p", caliper: float = CALIPER) -> DataFrame:
-    """Pairs (low_key, high_key, distance) within each group. Greedy matching is sequential, so a group is a task's."""
+def caliper_match(df: DataFrame, by: Sequence[str], level: str, low: str, high: str, key: str, p: str = "p", caliper: float = CALIPER, order: Sequence[str] = ()) -> DataFrame:
+    """Pairs (low_key, high_key, distance) within each group, matched on the distance of the price from even: |logit p|.
+
+    The low side takes its partners in order of ``order`` and key. Greedy matching is sequential, so a group is a task's.
+    """
     kind = df.schema[key].dataType
     schema = df.select(*by).schema.add("low_key", kind).add("high_key", kind).add("distance", "double")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[p]).sort_values(key)
+        rows = rows.dropna(subset=[p]).sort_values([*order, key], kind="stable")
         q = rows[p].clip(1e-6, 1 - 1e-6)
-        rows = rows.assign(x=np.log(q / (1 - q)))
+        rows = rows.assign(x=np.abs(np.log(q / (1 - q))))
         a, b = rows[rows[level] == low], rows[rows[level] == high]
         pairs = match(a["x"].to_numpy(), b["x"].to_numpy(), caliper)
         i, j = [x for x, _ in pairs], [x for _, x in pairs]
@@ -63,4 +68,5 @@ def caliper_match(df: DataFrame, by: Sequence[str], level: str, low: str, high:
             out.insert(0, c, rows[c].iloc[0] if len(rows) else None)
         return out
 
-    return df.select(*by, level, key, p).where(df[level].isNotNull()).groupBy(*by).applyInPandas(run, schema)
+    needed = dict.fromkeys([*by, level, *order, key, p])
+    return df.select(*needed).where(df[level].isNotNull()).groupBy(*by).applyInPandas(run, schema)

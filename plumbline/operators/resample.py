@@ -119,21 +119,39 @@ def simulate_null(df: DataFrame, n: int, reps: int = 4000, bins: int = 10, seed:
 
 
 def slope_difference(low: DataFrame, high: DataFrame, reps: int = 4000, seed: int = 0, p: str = "p", y: str = "y") -> DataFrame:
-    """Replicates of slope(high) - slope(low), each stratum resampled by itself."""
+    """Replicates of slope(low) - slope(high), each stratum resampled by itself."""
     a, b = sample_of(low, p, y), sample_of(high, p, y)
 
     def one(rng: np.random.Generator) -> dict[str, float]:
         i, j = rng.integers(0, len(a[p]), len(a[p])), rng.integers(0, len(b[p]), len(b[p]))
-        return {"difference": _cox(b[p][j], b[y][j])[0] - _cox(a[p][i], a[y][i])[0]}
+        return {"difference": _cox(a[p][i], a[y][i])[0] - _cox(b[p][j], b[y][j])[0]}
 
     return replicate(low.sparkSession, reps, seed, one, ["difference"])
 
 
-def achieved_level(replicates: DataFrame, name: str = "difference") -> DataFrame:
-    """Two-sided share of replicates beyond 0, never below one in their number."""
-    n = F.count(F.when(~F.isnan(name), 1))
-    share = 2 * F.least(F.count(F.when(F.col(name) <= 0, 1)), F.count(F.when((F.col(name) >= 0) & ~F.isnan(name), 1))) / n
-    return replicates.agg(F.least(F.greatest(share, 1 / n), F.lit(1.0)).alias("asl"))
+def slope_differences(df: DataFrame, by: str, level: str, low: str, high: str, reps: int = 4000, seed: int = 0, p: str = "p", y: str = "y") -> DataFrame:
+    """``slope_difference`` of every group at once: ``by``, rep and difference. A group that lacks a stratum has NaN."""
+    s = sample_of(df.where(F.col(level).isin(low, high)), by, level, p, y)
+    groups = sorted(set(s[by].tolist()))
+    own = [[np.flatnonzero((s[by] == g) & (s[level] == k)) for k in (low, high)] for g in groups]
+
+    def one(rng: np.random.Generator) -> dict[str, float]:
+        out = {}
+        for n, sides in enumerate(own):
+            drawn = [x[rng.integers(0, len(x), len(x))] if len(x) else x for x in sides]
+            a, b = (_cox(s[p][at], s[y][at])[0] for at in drawn)
+            out[f"g{n}"] = a - b
+        return out
+
+    found = replicate(df.sparkSession, reps, seed, one, [f"g{n}" for n in range(len(groups))])
+    return found.select("rep", F.inline(F.array(*(F.struct(F.lit(g).alias(by), F.col(f"g{n}").alias("difference")) for n, g in enumerate(groups)))))
+
+
+def achieved_level(replicates: DataFrame, observed: float, name: str = "difference") -> DataFrame:
+    """``asl``: the share of replicates that don't have the sign of the observed value; ``asl_floor``: the least share that so many can tell."""
+    sound = F.when(~F.isnan(name), F.col(name))
+    other = sound <= 0 if observed > 0 else sound >= 0
+    return replicates.agg((F.count(F.when(other, 1)) / F.count(sound)).alias("asl"), (1 / F.count(F.lit(1))).alias("asl_floor"))
 
 
 def cluster_slope_difference(df: DataFrame, level: str, cluster: str, low: str, high: str, reps: int = 4000, seed: int = 0, p: str = "p", y: str = "y") -> DataFrame:
@@ -145,7 +163,7 @@ def cluster_slope_difference(df: DataFrame, level: str, cluster: str, low: str,
     def one(rng: np.random.Generator) -> dict[str, float]:
         at = np.concatenate([rows[i] for i in rng.integers(0, len(rows), len(rows))])
         own = {k: at[s[level][at] == k] for k in (low, high)}
-        return {"difference": _cox(s[p][own[high]], s[y][own[high]])[0] - _cox(s[p][own[low]], s[y][own[low]])[0]}
+        return {"difference": _cox(s[p][own[low]], s[y][own[low]])[0] - _cox(s[p][own[high]], s[y][own[high]])[0]}
 
     return replicate(df.sparkSession, reps, seed, one, ["difference"])
 
@@ -171,14 +189,13 @@ def stationary_mean(df: DataFrame, value: str, date: str, reps: int = 2000, seed
     return replicate(df.sparkSession, reps, seed, one, ["mean"])
 
 
-def shuffled_agreement(df: DataFrame, draws: int = 20, seed: int = 20260912, p: str = "p", y: str = "y") -> DataFrame:
-    """By draw: how often the favourite wins once outcomes are dealt out at random, and by chance."""
-    s = sample_of(df, p, y)
-    side = s[p] > 0.5
-    a, b = side.mean(), s[y].mean()
+def shuffled_agreement(df: DataFrame, market: str, league: str, draws: int = 20, seed: int = 20260912) -> DataFrame:
+    """By draw: how often the market's winners, dealt out at random, agree with the league's, and how often by chance."""
+    s = sample_of(df, market, league)
+    home = float(np.mean(s[league] == "home"))
 
     def one(rng: np.random.Generator) -> dict[str, float]:
-        return {"agreement": np.mean(side == (rng.permutation(s[y]) == 1)), "chance": a * b + (1 - a) * (1 - b)}
+        return {"agreement": np.mean(rng.permutation(s[market]) == s[league]), "chance": home**2 + (1 - home) ** 2}
 
     return replicate(df.sparkSession, draws, seed, one, ["agreement", "chance"])
 

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import log_loss, logit, squared_error
+from plumbline.operators.resample import hit_rate, stationary_mean
 from plumbline.schemas import BIN_MAXIMUM, BIN_MINIMUM, NULL_TABLE, RISK_TIERS
 
 
-def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", total: str = "total") -> DataFrame:
-    """Rank from 0 in a total order, and the number of rows, without one task that sees all rows.
+def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", total: str = "total", by: Sequence[str] = ()) -> DataFrame:
+    """Rank from 0 in a total order, of the table or of each group, and the number of rows, without one task that sees all rows.
 
     A bounded sample of the order's own columns gives the bounds of ranges, each
     of which is ranked by itself; the counts of the ranges before, one number
-    each, are added. Bounds are whole tuples, so many equal prices are spread by
-    the columns behind them.
+    for each group and range, are added. Bounds are whole tuples, so many equal
+    prices are spread by the columns behind them.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -27,25 +29,23 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str = "rank", total: s
     bound = lambda e: F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(f"c{i}") for i, (c, v) in enumerate(zip(order, e, strict=True))))
     own = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(order)))
     place = F.size(F.filter(F.array(*map(bound, edges)), lambda e: e <= own)) if edges else F.lit(0)
-    held = df.withColumn("__part", place)
-    ranked = held.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias(total))
-    # a row per range, so the broadcast is bounded by their number
-    return ranked.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+    group = F.struct(*(F.col(c) for c in by), F.lit(0).alias("__all"))  # null is a group too
+    held = df.withColumn("__part", place).withColumn("__group", group)
+    ranked = held.withColumn("__own", F.row_number().over(Window.partitionBy("__group", "__part").orderBy(*order)) - 1)
+    counts = held.groupBy("__group", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy("__group")
+    before = counts.select(F.col("__group").alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias(total))
+    joined = ranked.join(before if by else F.broadcast(before), F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))  # without groups a row per range
+    return joined.withColumn(out, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before", "__group", "__g", "__p")
 
 
 def equal_count_bins(df: DataFrame, n_bins: int | Column, by: Sequence[str] = (), key: Sequence[str] = (), p: str = "p") -> DataFrame:
     """``bin`` from 0, of (nearly) equal counts in order of price, ties in order of ``key``.
 
-    The edges are the integer parts of n * i / bins. Groups are ranked within
-    their partition, the whole table by ``global_rank``.
+    The edges are the integer parts of n * i / bins. Ranks come from
+    ``global_rank``, so no task holds a whole group.
     """
-    if by:
-        group = Window.partitionBy(*by)
-        ranked = df.withColumn("rank", F.row_number().over(group.orderBy(p, *key)) - 1).withColumn("total", F.count(F.lit(1)).over(group))
-    else:
-        ranked = global_rank(df, [p, *key])
+    ranked = global_rank(df, [p, *key], by=by)
     k = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
     return ranked.withColumn("bin", F.floor(((F.col("rank") + 1) * k - 1) / F.col("total")).cast("int")).drop("rank", "total")
 
@@ -149,29 +149,80 @@ def risk_tier(model: Column, market: Column) -> Column:
     return out
 
 
+def _hit(model: str, market: str, y: str) -> Column:
+    """Whether the side that the model prefers to the market won."""
+    return F.when(F.col(model) > F.col(market), F.col(y)).otherwise(1 - F.col(y))
+
+
 def risk_tiers(df: DataFrame, model: str = "p_model", market: str = "p_market", y: str = "y") -> DataFrame:
     """By tier: rows, share in which the side that the model prefers to the market won, mean distance, scores of both."""
     marked = df.withColumn("tier", risk_tier(F.col(model), F.col(market))).where("tier is not null")
-    hit = F.when(F.col(model) > F.col(market), F.col(y)).otherwise(1 - F.col(y))
-    return marked.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("hit_rate"), F.avg(F.abs(F.col(model) - F.col(market))).alias("mean_edge"), F.avg(squared_error(model, y)).alias("brier_model"), F.avg(squared_error(market, y)).alias("brier_market"))
+    return marked.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(_hit(model, market, y)).alias("hit_rate"), F.avg(F.abs(F.col(model) - F.col(market))).alias("mean_edge"), F.avg(squared_error(model, y)).alias("brier_model"), F.avg(squared_error(market, y)).alias("brier_market"))
 
 
-def reliability_buckets(df: DataFrame, edges: Sequence[float], p: str = "p", y: str = "y") -> DataFrame:
-    """Buckets from edge to edge, closed below and open above, the last closed; what lies outside has none."""
+def _with_interval(df: DataFrame, found: DataFrame, hit: Column, by: str, reps: int, seed: int) -> DataFrame:
+    """``found`` with the 95 % interval of the mean of ``hit``, over resampled rows of each group."""
+    draws = hit_rate(df.select(by, hit.cast("double").alias("hit")), "hit", by, reps, seed)
+    return found.join(draws.groupBy(by).agg(F.percentile("rate", 0.025).alias("lo"), F.percentile("rate", 0.975).alias("hi")), by)
+
+
+def risk_tier_intervals(df: DataFrame, model: str = "p_model", market: str = "p_market", y: str = "y", reps: int = 2000, seed: int = 0) -> DataFrame:
+    """``risk_tiers`` with the share of all rows, the rows below the first tier, mean prices and results, and the interval of the hit rate."""
+    marked = df.withColumn("tier", risk_tier(F.col(model), F.col(market)))
+    total = marked.agg(F.count(F.lit(1)).alias("__total"), F.count(F.when(F.col("tier").isNull(), 1)).alias("below_floor"))
+    own = marked.where("tier is not null")
+    more = own.groupBy("tier").agg(F.avg(model).alias("mean_model"), F.avg(market).alias("mean_market"), F.avg(y).alias("home_rate"))
+    out = risk_tiers(df, model, market, y).join(more, "tier").crossJoin(total).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
+    return _with_interval(own, out, _hit(model, market, y), "tier", reps, seed)
+
+
+def _bucket(edges: Sequence[float], p: str) -> Column:
     place = F.when(F.lit(False), 0)
     for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        inside = (F.col(p) >= low) & ((F.col(p) <= high) if i == len(edges) - 2 else (F.col(p) < high))
-        place = place.when(inside, i)
-    return df.withColumn("bucket", place).where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("obs_rate"))
+        place = place.when((F.col(p) >= low) & ((F.col(p) <= high) if high >= 1.0 else (F.col(p) < high)), i)
+    return place
+
+
+def reliability_buckets(df: DataFrame, edges: Sequence[float], p: str = "p", y: str = "y") -> DataFrame:
+    """Buckets from edge to edge, closed below and open above, but closed at 1; what lies outside has none."""
+    return df.withColumn("bucket", _bucket(edges, p)).where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("obs_rate"))
+
+
+def reliability_intervals(df: DataFrame, edges: Sequence[float], p: str = "p", y: str = "y", reps: int = 2000, seed: int = 0) -> DataFrame:
+    """``reliability_buckets`` with the share of all rows and the interval of the observed rate."""
+    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    own = df.withColumn("bucket", _bucket(edges, p)).where("bucket is not null")
+    out = reliability_buckets(df, edges, p, y).crossJoin(total).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
+    return _with_interval(own, out, F.col(y), "bucket", reps, seed)
+
+
+def clark_west_term(a: str, b: str, y: str = "y") -> Column:
+    return squared_error(a, y) - (squared_error(b, y) - F.pow(F.col(a) - F.col(b), 2))
 
 
 def clark_west(df: DataFrame, a: str, b: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Clark-West terms of two nested forecasts (``a`` the smaller model): their mean, standard error and z."""
-    term = squared_error(a, y) - (squared_error(b, y) - F.pow(F.col(a) - F.col(b), 2))
+    term = clark_west_term(a, b, y)
     mean, se = F.avg(term), F.stddev_samp(term) / F.sqrt(F.count(term))
     return df.groupBy(*by).agg(F.count(term).alias("n"), mean.alias("mean_term"), se.alias("se"), (mean / se).alias("z"))
 
 
+def clark_west_test(df: DataFrame, a: str, b: str, date: str, y: str = "y", reps: int = 2000, seed: int = 0, mean_block: float = 5.0) -> DataFrame:
+    """``clark_west`` with both one-sided levels: of the normal, and of means over dates drawn in runs.
+
+    The drawn means, less the observed one, stand for the null: ``p_bootstrap``
+    is how often they reach the observed mean. Fewer than two rows are refused.
+    """
+    found = clark_west(df, a, b, y).first()
+    if found["n"] < 2:
+        raise ValueError("fewer than two games")
+    mean, se = found["mean_term"], found["se"]
+    z = mean / se if se else 0.0
+    rows = df.select(F.col(date).alias("date"), clark_west_term(a, b, y).alias("term"))
+    dates = rows.agg(F.count_distinct("date").alias("n_dates"))
+    drawn = stationary_mean(rows, "term", "date", reps, seed, mean_block).agg(F.avg((F.col("mean") - mean >= mean).cast("double")).alias("p_bootstrap"), F.count(F.lit(1)).alias("reps"))
+    fixed = (F.lit(v).alias(k) for k, v in (("n", found["n"]), ("mean_term", mean), ("se", se), ("z", z), ("p_normal", math.erfc(z / math.sqrt(2)) / 2)))
+    return drawn.crossJoin(dates).select(*fixed, "p_bootstrap", "n_dates", "reps")
 
 
 def null_reference(df: DataFrame, n: str = "n", by: str = "sport") -> DataFrame:

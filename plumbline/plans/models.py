@@ -19,8 +19,8 @@ from plumbline.operators import model as M
 from plumbline.operators import scores as C
 from plumbline.plans import domain as D
 from plumbline.plans.domain import GAMES, with_sql
-from plumbline.plans.queries import _LOOKED, _features_sql, look, query, rounded
-from plumbline.schemas import NULL_TABLE, RATING_GRIDS, RATING_SETTINGS
+from plumbline.plans.queries import _LOOKED, _features_sql, look, modelled, query, rounded
+from plumbline.schemas import BUCKET_EDGES, NULL_TABLE, RATING_GRIDS, RATING_SETTINGS
 
 SETTINGS = {s: E.Setting(*map(float, v)) for s, v in RATING_SETTINGS.items()}
 
@@ -154,9 +154,11 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def slope_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Of the sport that the primary test is about."""
     rows = _levels(spark, d).where("sport = 'nba'")
+    slopes = {r.liquidity: r.slope for r in X.cox_by(rows, ["liquidity"]).collect()}
     found = resample.slope_difference(rows.where("liquidity = 'low'"), rows.where("liquidity = 'high'"))
-    return rounded(resample.intervals(found, ["difference"]).crossJoin(resample.achieved_level(found)))
+    return rounded(resample.intervals(found, ["difference"]).crossJoin(resample.achieved_level(found, slopes["low"] - slopes["high"])))
 
 
 @query()
@@ -173,12 +175,15 @@ def stationary_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def shuffled_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(resample.shuffled_agreement(look(spark, d)))
+    games = D.games(spark, d).select("sport", "season", "game_id", "winner")
+    favourite = F.when(F.col("p") > 0.5, "home").otherwise("away").alias("market")
+    rows = look(spark, d).select("sport", "season", "game_id", favourite).join(games, ["sport", "season", "game_id"])
+    return rounded(resample.shuffled_agreement(rows, "market", "winner"))
 
 
 @query()
 def caliper_match(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matching.caliper_match(_levels(spark, d), ["sport"], "liquidity", "low", "high", "game_id"))
+    return rounded(matching.caliper_match(_levels(spark, d), ["sport"], "liquidity", "low", "high", "game_id", order=["season"]))
 
 
 @query()
@@ -230,14 +235,35 @@ def hierarchical_chains(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gate(spark: SparkSession, d: str) -> DataFrame:
-    """Results of all checks of a census; the given quotes are no series of the given games, so that check is left out."""
+    """Results of the checks of a census. The given quotes are no series of the given games, so the check of series is left to the tests.
+
+    Outcomes of the given priced games stand for the market's winners.
+    """
     from plumbline.operators import gate as G
 
-    quotes = D.priced(spark, d).select("sport", "season", "game_id", F.lit("home").alias("side"), F.lit(0).cast("long").alias("t"), F.col("p_close").alias("p"))
-    results = G.run_gate(G.Census(D.games(spark, d), D.priced(spark, d), D.misses(spark, d), quotes))
+    games = D.games(spark, d)
+    winners = games.select("sport", "season", "game_id", F.col("winner").alias("market_winner"))
+    priced = D.priced(spark, d).join(winners, ["sport", "season", "game_id"])
+    results = G.run_gate(G.Census(games, priced, D.misses(spark, d), D.quotes(spark, d)), [c for c in G.CHECKS if c is not G.price_series])
     return spark.createDataFrame([(r.name, r.passed) for r in results], "name string, passed boolean")
 
 
+@query()
+def risk_tier_intervals(spark: SparkSession, d: str) -> DataFrame:
+    rows = modelled(spark, d).select("y", F.round("m", 9).alias("m"), F.round("p", 9).alias("p"))
+    return rounded(C.risk_tier_intervals(rows, "m", "p"))
+
+
+@query()
+def reliability_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.reliability_intervals(look(spark, d), BUCKET_EDGES))
+
+
+@query()
+def clark_west_test(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(each_sport(lambda s: C.clark_west_test(modelled(spark, d).where(F.col("sport") == s), "p", "m", "et_date")))
+
+
 @query()
 def stream_quotes(spark: SparkSession, d: str) -> DataFrame:
     """The given events as a stream of raw polls, taken in to the end, and the table that stands then."""

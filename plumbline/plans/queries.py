@@ -50,10 +50,9 @@ LOOK = "looked as (select p.sport, p.season, p.game_id, g.et_date, p.p_close as
 def _anchor_sql() -> str:
     parts = []
     for name, seconds in (("close", 0), ("t1h", 3600), ("t6h", 21600), ("t24h", 86400)):
-        parts.append(f"arg_max(p, t) filter (where t <= tip_t - {seconds} and p is not null) as p_{name}, max(t) filter (where t <= tip_t - {seconds} and p is not null) as t_{name}")
+        parts.append(f"arg_max(p, t + p / 2) filter (where t <= tip_t - {seconds} and p is not null) as p_{name}, max(t) filter (where t <= tip_t - {seconds} and p is not null) as t_{name}")
     # of ticks in one second the one with the largest price counts, in both engines
-    ticks = "ticks as (select sport, season, game_id, side, t, max(p) as p from quotes group by all)"
-    return with_sql("select sport, season, game_id, side, max(tip_t) as tip_t, count(*) filter (where t <= tip_t) as n_pre_tipoff, " + ", ".join(parts) + " from ticks join starts using (sport, season, game_id) group by all", QUOTES, STARTS, ticks)
+    return with_sql("select sport, season, game_id, side, max(tip_t) as tip_t, count(*) filter (where t <= tip_t and p is not null) as n_pre_tipoff, " + ", ".join(parts) + " from quotes join starts using (sport, season, game_id) group by all", QUOTES, STARTS)
 
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +65,7 @@ TICKS_ONE = "ticks as (select sport, season, game_id, side, t, max(p) as p from
 
 @query(_anchor_sql())
 def anchors_wide(spark: SparkSession, d: str) -> DataFrame:
-    return A.anchors_wide(ticks(spark, d), D.starts(spark, d))
+    return A.anchors_wide(D.quotes(spark, d), D.starts(spark, d))
 
 
 _LONG = "wide as (select * from (" + _anchor_sql() + "))"
@@ -75,7 +74,7 @@ _UNPIVOT = " union all ".join(f"select sport, season, game_id, side, tip_t, n_pr
 
 @query(with_sql(f"select *, tip_t - quote_t as secs_before_tip from ({_UNPIVOT}) where p is not null", _LONG))
 def anchors_long(spark: SparkSession, d: str) -> DataFrame:
-    return A.anchors_long(A.anchors_wide(ticks(spark, d), D.starts(spark, d)))
+    return A.anchors_long(A.anchors_wide(D.quotes(spark, d), D.starts(spark, d)))
 
 
 _PROBES = "probes as (select distinct sport, season, game_id, side, tip_t - 3600 * (game_id % 30) as as_of from ticks join starts using (sport, season, game_id))"
@@ -405,9 +404,9 @@ def risk_tiers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.risk_tiers(rows, "m", "p"))
 
 
-@query(with_sql("select bucket, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as obs_rate from (select *, case when p < 0.2 then null when p < 0.4 then 0 when p < 0.6 then 1 when p <= 0.9 then 2 end as bucket from looked) where bucket is not null group by bucket", *_LOOKED))
+@query(with_sql("select bucket, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as obs_rate from (select *, case when p < 0.2 then null when p < 0.4 then 0 when p < 0.6 then 1 when p < 0.9 then 2 when p <= 1 then 3 end as bucket from looked) where bucket is not null group by bucket", *_LOOKED))
 def reliability_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.reliability_buckets(look(spark, d), [0.2, 0.4, 0.6, 0.9]))
+    return rounded(C.reliability_buckets(look(spark, d), [0.2, 0.4, 0.6, 0.9, 1.0]))
 
 
 @query(with_sql("select sport, count(*) as n, round(avg(f), 6) as mean_term, round(stddev_samp(f) / sqrt(count(*)), 6) as se, round(avg(f) / (stddev_samp(f) / sqrt(count(*))), 4) as z from (select sport, power(p - y, 2) - (power(m - y, 2) - power(p - m, 2)) as f from modelled) group by sport", *_LOOKED, _MODEL))

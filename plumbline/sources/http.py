@@ -36,6 +36,10 @@ class ShapeError(ValueError):
     """The answer isn't of the agreed shape."""
 
 
+class StatusError(RuntimeError):
+    """A status that no other attempt would change."""
+
+
 class Answer(NamedTuple):
     status: int
     headers: Mapping[str, str]
@@ -101,37 +105,65 @@ class Client:
         self.next = max(self.clock(), self.next) + self.gap
 
     def get_json(self, url: str, attempts: int = 4, validator: Callable[[object], bool] = bool, fresh: bool = False):
-        """The answer as JSON. ``validator`` raises ShapeError for another shape and tells whether to cache."""
+        """The answer as JSON. ``validator`` raises ShapeError for another shape, of a cached answer too, and tells whether to cache.
+
+        An answer of status 200 that isn't JSON is retried: it is a barrier page,
+        never an answer. A 403 is retried too, but counts towards the circuit
+        each time; other statuses than 429 and 502 to 504 count and raise.
+        """
         if self.cache and not fresh and (held := self.cache.get(url)) is not None:
+            validator(held)
             return held
+        wait, unreachable, why = BACKOFF, 0, ""
         for attempt in range(attempts):
             if self.failures >= BREAK_AFTER:
                 raise CircuitOpen(url)
             self._pace()
-            wait = min(LONGEST, BACKOFF * 2**attempt)
             try:
                 answer = self.transport(url)
-            except OSError:
-                self.failures += 1
+            except OSError as e:
+                unreachable, why = unreachable + 1, str(e)
             else:
+                headers = {k.lower(): v for k, v in answer.headers.items()}
+                why = f"status {answer.status}"
                 if answer.status == 200:
-                    if "json" not in {k.lower(): v for k, v in answer.headers.items()}.get("content-type", "json"):
-                        raise ShapeError(f"{url}: not JSON")
-                    try:
-                        value = json.loads(answer.body)
-                    except ValueError as e:
-                        raise ShapeError(f"{url}: {e}") from e
-                    self.failures = 0
-                    if validator(value) and self.cache:
-                        self.cache.put(url, value)
-                    return value
-                if answer.status != 429 and answer.status < 500:
-                    raise ShapeError(f"{url}: status {answer.status}")
-                self.failures += 1
-                wait = retry_after(answer.headers.get("Retry-After"), time.time()) or wait
+                    value, sound = self._parsed(answer, headers)
+                    if sound:
+                        self.failures = 0
+                        if validator(value) and self.cache:
+                            self.cache.put(url, value)
+                        return value
+                    why = "not JSON"
+                elif answer.status in (403, 429, 502, 503, 504):
+                    if asked := headers.get("retry-after"):
+                        told = retry_after(asked, time.time())
+                        wait = LONGEST if told is None else min(told, LONGEST)
+                    if answer.status == 403:
+                        self._count(url, why)
+                else:
+                    self._count(url, why)
+                    raise StatusError(f"{url}: {why}")
             if attempt + 1 < attempts:
-                self.sleep(min(wait, LONGEST))
-        raise NetworkUnavailable(url)
+                self.sleep(wait)
+                wait = min(2 * wait, LONGEST)
+        if unreachable == attempts:
+            raise NetworkUnavailable(f"{url}: {why}")
+        self._count(url, why)
+        raise TransientError(f"{url}: {why}")
+
+    def _count(self, url: str, why: str) -> None:
+        self.failures += 1
+        if self.failures >= BREAK_AFTER:
+            raise CircuitOpen(f"{url}: {why}, {self.failures} failures in a row")
+
+    @staticmethod
+    def _parsed(answer: Answer, headers: Mapping[str, str]) -> tuple[object, bool]:
+        if "json" not in headers.get("content-type", "").lower():
+            return None, False
+        try:
+            return json.loads(answer.body), True
+        except ValueError:
+            return None, False
 
 
 def validate_history(value: object) -> bool:

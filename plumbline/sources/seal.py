@@ -41,7 +41,7 @@ class Seal:
         if not self.clean() or not self.published():
             raise SealError("work isn't committed and published")
         labels = games.where(F.col("season") == self.season).select("sport", "season", "game_id", (F.col("winner") == "home").cast("int").alias("y"))
-        own = labels.select(F.sha2(F.concat_ws("|", "sport", "game_id", F.col("y").cast("string")), 256).alias("h")).agg(F.count("h").alias("n"), F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")).alias("s")).first()
+        own = labels.select(F.sha2(F.concat_ws("|", "sport", "season", "game_id", F.col("y").cast("string")), 256).alias("h")).agg(F.count("h").alias("n"), F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")).alias("s")).first()
         digest = hashlib.sha256(f"{own['n']}|{own['s']}".encode()).hexdigest()
         self.files.write_text(MARKER, json.dumps({"season": self.season, "who": who, "labels": digest, "n": own["n"]}))
         return labels

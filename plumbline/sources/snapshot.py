@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Mapping
 
@@ -32,12 +33,12 @@ def checksums(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"/((?:[^/]+/)+[^/]+\.parquet)$", 1).alias("whole"), F.sha2("content", 256).alias("sha256")).select(F.element_at(F.split("whole", f"/{root.rstrip('/').rpartition('/')[2]}/"), -1).alias("name"), "sha256")
 
 
-def create_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, preflight: Callable[[], None] = lambda: None, free_bytes: int | None = None) -> str:
-    """Writes the tables under a temporary name, then renames them to ``census-<digest>``; returns that name.
+def create_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, preflight: Callable[[], None] = lambda: None, free_bytes: int | None = None, today: str | None = None) -> str:
+    """Writes the tables under a temporary name, then renames them to ``census-<date>-<digest>``; returns that name.
 
     Tables without rows have no folder. ``preflight`` raises if the books don't
     balance; nothing is written then. Ticks are not sorted. The same content
-    gives the same digest and is not written twice.
+    gives the same digest and is not written twice, whatever the date (UTC).
     """
     preflight()
     store = Store(spark, root)
@@ -54,10 +55,11 @@ def create_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], root:
                 (writer.partitionBy(*by) if by else writer).parquet(store.path(f"{held}/{name}"))
         files = {r["name"]: r["sha256"] for r in checksums(spark, store.path(held)).collect()} if any(rows.values()) else {}
         digest = content_name(rows, tables)
-        name = f"census-{digest}"
-        if store.exists(name):
+        same = [n for n in store.names() if n.startswith("census-") and n.endswith(f"-{digest}")]
+        if same:
             store.delete(held)
-            return name
+            return max(same)
+        name = f"census-{today or time.strftime('%Y%m%d', time.gmtime())}-{digest}"
         store.write_text(f"{held}/{MANIFEST}", json.dumps({"rows": rows, "files": files, "schemas": {n: released(df).schema.json() for n, df in tables.items()}}, sort_keys=True, indent=1))
         store.rename(held, name)
         return name
@@ -103,7 +105,8 @@ def open_snapshot(spark: SparkSession, path: str, verify: bool = True) -> dict[s
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> str:
-    found = [n for n in Store(spark, root).names() if n.startswith("census-")]
+    """The path of the snapshot of the latest date; of one day that of the largest digest."""
+    found = sorted(n for n in Store(spark, root).names() if n.startswith("census-"))
     if not found:
         raise SnapshotError(f"no snapshot in {root}")
     return f"{root}/{found[-1]}"

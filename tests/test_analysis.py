@@ -31,8 +31,10 @@ def test_reports_and_sensitivity(spark):
     assert report.n == 800 and report.slope < 1 and report.reliability >= 0
     cells = Y.cell_stats(df).collect()
     assert len(cells) == 4 and all(c.ref_n == 200 for c in cells)
-    test = Y.primary_test(df, reps=30).first()
-    assert test.difference > 0 and test.slope_high > test.slope_low and test.wider in ("games", "dates")
+    test = Y.primary_test(df, reps=30).collect()
+    pooled = next(r for r in test if r.season is None)
+    assert pooled.difference < 0 and pooled.slope_high > pooled.slope_low and pooled.game_hi < 0 and pooled.asl == 0 and pooled.wider in ("games", "dates")
+    assert [(r.season, r.difference, r.n_low) for r in test if r.season] == [("24", pooled.difference, pooled.n_low)]
     samples = {(r["sample"], r.liquidity) for r in Y.range_sensitivity(df).collect()}
     assert ("matched", "low") in samples and ("0.20-0.80", "high") in samples
     looks = {r["sample"]: r.volume_absent for r in Y.sensitivity(df).collect()}

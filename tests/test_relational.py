@@ -176,6 +176,10 @@ def test_leaks_are_refused(spark):
         with pytest.raises(TypeError):
             P.targets_at(games, wrong)
     assert P.canary(games, games.where("game_id = 'g3'"), venues, T0 + DAY + 10).count() == 0
+    whole = P.assemble
+    with pytest.MonkeyPatch.context() as patch:  # a leak: it counts games that are not played yet
+        patch.setattr(P, "assemble", lambda g, *a, **kw: whole(g, *a, **kw).crossJoin(g.agg(F.count(F.lit(1)).alias("seen"))))
+        assert P.canary(games, games.where("game_id = 'g3'"), venues, T0 + DAY + 10).count() == 2
     assert P.assemble(games.limit(0), P.targets_at(games.limit(0), T0), venues).count() == 0
 
 

@@ -31,6 +31,9 @@ def test_snapshot_round_trip_and_tampering(spark, tmp_path):
     root = f"file://{tmp_path}"
     name = N.create_snapshot(spark, tables(spark), root)
     assert N.create_snapshot(spark, tables(spark), root) == name and N.latest_snapshot(spark, root).endswith(name)
+    other = {**tables(spark), "games": tables(spark)["games"].limit(1)}
+    old = N.create_snapshot(spark, other, root, today="20000101")
+    assert old.startswith("census-20000101-") and N.latest_snapshot(spark, root).endswith(name)
     path = f"{root}/{name}"
     got = N.open_snapshot(spark, path)
     assert {r.season for r in got["games"].collect()} == {"2011-12", "2024"} and got["empty"].count() == 0 and got["plain"].count() == 3
@@ -118,13 +121,30 @@ def test_client_retries_paces_and_gives_up(tmp_path):
     c, clock = client([OSError(), H.Answer(429, {"Retry-After": "7"}, b""), ok([1])])
     assert c.get_json("u") == [1] and 2.0 in clock.slept and 7.0 in clock.slept
     c, _ = client([H.Answer(404, {}, b"")])
-    with pytest.raises(H.ShapeError):
+    with pytest.raises(H.StatusError):
         c.get_json("u")
-    c, _ = client([H.Answer(503, {}, b"")] * 9)
+    c, _ = client([OSError()] * 4)
     with pytest.raises(H.NetworkUnavailable):
         c.get_json("u")
+    c, _ = client([H.Answer(503, {}, b"")] * 99)
+    for _ in range(H.BREAK_AFTER - 1):
+        with pytest.raises(H.TransientError) as told:
+            c.get_json("u")
+        assert not isinstance(told.value, (H.NetworkUnavailable, H.CircuitOpen))
+    for _ in range(2):
+        with pytest.raises(H.CircuitOpen):
+            c.get_json("u")
+    c, clock = client([H.Answer(200, {"Content-Type": "text/html"}, b"<p>"), H.Answer(200, {"Content-Type": "application/json"}, b"{"), H.Answer(429, {"Retry-After": "soon"}, b""), ok([2])])
+    assert c.get_json("u") == [2] and clock.slept[-1] == H.LONGEST
+    c, _ = client([H.Answer(403, {}, b"")] * 9)
+    with pytest.raises(H.TransientError):
+        c.get_json("u")
     with pytest.raises(H.CircuitOpen):
         c.get_json("u")
+    held = H.Cache(str(tmp_path / "old"))
+    held.put("v", {"other": 1})
+    with pytest.raises(H.ShapeError):
+        client([], held)[0].get_json("v", validator=H.validate_history)
     cache = H.Cache(str(tmp_path), "map1")
     c, _ = client([ok([1]), ok([])], cache)
     assert c.get_json("slug=a") == c.get_json("slug=a") == [1]
