@@ -48,5 +48,32 @@ rest as (
 select page_id, host, path, rule, coalesce(verdict, '{DEFAULT}') as verdict from m where n = 1
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NEAR_DEDUP = rf"""
+with recursive words as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from words
+),
+sizes as (select doc_id, len(s) as n from sets),
+members as (select doc_id, unnest(s) as x from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from members a join members b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(node, other) as (select a, b from both_ways union select r.node, l.b from reach r join both_ways l on l.a = r.other),
+least as (select node, min(other) as other from reach group by node)
+select d.doc_id, cast(n as bigint) as n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) as component_id, d.doc_id <= coalesce(l.other, d.doc_id) as kept
+from sizes d left join least l on l.node = d.doc_id
+"""
+
+TOP_K = """
+with pairs as (
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: cast((x[1] > 0) <> (x[2] > 0) as bigint))) as distance
+  from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0
+)
+select query_id, rank, vec_id, cast(distance as bigint) as distance
+from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from pairs) where rank <= 10
+"""
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op7_warc": OP7, "op10_url_filter": op10()}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_near_dedup": NEAR_DEDUP, "op7_warc": OP7, "op9_top_k": TOP_K, "op10_url_filter": op10()}

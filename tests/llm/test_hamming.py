@@ -33,13 +33,23 @@ def test_few_and_none(spark):
     vectors = spark.createDataFrame([(0, [1.0], "", 0, ""), (20, [-1.0], "", 0, "")], SCHEMA)
     assert sorted(map(tuple, nearest(vectors, vectors).collect())) == [(0, 1, 20, 1), (20, 1, 0, 1)]
     assert nearest(vectors.limit(0), vectors.limit(0)).collect() == []
-    with pytest.raises(Exception, match="65 components"):
-        wide = spark.createDataFrame([(0, [1.0] * 65, "", 0, "")], SCHEMA)
-        nearest(wide, wide).collect()
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=150 if i % 7 else 90)).tolist(), "", 0, "") for i in range(120)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    got = nearest(vectors, vectors.where("vec_id % 20 = 0"), 7, block_codes=50).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 7)
+
+
+def test_an_id_has_one_code(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 1.0], "", 0, ""), (0, [-1.0, 1.0], "", 0, ""), (1, [1.0, -1.0], "", 0, ""), (1, [-1.0, -1.0], "", 0, "")], SCHEMA)
+    assert [tuple(r) for r in nearest(vectors, vectors.where("vec_id = 0")).collect()] == [(0, 1, 1, 1)]
 
 
 def test_search_stops_once_covered():
     codes = np.unique(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
     index = MultiIndex(codes)
-    places, far = index.search(codes[17], lambda at, _: len(at) >= 1)
+    places, far = index.search(codes[17], lambda at, *_: len(at) >= 1)
     assert far[0] == 0 and codes[places[0]] == codes[17] and len(places) < len(codes) // 10
