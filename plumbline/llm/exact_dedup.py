@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import golomb
-from plumbline.llm.shared import drop_rows, files_of, holding, new_folder, normalised, partitions, put_file, text_batches, written
+from plumbline.llm.shared import drop_rows, files_of, holding, mapped, new_folder, normalised, partitions, put_file, text_batches, written
 
 #: Bits of a fingerprint, taken from the front of the SHA-256 of the text.
 FINGERPRINT_BITS = 48
@@ -148,7 +148,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # the second reading; only suspects keep their texts
     schema = f"id {kind}, sha binary, norm string, suspect boolean, at long"
-    told = written(rows.select("id", "norm", "sha").mapInArrow(functools.partial(_apply, folder=folder), schema), "op1-rows")
+    told = mapped(rows.select("id", "norm", "sha"), functools.partial(_apply, folder=folder), schema, "op1-rows")
     suspects = told.where("suspect")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
     groups = (

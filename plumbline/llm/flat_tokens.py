@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.encoder import encoder, forget, narrow
-from plumbline.llm.shared import holding, new_folder, open_folder, text_batches, written
+from plumbline.llm.shared import holding, mapped, new_folder, open_folder, text_batches
 
 BATCH_ROWS = 256
 #: Ids in a block of a file, 16 MB of 16-bit ids.
@@ -66,7 +66,7 @@ def write_flat(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     write = functools.partial(_write, folder=new_folder(docs.sparkSession, "op3-flat"), tokenizer=tokenizer, keeps_space=keeps_space, end_id=end_id, id_type=to_arrow_type(kind))
-    out = written(rows.mapInArrow(write, f"path string, place long, id {kind.simpleString()}, size long"), "op3-list")
+    out = mapped(rows, write, f"path string, place long, id {kind.simpleString()}, size long", "op3-list")
     return out.where("size is null").drop("size"), out.where("size is not null").select("path", "size")
 
 

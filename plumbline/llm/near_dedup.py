@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import drop_rows, files_of, holding, new_folder, put_file, quoted, text_batches, written
+from plumbline.llm.shared import drop_rows, files_of, holding, mapped, new_folder, put_file, quoted, text_batches, written
 from plumbline.llm.shingles import HASHES, forget, mixed, shingles, signature
 
 #: Least similarity of a link, in hundredths.
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     survey = functools.partial(_survey, id_type=to_arrow_type(kind), threshold=threshold)
-    survey = written(rows.mapInArrow(survey, f"part int, node long, id {kind.simpleString()}, hash long, n long, class binary, bands array<long>"), "op2-survey")
+    survey = mapped(rows, survey, f"part int, node long, id {kind.simpleString()}, hash long, n long, class binary, bands array<long>", "op2-survey")
 
     # equal sets are one class, led by its first node
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
@@ -301,13 +301,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     asked.groupBy("part").applyInArrow(ask, "part int").agg(F.count(F.lit(1))).first()
     schema = "node long, keys array<long>, blocks array<long>, leads array<boolean>, set binary, sig binary"
-    sets = written(rows.select("hash", "text").mapInArrow(functools.partial(_sets, folder=folder), schema), "op2-sets")
+    sets = mapped(rows.select("hash", "text"), functools.partial(_sets, folder=folder), schema, "op2-sets")
     # an input whose rows change places between readings leaves some out: those are joined by hash
     late = asked.join(sets.select("node"), "node", "left_anti").drop("part")
     if not late.isEmpty():
         late = written(late, "op2-late", narrow=True)
         texts = rows.select("hash", "text").join(late, "hash").dropDuplicates(["node"]).select("node", "keys", "blocks", "leads", "text")
-        sets = sets.unionByName(written(texts.mapInArrow(_late_sets, schema), "op2-late-sets"))
+        sets = sets.unionByName(mapped(texts, _late_sets, schema, "op2-late-sets"))
     labels = _all_links(spark, sets, members, threshold, block_rows)
 
     # by component, then by class, then by row

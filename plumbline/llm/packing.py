@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.encoder import encoder, forget
-from plumbline.llm.shared import files_of, holding, new_folder, put_file, text_batches, written
+from plumbline.llm.shared import files_of, holding, mapped, new_folder, put_file, text_batches, written
 
 CAPACITY = 2048
 BATCH_ROWS = 128
@@ -114,7 +114,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: in
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     encode = functools.partial(_encode, tokenizer=tokenizer, keeps_space=keeps_space, end_id=end_id, capacity=capacity)
-    return written(rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids binary, part int, rank long"), "op6-pieces")
+    return mapped(rows, encode, "doc_id long, piece int, start long, length long, ids binary, part int, rank long", "op6-pieces")
 
 
 def _tell(counts: pa.Table, folder: str) -> pa.Table:

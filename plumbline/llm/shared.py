@@ -80,6 +80,53 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a worker gathers for a row group.
+GROUP_BYTES = 16_000_000
+
+
+def _put_rows(batches: Iterator[pa.RecordBatch], f: Callable, folder: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    import pyarrow.parquet as pq
+
+    task = TaskContext.get()
+    store, root = open_folder(folder)
+    own, held, size, rows, writer = f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}", [], 0, 0, None
+    for batch in f(batches):
+        held.append(batch.cast(schema) if batch.schema != schema else batch)
+        size, rows = size + batch.nbytes, rows + batch.num_rows
+        if size >= GROUP_BYTES:
+            if writer is None:
+                file = store.open_output_stream(own)
+                writer = pq.ParquetWriter(file, schema)
+            writer.write_table(pa.Table.from_batches(held, schema))
+            held, size = [], 0
+    if rows:
+        if writer is None:
+            file = store.open_output_stream(own)
+            writer = pq.ParquetWriter(file, schema)
+        writer.write_table(pa.Table.from_batches(held, schema))
+        writer.close()
+        file.close()
+        _settle(store, own, f"{root}/part-{task.partitionId():06d}.parquet")
+    yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+
+def mapped(df: DataFrame, f: Callable, schema: str, name: str) -> DataFrame:
+    """``f`` over the Arrow batches of ``df``, written to the shared folder by the workers themselves and read again.
+
+    A task's file gets its name when it is whole; of several attempts one stays.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    kinds = StructType.fromDDL(schema)
+    store, root = open_folder(path)
+    store.create_dir(root, recursive=True)
+    put = functools.partial(_put_rows, f=f, folder=path, schema=to_arrow_schema(kinds))
+    df.mapInArrow(put, "rows long").agg(F.sum("rows")).first()
+    return spark.read.schema(kinds).parquet(path)
+
+
 #: Rows of whole texts that go to Python at a time; Spark's own default is meant for short rows.
 BATCH_ROWS = 1000
 
@@ -175,10 +222,14 @@ def put_file(folder: str, name: str, data: bytes) -> None:
     own = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(own) as file:
         file.write(data)
+    _settle(store, own, f"{root}/{name}")
+
+
+def _settle(store, own: str, path: str) -> None:
     try:
-        store.move(own, f"{root}/{name}")
+        store.move(own, path)
     except OSError:  # a store that doesn't replace: another attempt was first
-        if not store.get_file_info(f"{root}/{name}").is_file:
+        if not store.get_file_info(path).is_file:
             raise
         store.delete_file(own)
 
