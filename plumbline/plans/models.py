@@ -16,10 +16,11 @@ from plumbline.operators import frame as R
 from plumbline.operators import ingest as I
 from plumbline.operators import matching, resample
 from plumbline.operators import model as M
+from plumbline.operators import reports as T
 from plumbline.operators import scores as C
 from plumbline.plans import domain as D
 from plumbline.plans.domain import GAMES, with_sql
-from plumbline.plans.queries import _LOOKED, _features_sql, look, modelled, query, rounded
+from plumbline.plans.queries import _LOOKED, ORACLES, _features_sql, look, modelled, query, rounded
 from plumbline.schemas import BUCKET_EDGES, NULL_TABLE, RATING_GRIDS, RATING_SETTINGS
 
 SETTINGS = {s: E.Setting(*map(float, v)) for s, v in RATING_SETTINGS.items()}
@@ -332,3 +333,87 @@ def closing_prices(spark: SparkSession, d: str) -> DataFrame:
 @query(with_sql("select reason, count(*) as n from misses where reason in ('no_market') group by reason", GAMES, D.MISSES))
 def reprobe(spark: SparkSession, d: str) -> DataFrame:
     return I.to_reprobe(D.misses(spark, d)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CUT = "select sport, season, game_id, case when game_id % 4 <> 0 then 'league' else 'market' end as cutoff_source, start_t as league_start_time, start_t + game_id % 7 * 600 as game_start_time from games"
+
+
+@query(with_sql(f"select sport, season, game_id, case when cutoff_source = 'league' then league_start_time else game_start_time end as cutoff from ({_CUT})", GAMES))
+def cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("game_id")
+    rows = D.games(spark, d).select("sport", "season", "game_id", F.when(k % 4 != 0, "league").otherwise("market").alias("cutoff_source"), F.col("start_t").alias("league_start_time"), (F.col("start_t") + k % 7 * 600).alias("game_start_time"))
+    return rows.select("sport", "season", "game_id", T.cutoff().alias("cutoff"))
+
+
+_PIVOT = ", ".join(f"max(p) filter (where horizon = '{h}') as p_{h}" for h in ("close", "t1h", "t6h", "t24h"))
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.operators import anchors as A
+
+    return A.anchors_long(A.anchors_wide(D.quotes(spark, d), D.starts(spark, d)))
+
+
+@query(f"select sport, season, game_id, {_PIVOT} from ({ORACLES['anchors_long']}) where side = 'click' group by all")
+def horizon_prices(spark: SparkSession, d: str) -> DataFrame:
+    return T.horizon_pivot(_anchors(spark, d), ["close", "t1h", "t6h", "t24h"], "click")
+
+
+@query(with_sql("select p.sport, p.season, p.game_id, p_census, p_anchor from told p left join closes c using (sport, season, game_id) where p_census is distinct from p_anchor", f"closes as (select sport, season, game_id, max(p) filter (where horizon = 'close') as p_anchor from ({ORACLES['anchors_long']}) where side = 'click' group by all)", "told as (select sport, season, game_id, case when game_id % 9 = 0 then 0.5 else p_anchor end as p_census from closes)"))
+def anchor_cross_check(spark: SparkSession, d: str) -> DataFrame:
+    """A ninth of the closes is changed, and must be found."""
+    anchors = _anchors(spark, d)
+    told = T.horizon_pivot(anchors, ["close"], "click").select("sport", "season", "game_id", F.when(F.col("game_id") % 9 == 0, 0.5).otherwise(F.col("p_close")).alias("p_home_close"))
+    return T.close_disagreements(told, anchors, side="click")
+
+
+@query(with_sql("select g.sport, g.season, count(*) as scheduled, count(p.game_id) as priced, count(m.game_id) as missed, count(p.game_id) + count(m.game_id) as attempted, case when count(p.game_id) + count(m.game_id) > 0 then round(count(p.game_id) / (count(p.game_id) + count(m.game_id)), 4) end as coverage from games g left join priced p using (sport, season, game_id) left join misses m using (sport, season, game_id) group by all", GAMES, D.PRICED, D.MISSES))
+def coverage_report(spark: SparkSession, d: str) -> DataFrame:
+    return T.coverage_report(D.games(spark, d), D.priced(spark, d), D.misses(spark, d))
+
+
+@query(with_sql("select sport, season, what, value, count(*) as n from (select sport, season, 'stale_flat_run' as what, coalesce(cast(stale_flat_run as varchar), 'unrecorded') as value from priced union all select sport, season, 'p_t6h', case when p_t6h is null then 'absent' else 'told' end from priced) group by all", GAMES, D.PRICED))
+def value_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = D.priced(spark, d).withColumn("p_t6h", F.when(F.col("p_t6h").isNotNull(), "told"))
+    return T.value_counts(rows, {"stale_flat_run": "unrecorded", "p_t6h": "absent"})
+
+
+@query(with_sql("select sport, season, count(*) as games, round(100.0 * avg(case when away_b2b then 1.0 else 0.0 end), 1) as away_b2b, round(100.0 * avg(case when home_b2b then 1.0 else 0.0 end), 1) as home_b2b, round(median(away_travel_km)) as median_travel_km, count(*) filter (where not away_travel_known and not away_first_of_season) + count(*) filter (where not home_travel_known and not home_first_of_season) as no_venue, count(*) filter (where away_first_of_season) + count(*) filter (where home_first_of_season) as first_games from (" + _features_sql() + ") group by sport, season", GAMES))
+def feature_summary(spark: SparkSession, d: str) -> DataFrame:
+    return T.feature_summary(features_of(spark, d))
+
+
+@query(with_sql("select distinct sport, season from games", GAMES))
+def sport_seasons(spark: SparkSession, d: str) -> DataFrame:
+    return T.sport_seasons(D.games(spark, d))
+
+
+@query("select sport, season, week_of_season, priced, scheduled from (select *, row_number() over (partition by sport, season order by priced / scheduled, week_of_season) as k from (" + ORACLES["coverage_by_week"] + ")) where k = 1")
+def worst_week(spark: SparkSession, d: str) -> DataFrame:
+    return T.worst_week(R.coverage_by_week(D.games(spark, d), D.priced(spark, d), D.misses(spark, d)))
+
+
+@query(with_sql("select sport, season, game_id, abs(date_diff('day', (select et_date from (select et_date, row_number() over (order by et_date, game_id) - 1 as i, count(*) over () as n from games) where i = n // 2), et_date)) as distance from games", GAMES))
+def probe_order(spark: SparkSession, d: str) -> DataFrame:
+    return T.probe_order(D.games(spark, d)).select("sport", "season", "game_id", F.col("distance").cast("long").alias("distance"))
+
+
+@query(with_sql("select sport, season, count(*) as n, count(*) filter (where neutral_site) as neutral from games group by all", GAMES))
+def burn_in_union(spark: SparkSession, d: str) -> DataFrame:
+    """The seasons before 1998 stand for the burn-in."""
+    games = D.games(spark, d)
+    both = T.with_burn_in(games.where("season >= '1998'"), games.where("season < '1998'"))
+    return both.groupBy("sport", "season").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("neutral_site"), 1)).alias("neutral"))
+
+
+@query()
+def fit_design(spark: SparkSession, d: str) -> DataFrame:
+    games = D.games(spark, d)
+    rows = T.design(features_of(spark, d), E.ratings(games, SETTINGS), games)
+    return rounded(rows.select("sport", "season", "game_id", "rest_days_diff", "rating_diff", "y"))
+
+
+@query()
+def split_prize(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.assign_strata(_frame(spark, d)).withColumn("p", F.col("p_t1h"))
+    return rounded(each_sport(lambda s: T.split_prize(rows.where(F.col("sport") == s), ["season", "game_id"], "et_date", 0.01, 0.02)))

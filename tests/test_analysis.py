@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import analysis as Y
 from plumbline.operators import ingest as I
+from plumbline.operators import reports as T
 from plumbline.plans.runner import Step, run_steps
 
 KEYS = "sport string, season string, game_id string"
@@ -67,6 +68,10 @@ def test_games_are_resolved_and_classified(spark):
     settled = spark.createDataFrame([("nba", "24", "g0", 1.0, 0.0)], f"{KEYS}, home_settled double, away_settled double")
     reasons = {r.game_id: r.reason for r in I.classify(confirmed, closes, settled, games).collect()}
     assert reasons == {"g0": None, "g1": "no_pre_tipoff_points", "g2": "no_moneyline_market", "g3": "label_mismatch_at_slug", "g4": "no_market"}
+    day_of = lambda g, hour: (*g, dt.datetime(2025, 1, 1, hour, tzinfo=dt.UTC) + dt.timedelta(days=10 * int(g[2][1])))
+    begins = spark.createDataFrame([day_of(("nba", "24", "g0"), 9), day_of(("nba", "24", "g1"), 20)], f"{KEYS}, market_start timestamp")
+    checked = {r.game_id: r.reason for r in I.classify(confirmed, closes, settled, games, begins).collect()}
+    assert checked["g0"] not in (None, reasons["g1"]) and "tart" in checked["g0"] and checked["g1"] == reasons["g1"] and checked["g4"] == "no_market"
     with pytest.raises(ValueError):
         I.to_reprobe(games, [])
 
@@ -99,3 +104,34 @@ def test_steps():
         run_steps(steps, start="c", log=quiet)
     with pytest.raises(ValueError):
         run_steps(steps, start="z", log=quiet)
+
+
+def test_reports_of_a_census(spark, tmp_path):
+    games = spark.createDataFrame([("nba", "24", f"g{i}", dt.date(2025, 1, 1) + dt.timedelta(days=i), "a", "b", 1, 2, "home", None if i else True, 100 + i) for i in range(4)], f"{KEYS}, et_date date, away string, home string, away_pts int, home_pts int, winner string, neutral_site boolean, start_t long")
+    assert [(r.game_id, r.distance) for r in T.probe_order(games).collect()] == [("g2", 0), ("g1", 1), ("g3", 1), ("g0", 2)]
+    sites = games.where("game_id in ('g0', 'g3')").select("sport", "season", "game_id")
+    assert [tuple(r) for r in T.overridden(games, sites).collect()] == [("nba", 1)]
+    both = T.with_burn_in(games, games)
+    assert both.count() == 8 and both.where("neutral_site is null").count() == 0
+    anchors = spark.createDataFrame([("nba", "24", "g0", "home", "close", 0.5), ("nba", "24", "g1", "home", "t1h", 0.4), ("nba", "24", "g2", "away", "close", 0.3)], f"{KEYS}, side string, horizon string, p double")
+    priced = spark.createDataFrame([("nba", "24", "g0", 0.5), ("nba", "24", "g1", 0.4), ("nba", "24", "g2", None)], f"{KEYS}, p_home_close double")
+    assert [(r.game_id, r.p_census, r.p_anchor) for r in T.close_disagreements(priced, anchors).collect()] == [("g1", 0.4, None)]
+    weeks = spark.createDataFrame([("nba", "24", 1, 0, 0), ("nba", "24", 2, 1, 2), ("nba", "24", 3, 2, 4)], "sport string, season string, week_of_season int, priced int, scheduled int")
+    assert [tuple(r) for r in T.worst_week(weeks).collect()] == [("nba", "24", 2, 1, 2)]
+    none = T.coverage_report(games, priced.limit(0), priced.limit(0)).first()
+    assert (none.scheduled, none.attempted, none.coverage) == (4, 0, None)
+    T.write_sorted(games, f"file://{tmp_path}/games", ["game_id"])
+    assert len(list((tmp_path / "games").glob("*.parquet"))) == 1
+
+
+def test_a_prize_is_won_where_prices_are_too_bold(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(1200):
+        x = rng.normal()
+        rows.append((i, str(i // 8), "low" if i % 2 else "high", float(1 / (1 + np.exp(-2.5 * x))), float(rng.random() < 1 / (1 + np.exp(-x)))))
+    df = spark.createDataFrame(rows, "game_id int, day string, liquidity string, p double, y double")
+    found = T.split_prize(df, ["game_id"], "day", 0.0, 0.0, reps=200).first()
+    assert 0 < found.bets <= 600 and found.lo < found.roi < found.hi and found.roi > 0 and found.dates <= 75
+    dear = T.split_prize(df, ["game_id"], "day", 0.9, 0.0, reps=5).first()
+    assert (dear.bets, dear.roi, dear.dates, dear.lo) == (0, None, 0, None)
