@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import inv_logit, logit
 
 CLIP, TOLERANCE, STEPS = 1e-6, 1e-6, 60
+#: Rows of a group that fits in a task, at most.
+LARGE_ROWS = 1_000_000
 
 
 class FitError(ValueError):
@@ -74,8 +77,12 @@ def logistic_mle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return newton(x, np.asarray(y, float), np.zeros(x.shape[1]), ridge=1e-8, tolerance=1e-8)
 
 
-def cox_by(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
-    """Slope and intercept of each group, null with the reason where there is no fit. A group fits in a task; for the whole table see ``cox_table``."""
+def cox_by(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", large: int = LARGE_ROWS) -> DataFrame:
+    """Slope and intercept of each group, null with the reason where there is no fit.
+
+    A group of up to ``large`` rows fits in a task; the larger ones are fitted
+    together by aggregates, so no task holds one. For a whole table see ``cox_table``.
+    """
     schema = df.select(*by).schema.add("n", "long").add("slope", "double").add("intercept", "double").add("failure", "string")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +94,65 @@ def cox_by(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y") -> Data
         except FitError as e:
             return pd.DataFrame(head | {"slope": [None], "intercept": [None], "failure": [str(e)]})
 
-    return df.select(*by, p, y).groupBy(*by).applyInPandas(fit, schema)
+    rows = df.select(*by, p, y)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(*by).collect()
+    if not sizes:
+        return rows.groupBy(*by).applyInPandas(fit, schema)
+    found = _fit_large(rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*by, logit(p, CLIP).alias("__x"), F.col(y).cast("double").alias("__y")), [tuple(r) for r in sizes], by)
+    own = df.sparkSession.createDataFrame(found, schema)
+    known = df.sparkSession.createDataFrame([tuple(r) for r in sizes], df.select(*by).schema)
+    small = rows.join(known.withColumnsRenamed({c: f"__{c}" for c in by}), _same(by), "left_anti")
+    return small.groupBy(*by).applyInPandas(fit, schema).unionByName(own)
+
+
+def _same(by: Sequence[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+
+
+def _fit_large(rows: DataFrame, groups: list[tuple], by: Sequence[str], steps: int = 2 * STEPS) -> list[tuple]:
+    """Newton steps of all groups at once: each is one aggregate by group at the groups' own coefficients, and halved where the loss rose."""
+    spark, kind = rows.sparkSession, rows.select(*by).schema
+    whole = kind.add("a", "double").add("b", "double")
+
+    def meeting(values: list[tuple]) -> DataFrame:
+        told = spark.createDataFrame(values, whole).withColumnsRenamed({c: f"__{c}" for c in by})
+        return rows.join(F.broadcast(told), _same(by))  # a row for each group
+
+    key = lambda r: tuple(r[c] for c in by)
+    won, lost = F.when(F.col("__y") == 1, F.col("__x")), F.when(F.col("__y") == 0, F.col("__x"))
+    shape = meeting([(*g, 0.0, 0.0) for g in groups]).groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__y").alias("rate"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.min(won).alias("won_lo"), F.max(won).alias("won_hi"), F.min(lost).alias("lost_lo"), F.max(lost).alias("lost_hi"))
+    out, at, best = {g: (0, None, None, "no rows, or not as many prices as outcomes") for g in groups}, {}, {}
+    for r in shape.collect():
+        why = "one class" if r["rate"] in (0.0, 1.0) else "constant prices" if r["hi"] - r["lo"] < 1e-9 else "separable" if r["won_lo"] >= r["lost_hi"] or r["lost_lo"] >= r["won_hi"] else "no convergence"
+        out[key(r)] = (r["n"], None, None, why)
+        if why == "no convergence":
+            at[key(r)] = (float(np.log(r["rate"] / (1 - r["rate"]))), 0.0)
+    eta = F.col("a") + F.col("b") * F.col("__x")
+    mu = inv_logit(eta)
+    w, d = mu * (1 - mu), mu - F.col("__y")
+    loss = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("__y") * eta
+    sums = [F.sum(d), F.sum(d * F.col("__x")), F.sum(w), F.sum(w * F.col("__x")), F.sum(w * F.col("__x") * F.col("__x")), F.sum(loss)]
+    for _ in range(steps):
+        if not at:
+            break
+        for r in meeting([(*g, *v) for g, v in at.items()]).groupBy(*by).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).collect():
+            g, (g0, g1, h0, h1, h2, now) = key(r), (r[f"s{i}"] for i in range(6))
+            a, b = at[g]
+            if g in best and now > best[g][2] * (1 + 1e-12):  # the step was too long
+                (a0, b0, _), at[g] = best[g], ((best[g][0] + a) / 2, (best[g][1] + b) / 2)
+                if max(abs(a - a0), abs(b - b0)) < 1e-12:
+                    del at[g]
+                continue
+            best[g], n, det = (a, b, now), out[g][0], h0 * h2 - h1 * h1
+            if max(abs(g0), abs(g1)) < 1e-9 * n:
+                out[g] = (n, b, a, None)
+                del at[g]
+            elif det <= 1e-12 * max(1.0, h0 * h2) or max(abs(a), abs(b)) > 1e4:
+                out[g] = (n, None, None, "diverges")
+                del at[g]
+            else:
+                at[g] = (a - (h2 * g0 - h1 * g1) / det, b - (h0 * g1 - h1 * g0) / det)
+    return [(*g, *v) for g, v in out.items()]
 
 
 def cox_table(df: DataFrame, p: str = "p", y: str = "y", tolerance: float = 1e-8, steps: int = STEPS) -> tuple[float, float]:
@@ -96,7 +161,8 @@ def cox_table(df: DataFrame, p: str = "p", y: str = "y", tolerance: float = 1e-8
     A step that doesn't lower the loss is halved. The table is read once a step,
     so cache or write it where reading it is costly.
     """
-    rows = df.select(logit(p, CLIP).alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    # a bound that clips would stand in for a null
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(logit(p, CLIP).alias("x"), F.col(y).cast("double").alias("y"))
     n, rate, low, high = rows.agg(F.count("x"), F.avg("y"), F.min("x"), F.max("x")).first()
     if not n or rate in (0.0, 1.0) or high - low < 1e-9:
         raise FitError("no rows, one class or constant prices")
