@@ -57,8 +57,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, keeps
 def write_flat(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Writes a flat file of 16-bit ids for each partition. Returns (path, place, id) by document and (path, size) by file.
 
-    A null or empty text is just an end id. The vocabulary must be below 65,536
-    and must not give ``end_id`` for text. Null and repeated ids pass as they are.
+    A null or empty text is just an end id. An id above 65,535 raises; text must
+    not give ``end_id``. Null and repeated ids pass as they are.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -84,7 +84,7 @@ def _scan(batches: Iterator[pa.RecordBatch], end_id: int, block_ids: int) -> Ite
 
 
 def scan_flat(files: DataFrame, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """One row per document of flat files: path, place (from 0 in its file), start, n_tokens (with the end id).
+    """One row per document of flat files: path, place (from 0 in its file), n_tokens (with the end id).
 
     ``files`` has path and size (ids). Files without ids have no row; ids behind
     a file's last end id are no document.
@@ -100,12 +100,17 @@ def scan_flat(files: DataFrame, end_id: int, block_ids: int = BLOCK_IDS) -> Data
     # of the ids counted as open so far, those of blocks before the last end id are closed
     closed = summed.withColumn("closed", F.when(F.col("ends") > 0, F.col("open") - F.col("tail")))
     carried = closed.withColumn("carry", zero(F.lag("open").over(Window.partitionBy("path").orderBy("block"))) - zero(F.last("closed", True).over(before)))
-    own = carried.where("ends > 0").select("path", "docs", (F.col("block") * block_ids - F.col("carry")).alias("first"), F.concat(F.array(F.col("carry") + F.col("head")), "lengths").alias("lengths"))
-    return own.select("path", "docs", "first", F.posexplode("lengths").alias("at", "n_tokens")).select("path", (F.col("docs") + F.col("at")).alias("place"), "n_tokens")
+    own = carried.where("ends > 0").select("path", "docs", F.concat(F.array(F.col("carry") + F.col("head")), "lengths").alias("lengths"))
+    return own.select("path", "docs", F.posexplode("lengths").alias("at", "n_tokens")).select("path", (F.col("docs") + F.col("at")).alias("place"), "n_tokens")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """doc_id and n_tokens (with the end id) of every document, counted in flat files that are written first."""
+    """doc_id and n_tokens (with the end id) of every document, counted in flat files that are written first.
+
+    A null or empty text counts 1, its end id. Rows that repeat an id, or have
+    none, each have a row of their own; an empty table gives an empty result.
+    Other columns play no part. The vocabulary must be as ``write_flat`` says.
+    """
     places, files = write_flat(docs, tokenizer, keeps_space, end_id, id_col, text_col)
     # both sides grow with the documents, so neither is broadcast
     return places.join(scan_flat(files, end_id, block_ids).hint("merge"), ["path", "place"]).select(F.col("id").alias("doc_id"), "n_tokens")

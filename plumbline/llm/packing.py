@@ -153,6 +153,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The driver sees a count for each length, and the plan that goes to all tasks
     is bounded by the capacity, not by the number of pieces. No piece is moved.
+    Equal lengths are taken in order of partition and row; pieces of repeated or
+    null ids are pieces like others; no pieces give no sequences.
     """
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "op6-counts", narrow=True)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

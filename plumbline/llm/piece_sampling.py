@@ -268,6 +268,6 @@ def sample_pieces(docs: DataFrame, model: str, temperature: float = TEMPERATURE,
 
 
 def decode_pieces(encoded: DataFrame, model: str, temperature: float = TEMPERATURE) -> DataFrame:
-    """``encoded`` with the text that its ids spell."""
+    """``encoded`` with the text that its ids spell: that which was encoded, and the empty text for no ids. Repeated rows stay."""
     schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, text string"
     return encoded.select("doc_id", "ids").mapInArrow(functools.partial(_decode, path=model, temperature=temperature), schema)

@@ -88,6 +88,8 @@ class Writer:
             shared = 0
         else:
             shared = next((i for i, (x, y) in enumerate(zip(key, self.last, strict=True)) if x != y), len(key))
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"id {ids.max()} needs more than {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         if self.count == 0:

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 from plumbline.llm import sstable
-from plumbline.llm.encoder import Encoder
+from plumbline.llm.encoder import Encoder, narrow
 from plumbline.llm.flat_tokens import token_counts
 from plumbline.llm.token_output import lookup, read_shards, write_shards
 
@@ -77,3 +77,29 @@ def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert token_counts(none, WORD, False, 49407).collect() == []
     assert read_shards(spark, write_shards(none, BYTE, True, 2)).collect() == []
+
+
+def test_ids_that_do_not_fit_are_refused():
+    wide = np.array([1, 65536], "<u4")
+    assert narrow(wide[:1].tobytes()) == b"\1\0" and narrow(b"") == b""
+    with pytest.raises(ValueError, match="65536"):
+        narrow(wide.tobytes())
+    with pytest.raises(ValueError, match="65536"):
+        sstable.Writer(io.BytesIO()).add(1, wide)
+    file = io.BytesIO()
+    writer = sstable.Writer(file, 4)
+    writer.add(1, wide)
+    writer.close()
+    assert sstable.Reader(file).get(1).tolist() == [1, 65536]
+
+
+def test_many_partitions_keep_the_order_of_ids(spark):
+    rows = [(i * 37 % 1000 - 300, f"text {i}", "x", "y", 1) for i in range(1000)] + [(None, "none", "x", "y", 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        shards = write_shards(docs_of(spark, rows), BYTE, True, 2)
+        assert shards.count() > 10
+        got = [r.doc_id for r in read_shards(spark, shards).orderBy("start").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == [None, *range(-300, 700)]
