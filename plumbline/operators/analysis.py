@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -45,6 +46,15 @@ def _slopes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.withColumn("difference", F.col("slope_low") - F.col("slope_high"))
 
 
+def _differences(rows: DataFrame, by: str, reps: int, seed: int) -> DataFrame:
+    """``_slopes`` of each group with the interval over games and the share of replicates of another sign; too few fits give no interval."""
+    own = resample.slope_differences(rows, by, "liquidity", "low", "high", reps, seed)
+    value = F.when(~F.isnan("difference"), F.col("difference"))
+    enough = F.count(value) >= (1 - resample.FAILURES) * F.count(F.lit(1))
+    drawn = own.groupBy(by).agg(*(F.when(enough, F.percentile(value, q)).alias(c) for c, q in (("game_lo", 0.025), ("game_hi", 0.975))), (F.count(F.when(value <= 0, 1)) / F.count(value)).alias("below"), (F.count(F.when(value >= 0, 1)) / F.count(value)).alias("above"), (1 / F.count(F.lit(1))).alias("asl_floor"))
+    return _slopes(rows, [by]).join(drawn, by).withColumn("asl", F.when(F.col("difference") > 0, F.col("below")).otherwise(F.col("above"))).drop("below", "above")
+
+
 def primary_test(frame: DataFrame, sport: str = "nba", look_name: str = "p_close", reps: int = 4000, seed: int = 0) -> DataFrame:
     """Slope of the less liquid games less that of the liquid ones, of all seasons (``season`` is null) and of each.
 
@@ -61,23 +71,36 @@ def primary_test(frame: DataFrame, sport: str = "nba", look_name: str = "p_close
     level = resample.achieved_level(drawn, slopes["difference"] or 0.0)
     pooled = _slopes(rows).crossJoin(games).crossJoin(level).crossJoin(dates).withColumn("wider", wider).withColumn("season", F.lit(None).cast("string"))
 
-    own = resample.slope_differences(rows, "season", "liquidity", "low", "high", reps, seed)
-    value = F.when(~F.isnan("difference"), F.col("difference"))
-    enough = F.count(value) >= (1 - resample.FAILURES) * F.count(F.lit(1))
-    seasons = own.groupBy("season").agg(*(F.when(enough, F.percentile(value, q)).alias(c) for c, q in (("game_lo", 0.025), ("game_hi", 0.975))), (F.count(F.when(value <= 0, 1)) / F.count(value)).alias("below"), (F.count(F.when(value >= 0, 1)) / F.count(value)).alias("above"), (1 / F.count(F.lit(1))).alias("asl_floor"))
-    each = _slopes(rows, ["season"]).join(seasons, "season").withColumn("asl", F.when(F.col("difference") > 0, F.col("below")).otherwise(F.col("above"))).drop("below", "above")
+    each = _differences(rows, "season", reps, seed)
     return pooled.unionByName(each, allowMissingColumns=True)
 
 
-def range_sensitivity(frame: DataFrame, sport: str = "nba", look_name: str = "p_close", caliper: float = CALIPER) -> DataFrame:
-    """Slopes by liquidity over all prices, within bands, and over games matched on price; with the spread of the prices."""
-    rows = look(assign_strata(frame), look_name).where((F.col("sport") == sport) & F.col("liquidity").isNotNull())
+def _price_samples(rows: DataFrame, caliper: float) -> list[tuple[str, DataFrame]]:
+    """All prices, those within bands, and games matched on price."""
     samples = [("all", rows)] + [(f"{lo:.2f}-{hi:.2f}", rows.where(F.col("p").between(lo, hi))) for lo, hi in PRICE_BANDS]
     pairs = caliper_match(rows, ["sport"], "liquidity", "low", "high", "game_id", caliper=caliper, order=["season"])
     ids = pairs.select(F.explode(F.array("low_key", "high_key")).alias("game_id"))
-    samples.append(("matched", rows.join(ids, "game_id", "left_semi")))
+    return [*samples, ("matched", rows.join(ids, "game_id", "left_semi"))]
+
+
+def _look_samples(own: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Every look, and the close of fresh and of stale prices."""
+    return [(name, look(own, name)) for name in LOOKS] + [("fresh", look(own, "p_close").where(~F.col("stale_flat_run"))), ("stale", look(own, "p_close").where("stale_flat_run"))]
+
+
+def sensitivity_intervals(frame: DataFrame, sport: str = "nba", caliper: float = CALIPER, reps: int = 2000, seed: int = 0) -> DataFrame:
+    """The difference of slopes in each sample of ``range_sensitivity`` and ``sensitivity``, each with an interval of its own, never one over all."""
+    own = assign_strata(frame.where(F.col("sport") == sport)).where("liquidity is not null")
+    samples = _price_samples(look(own, "p_close"), caliper) + _look_samples(own)
+    rows = functools.reduce(DataFrame.unionByName, (x.select(F.lit(name).alias("sample"), "liquidity", "p", "y") for name, x in samples))
+    return _differences(rows, "sample", reps, seed)
+
+
+def range_sensitivity(frame: DataFrame, sport: str = "nba", look_name: str = "p_close", caliper: float = CALIPER) -> DataFrame:
+    """Slopes by liquidity over all prices, within bands, and over games matched on price; with the spread of the prices."""
+    rows = look(assign_strata(frame), look_name).where((F.col("sport") == sport) & F.col("liquidity").isNotNull())
     out = None
-    for name, own in samples:
+    for name, own in _price_samples(rows, caliper):
         one = cox_by(own, ["liquidity"]).join(pool_shape(own, ["liquidity"]), "liquidity").withColumn("sample", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -87,9 +110,8 @@ def sensitivity(frame: DataFrame, sport: str = "nba") -> DataFrame:
     """Slopes by liquidity at every look, and at the close for fresh and for stale prices; games without volume are counted."""
     own = assign_strata(frame.where(F.col("sport") == sport))
     absent = own.agg(F.count(F.when(F.col("volume").isNull(), 1)).alias("volume_absent"))
-    samples = [(name, look(own, name)) for name in LOOKS] + [("fresh", look(own, "p_close").where(~F.col("stale_flat_run"))), ("stale", look(own, "p_close").where("stale_flat_run"))]
     out = None
-    for name, rows in samples:
+    for name, rows in _look_samples(own):
         one = cox_by(rows.where("liquidity is not null"), ["liquidity"]).withColumn("sample", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(absent)

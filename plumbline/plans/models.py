@@ -317,6 +317,11 @@ def look_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Y.sensitivity(_frame(spark, d)))
 
 
+@query()
+def sensitivity_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Y.sensitivity_intervals(_frame(spark, d)))
+
+
 @query()
 def null_bands(spark: SparkSession, d: str) -> DataFrame:
     found = resample.intervals(resample.simulate_null(look(spark, d), 4661), ["ece", "max_bin_dev", "slope", "intercept"])

@@ -40,6 +40,10 @@ def test_reports_and_sensitivity(spark):
     assert ("matched", "low") in samples and ("0.20-0.80", "high") in samples
     looks = {r["sample"]: r.volume_absent for r in Y.sensitivity(df).collect()}
     assert set(looks) >= {"p_close", "fresh", "stale"} and set(looks.values()) == {16}
+    each = {r["sample"]: r for r in Y.sensitivity_intervals(df, reps=20).collect()}
+    assert set(each) == {"all", "0.20-0.80", "0.35-0.65", "matched", *Y.LOOKS, "fresh", "stale"} - {"p_t24h"}
+    assert each["all"].difference == pytest.approx(each["p_close"].difference) == pytest.approx(pooled.difference)
+    assert each["all"].game_lo < each["all"].difference < each["all"].game_hi and each["matched"].n_low == each["matched"].n_high
     bands = spark.createDataFrame([("ece", 0.0, 0.02), ("slope", 0.8, 1.0)], "name string, lo double, hi double")
     assert {r.name: r.breach for r in Y.null_breaches(bands).collect()} == {"ece": False, "slope": True}
 
