@@ -29,6 +29,28 @@ from p left join g using (payload_digest)
 """
 
 
+OP11 = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as digest from documents
+), u as (
+  select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units,
+    [cast('0x' || substr(digest, 8 * i + 1, 8) as bigint) for i in [0, 1, 2, 3]] as h
+  from t
+), c as (
+  select *, len(units) as n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+  from u
+), p as (
+  select *, array_to_string(units[:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c
+)
+select doc_id, n, form,
+  case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
 def op10() -> str:
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.text}')" for r in RULES)
     return f"""
@@ -76,4 +98,4 @@ select query_id, rank, vec_id, cast(distance as bigint) as distance
 from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from pairs) where rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_near_dedup": NEAR_DEDUP, "op7_warc": OP7, "op9_top_k": TOP_K, "op10_url_filter": op10()}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1, "op2_near_dedup": NEAR_DEDUP, "op7_warc": OP7, "op9_top_k": TOP_K, "op10_url_filter": op10(), "op11_fill_in_middle": OP11}

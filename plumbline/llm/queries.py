@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.exact_dedup import exact_duplicates
+from plumbline.llm.fill_in_middle import fill_in_middle_digests
 from plumbline.llm.flat_tokens import token_counts
 from plumbline.llm.hamming import nearest
 from plumbline.llm.language_id import hierarchical_language_id
@@ -71,6 +72,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, which stands at the top of the repository."""
     import corpus_pipeline
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_top_k": op9_top_k,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pipeline": pipeline,
 }
