@@ -17,6 +17,7 @@ from plumbline.llm.language_id import hierarchical_language_id
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import encode_pieces, pack
 from plumbline.llm.piece_sampling import decode_pieces, sample_pieces
+from plumbline.llm.repeats import remove_repeats
 from plumbline.llm.shared import table
 from plumbline.llm.token_output import read_shards, write_shards
 from plumbline.llm.url_filter import judge_urls
@@ -77,6 +78,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_url_filter": op10_url_filter,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_repeat_removal": op12_repeat_removal,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }

@@ -62,7 +62,7 @@ def _signs():
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
-@pytest.mark.parametrize(("stripe", "salts"), [(256, None), (7, 1), (40_000, 3)])
+@pytest.mark.parametrize(("stripe", "salts"), [(256, None), (64, 1)])
 def test_as_the_plain_version(spark, stripe, salts):
     docs = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     got = sorted(map(tuple, align_tokens(docs, A, B, stripe=stripe, salts=salts).collect()), key=str)
