@@ -54,12 +54,12 @@ from p
 #: Strings of 400 bytes are 800 hexadecimal digits; a removed run ends where the next start is more than 400 bytes on.
 OP12 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n_bytes from documents),
-places as (select doc_id, x, unnest(range(0, n_bytes - 399)) as at from d where n_bytes >= 400),
-strings as (select doc_id, at, md5_number(substr(x, 2 * at + 1, 800)) as h from places),
+places as (select doc_id, x, unnest(range(0, n_bytes - 399)) as spot from d where n_bytes >= 400),
+strings as (select doc_id, spot, md5_number(substr(x, 2 * spot + 1, 800)) as h from places),
 again as (select h from strings group by h having count(*) > 1),
-marks as (select doc_id, at, case when at - lag(at) over (partition by doc_id order by at) <= 400 then 0 else 1 end as fresh from strings semi join again using (h)),
-runs as (select doc_id, at, sum(fresh) over (partition by doc_id order by at) as run from marks),
-spans as (select doc_id, run, min(at) as a, max(at) + 400 as b from runs group by doc_id, run),
+marks as (select doc_id, spot, case when spot - lag(spot) over (partition by doc_id order by spot) <= 400 then 0 else 1 end as fresh from strings semi join again using (h)),
+runs as (select doc_id, spot, sum(fresh) over (partition by doc_id order by spot) as run from marks),
+spans as (select doc_id, run, min(spot) as a, max(spot) + 400 as b from runs group by doc_id, run),
 gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
 ends as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last from spans group by doc_id),
 kept as (select doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as front from gaps join d using (doc_id) group by doc_id)
