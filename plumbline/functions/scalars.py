@@ -203,10 +203,13 @@ def label_agreement(market: Cols, schedule: Cols) -> Column:
 
 
 def settled_bet(paid_side: Cols, fair: Cols, won: Cols, half_spread: Cols, fee: Cols) -> Column:
-    """Stake and profit of a bet at price + half spread + fee; null where the fair price doesn't exceed what is paid."""
+    """Price paid (price + half spread + fee) and profit of a bet of one unit; null where the fair price doesn't exceed what is paid.
+
+    A bet that wins returns its unit 1 / paid times, one that loses none.
+    """
     p = col(paid_side)
     paid = p + col(half_spread) + col(fee) * p * (1 - p)
-    return F.when((col(fair) > paid) & (paid < 1), F.struct(paid.alias("paid"), (col(won).cast("double") - paid).alias("profit")))
+    return F.when((col(fair) > paid) & (paid < 1), F.struct(paid.alias("paid"), F.when(col(won).cast("double") == 1, 1 / paid - 1).otherwise(-1.0).alias("profit")))
 
 
 def outcome_reason(market: Cols, saw_events: Cols, partial_only: Cols, start_ok: Cols, points: Cols, complement_ok: Cols, resolved: Cols, schedule: Cols) -> Column:

@@ -6,15 +6,13 @@ import functools
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from plumbline.functions.scalars import inv_logit, logit
 
 CLIP, TOLERANCE, STEPS = 1e-6, 1e-6, 60
-#: Rows of a group that fits in a task, at most.
-LARGE_ROWS = 1_000_000
 
 
 class FitError(ValueError):
@@ -77,119 +75,83 @@ def logistic_mle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return newton(x, np.asarray(y, float), np.zeros(x.shape[1]), ridge=1e-8, tolerance=1e-8)
 
 
-def cox_by(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", large: int = LARGE_ROWS) -> DataFrame:
-    """Slope and intercept of each group, null with the reason where there is no fit.
+def cox_by(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
+    """Slope and intercept of each group, null with the reason where there is no fit. Rows without a price or outcome take no part.
 
-    A group of up to ``large`` rows fits in a task; the larger ones are fitted
-    together by aggregates, so no task holds one. For a whole table see ``cox_table``.
+    Rows of a group with the same price and outcome are folded into one with
+    their number. Newton steps of all groups are then taken together: a step is
+    one aggregate of six sums by group, halved where the loss rose. So no task
+    holds a group, whatever its size; a row for each group goes to the driver.
     """
     schema = df.select(*by).schema.add("n", "long").add("slope", "double").add("intercept", "double").add("failure", "string")
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.dropna(subset=[p, y])
-        head = {c: [rows[c].iloc[0]] for c in by} | {"n": [len(own)]}
-        try:
-            slope, intercept = cox(own[p].to_numpy(), own[y].to_numpy())
-            return pd.DataFrame(head | {"slope": [slope], "intercept": [intercept], "failure": [None]})
-        except FitError as e:
-            return pd.DataFrame(head | {"slope": [None], "intercept": [None], "failure": [str(e)]})
-
-    rows = df.select(*by, p, y)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(*by).collect()
-    if not sizes:
-        return rows.groupBy(*by).applyInPandas(fit, schema)
-    found = _fit_large(rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*by, logit(p, CLIP).alias("__x"), F.col(y).cast("double").alias("__y")), [tuple(r) for r in sizes], by)
-    own = df.sparkSession.createDataFrame(found, schema)
-    known = df.sparkSession.createDataFrame([tuple(r) for r in sizes], df.select(*by).schema)
-    small = rows.join(known.withColumnsRenamed({c: f"__{c}" for c in by}), _same(by), "left_anti")
-    return small.groupBy(*by).applyInPandas(fit, schema).unionByName(own)
-
-
-def _same(by: Sequence[str]) -> Column:
-    return functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
-
-
-def _fit_large(rows: DataFrame, groups: list[tuple], by: Sequence[str], steps: int = 2 * STEPS) -> list[tuple]:
-    """Newton steps of all groups at once: each is one aggregate by group at the groups' own coefficients, and halved where the loss rose."""
-    spark, kind = rows.sparkSession, rows.select(*by).schema
-    whole = kind.add("a", "double").add("b", "double")
-
-    def meeting(values: list[tuple]) -> DataFrame:
-        told = spark.createDataFrame(values, whole).withColumnsRenamed({c: f"__{c}" for c in by})
-        return rows.join(F.broadcast(told), _same(by))  # a row for each group
-
-    key = lambda r: tuple(r[c] for c in by)
-    won, lost = F.when(F.col("__y") == 1, F.col("__x")), F.when(F.col("__y") == 0, F.col("__x"))
-    shape = meeting([(*g, 0.0, 0.0) for g in groups]).groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__y").alias("rate"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.min(won).alias("won_lo"), F.max(won).alias("won_hi"), F.min(lost).alias("lost_lo"), F.max(lost).alias("lost_hi"))
-    out, at, best = {g: (0, None, None, "no rows, or not as many prices as outcomes") for g in groups}, {}, {}
-    for r in shape.collect():
-        why = "one class" if r["rate"] in (0.0, 1.0) else "constant prices" if r["hi"] - r["lo"] < 1e-9 else "separable" if r["won_lo"] >= r["lost_hi"] or r["lost_lo"] >= r["won_hi"] else "no convergence"
-        out[key(r)] = (r["n"], None, None, why)
-        if why == "no convergence":
-            at[key(r)] = (float(np.log(r["rate"] / (1 - r["rate"]))), 0.0)
-    eta = F.col("a") + F.col("b") * F.col("__x")
+    keys = [f"__b{i}" for i in range(len(by))]
+    told = F.col(p).isNotNull() & F.col(y).isNotNull()
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.when(told, logit(p, CLIP)).alias("x"), F.when(told, F.col(y).cast("double")).alias("y"))
+    folded = rows.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        return df.sparkSession.createDataFrame(_fit(folded, keys), schema)
+    finally:
+        folded.unpersist()
+
+
+def _fit(folded: DataFrame, keys: Sequence[str]) -> list[tuple]:
+    """(*group, n, slope, intercept, failure) of each group of folded rows (x, y, n)."""
+    spark, own = folded.sparkSession, lambda mask: F.when(mask, F.col("x"))
+    won, lost = own(F.col("y") == 1), own(F.col("y") == 0)
+    count = F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0))
+    shape = folded.groupBy(*keys).agg(count.alias("__n"), (F.sum(F.col("y") * F.col("n")) / count).alias("rate"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(won).alias("won_lo"), F.max(won).alias("won_hi"), F.min(lost).alias("lost_lo"), F.max(lost).alias("lost_hi")).collect()
+    groups, out = [tuple(r[k] for k in keys) for r in shape], []
+    a, b, n = np.zeros(len(shape)), np.zeros(len(shape)), np.array([r["__n"] for r in shape], float)
+    for i, r in enumerate(shape):
+        why = "no rows, or not as many prices as outcomes" if not r["__n"] else "one class" if r["rate"] in (0.0, 1.0) else "constant prices" if r["hi"] - r["lo"] < 1e-9 else "separable" if r["won_lo"] >= r["lost_hi"] or r["lost_lo"] >= r["won_hi"] else None
+        out.append((int(r["__n"]), None, None, why))
+        if why is None:
+            a[i] = np.log(r["rate"] / (1 - r["rate"]))
+    open_ = np.array([o[3] is None for o in out], bool)
+    kinds = StructType([StructField(k, folded.schema[k].dataType) for k in keys] + [StructField("g", IntegerType()), StructField("a", DoubleType()), StructField("b", DoubleType())])
+    eta = F.col("a") + F.col("b") * F.col("x")
     mu = inv_logit(eta)
-    w, d = mu * (1 - mu), mu - F.col("__y")
-    loss = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("__y") * eta
-    sums = [F.sum(d), F.sum(d * F.col("__x")), F.sum(w), F.sum(w * F.col("__x")), F.sum(w * F.col("__x") * F.col("__x")), F.sum(loss)]
-    for _ in range(steps):
-        if not at:
+    w, d = F.col("n") * mu * (1 - mu), F.col("n") * (mu - F.col("y"))
+    loss = F.col("n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("y") * eta)
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate((d, d * F.col("x"), w, w * F.col("x"), w * F.col("x") * F.col("x"), loss))]
+    a0, b0, best = a.copy(), b.copy(), np.full(len(a), np.inf)
+    for _ in range(2 * STEPS):
+        on = np.flatnonzero(open_)
+        if not len(on):
             break
-        for r in meeting([(*g, *v) for g, v in at.items()]).groupBy(*by).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).collect():
-            g, (g0, g1, h0, h1, h2, now) = key(r), (r[f"s{i}"] for i in range(6))
-            a, b = at[g]
-            if g in best and now > best[g][2] * (1 + 1e-12):  # the step was too long
-                (a0, b0, _), at[g] = best[g], ((best[g][0] + a) / 2, (best[g][1] + b) / 2)
-                if max(abs(a - a0), abs(b - b0)) < 1e-12:
-                    del at[g]
+        at = spark.createDataFrame([(*groups[i], int(i), float(a[i]), float(b[i])) for i in on], kinds) if keys else None
+        meeting = folded.where("x is not null")
+        if keys:
+            meeting = meeting.join(F.broadcast(at.withColumnsRenamed({k: f"{k}_" for k in keys})), _same(keys))  # a row for each group
+        else:
+            meeting = meeting.withColumns({"g": F.lit(0), "a": F.lit(float(a[0])), "b": F.lit(float(b[0]))})
+        for r in meeting.groupBy("g").agg(*sums).collect():
+            i, (g0, g1, h0, h1, h2, now) = r["g"], (r[f"s{j}"] for j in range(6))
+            if not now <= best[i] * (1 + 1e-12):  # the step was too long
+                a[i], b[i] = (a0[i] + a[i]) / 2, (b0[i] + b[i]) / 2
+                if max(abs(a[i] - a0[i]), abs(b[i] - b0[i])) < 1e-12:
+                    open_[i], out[i] = False, (out[i][0], None, None, "no convergence")
                 continue
-            best[g], n, det = (a, b, now), out[g][0], h0 * h2 - h1 * h1
-            if max(abs(g0), abs(g1)) < 1e-9 * n:
-                out[g] = (n, b, a, None)
-                del at[g]
-            elif det <= 1e-12 * max(1.0, h0 * h2) or max(abs(a), abs(b)) > 1e4:
-                out[g] = (n, None, None, "diverges")
-                del at[g]
+            a0[i], b0[i], best[i], det = a[i], b[i], now, h0 * h2 - h1 * h1
+            if max(abs(g0), abs(g1)) < TOLERANCE * max(1.0, n[i] ** 0.5):
+                open_[i], out[i] = False, (out[i][0], float(b[i]), float(a[i]), None)
+            elif det <= 1e-12 * max(1.0, h0 * h2) or max(abs(a[i]), abs(b[i])) > 1e4:
+                open_[i], out[i] = False, (out[i][0], None, None, "diverges")
             else:
-                at[g] = (a - (h2 * g0 - h1 * g1) / det, b - (h0 * g1 - h1 * g0) / det)
-    return [(*g, *v) for g, v in out.items()]
+                a[i], b[i] = a[i] - (h2 * g0 - h1 * g1) / det, b[i] - (h0 * g1 - h1 * g0) / det
+    return [(*g, *((o[0], None, None, "no convergence") if open_[i] else o)) for i, (g, o) in enumerate(zip(groups, out, strict=True))]
 
 
-def cox_table(df: DataFrame, p: str = "p", y: str = "y", tolerance: float = 1e-8, steps: int = STEPS) -> tuple[float, float]:
-    """Slope and intercept of a table of any size: each step is one aggregate of five sums over it.
+def _same(keys: Sequence[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
 
-    A step that doesn't lower the loss is halved. The table is read once a step,
-    so cache or write it where reading it is costly.
-    """
-    # a bound that clips would stand in for a null
-    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(logit(p, CLIP).alias("x"), F.col(y).cast("double").alias("y"))
-    n, rate, low, high = rows.agg(F.count("x"), F.avg("y"), F.min("x"), F.max("x")).first()
-    if not n or rate in (0.0, 1.0) or high - low < 1e-9:
-        raise FitError("no rows, one class or constant prices")
-
-    def at(a: float, b: float) -> tuple[float, ...]:
-        eta = F.lit(a) + F.lit(b) * F.col("x")
-        mu = inv_logit(eta)
-        w, r = mu * (1 - mu), mu - F.col("y")
-        loss = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("y") * eta
-        return tuple(rows.agg(F.sum(r), F.sum(r * F.col("x")), F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x")), F.sum(loss)).first())
-
-    a, b = float(np.log(rate / (1 - rate))), 0.0
-    g0, g1, h0, h1, h2, loss = at(a, b)
-    for _ in range(steps):
-        if max(abs(g0), abs(g1)) < tolerance * n:
-            return b, a
-        det = h0 * h2 - h1 * h1
-        if det <= 1e-12 * max(1.0, h0 * h2):
-            raise FitError("separable")
-        da, db, share = (h2 * g0 - h1 * g1) / det, (h0 * g1 - h1 * g0) / det, 1.0
-        while (new := at(a - share * da, b - share * db))[-1] > loss and share > 1e-8:
-            share /= 2
-        a, b = a - share * da, b - share * db
-        if abs(a) > 1e4 or abs(b) > 1e4:
-            raise FitError("diverges")
-        g0, g1, h0, h1, h2, loss = new
-    raise FitError("no convergence")
+
+def cox_table(df: DataFrame, p: str = "p", y: str = "y") -> tuple[float, float]:
+    """Slope and intercept of a table of any size; raises FitError where ``cox_by`` tells a reason."""
+    found = cox_by(df, [], p, y).first()
+    if found is None or found["failure"]:
+        raise FitError(found["failure"] if found else "no rows")
+    return found["slope"], found["intercept"]
 
 
 def recalibrated(df: DataFrame, slope: float, intercept: float, p: str = "p", out: str = "p_recal") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from plumbline.operators.cox import CLIP, cox_by
 from plumbline.operators.features import neutral
 from plumbline.operators.outcomes import KEY
 from plumbline.operators.scores import global_rank
+from plumbline.schemas import COST_GRID, DECIDING_COST
 
 SEASON = ("sport", "season")
 
@@ -103,11 +103,12 @@ def write_sorted(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def split_prize(rows: DataFrame, order: Sequence[str], date: str, half_spread: float, fee: float, reps: int = 2000, seed: int = 0, stratum: str = "liquidity", p: str = "p", y: str = "y") -> DataFrame:
-    """What a recalibration learned on the first half of each stratum earns on the second, betting either side.
+def split_prize(rows: DataFrame, order: Sequence[str], date: str, costs: Sequence[tuple[float, float]] = COST_GRID, reps: int = 2000, seed: int = 0, stratum: str = "liquidity", p: str = "p", y: str = "y") -> DataFrame:
+    """What a recalibration learned on the first half of each stratum earns on the second, betting one unit on either side, at each half spread and fee.
 
-    One row: bets, roi (mean profit of a bet), its 90 % interval over resampled
-    dates, and dates with a bet. Without a bet all but the counts are null.
+    A row for each cost: bets, roi (mean profit of a bet), its 90 % interval over
+    resampled dates, dates with a bet, and whether it is the cell that decides.
+    Without a bet all but the counts are null.
     """
     sound = rows.where((F.col(p) > 0) & (F.col(p) < 1) & F.col(y).isNotNull() & F.col(stratum).isNotNull())
     ranked = global_rank(sound, list(order), by=[stratum]).withColumn("first", F.col("rank") < F.floor(F.col("total") / 2))
@@ -115,17 +116,17 @@ def split_prize(rows: DataFrame, order: Sequence[str], date: str, half_spread: f
     later = ranked.where("not first").join(fits, F.col(stratum) == F.col("__s"))  # a row for each stratum
     fair = inv_logit(F.col("intercept") + F.col("slope") * logit(p, CLIP))
     sides = F.array(F.struct(F.col(p).alias("paid"), fair.alias("fair"), (F.col(y) == 1).alias("won")), F.struct((1 - F.col(p)).alias("paid"), (1 - fair).alias("fair"), (F.col(y) == 0).alias("won")))
-    bets = later.select(F.col(date).cast("string").alias("d"), F.inline(sides)).withColumn("bet", settled_bet("paid", "fair", "won", F.lit(half_spread), F.lit(fee))).where("bet is not null")
-    days = bets.groupBy("d").agg(F.sum("bet.profit").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
-    found = days.agg(F.sum("n").cast("long").alias("bets"), (F.sum("s") / F.sum("n")).alias("roi"), F.count(F.lit(1)).alias("dates")).first()
-    empty = rows.sparkSession.createDataFrame([(found["bets"] or 0, found["roi"], found["dates"])], "bets long, roi double, dates long")
-    if not found["dates"]:
-        return empty.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
-    s = resample.sample_of(days, "d", "s", "n")
-
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        at = rng.integers(0, len(s["d"]), len(s["d"]))
-        return {"roi": s["s"][at].sum() / s["n"][at].sum()}
-
-    drawn = resample.replicate(rows.sparkSession, reps, seed, one, ["roi"])
-    return empty.crossJoin(drawn.agg(F.percentile("roi", 0.05).alias("lo"), F.percentile("roi", 0.95).alias("hi")))
+    grid = rows.sparkSession.createDataFrame([(float(h), float(f)) for h, f in costs], "half_spread double, fee double")
+    cell = ["half_spread", "fee"]
+    # the costs are a fixed few
+    bets = later.select(F.col(date).cast("string").alias("d"), F.inline(sides)).crossJoin(F.broadcast(grid)).withColumn("bet", settled_bet("paid", "fair", "won", *cell)).where("bet is not null").select(*cell, "d", F.col("bet.profit").alias("profit")).persist()
+    try:
+        found = bets.groupBy(*cell).agg(F.count(F.lit(1)).alias("bets"), F.avg("profit").alias("roi"), F.count_distinct("d").alias("dates")).collect()
+        known = rows.sparkSession.createDataFrame([tuple(r) for r in found], "half_spread double, fee double, bets long, roi double, dates long")
+        out = grid.join(known, cell, "left").select(*cell, F.coalesce("bets", F.lit(0)).alias("bets"), "roi", F.coalesce("dates", F.lit(0)).alias("dates"), ((F.col("half_spread") == DECIDING_COST[0]) & (F.col("fee") == DECIDING_COST[1])).alias("decides"))
+        if not found:
+            return out.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+        drawn = resample.dated_means(bets, "profit", "d", cell, reps, seed)
+        return out.join(drawn.groupBy(*cell).agg(F.percentile("mean", 0.05).alias("lo"), F.percentile("mean", 0.95).alias("hi")), cell, "left")
+    finally:
+        bets.unpersist()

@@ -1,40 +1,44 @@
-"""Bootstraps, null simulations and permutations: replicates are rows of a DataFrame, spread over tasks.
-
-Each replicate draws from its own child of one seed, so results don't hang on
-how replicates are dealt out. The sample itself travels with the task: it is one
-analysis frame, checked against ``SAMPLE_ROWS``.
+"""Bootstraps, null simulations and permutations by weights that each row draws for itself.
+
+A sample is folded into units: rows of a group with the same price and outcome
+(and the same cluster, if clusters are drawn) are one, with their number. In
+each replicate a unit counts a Poisson number of times; where clusters are drawn
+the cluster's number holds for all its units. The numbers come from a
+counter-based generator whose key is the seed and the unit (or cluster), so
+they are the same wherever and in whatever order units are met, and no sample
+travels: a task makes the weights of the units that it reads and hands on a few
+sums for each replicate. What comes to the driver is a row for each group and
+replicate, whatever the size of the sample.
+
+The number of rows of a replicate so varies by about its square root around
+that of the sample; rates, slopes and gaps are those of the rows drawn.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
-from plumbline.operators.cox import FitError, cox
+from plumbline.functions.scalars import logit
+from plumbline.operators.cox import CLIP, STEPS, TOLERANCE
 
-#: Rows of a sample that travel to each task, at most.
-SAMPLE_ROWS = 2_000_000
 #: Share of replicates without a fit above which a result is refused.
 FAILURES = 0.01
-
-
-def sample_of(df: DataFrame, *columns: str) -> dict[str, np.ndarray]:
-    """The columns as arrays, in canonical order of the rows."""
-    rows = df.select(*columns).dropna().limit(SAMPLE_ROWS + 1).toPandas()
-    if len(rows) > SAMPLE_ROWS:
-        raise ValueError("the sample is too large to be resampled in a task")
-    if not len(rows):
-        raise ValueError("no rows")
-    rows = rows.sort_values(list(columns), kind="stable")
-    return {c: rows[c].to_numpy() for c in columns}
+#: Units whose weights a task holds at a time.
+HELD_UNITS = 256
+#: Ranges of prices for bins of equal counts, at least.
+RANGES = 8
 
 
 def replicate(spark: SparkSession, reps: int, seed: int, statistic: Callable[[np.random.Generator], dict[str, float]], names: Sequence[str]) -> DataFrame:
-    """``rep`` and the named statistics of each replicate."""
+    """``rep`` and the named statistics of each replicate, for statistics of a few numbers that travel with the tasks."""
     schema = "rep long, " + ", ".join(f"{n} double" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,102 +53,284 @@ def replicate(spark: SparkSession, reps: int, seed: int, statistic: Callable[[np
     return spark.range(0, reps, 1, tasks).mapInPandas(run, schema)
 
 
-def intervals(replicates: DataFrame, names: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """name, lo, hi, mean, failures: NaN replicates count as failures and too many are refused."""
-    out = None
-    for n in names:
-        value = F.when(~F.isnan(n), F.col(n))
-        one = replicates.agg(F.lit(n).alias("name"), F.percentile(value, alpha / 2).alias("lo"), F.percentile(value, 1 - alpha / 2).alias("hi"), F.avg(value).alias("mean"), (F.count(F.lit(1)) - F.count(value)).alias("failures"), F.count(F.lit(1)).alias("reps"))
-        out = one if out is None else out.unionByName(one)
+def intervals(replicates: DataFrame, names: Sequence[str], alpha: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """By group: name, lo, hi, mean, failures and reps. NaN replicates count as failures, and too many are refused."""
+    each = replicates.select(*by, F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("__v")) for n in names))))
+    value = F.when(~F.isnan("__v"), F.col("__v"))
+    out = each.groupBy(*by, "name").agg(F.percentile(value, alpha / 2).alias("lo"), F.percentile(value, 1 - alpha / 2).alias("hi"), F.avg(value).alias("mean"), (F.count(F.lit(1)) - F.count(value)).alias("failures"), F.count(F.lit(1)).alias("reps"))
     refused = F.when(F.col("failures") > FAILURES * F.col("reps"), F.raise_error(F.lit("too many replicates have no fit")).cast("double")).otherwise(F.col("lo"))
     return out.withColumn("lo", refused)
 
 
-def _cox(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    try:
-        return cox(p, y)
-    except FitError:
-        return float("nan"), float("nan")
-
-
-def _ece(p: np.ndarray, y: np.ndarray, bins: int) -> tuple[float, float]:
-    order = np.argsort(p, kind="stable")
-    edges = np.linspace(0, len(p), bins + 1).astype(int)
-    parts = [(b - a, abs(p[order[a:b]].mean() - y[order[a:b]].mean())) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-    return sum(n * g for n, g in parts) / len(p), max(g for _, g in parts)
-
-
-def bootstrap_scalars(df: DataFrame, reps: int = 2000, seed: int = 0, bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
-    """Replicates of ECE, Brier score, slope and intercept over resampled games."""
-    s = sample_of(df, p, y)
-
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        at = rng.integers(0, len(s[p]), len(s[p]))
-        a, b = s[p][at], s[y][at]
-        slope, intercept = _cox(a, b)
-        return {"ece": _ece(a, b, bins)[0], "brier": np.mean((a - b) ** 2), "slope": slope, "intercept": intercept}
-
-    return replicate(df.sparkSession, reps, seed, one, ["ece", "brier", "slope", "intercept"])
+def weights(keys: np.ndarray, rates: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """How often each unit (row) counts in each replicate (column): Poisson numbers of its rate, drawn by its own key."""
+    out = np.empty((len(keys), reps))
+    for i, (key, rate) in enumerate(zip(keys.astype(np.int64).view(np.uint64).tolist(), rates.tolist(), strict=True)):
+        out[i] = np.random.Generator(np.random.Philox(key=np.array([seed, key], np.uint64))).poisson(rate, reps)
+    return out
+
+
+class Units:
+    """A sample folded into units, with its groups numbered; ``close`` gives up what is held of it."""
+
+    def __init__(self, df: DataFrame, by: Sequence[str], reps: int, seed: int, cluster: Sequence[str] = (), rate: Column | None = None, p: str = "p", y: str = "y"):
+        """``rate``: how often a row counts on the average, instead of once; such rows aren't clusters'."""
+        if reps < 1:
+            raise ValueError("no replicates")
+        self.spark, self.by, self.reps, self.seed = df.sparkSession, list(by), reps, seed
+        rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(cluster)), F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y"), (F.lit(1.0) if rate is None else rate.cast("double")).alias("rate"))
+        groups, clusters = [f"__b{i}" for i in range(len(by))], [f"__c{i}" for i in range(len(cluster))]
+        told = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (clusters or [*groups, "p", "y"])]
+        folded = rows.groupBy(*groups, *clusters, "p", "y").agg(F.sum("rate").alias("rate"))
+        drawn, times = (F.lit(1.0), F.col("rate")) if clusters else (F.col("rate"), F.lit(1.0))
+        own = folded.select(*groups, F.xxhash64(*told).alias("key"), "p", "y", logit("p", CLIP).alias("x"), drawn.alias("rate"), times.alias("times")).persist()
+        self.held = [own]
+        schema = StructType()
+        for i, c in enumerate(by):
+            schema = schema.add(f"__b{i}", df.schema[c].dataType)
+        self.kind = StructType([df.schema[c] for c in by])
+        self.groups = sorted((tuple(r) for r in own.select(*groups).distinct().collect()), key=lambda g: [(v is not None, v) for v in g]) if by else [()] * (not own.isEmpty())
+        if not self.groups:
+            raise ValueError("no rows")
+        if by:
+            told = self.spark.createDataFrame([(*g, i) for i, g in enumerate(self.groups)], schema.add("g", "integer")).withColumnsRenamed({c: f"{c}_" for c in groups})
+            same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in groups))
+            own = own.join(F.broadcast(told), same)  # a row for each group
+        else:
+            own = own.withColumn("g", F.lit(0))
+        self.rows = own.select("g", "key", "p", "y", "x", "rate", "times")
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+    def __enter__(self) -> Units:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def frame(self, columns: dict[str, np.ndarray]) -> DataFrame:
+        """The group, ``rep`` and statistics of every group and replicate; arrays are (groups, replicates)."""
+        rows = [(*g, r, *(float(v[i, r]) for v in columns.values())) for i, g in enumerate(self.groups) for r in range(self.reps)]
+        schema = functools.reduce(lambda s, c: s.add(c, DoubleType()), columns, StructType([*self.kind.fields]).add("rep", LongType()))
+        return self.spark.createDataFrame(rows, schema)
+
+
+def _weighted(batch: pa.RecordBatch | pa.Table, reps: int, seed: int, some: np.ndarray | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns and weights of a few units at a time, of ``some`` of the replicates."""
+    for at in range(0, batch.num_rows, HELD_UNITS):
+        part = batch.slice(at, HELD_UNITS)
+        columns = {n: part[n].to_numpy() if isinstance(part, pa.Table) else part[n].to_numpy(zero_copy_only=False) for n in part.schema.names}
+        w = weights(columns["key"], columns["rate"], reps, seed) * columns["times"][:, None]
+        yield columns, w if some is None else w[:, some]
+
+
+def _sums(units: Units, of: Callable[[int, dict[str, np.ndarray], np.ndarray], np.ndarray], names: Sequence[str], how: Sequence[Callable[[str], Column]]) -> np.ndarray:
+    """(statistic, group, replicate) of what ``of`` makes of a group's units: an array (statistic, replicate) each, reduced in the tasks and then by ``how``."""
+    groups, reps, seed = len(units.groups), units.reps, units.seed
+    numpy_how = [{"sum": np.add, "min": np.fmin, "max": np.fmax}[h.__name__] for h in how]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for columns, w in _weighted(batch, reps, seed):
+                for g in np.unique(columns["g"]).tolist():
+                    at = columns["g"] == g
+                    new = of(g, {n: v[at] for n, v in columns.items()}, w[at])
+                    found[g] = new if g not in found else np.stack([f(a, b) for f, a, b in zip(numpy_how, found[g], new, strict=True)])
+        for g, values in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(reps, g, np.int32)), pa.array(np.arange(reps)), *(pa.array(v, from_pandas=True) for v in values)], names=["g", "rep", *names])
+
+    schema = "g int, rep long, " + ", ".join(f"{n} double" for n in names)
+    rows = units.rows.mapInArrow(run, schema).groupBy("g", "rep").agg(*(h(n).alias(n) for h, n in zip(how, names, strict=True))).toArrow()  # a row for each group and replicate
+    out = np.full((len(names), groups, reps), np.nan)
+    out[:, rows["g"].to_numpy(), rows["rep"].to_numpy()] = [rows[c].to_numpy() for c in names]
+    return out
+
+
+_SHAPE = {"n": F.sum, "won": F.sum, "loss2": F.sum, "won_lo": F.min, "won_hi": F.max, "lost_lo": F.min, "lost_hi": F.max}
+
+
+def _shape(_: int, c: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Weight, weight of wins, weighted squared error, and the ranges of x where won and where lost."""
+    met, x, won = w > 0, c["x"][:, None], c["y"][:, None] == 1
+    edge = lambda mask, f, empty: f(np.where(mask, x, empty), axis=0)
+    finite = lambda v: np.where(np.isfinite(v), v, np.nan)
+    return np.stack([w.sum(0), c["y"] @ w, (c["p"] - c["y"]) ** 2 @ w, *(finite(edge(met & side, f, e)) for side in (won, ~won) for f, e in ((np.min, np.inf), (np.max, -np.inf)))])
+
+
+def shape_of(units: Units) -> dict[str, np.ndarray]:
+    return dict(zip(_SHAPE, _sums(units, _shape, list(_SHAPE), list(_SHAPE.values())), strict=True))
+
+
+def fits(units: Units, shape: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and intercept of each group and replicate; NaN where the rows drawn don't determine a fit.
+
+    All replicates take their Newton steps together: a step is one aggregate of
+    six sums for each. A step that raises the loss is halved.
+    """
+    n, won = shape["n"], shape["won"]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rate = won / n
+        span = np.fmax(shape["won_hi"], shape["lost_hi"]) - np.fmin(shape["won_lo"], shape["lost_lo"])
+        sound = (n > 0) & (rate > 0) & (rate < 1) & (span >= 1e-9) & (shape["won_lo"] < shape["lost_hi"]) & (shape["lost_lo"] < shape["won_hi"])
+        a, b = np.where(sound, np.log(rate / (1 - rate)), np.nan), np.where(sound, 0.0, np.nan)
+    open_, done = sound.copy(), np.zeros_like(sound)
+    a0, b0, best = a.copy(), b.copy(), np.full(a.shape, np.inf)
+    for _ in range(2 * STEPS):
+        if not open_.any():
+            break
+        now_a, now_b, on = a.copy(), b.copy(), open_.copy()
+
+        def step(g: int, c: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
+            some = np.flatnonzero(on[g])
+            out = np.full((6, w.shape[1]), 0.0)
+            if len(some):
+                x, y, w = c["x"], c["y"], w[:, some]
+                eta = now_a[g, some] + x[:, None] * now_b[g, some]
+                mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                r, v = w * (mu - y[:, None]), w * mu * (1 - mu)
+                loss = w * (np.logaddexp(0.0, eta) - y[:, None] * eta)
+                out[:, some] = r.sum(0), x @ r, v.sum(0), x @ v, (x * x) @ v, loss.sum(0)
+            return out
+
+        g0, g1, h0, h1, h2, loss = _sums(units, step, [f"s{i}" for i in range(6)], [F.sum] * 6)
+        worse = on & ~(loss <= best * (1 + 1e-12))
+        a, b = np.where(worse, (a0 + a) / 2, a), np.where(worse, (b0 + b) / 2, b)
+        open_ &= ~(worse & (np.maximum(abs(a - a0), abs(b - b0)) < 1e-12))
+        fine = on & ~worse
+        a0, b0, best = np.where(fine, a, a0), np.where(fine, b, b0), np.where(fine, loss, best)
+        met = fine & (np.maximum(abs(g0), abs(g1)) < TOLERANCE * np.maximum(1.0, np.sqrt(n)))
+        done |= met
+        det = h0 * h2 - h1 * h1
+        lost = fine & ~met & ((det <= 1e-12 * np.maximum(1.0, h0 * h2)) | (np.maximum(abs(a), abs(b)) > 1e4))
+        open_ &= ~(met | lost)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            go = open_ & fine
+            a, b = np.where(go, a - (h2 * g0 - h1 * g1) / det, a), np.where(go, b - (h0 * g1 - h1 * g0) / det, b)
+    return np.where(done, b0, np.nan), np.where(done, a0, np.nan)
+
+
+def bin_gaps(units: Units, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """ECE and largest gap of bins of equal counts, by group and replicate.
+
+    Prices are dealt into ranges; the weights of the ranges before a range say
+    where its units stand in each replicate. Units of one price share what a
+    bin's edge cuts off them in proportion, as rows in random order do on the
+    average. Not for drawn clusters, whose units of one price may be many.
+    """
+    spark, reps, seed = units.spark, units.reps, units.seed
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(units.rows.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], F.lit(20 * ranges))).first()[0] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col("p"))) if edges else F.lit(0)
+    rows = units.rows.withColumn("part", place)
+
+    def total(rows: pa.Table) -> pa.Table:
+        sums = sum(w.sum(0) for _, w in _weighted(rows, reps, seed))
+        return pa.table({"g": rows["g"][:1], "part": rows["part"][:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    def before(rows: pa.Table) -> pa.Table:
+        """For each range of a group the weight of the ranges before it, and of all."""
+        rows = rows.sort_by("part")
+        sums = np.stack([np.frombuffer(x) for x in rows["sums"].to_pylist()])
+        upto, n = np.cumsum(sums, axis=0), sums.sum(axis=0).tobytes()
+        return pa.table({"g": rows["g"], "part": rows["part"], "before": pa.array([(u - own).tobytes() for u, own in zip(upto, sums, strict=True)], pa.binary()), "n": pa.array([n] * len(sums), pa.binary())})
+
+    def share(rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows = rows.sort_by("p")
+        upto, n = (np.frombuffer(told[c][0].as_py()) for c in ("before", "n"))
+        cuts, out = np.floor(n * np.arange(bins + 1)[:, None] / bins), np.zeros((bins, 3, reps))
+        prices = rows["p"].to_numpy()
+        starts = np.append(np.flatnonzero(np.concatenate([[True], prices[1:] != prices[:-1]])), len(prices))
+        at = 0
+        while at < len(starts) - 1:  # whole prices only, a few at a time
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + HELD_UNITS, side="right")) - 1)
+            parts = list(_weighted(rows.slice(starts[at], starts[to] - starts[at]), reps, seed))
+            w, y = np.concatenate([w for _, w in parts]), np.concatenate([c["y"] for c, _ in parts])
+            first = starts[at:to] - starts[at]
+            size, won = np.add.reduceat(w, first), np.add.reduceat(w * y[:, None], first)
+            ends, rate = upto + np.cumsum(size, axis=0), np.divide(won, size, out=np.zeros_like(won), where=size > 0)
+            for k in range(bins):
+                inside = np.maximum(np.minimum(ends, cuts[k + 1]) - np.maximum(ends - size, cuts[k]), 0.0)
+                out[k] += inside.sum(0), prices[starts[at:to]] @ inside, (rate * inside).sum(0)
+            at, upto = to, ends[-1]
+        k, r = np.divmod(np.arange(bins * reps), reps)
+        return pa.table({"g": np.full(len(k), rows["g"][0].as_py(), np.int32), "rep": r, "bin": k.astype(np.int32), **{name: out[:, i].ravel() for i, name in enumerate(("n", "p", "won"))}})
+
+    told = rows.groupBy("g", "part").applyInArrow(total, "g int, part int, sums binary").groupBy("g").applyInArrow(before, "g int, part int, before binary, n binary")
+    parts = rows.groupBy("g", "part").cogroup(told.groupBy("g", "part")).applyInArrow(share, "g int, rep long, bin int, n double, p double, won double")
+    sums = parts.groupBy("g", "rep", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "p", "won"))).where("n > 0")
+    gap = F.abs(F.col("p") - F.col("won"))
+    found = sums.groupBy("g", "rep").agg((F.sum(gap) / F.sum("n")).alias("ece"), F.max(gap / F.col("n")).alias("worst")).toArrow()
+    out = np.full((2, len(units.groups), reps), np.nan)
+    out[:, found["g"].to_numpy(), found["rep"].to_numpy()] = [found[c].to_numpy() for c in ("ece", "worst")]
+    return out[0], out[1]
+
+
+def bootstrap_scalars(df: DataFrame, reps: int = 2000, seed: int = 0, bins: int = 10, p: str = "p", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """By group, replicates of ECE, Brier score, slope and intercept over resampled rows. Rows without a price or outcome take no part; none at all is an error."""
+    with Units(df, by, reps, seed, p=p, y=y) as units:
+        shape = shape_of(units)
+        slope, intercept = fits(units, shape)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return units.frame({"ece": bin_gaps(units, bins)[0], "brier": shape["loss2"] / shape["n"], "slope": slope, "intercept": intercept})
 
 
 def bootstrap_curve(df: DataFrame, edges: Sequence[float], reps: int = 2000, seed: int = 0, alpha: float = 0.05, p: str = "p", y: str = "y") -> DataFrame:
     """Bands of the observed rate in bins by fixed edges; a bin that a replicate leaves empty is none of its rows."""
-    s = sample_of(df, p, y)
-    n = len(edges) + 1
-
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        at = rng.integers(0, len(s[p]), len(s[p]))
-        place = np.searchsorted(edges, s[p][at], side="right")
-        count, won = np.bincount(place, minlength=n), np.bincount(place, s[y][at], n)
-        return {f"b{i}": won[i] / count[i] if count[i] else float("nan") for i in range(n)}
-
-    names = [f"b{i}" for i in range(n)]
-    values = F.inline(F.array(*(F.struct(F.lit(i).alias("bin"), F.col(x).alias("rate")) for i, x in enumerate(names))))
-    rows = replicate(df.sparkSession, reps, seed, one, names).select(values).where("not isnan(rate)")
-    return rows.groupBy("bin").agg(F.percentile("rate", alpha / 2).alias("lo"), F.percentile("rate", 1 - alpha / 2).alias("hi"))
+    place = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e <= F.col(p)))
+    with Units(df.withColumn("bin", place), ["bin"], reps, seed, p=p, y=y) as units:
+        shape = shape_of(units)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rates = units.frame({"rate": shape["won"] / shape["n"]}).where("not isnan(rate)")
+    return rates.groupBy("bin").agg(F.percentile("rate", alpha / 2).alias("lo"), F.percentile("rate", 1 - alpha / 2).alias("hi"))
+
+
+def simulate_nulls(df: DataFrame, sizes: Sequence[tuple[str, int]], pool: str = "sport", whole: str = "all", reps: int = 4000, bins: int = 10, seed: int = 7, p: str = "p") -> DataFrame:
+    """Replicates of the statistics if prices were true, for each (pool, n) of ``sizes``: n prices of the pool on the average, outcomes drawn from them.
+
+    A pool is a value of the column ``pool``, and ``whole`` is all rows. A price
+    is drawn a Poisson number of times with either outcome, each in proportion
+    to its chance. A pool without rows is an error.
+    """
+    prices = df.where(F.col(p).isNotNull()).groupBy(F.col(pool).cast("string").alias("pool"), F.col(p).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("m"))
+    counts = {r["pool"]: r["n"] for r in prices.groupBy("pool").agg(F.sum("m").alias("n")).collect()}
+    counts[whole] = sum(counts.values())
+    if absent := [name for name, _ in sizes if not counts.get(name)]:
+        raise ValueError(f"no rows of {absent}")
+    told = df.sparkSession.createDataFrame([(name, int(n), n / counts[name]) for name, n in sizes], "__pool string, n long, share double")
+    met = prices.join(F.broadcast(told), (F.col("pool") == F.col("__pool")) | (F.col("__pool") == whole))  # a row for each size
+    rate = F.col("share") * F.col("m") * F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
+    rows = met.select(F.col("__pool").alias("pool"), "n", "p", "m", "share", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("y"))
+    with Units(rows, ["pool", "n"], reps, seed, rate=rate) as units:
+        slope, intercept = fits(units, shape_of(units))
+        ece, worst = bin_gaps(units, bins)
+        return units.frame({"ece": ece, "max_bin_dev": worst, "slope": slope, "intercept": intercept})
 
 
 def simulate_null(df: DataFrame, n: int, reps: int = 4000, bins: int = 10, seed: int = 7, p: str = "p") -> DataFrame:
-    """Replicates of the statistics if prices were true: n prices drawn from the pool, outcomes drawn from them."""
-    pool = sample_of(df, p)[p]
+    """``simulate_nulls`` of one size, from all rows."""
+    return simulate_nulls(df.withColumn("__all", F.lit("")), [("all", n)], "__all", "all", reps, bins, seed, p).drop("pool", "n")
 
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        a = rng.choice(pool, n)
-        b = (rng.random(n) < a).astype(float)
-        slope, intercept = _cox(a, b)
-        ece, worst = _ece(a, b, bins)
-        return {"ece": ece, "max_bin_dev": worst, "slope": slope, "intercept": intercept}
 
-    return replicate(df.sparkSession, reps, seed, one, ["ece", "max_bin_dev", "slope", "intercept"])
+def _difference(df: DataFrame, by: Sequence[str], level: str, low: str, high: str, reps: int, seed: int, p: str, y: str, cluster: Sequence[str] = ()) -> DataFrame:
+    """By group and replicate, slope(low) - slope(high): null where a stratum is absent, NaN where one has no fit."""
+    with Units(df.where(F.col(level).isin(low, high)), [*by, level], reps, seed, cluster, p=p, y=y) as units:
+        slopes = units.frame({"slope": fits(units, shape_of(units))[0]})
+    of = lambda k: F.max(F.when(F.col(level) == k, F.col("slope")))
+    return slopes.groupBy(*by, "rep").agg((of(low) - of(high)).alias("difference"))
 
 
 def slope_difference(low: DataFrame, high: DataFrame, reps: int = 4000, seed: int = 0, p: str = "p", y: str = "y") -> DataFrame:
     """Replicates of slope(low) - slope(high), each stratum resampled by itself."""
-    a, b = sample_of(low, p, y), sample_of(high, p, y)
-
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        i, j = rng.integers(0, len(a[p]), len(a[p])), rng.integers(0, len(b[p]), len(b[p]))
-        return {"difference": _cox(a[p][i], a[y][i])[0] - _cox(b[p][j], b[y][j])[0]}
-
-    return replicate(low.sparkSession, reps, seed, one, ["difference"])
+    both = low.select(F.lit("low").alias("__s"), p, y).unionByName(high.select(F.lit("high").alias("__s"), p, y))
+    return _difference(both, [], "__s", "low", "high", reps, seed, p, y)
 
 
 def slope_differences(df: DataFrame, by: str, level: str, low: str, high: str, reps: int = 4000, seed: int = 0, p: str = "p", y: str = "y") -> DataFrame:
-    """``slope_difference`` of every group at once: ``by``, rep and difference. A group that lacks a stratum has NaN."""
-    s = sample_of(df.where(F.col(level).isin(low, high)), by, level, p, y)
-    groups = sorted(set(s[by].tolist()))
-    own = [[np.flatnonzero((s[by] == g) & (s[level] == k)) for k in (low, high)] for g in groups]
-
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        out = {}
-        for n, sides in enumerate(own):
-            drawn = [x[rng.integers(0, len(x), len(x))] if len(x) else x for x in sides]
-            a, b = (_cox(s[p][at], s[y][at])[0] for at in drawn)
-            out[f"g{n}"] = a - b
-        return out
-
-    found = replicate(df.sparkSession, reps, seed, one, [f"g{n}" for n in range(len(groups))])
-    return found.select("rep", F.inline(F.array(*(F.struct(F.lit(g).alias(by), F.col(f"g{n}").alias("difference")) for n, g in enumerate(groups)))))
+    """``slope_difference`` of every group at once: ``by``, rep and difference. A group that lacks a stratum has nulls."""
+    return _difference(df, [by], level, low, high, reps, seed, p, y)
 
 
 def achieved_level(replicates: DataFrame, observed: float, name: str = "difference") -> DataFrame:
@@ -156,16 +342,7 @@ def achieved_level(replicates: DataFrame, observed: float, name: str = "differen
 
 def cluster_slope_difference(df: DataFrame, level: str, cluster: str, low: str, high: str, reps: int = 4000, seed: int = 0, p: str = "p", y: str = "y") -> DataFrame:
     """As ``slope_difference``, but whole clusters are drawn, with all their rows of both strata."""
-    s = sample_of(df.withColumn("__c", F.col(cluster).cast("string")).where(F.col(level).isin(low, high)), "__c", level, p, y)
-    _, member = np.unique(s["__c"], return_inverse=True)
-    rows = [np.flatnonzero(member == i) for i in range(member.max() + 1)]
-
-    def one(rng: np.random.Generator) -> dict[str, float]:
-        at = np.concatenate([rows[i] for i in rng.integers(0, len(rows), len(rows))])
-        own = {k: at[s[level][at] == k] for k in (low, high)}
-        return {"difference": _cox(s[p][own[low]], s[y][own[low]])[0] - _cox(s[p][own[high]], s[y][own[high]])[0]}
-
-    return replicate(df.sparkSession, reps, seed, one, ["difference"])
+    return _difference(df, [], level, low, high, reps, seed, p, y, [cluster])
 
 
 def stationary_blocks(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
@@ -177,25 +354,62 @@ def stationary_blocks(n: int, mean_block: float, rng: np.random.Generator) -> np
     return (start[np.maximum.accumulate(np.where(fresh, np.arange(n), 0))] + run) % n
 
 
+def daily_sums(df: DataFrame, value: str, date: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of a value's rows on each date, in order: two numbers a date, which travel with the tasks that draw dates."""
+    days = df.where(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(F.col(date).cast("string").alias("d")).agg(F.sum(value).alias("s"), F.count(value).cast("double").alias("n")).orderBy("d").toPandas()
+    if not len(days):
+        raise ValueError("no rows")
+    return days["s"].to_numpy(float), days["n"].to_numpy(float)
+
+
 def stationary_mean(df: DataFrame, value: str, date: str, reps: int = 2000, seed: int = 0, mean_block: float = 5.0) -> DataFrame:
     """Replicates of a mean over rows whose dates are drawn in runs."""
-    days = df.groupBy(F.col(date).cast("string").alias("d")).agg(F.sum(value).alias("s"), F.count(value).cast("double").alias("n"))
-    s = sample_of(days, "d", "s", "n")
+    s, n = daily_sums(df, value, date)
 
     def one(rng: np.random.Generator) -> dict[str, float]:
-        at = stationary_blocks(len(s["s"]), mean_block, rng)
-        return {"mean": s["s"][at].sum() / s["n"][at].sum()}
+        at = stationary_blocks(len(s), mean_block, rng)
+        return {"mean": s[at].sum() / n[at].sum()}
 
     return replicate(df.sparkSession, reps, seed, one, ["mean"])
 
 
+def dated_means(df: DataFrame, value: str, date: str, by: Sequence[str], reps: int = 2000, seed: int = 0) -> DataFrame:
+    """By group and replicate, the mean over rows whose dates are drawn one by one: ``by``, rep and mean. Two numbers for each group and date travel."""
+    days = df.where(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(*by, F.col(date).cast("string").alias("__d")).agg(F.sum(value).alias("__s"), F.count(value).alias("__n")).orderBy(*by, "__d").collect()
+    groups: dict[tuple, list[tuple[float, float]]] = {}
+    for r in days:
+        groups.setdefault(tuple(r[c] for c in by), []).append((float(r["__s"]), float(r["__n"])))
+    names, own = [f"g{i}" for i in range(len(groups))], [np.array(v) for v in groups.values()]
+    if not names:
+        raise ValueError("no rows")
+
+    def one(rng: np.random.Generator) -> dict[str, float]:
+        sums = [v[rng.integers(0, len(v), len(v))].sum(axis=0) for v in own]
+        return {g: s / n for g, (s, n) in zip(names, sums, strict=True)}
+
+    each = F.array(*(F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(by, key, strict=True)), F.col(g).alias("mean")) for g, key in zip(names, groups, strict=True)))
+    return replicate(df.sparkSession, reps, seed, one, names).select("rep", F.inline(each))
+
+
 def shuffled_agreement(df: DataFrame, market: str, league: str, draws: int = 20, seed: int = 20260912) -> DataFrame:
-    """By draw: how often the market's winners, dealt out at random, agree with the league's, and how often by chance."""
-    s = sample_of(df, market, league)
-    home = float(np.mean(s[league] == "home"))
+    """By draw: how often the market's winners, dealt out at random, agree with the league's, and how often by chance.
+
+    How many agree hangs on the numbers of each winner alone, so those are all that is drawn from.
+    """
+    found = df.where(F.col(market).isNotNull() & F.col(league).isNotNull()).groupBy(F.col(market).alias("m"), F.col(league).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not found:
+        raise ValueError("no rows")
+    names = sorted({r[c] for r in found for c in ("m", "l")})
+    ours, theirs = (np.array([sum(r["n"] for r in found if r[c] == k) for k in names]) for c in ("m", "l"))
+    total = int(ours.sum())
+    home = theirs[names.index("home")] / total if "home" in names else 0.0
 
     def one(rng: np.random.Generator) -> dict[str, float]:
-        return {"agreement": np.mean(rng.permutation(s[market]) == s[league]), "chance": home**2 + (1 - home) ** 2}
+        left, same = ours.copy(), 0
+        for k, size in enumerate(theirs):  # the winners dealt to the games that this one has won
+            dealt = rng.multivariate_hypergeometric(left, int(size))
+            left, same = left - dealt, same + int(dealt[k])
+        return {"agreement": same / total, "chance": home**2 + (1 - home) ** 2}
 
     return replicate(df.sparkSession, draws, seed, one, ["agreement", "chance"])
 

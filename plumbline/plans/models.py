@@ -130,11 +130,8 @@ def elo_causality(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    def found(sport: str) -> DataFrame:
-        own = resample.bootstrap_scalars(look(spark, d).where(F.col("sport") == sport))
-        return resample.intervals(own, ["ece", "brier", "slope", "intercept"])
-
-    return rounded(each_sport(found))
+    own = resample.bootstrap_scalars(look(spark, d), by=["sport"])
+    return rounded(resample.intervals(own, ["ece", "brier", "slope", "intercept"], by=["sport"]))
 
 
 @query()
@@ -324,8 +321,8 @@ def sensitivity_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def null_bands(spark: SparkSession, d: str) -> DataFrame:
-    found = resample.intervals(resample.simulate_null(look(spark, d), 4661), ["ece", "max_bin_dev", "slope", "intercept"])
-    return rounded(Y.null_breaches(found))
+    """The bands of every pool and size that an analysis runs at."""
+    return rounded(Y.null_bands(look(spark, d)))
 
 
 @query(with_sql("select g.sport, g.season, g.game_id, count(*) filter (where q.t <= s.tip_t) as n_pre_tipoff, max(q.t) filter (where q.t <= s.tip_t) as t_close, arg_max(q.p, q.t) filter (where q.t <= s.tip_t) as p_close from ticks q join starts s using (sport, season, game_id) join starts g using (sport, season, game_id) where q.side = 'click' group by all", D.QUOTES, D.STARTS, "ticks as (select sport, season, game_id, side, t, max(p) as p from quotes group by all)"))
@@ -421,4 +418,4 @@ def fit_design(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def split_prize(spark: SparkSession, d: str) -> DataFrame:
     rows = R.assign_strata(_frame(spark, d)).withColumn("p", F.col("p_t1h"))
-    return rounded(each_sport(lambda s: T.split_prize(rows.where(F.col("sport") == s), ["season", "game_id"], "et_date", 0.01, 0.02)))
+    return rounded(each_sport(lambda s: T.split_prize(rows.where(F.col("sport") == s), ["season", "game_id"], "et_date")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
+from plumbline.operators import analysis as Y
 from plumbline.operators import anchors as A
 from plumbline.operators import features as P
 from plumbline.operators import frame as R
@@ -496,14 +497,12 @@ def difference_three_ways(spark: SparkSession, d: str) -> DataFrame:
     return O.difference(got.unionByName(extra), want, ["sport", "season", "game_id"], ["home"])
 
 
-_GRID = "cross join (values (0.0), (0.01), (0.02)) h(half_spread) cross join (values (0.0), (0.02)) f(fee)"
+_GRID = "cross join (values (0.01), (0.02), (0.03)) h(half_spread) cross join (values (0.0), (0.05)) f(fee)"
 
 
-@query(with_sql(f"select half_spread, fee, count(*) as bets, round(sum(paid), 4) as staked, round(sum(y - paid), 4) as profit from (select cast(half_spread as double) as half_spread, cast(fee as double) as fee, m, y, p + half_spread + fee * p * (1 - p) as paid from modelled {_GRID}) where m > paid and paid < 1 group by all", *_LOOKED, _MODEL))
+@query(with_sql(f"select half_spread, fee, count(*) as bets, round(sum(case when y = 1 then 1 / paid - 1 else -1 end), 4) as profit, round(avg(case when y = 1 then 1 / paid - 1 else -1 end), 6) as roi from (select cast(half_spread as double) as half_spread, cast(fee as double) as fee, m, y, p + half_spread + fee * p * (1 - p) as paid from modelled {_GRID}) where m > paid and paid < 1 group by all", *_LOOKED, _MODEL))
 def prize_grid(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.createDataFrame([(h, f) for h in (0.0, 0.01, 0.02) for f in (0.0, 0.02)], "half_spread double, fee double")
-    rows = modelled(spark, d).crossJoin(F.broadcast(grid)).withColumn("bet", S.settled_bet("p", "m", "y", "half_spread", "fee")).where("bet is not null")
-    return rows.groupBy("half_spread", "fee").agg(F.count(F.lit(1)).alias("bets"), F.round(F.sum("bet.paid"), 4).alias("staked"), F.round(F.sum("bet.profit"), 4).alias("profit"))
+    return Y.prize(modelled(spark, d), "m").withColumns({"profit": F.round("profit", 4), "roi": F.round("roi", 6)})
 
 
 @query("select user_id, generate_subscripts([1, 2, 3], 1) as i, unnest([1, 2, 3]) * user_id as t from (select distinct user_id from events)")

@@ -71,3 +71,12 @@ RATING_SETTINGS = {"nba": (20, 50, 0.6), "nhl": (16, 50, 0.9)}
 #: Edges of the reliability buckets, and price bands of the sensitivity.
 BUCKET_EDGES = (0.0, 0.35, 0.45, 0.55, 0.65, 1.0)
 PRICE_BANDS = ((0.20, 0.80), (0.35, 0.65))
+#: Half spreads and fee rates of the cost grid, and the cell that decides.
+COST_GRID = ((0.01, 0.0), (0.01, 0.05), (0.02, 0.0), (0.02, 0.05), (0.03, 0.0), (0.03, 0.05))
+DECIDING_COST = (0.02, 0.05)
+#: Pools and sizes whose null bands are derived.
+NULL_SIZES = (
+    *(("nba", n) for n in (200, 300, 613, 1226, 2455)),
+    *(("nhl", n) for n in (200, 225, 300, 448, 615, 896, 1310, 2206)),
+    ("all", 4661),
+)

@@ -44,8 +44,8 @@ def test_reports_and_sensitivity(spark):
     assert set(each) == {"all", "0.20-0.80", "0.35-0.65", "matched", *Y.LOOKS, "fresh", "stale"} - {"p_t24h"}
     assert each["all"].difference == pytest.approx(each["p_close"].difference) == pytest.approx(pooled.difference)
     assert each["all"].game_lo < each["all"].difference < each["all"].game_hi and each["matched"].n_low == each["matched"].n_high
-    bands = spark.createDataFrame([("ece", 0.0, 0.02), ("slope", 0.8, 1.0)], "name string, lo double, hi double")
-    assert {r.name: r.breach for r in Y.null_breaches(bands).collect()} == {"ece": False, "slope": True}
+    bands = spark.createDataFrame([("ece", 0.0, 0.02, 0.031), ("max_bin_dev", 0.0, 0.09, 0.07), ("slope", 0.8, 1.0, 1.2), ("intercept", -0.07, 0.07, 1.0)], "name string, lo double, hi double, p99 double")
+    assert {r.name: r.breach for r in Y.null_breaches(bands).collect()} == {"ece": True, "max_bin_dev": False, "slope": True, "intercept": False}
 
 
 def test_games_are_resolved_and_classified(spark):
@@ -135,7 +135,19 @@ def test_a_prize_is_won_where_prices_are_too_bold(spark):
         x = rng.normal()
         rows.append((i, str(i // 8), "low" if i % 2 else "high", float(1 / (1 + np.exp(-2.5 * x))), float(rng.random() < 1 / (1 + np.exp(-x)))))
     df = spark.createDataFrame(rows, "game_id int, day string, liquidity string, p double, y double")
-    found = T.split_prize(df, ["game_id"], "day", 0.0, 0.0, reps=200).first()
+    cells = {(r.half_spread, r.fee): r for r in T.split_prize(df, ["game_id"], "day", [(0.0, 0.0), (0.02, 0.05), (0.9, 0.0)], reps=200).collect()}
+    found, decided, dear = (cells[c] for c in ((0.0, 0.0), (0.02, 0.05), (0.9, 0.0)))
     assert 0 < found.bets <= 600 and found.lo < found.roi < found.hi and found.roi > 0 and found.dates <= 75
-    dear = T.split_prize(df, ["game_id"], "day", 0.9, 0.0, reps=5).first()
+    assert decided.bets < found.bets and decided.roi < found.roi and [r.decides for r in (found, decided, dear)] == [False, True, False]
     assert (dear.bets, dear.roi, dear.dates, dear.lo) == (0, None, 0, None)
+    assert T.split_prize(df, ["game_id"], "day", [(0.9, 0.0)], reps=5).first().bets == 0
+
+
+def test_a_prize_by_hand(spark):
+    df = spark.createDataFrame([(0.5, 0.6, 1), (0.5, 0.6, 0), (0.2, 0.9, 1), (0.5, 0.515, 1)], "p double, fair double, y int")
+    found = {(r.half_spread, r.fee): r for r in Y.prize(df, "fair").collect()}
+    assert set(found) == {(h, f) for h in (0.01, 0.02, 0.03) for f in (0.0, 0.05)}
+    assert found[0.01, 0.0].bets == 4 and found[0.02, 0.0].bets == 3
+    assert found[0.02, 0.0].profit == pytest.approx(1 / 0.52 - 1 - 1 + 1 / 0.22 - 1)
+    paid = [0.5 + 0.02 + 0.05 * 0.25, 0.2 + 0.02 + 0.05 * 0.16]
+    assert found[0.02, 0.05].roi == pytest.approx((1 / paid[0] - 1 - 1 + 1 / paid[1] - 1) / 3)
