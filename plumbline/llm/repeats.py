@@ -269,7 +269,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     # what can repeat: cores that occur twice; "one" are those whose runs are all equal
     runs = told.select("row", F.posexplode(F.arrays_zip("cores", "contents"))).select("row", F.col("pos").alias("run"), "col.cores", "col.contents").withColumnsRenamed({"cores": "core", "contents": "content"})
     counted = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    again = written(runs.join(counted.select("core", (F.col("lo") == F.col("hi")).alias("one")), "core"), "op12-runs")
+    # written, so that the join by a core that may be hot deals out both its sides
+    counted = written(counted.select("core", (F.col("lo") == F.col("hi")).alias("one")), "op12-cores", narrow=True)
+    again = written(runs.join(counted, "core"), "op12-runs")
 
     # different runs of one core, each once, with the number of its places and a document that has it
     several = again.where("not one").groupBy("core", "content").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row"))
@@ -304,6 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     single = written(single.where(F.col("marks") != F.unhex(F.repeat(F.lit("00"), F.octet_length("marks")))), "op12-marks")
     open_ = again.where("not one").select("row", "run", "core", "content")
     repeated = open_.groupBy("core", "content").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core", "content")
+    repeated = written(repeated, "op12-repeated", narrow=True)
     marked = again.where("one").select("row", "run", whole).unionByName(open_.join(repeated, ["core", "content"], "left_semi").select("row", "run", whole)).unionByName(open_.join(single, ["core", "content"]).select("row", "run", "marks"))
     by_row = marked.groupBy("row").agg(F.collect_list(F.struct("run", "marks")).alias("marked"))
     ready = told.select("id", "row", "text", "starts", "counts").join(by_row.hint("shuffle_hash"), "row", "left").drop("row")
