@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import golomb
-from plumbline.llm.shared import drop_rows, files_of, holding, mapped, new_folder, normalised, partitions, put_file, text_batches, written
+from plumbline.llm.shared import drop_rows, files_of, holding, mapped, new_folder, normalised, partitions, put_file, quoted, text_batches, written
 
 #: Bits of a fingerprint, taken from the front of the SHA-256 of the text.
 FINGERPRINT_BITS = 48
@@ -135,7 +135,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     text_batches(spark)
     owner_bits = max(1, ((owners or 2 * partitions(spark)) - 1).bit_length())
-    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm"), 256)))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), normalised(text_col).alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm"), 256)))
     kind, folder = rows.schema["id"].dataType.simpleString(), new_folder(spark, "op1")
 
     runs = rows.select("sha").mapInArrow(functools.partial(_send, folder=folder, owner_bits=owner_bits), "part int, number int, owner int, run binary")
@@ -150,20 +150,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = f"id {kind}, sha binary, norm string, suspect boolean, at long"
     told = mapped(rows.select("id", "norm", "sha"), functools.partial(_apply, folder=folder), schema, "op1-rows")
     suspects = told.where("suspect")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
+    # numbers alone are aggregated beside the texts, so that these are hashed, not sorted
     groups = (
         suspects.groupBy("sha", "norm")
-        .agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep_id"))
         .groupBy("sha")
-        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
-        .select(
-            "sha",
-            F.col("first.id").alias("keep_id"),
-            F.col("first.at").alias("keep_at"),
-            F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("texts of one hash differ in their bytes"))).alias("group_size"),
-        )
+        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("keep_id").alias("keep_id"))
+        .select("sha", "keep_id", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("texts of one hash differ in their bytes"))).alias("group_size"))
     )
-    groups = written(groups, "op1-groups", narrow=True)  # so that the join below, by a key that may be hot, deals out both its sides
+    groups = written(groups, "op1-groups", narrow=True)  # so that the joins below, by a key that may be hot, deal out both their sides
+    first = suspects.select("id", "sha", "at").join(groups, "sha").where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("at").alias("keep_at"), F.first("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    groups = written(first, "op1-kept", narrow=True)
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     once = told.where("not suspect").select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     more = suspects.select("id", "sha", "at").join(groups, "sha").select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"), sha)
