@@ -84,8 +84,14 @@ class MultiIndex:
 def _code(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Sign bits of vectors: bit i is set where component i is above 0 (a missing one is not)."""
     for batch in batches:
-        out = [sum(1 << i for i, x in enumerate(v) if x is not None and x > 0).to_bytes(words * WORD_BITS // 8, "little") for v in batch["vector"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out, pa.binary())], names=["id", "code"])
+        vectors = batch["vector"]
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        above = pa.compute.fill_null(pa.compute.greater(vectors.flatten(), 0), False).to_numpy(zero_copy_only=False)
+        bits = np.zeros((batch.num_rows, words * WORD_BITS), bool)
+        first = np.cumsum(sizes) - sizes
+        bits[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(above)) - np.repeat(first, sizes)] = above
+        out = np.packbits(bits, axis=1, bitorder="little")
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([x.tobytes() for x in out], pa.binary())], names=["id", "code"])
 
 
 def _vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
