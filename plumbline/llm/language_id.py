@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.shared import text_batches
+from plumbline.llm.shared import quoted, text_batches
 
 #: Families of languages by ISO code; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     Copies of a text under one language count once. Rows without a language, text or letter teach nothing. Without any, the
     model knows no language. The driver gets sparse features of the sample only.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
+    rows = labelled.select(F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     rows = rows.withColumn("hash", F.xxhash64("text"))
     counts = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -204,7 +204,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 
 def held_out(id_col: str = "doc_id"):
     """Of a third of the documents: those that nothing is learned from. A null id counts as an empty one."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     text if the model knows no language. Nothing but the text is looked at.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("__text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(functools.partial(_predict, model=model), schema)
 
@@ -227,10 +227,10 @@ def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the language that a row has is not changed. Where nothing can be learned from,
     all texts with a letter count as of one language.
     """
-    model = fit(docs.where(~held_out(id_col) & (F.col(lang_col) != UNDETERMINED)), text_col, lang_col)
+    model = fit(docs.where(~held_out(id_col) & (F.col(quoted(lang_col)) != UNDETERMINED)), text_col, lang_col)
     if not model.families:
         model = Model({"": [""]}, [], [])
-    told = identify(docs.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))), model, "__row", text_col)
+    told = identify(docs.withColumn("__row", F.struct(*(F.col(quoted(c)) for c in docs.columns))), model, "__row", text_col)
     return told.where(F.col("lang_pred") != UNDETERMINED).select("doc_id.*")
 
 

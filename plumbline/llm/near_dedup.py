@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("hash"), F.col(quoted(text_col)).alias("text"))
     kind = rows.schema["id"].dataType
     survey = functools.partial(_survey, id_type=to_arrow_type(kind), threshold=threshold)
     survey = mapped(rows, survey, f"part int, node long, id {kind.simpleString()}, hash long, n long, class binary, bands array<long>", "op2-survey")

@@ -47,18 +47,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-_scratch: list[str] = []
+_local = threading.local()
+
+
+def _scratch() -> list[str]:
+    """The folders of the blocks that this thread is in."""
+    if not hasattr(_local, "folders"):
+        _local.folders = []
+    return _local.folders
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What operators put into the shared folder within this block goes at its end; results must be written by then."""
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    _scratch().append(path)
     try:
         yield
     finally:
-        _scratch.remove(path)
+        _scratch().remove(path)
         store, root = open_folder(path)
         if store.get_file_info(root).type.name == "Directory":
             store.delete_dir(root)
@@ -66,7 +73,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; nothing is made there yet."""
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own[-1] if (own := _scratch()) else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
@@ -256,7 +263,7 @@ def open_folder(path: str):
 
 def normalised(column: str):
     """Text with each run of ASCII white space as one blank; null is empty."""
-    return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), WHITESPACE, " ")
+    return F.regexp_replace(F.coalesce(F.col(quoted(column)), F.lit("")), WHITESPACE, " ")
 
 
 def partitions(spark: SparkSession) -> int:
