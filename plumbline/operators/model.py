@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.cox import FitError, cox, logistic_mle
@@ -159,27 +159,15 @@ def hmc(d: Data, q: Priors, rng: np.random.Generator, warmup: int, samples: int,
     return np.array(out), divergences
 
 
-def sample_chains(spark: SparkSession, d: Data, priors: Priors = Priors(), seed: int = 0, chains: int = CHAINS, warmup: int = WARMUP, samples: int = SAMPLES) -> DataFrame:
-    """chain, draw, values, divergences: one task per chain."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for chain in batch["id"]:
-                draws, bad = hmc(d, priors, np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(chain),))), warmup, samples)
-                yield pd.DataFrame({"chain": int(chain), "draw": range(len(draws)), "values": list(draws), "divergences": bad})
-
-    return spark.range(0, chains, 1, chains).mapInPandas(run, "chain long, draw long, values array<double>, divergences long")
-
-
-def diagnostics(draws: DataFrame) -> DataFrame:
-    """R-hat of each parameter from means and variances of the chains, and divergences. A parameter without variance has an infinite one."""
-    values = draws.select("chain", "divergences", F.posexplode("values").alias("parameter", "v"))
-    by = values.groupBy("parameter", "chain").agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"), F.count("v").alias("n"), F.max("divergences").alias("bad"))
+def diagnostics(draws: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """By group, R-hat of each parameter from means and variances of the chains, and divergences. A parameter without variance has an infinite one."""
+    values = draws.select(*by, "chain", "divergences", F.posexplode("values").alias("parameter", "v"))
+    each = values.groupBy(*by, "parameter", "chain").agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"), F.count("v").alias("n"), F.max("divergences").alias("bad"))
     n = F.first("n")
     within, between = F.avg("s"), F.var_samp("m")
     rhat = F.sqrt((n - 1) / n + between / within)
     sound = F.when(F.isnan(rhat) | rhat.isNull(), F.lit(float("inf"))).otherwise(rhat)
-    return by.groupBy("parameter").agg(sound.alias("rhat"), F.sum("bad").alias("divergences"), F.count(F.lit(1)).alias("chains"))
+    return each.groupBy(*by, "parameter").agg(sound.alias("rhat"), F.sum("bad").alias("divergences"), F.count(F.lit(1)).alias("chains"))
 
 
 def effective_size(chains: np.ndarray) -> float:
@@ -208,54 +196,6 @@ def effective_sizes(draws: DataFrame) -> DataFrame:
     return values.groupBy("parameter").applyInPandas(run, "parameter int, ess double")
 
 
-def assert_sound(found: DataFrame) -> None:
-    worst = found.agg(F.max("rhat").alias("rhat"), F.max("divergences").alias("bad"), F.min("chains").alias("chains")).first()
-    if worst["chains"] is None or worst["chains"] < 2 or worst["rhat"] > MAX_RHAT or worst["bad"]:
-        raise DiagnosticsError(str(worst.asDict()))
-
-
-def posterior_predictive(draws: DataFrame, d: Data, seed: int = 0) -> np.ndarray:
-    """Mean probability of each game over all draws; a team index of -1 is an unseen team, drawn anew for each draw."""
-    rng = np.random.default_rng(seed)
-    total, count = np.zeros(len(d.rating)), 0
-    for row in draws.orderBy("chain", "draw").select("values").toLocalIterator():
-        a, m, b, w, lt, lh, zt, zh = unpack(np.array(row["values"]), d)
-        zt, zh = (np.append(z, rng.normal()) for z in (zt, zh))
-        eta = a + b * d.rating + d.x @ w + np.exp(lt) * (zt[d.home] - zt[d.away]) + (1 - d.neutral) * (m + np.exp(lh) * zh[d.home])
-        total += 1 / (1 + np.exp(-eta))
-        count += 1
-    if not count:
-        raise ValueError("no draws")
-    return total / count
-
-
-def hyperprior_sensitivity(spark: SparkSession, d: Data, seed: int = 0, factors: Sequence[float] = (0.5, 1.0, 2.0), tolerance: float = 0.25, **sizes: int) -> DataFrame:
-    """Posterior means of both scales under wider and narrower priors; ``prior_driven`` where a mean moves by more than the tolerance, relative to that at factor 1."""
-    k, out = d.x.shape[1], None
-    for name, at in (("team", 3 + k), ("team_home", 4 + k)):
-        for factor in factors:
-            priors = Priors()._replace(**{name: getattr(Priors(), name) * factor})
-            draws = sample_chains(spark, d, priors, seed, **sizes)
-            one = draws.agg(F.lit(name).alias("scale"), F.lit(float(factor)).alias("factor"), F.avg(F.exp(F.col("values")[at])).alias("mean"))
-            out = one if out is None else out.unionByName(one)
-    base = F.max(F.when(F.col("factor") == 1.0, F.col("mean"))).over(Window.partitionBy("scale"))
-    return out.withColumn("prior_driven", F.abs(F.col("mean") / base - 1) > tolerance)
-
-
-def data_of(df: DataFrame, covariates: Sequence[str], rating: str, sealed: str | None = None) -> tuple[Data, dict[str, int]]:
-    """Arrays of a standardised design in canonical order, and the index of each team and season. Rows of a sealed season are refused."""
-    from plumbline.sources.seal import assert_dev_only
-
-    if sealed is not None:
-        assert_dev_only(df, sealed)
-    rows = df.select("season", "game_id", "home", "away", "neutral", "y", rating, *covariates).toPandas().sort_values(["season", "game_id"])
-    names = sorted({f"{s}:{t}" for side in ("home", "away") for s, t in zip(rows["season"], rows[side], strict=True)})
-    index = {n: i for i, n in enumerate(names)}
-    at = lambda side: np.array([index[f"{s}:{t}"] for s, t in zip(rows["season"], rows[side], strict=True)])
-    x = rows[list(covariates)].to_numpy(float) if covariates else np.zeros((len(rows), 0))
-    return Data(x, rows[rating].to_numpy(float), at("home"), at("away"), rows["neutral"].to_numpy(float), rows["y"].to_numpy(float), len(names)), index
-
-
 def recalibration_null(p_fit: np.ndarray, y_fit: np.ndarray, p_apply: np.ndarray) -> np.ndarray:
     """Prices recalibrated by a fit on earlier games."""
     slope, intercept = cox(p_fit, y_fit)

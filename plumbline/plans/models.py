@@ -13,6 +13,7 @@ from plumbline.operators import cox as X
 from plumbline.operators import elo as E
 from plumbline.operators import features as P
 from plumbline.operators import frame as R
+from plumbline.operators import hierarchy as H
 from plumbline.operators import ingest as I
 from plumbline.operators import matching, resample
 from plumbline.operators import model as M
@@ -207,28 +208,45 @@ COVARIATES = {"nba": ["rest_diff", "b2b_diff", "travel_diff", "tz_diff"], "nhl":
 FILLED = [f"{side}_{c}" for c in ("rest_days", "travel_km", "tz_shift") for side in ("away", "home")]
 
 
-def model_data(spark: SparkSession, d: str, sport: str) -> M.Data:
-    """All games of a sport, with standardised covariates and ratings."""
+#: Rows whose medians, means and deviations a design of all seasons takes.
+DEV = "season < '1998'"
+
+
+def _model_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All games of both sports with features and the difference of ratings before them."""
     key = ["sport", "season", "game_id"]
-    ratings = E.ratings(D.games(spark, d).where(F.col("sport") == sport), SETTINGS).select(*key, (F.col("r_home") - F.col("r_away")).alias("rating_diff"), "y")
-    rows = features_of(spark, d).where(F.col("sport") == sport).join(ratings, key).persist()
-    b2b = {f"{s}_b2b": F.coalesce(f"{s}_b2b", F.lit(False)).cast("double") for s in ("home", "away")}
-    terms = M.derive_terms(M.fill(rows, M.medians(rows, FILLED, "true")).withColumns(b2b))
-    scaled = M.standardise(terms, M.scaler(terms, [*COVARIATES[sport], "rating_diff"], "true"))
-    data, _ = M.data_of(scaled, [f"z_{c}" for c in COVARIATES[sport]], "z_rating_diff")
-    rows.unpersist()
-    return data
+    ratings = E.ratings(D.games(spark, d), SETTINGS).select(*key, (F.col("r_home") - F.col("r_away")).alias("rating_diff"), "y")
+    return features_of(spark, d).join(ratings, key).join(D.games(spark, d).select(*key, "start_t"), key)
+
+
+def model_design(spark: SparkSession, d: str) -> DataFrame:
+    """All games of each sport to train on; gaps are filled and covariates standardised by the development rows alone."""
+    rows, parts = _model_rows(spark, d).persist(), []
+    for g, sport in enumerate(sorted(COVARIATES)):
+        own = rows.where(F.col("sport") == sport)
+        b2b = {f"{s}_b2b": F.coalesce(f"{s}_b2b", F.lit(False)).cast("double") for s in ("home", "away")}
+        terms = M.derive_terms(M.fill(own, M.medians(own, FILLED, DEV)).withColumns(b2b))
+        scaled = M.standardise(terms, M.scaler(terms, [*COVARIATES[sport], "rating_diff"], DEV))
+        name = lambda side: F.concat_ws(":", "season", side).alias(side)
+        parts.append(scaled.select(F.lit(g).alias("g"), F.lit("train").alias("role"), "sport", "season", "game_id", name("home"), name("away"), F.coalesce(F.col("neutral").cast("double"), F.lit(0.0)).alias("neutral"), F.col("y").cast("double").alias("y"), F.col("z_rating_diff").alias("rating"), F.array(*(F.col(f"z_{c}") for c in COVARIATES[sport])).alias("x")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query()
 def hierarchical_chains(spark: SparkSession, d: str) -> DataFrame:
-    """R-hat of each parameter of the fit of each sport over all its seasons."""
+    """R-hat of each parameter of the fit of each sport over all its seasons; an unsound fit is refused."""
+    fits = H.fit(model_design(spark, d), seed=1)
+    found = H.diagnostics(spark, fits).persist()
+    H.assert_sound(found)
+    sport = F.element_at(F.array(*map(F.lit, sorted(COVARIATES))), F.col("g") + 1)
+    return found.select(sport.alias("sport"), "parameter", F.round("rhat", 3).alias("rhat"), "divergences", "chains")
 
-    def found(sport: str) -> DataFrame:
-        draws = M.sample_chains(spark, model_data(spark, d, sport), seed=1)
-        return M.diagnostics(draws).select("parameter", F.round("rhat", 3).alias("rhat"), "divergences", "chains")
 
-    return each_sport(found)
+@query()
+def rolling_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of each sport's forecasts, fold by fold out of sample, with fits, medians and scales of what had started before."""
+    design = H.rolling_design(_model_rows(spark, d), ORIGINS, FILLED, COVARIATES)
+    return rounded(H.pooled(H.rolling_forecasts(design, seed=1)))
 
 
 @query()
