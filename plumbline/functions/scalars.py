@@ -212,15 +212,28 @@ def settled_bet(paid_side: Cols, fair: Cols, won: Cols, half_spread: Cols, fee:
     return F.when((col(fair) > paid) & (paid < 1), F.struct(paid.alias("paid"), F.when(col(won).cast("double") == 1, 1 / paid - 1).otherwise(-1.0).alias("profit")))
 
 
-def outcome_reason(market: Cols, saw_events: Cols, partial_only: Cols, start_ok: Cols, points: Cols, complement_ok: Cols, resolved: Cols, schedule: Cols) -> Column:
-    """Why a game has no price, by the first rule that holds; null if it is priced. Unknown complementarity is no reason."""
+def outcome_reason(market: Cols, saw_events: Cols, partial_only: Cols, start_ok: Cols, points: Cols, complement_ok: Cols, resolved: Cols, schedule: Cols, parsed: Cols | None = None, start_text: Cols | None = None, cutoff_told: Cols | None = None) -> Column:
+    """Why a game has no price, by the first rule that holds; null if it is priced. Unknown complementarity is no reason.
+
+    ``parsed`` tells whether a market's two sides could be read, ``start_text`` is
+    the start that a market names, which must be there and a time unless
+    ``cutoff_told`` (the league has told its own). Rules whose columns aren't
+    given are left out.
+    """
     no = lambda c: ~F.coalesce(col(c), F.lit(False))
     agreement = label_agreement(resolved, schedule)
+    starts = []
+    if start_text is not None:
+        needed = no(cutoff_told) if cutoff_told is not None else F.lit(True)
+        told = F.trim(F.coalesce(col(start_text), F.lit(""))) != ""
+        starts = [(needed & ~told, "missing_gameStartTime"), (needed & told & aware_timestamp(start_text).isNull(), "unparseable_gameStartTime")]
     return first_of([
         (no(market) & F.coalesce(col(partial_only), F.lit(False)), "no_moneyline_market"),
         (no(market) & F.coalesce(col(saw_events), F.lit(False)), "label_mismatch_at_slug"),
         (no(market), "no_market"),
         (no(start_ok), "implausible_game_start_time"),
+        *([(no(parsed), "unparseable_market")] if parsed is not None else []),
+        *starts,
         (F.coalesce(col(points), F.lit(0)) == 0, "no_pre_tipoff_points"),
         (~col(complement_ok), "complementarity_failed"),
         (col(resolved) == "tie", "postponed_or_split_resolution"),

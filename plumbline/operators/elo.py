@@ -1,8 +1,8 @@
 """Elo ratings with results that become public after a delay.
 
 The walk over a sport is sequential: each game's forecast hangs on all results
-public by its start. What is parallel are sports and points of a grid, each a
-group of its own.
+public by its start, so a sport is a task. The points of a grid are walked
+together, ratings being arrays over them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from plumbline.schemas import RESULT_DELAY
 
 
 class Setting(NamedTuple):
-    """Step size, home bonus, and share of a rating that a new season keeps."""
+    """Step size, home bonus, and share of a rating that a new season keeps; arrays stand for as many walks at once."""
 
     k: float
     home: float
@@ -65,7 +65,7 @@ class Walk:
         """Applies what is public by ``now``, in the order in which it became so; all of it without a time."""
         while self.waiting and (now is None or self.waiting[0][0] <= now):
             _, _, team, change = heapq.heappop(self.waiting)
-            self.rating[team] += change
+            self.rating[team] = self.rating[team] + change
 
     def _enter(self, team: str, season: str) -> float:
         if team not in self.rating:
@@ -138,22 +138,24 @@ def final_ratings(games: DataFrame, settings: Mapping[str, Setting], delays: Map
 def grid_search(games: DataFrame, grid: Sequence[Setting], season: str, delays: Mapping[str, int] = RESULT_DELAY) -> DataFrame:
     """Scores of each point over the games of one season, best first: log loss, then smaller k and bonus, then larger carry.
 
-    The games of a sport meet each point of the grid; every (sport, point) is a
-    group, and only scores come back.
+    A sport's games are walked once, with a rating for each point; the schedule
+    is shuffled once and only scores come back. Without a game of the season
+    scores are null.
     """
-    points = games.sparkSession.createDataFrame([tuple(map(float, s)) for s in grid], "k double, home_bonus double, carry double")
+    points = Setting(*(np.array(v, float) for v in zip(*grid, strict=True)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sport, k, home, carry = (rows[c].iloc[0] for c in ("sport", "k", "home_bonus", "carry"))
-        out, _ = walk(games_of(rows), Setting(k, home, carry), _delay(sport, delays))
-        own = pd.DataFrame(out, columns=Forecast._fields)
-        own = own[own["season"] == season]
-        p, y = own["p_home"].to_numpy(float), own["y"].to_numpy(float)
-        q = np.clip(p, 1e-15, 1 - 1e-15)
-        loss = -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q)) if len(p) else None
-        return pd.DataFrame({"sport": [sport], "k": [k], "home_bonus": [home], "carry": [carry], "n": [len(p)], "log_loss": [loss], "brier": [np.mean((p - y) ** 2) if len(p) else None]})
-
-    scores = games.select(*INPUT).crossJoin(F.broadcast(points)).groupBy("sport", "k", "home_bonus", "carry").applyInPandas(run, "sport string, k double, home_bonus double, carry double, n long, log_loss double, brier double")
+        sport = rows["sport"].iloc[0]
+        own, n, loss, brier = Walk(points, _delay(sport, delays)), 0, np.zeros(len(grid)), np.zeros(len(grid))
+        for g in games_of(rows):
+            f = own.play(g)
+            if f.season == season:
+                q = np.clip(f.p_home, 1e-15, 1 - 1e-15)
+                n, loss, brier = n + 1, loss - np.log(q if f.y else 1 - q), brier + (f.p_home - f.y) ** 2
+        score = lambda v: v / n if n else [None] * len(grid)
+        return pd.DataFrame({"sport": sport, "k": points.k, "home_bonus": points.home, "carry": points.carry, "n": n, "log_loss": score(loss), "brier": score(brier)})
+
+    scores = games.select(*INPUT).groupBy("sport").applyInPandas(run, "sport string, k double, home_bonus double, carry double, n long, log_loss double, brier double")
     return scores.orderBy("sport", "log_loss", "k", "home_bonus", F.desc("carry"))
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import winner_label
 from plumbline.operators.outcomes import KEY
+from plumbline.operators.quantiles import quantiles, same
 
 LOOKS = ("p_close", "p_t1h", "p_t6h", "p_t24h")
 
 
 def with_week(games: DataFrame) -> DataFrame:
     """``week_of_season``: 1 for the first seven days of a sport's season."""
-    first = F.min("et_date").over(Window.partitionBy("sport", "season"))
-    return games.withColumn("week_of_season", F.expr("1").cast("int") + F.floor(F.date_diff("et_date", first) / 7).cast("int"))
+    firsts = games.groupBy(F.col("sport").alias("sport_"), F.col("season").alias("season_")).agg(F.min("et_date").alias("__first"))
+    week = F.lit(1) + F.floor(F.date_diff("et_date", "__first") / 7).cast("int")
+    return games.join(firsts, same(("sport", "season"))).withColumn("week_of_season", week).drop("sport_", "season_", "__first")
 
 
 def analysis_frame(priced: DataFrame, games: DataFrame, patch: DataFrame | None = None) -> DataFrame:
@@ -63,8 +65,9 @@ def coverage_by_week(games: DataFrame, priced: DataFrame, misses: DataFrame) ->
 
 def median_split(frame: DataFrame, value: str, within: tuple[str, ...], low: str, high: str, out: str) -> DataFrame:
     """``low`` up to the group's median, ``high`` above; null values have neither."""
-    middle = F.median(value).over(Window.partitionBy(*within))
-    return frame.withColumn(out, F.when(F.col(value).isNull(), None).when(F.col(value) <= middle, low).otherwise(high))
+    middle = quantiles(frame, value, [0.5], within).select(*(F.col(c).alias(f"{c}_") for c in within), F.col("q").alias("__middle"))
+    side = F.when(F.col(value).isNull(), None).when(F.col(value) <= F.col("__middle"), low).otherwise(high)
+    return frame.join(middle, same(within), "left").withColumn(out, side).drop("__middle", *(f"{c}_" for c in within))
 
 
 def assign_strata(frame: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import abbreviation_candidates, labels_match, moneyline, outcome_reason, parse_slug, resolution, slug, start_problem
+from plumbline.functions.scalars import abbreviation_candidates, digits_only, json_pair, labels_match, moneyline, outcome_reason, parse_slug, resolution, slug, start_problem
 from plumbline.operators.anchors import anchors_wide
 from plumbline.operators.outcomes import KEY, one_of, rematches, slice_games
 from plumbline.operators.series import complementarity, stale_flat_run
@@ -84,24 +84,32 @@ def closing(quotes: DataFrame, starts: DataFrame) -> DataFrame:
     return wide.join(stale, list(KEY), "left").join(sums, list(KEY), "left").withColumn("secs_before_tip", F.col("tip_t") - F.col("t_close"))
 
 
-def classify(confirmed: DataFrame, closes: DataFrame, settlements: DataFrame, games: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+def classify(confirmed: DataFrame, closes: DataFrame, settlements: DataFrame, games: DataFrame, starts: DataFrame | None = None, markets: DataFrame | None = None) -> DataFrame:
     """Every game with its closing prices and ``reason``: null if it is priced, else the first rule that speaks against it.
 
     ``settlements`` has home_settled and away_settled, the prices a market ended at;
     ``starts`` has market_start, the time (a timestamp) at which a market says that
     its game begins, which must lie on the game's date at an hour of play. Without
-    that table starts aren't checked.
+    that table starts aren't checked. ``markets`` has a market's own words: the
+    texts of its pairs of tokens (``token_pair``) and names (``outcome_pair``),
+    ``start_text``, and ``league_start`` (a timestamp); without it they are taken as sound.
     """
     dated = games.select(*KEY, "winner", *(["et_date"] if starts is not None else []))
     start_ok = F.lit(True)
     if starts is not None:
         dated = dated.join(starts.select(*KEY, "market_start"), list(KEY), "left")
         start_ok = start_problem("market_start", "et_date").isNull()
+    told: tuple = ()
+    if markets is not None:
+        tokens = json_pair("token_pair")
+        parsed = tokens.isNotNull() & json_pair("outcome_pair").isNotNull() & digits_only(tokens[0]) & digits_only(tokens[1])
+        own = markets.select(*KEY, parsed.alias("__parsed"), F.col("start_text").alias("__start"), F.col("league_start").isNotNull().alias("__told"))
+        dated, told = dated.join(own, list(KEY), "left"), ("__parsed", "__start", "__told")
     rows = dated.withColumn("start_ok", start_ok).drop("et_date", "market_start").join(confirmed, list(KEY), "left").join(closes, list(KEY), "left").join(settlements, list(KEY), "left")
     resolved = F.when(F.col("home_settled").isNull() & F.col("away_settled").isNull(), F.lit(None)).otherwise(resolution("home_settled", "away_settled"))
     out = rows.withColumn("market_winner", resolved)
-    reason = outcome_reason(F.col("slug").isNotNull(), "saw_events", "partial_only", "start_ok", "n_pre_tipoff", "complement_ok", "market_winner", "winner")
-    return out.withColumn("reason", reason).drop("start_ok")
+    reason = outcome_reason(F.col("slug").isNotNull(), "saw_events", "partial_only", "start_ok", "n_pre_tipoff", "complement_ok", "market_winner", "winner", *told)
+    return out.withColumn("reason", reason).drop("start_ok", *told)
 
 
 def to_reprobe(misses: DataFrame, reasons: Sequence[str] = RETRYABLE) -> DataFrame:

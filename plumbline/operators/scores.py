@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import log_loss, logit, squared_error
+from plumbline.operators.quantiles import quantiles, same
 from plumbline.operators.resample import hit_rate, stationary_mean
 from plumbline.schemas import BIN_MAXIMUM, BIN_MINIMUM, NULL_TABLE, RISK_TIERS
 
@@ -84,10 +85,10 @@ def quantile_edges(df: DataFrame, n_bins: int, p: str = "p") -> list[float]:
     shares = [i / n_bins for i in range(1, n_bins)]
     if not shares:
         return []
-    found = df.agg(F.percentile(p, F.array(*map(F.lit, shares))).alias("e")).first()["e"]
-    if found is None:
+    found = quantiles(df, p, shares).collect()
+    if not found:
         raise ValueError("no rows")
-    return sorted(set(found))
+    return sorted({r["q"] for r in found})
 
 
 def binned_curve(df: DataFrame, edges: Sequence[float], by: Sequence[str] = (), p: str = "p", y: str = "y") -> DataFrame:
@@ -96,15 +97,31 @@ def binned_curve(df: DataFrame, edges: Sequence[float], by: Sequence[str] = (),
     return bin_table(df.withColumn("bin", place), by, p, y)
 
 
+#: Parts into which the rows of one value are dealt.
+SALTS = 8
+
+
 def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1 by value; ties share the mean of theirs.
+    """Ranks from 1 by value; ties share the mean of theirs. Rows without a value have none and are left out.
 
-    The table is counted by value first, so ranks need one row per distinct value.
+    The table is counted by value. Values are dealt into ranges, each of which
+    counts on from the ranges before it, of which there is one number each, so
+    no task sees a whole group. Ranks go back to the rows by value and one of
+    ``SALTS`` parts of its rows, so a value of most rows is many tasks' work.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("__n").over(upto), F.lit(0)) + (F.col("__n") + 1) / 2
-    return df.join(counts.select(*by, value, rank.alias(out)), [*by, value])
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    edges = sorted(set(df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], F.lit(20 * n))).first()[0] or [])) if n > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    dealt = counts.withColumn("__part", place).withColumn("__group", F.struct(*by, F.lit(0).alias("__all")))  # null is a group too
+    own = F.coalesce(F.sum("__n").over(Window.partitionBy("__group", "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("__group", "__part").agg(F.sum("__n").alias("__size")).groupBy("__group").agg(F.sort_array(F.collect_list(F.struct("__part", "__size"))).alias("__sizes"))  # a number for each range
+    before = F.aggregate(F.filter("__sizes", lambda x: x["__part"] < F.col("__part")), F.lit(0).cast("long"), lambda a, x: a + x["__size"])
+    ranks = dealt.withColumn("__own", own).join(parts.withColumnRenamed("__group", "__g"), F.col("__group").eqNullSafe(F.col("__g")))
+    ranked = ranks.select(*(F.col(c).alias(f"{c}_") for c in (*by, value)), (before + F.col("__own") + (F.col("__n") + 1) / 2).alias(out), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt_"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS)).cast("int"))
+    return salted.join(ranked, same([*by, value, "__salt"])).drop("__salt", "__salt_", *(f"{c}_" for c in (*by, value)))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

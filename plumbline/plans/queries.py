@@ -505,6 +505,23 @@ def prize_grid(spark: SparkSession, d: str) -> DataFrame:
     return Y.prize(modelled(spark, d), "m").withColumns({"profit": F.round("profit", 4), "roi": F.round("roi", 6)})
 
 
+_TOLD = " ".join(f"when {k} then '{r}'" for k, r in enumerate(("no_moneyline_market", "label_mismatch_at_slug", "no_market", "implausible_game_start_time", "unparseable_market", "missing_gameStartTime", "unparseable_gameStartTime", "no_pre_tipoff_points", "complementarity_failed")))
+
+
+@query(with_sql(f"select sport, coalesce(reason, 'priced') as reason, count(*) as n from (select sport, case game_id % 15 {_TOLD} when 10 then 'postponed_or_split_resolution' when 11 then 'outcome_prices_not_complementary' when 12 then 'malformed_outcome_prices' when 13 then 'unresolved_market' when 14 then 'label_disagreement' end as reason from games) group by all", GAMES))
+def miss_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Each fifteenth of the games lacks one thing; one of them is priced."""
+    k = F.col("game_id") % 15
+    other = F.when(F.col("winner") == "home", "away").otherwise("home")
+    rows = D.games(spark, d).select(
+        "sport", "winner", (k > 2).alias("market"), (k < 2).alias("saw"), (k == 0).alias("partial"), (k != 3).alias("start_ok"), (k != 4).alias("parsed"), F.when(k == 5, " ").when(k == 6, "soon").otherwise("2025-01-01T00:00:00Z").alias("start"),
+        F.when(k == 7, 0).otherwise(5).alias("points"), F.when(k == 8, False).when(k != 9, True).alias("complement"),
+        F.when(k == 10, "tie").when(k == 11, "non_complementary").when(k == 12, "malformed").when(k == 14, other).when(k != 13, F.col("winner")).alias("resolved"),
+    )
+    reason = S.outcome_reason("market", "saw", "partial", "start_ok", "points", "complement", "resolved", "winner", "parsed", "start")
+    return rows.groupBy("sport", F.coalesce(reason, F.lit("priced")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select user_id, generate_subscripts([1, 2, 3], 1) as i, unnest([1, 2, 3]) * user_id as t from (select distinct user_id from events)")
 def array_zip_insert(spark: SparkSession, d: str) -> DataFrame:
     rows = D.table(spark, d, "events").select("user_id").distinct()

@@ -229,6 +229,10 @@ def test_scalars(spark):
     assert one(spark, S.abbreviation_candidates("x", F.array(F.lit("Boston")), F.array(F.lit("bos"))), "BSN") == ["bos", "bsn", "bo", "bost"]
     bet = one(spark, S.settled_bet(F.lit(0.5), F.lit(0.6), F.lit(1), F.lit(0.01), F.lit(0.0)), "")
     assert (bet.paid, round(bet.profit, 6)) == (0.51, round(1 / 0.51 - 1, 6)) and one(spark, S.settled_bet(F.lit(0.5), F.lit(0.5), F.lit(1), F.lit(0.01), F.lit(0.0)), "") is None
+    words = lambda parsed, start, told: one(spark, S.outcome_reason(*(F.lit(v) for v in (True, True, False, True, 5, True, "home", "home", parsed, start, told))), "")
+    assert words(False, "2025-01-01T00:00:00Z", False) == "unparseable_market" and words(True, "2025-01-01T00:00:00Z", False) is None
+    assert [words(True, x, False) for x in (None, " ", "soon", "2025-01-01 00:00:00")] == ["missing_gameStartTime"] * 2 + ["unparseable_gameStartTime"] * 2
+    assert words(True, None, True) is None and words(True, "soon", True) is None
     # by hand: 0.4 + 0.02 + 0.05 * 0.4 * 0.6 = 0.432 is paid, so a win of one unit brings 1 / 0.432 - 1
     at = lambda won: one(spark, S.settled_bet(F.lit(0.4), F.lit(0.6), F.lit(won), F.lit(0.02), F.lit(0.05)), "")
     assert [(round(x.paid, 6), round(x.profit, 6)) for x in (at(1), at(0))] == [(0.432, 1.314815), (0.432, -1.0)]
