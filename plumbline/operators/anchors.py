@@ -41,3 +41,8 @@ def anchors_long(wide: DataFrame, keys: Sequence[str] = KEYS, horizons: dict[str
 def price_as_of(anchors: DataFrame, probes: DataFrame, as_of: str = "as_of", keys: Sequence[str] = KEYS) -> DataFrame:
     """For each probe the latest anchor quoted at or before its time; probes without one stay, with nulls."""
     return asof_join(probes, anchors, keys, as_of, "quote_t", strict=False, take=["horizon", "quote_t", "p"], tie=["horizon_secs"])
+
+
+def price_table(anchors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``anchors`` in order of series, the farthest horizon first."""
+    return anchors.orderBy(*keys, F.desc("horizon_secs"))

@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import MARGIN_ADD, MARGIN_BASE, MARGIN_EDGE, MARGIN_POWER, RATING_SCALE, RATING_START
@@ -159,6 +159,13 @@ def grid_search(games: DataFrame, grid: Sequence[Setting], season: str, delays:
     return scores.orderBy("sport", "log_loss", "k", "home_bonus", F.desc("carry"))
 
 
+def leaders(scores: DataFrame, n: int = 10) -> DataFrame:
+    """Of a grid's scores the ``n`` best of each sport and the worst, with ``place`` from 1 and ``spread``, the worst log loss less the best."""
+    own = Window.partitionBy("sport")
+    ranked = scores.withColumn("place", F.row_number().over(own.orderBy("log_loss", "k", "home_bonus", F.desc("carry")))).withColumns({"points": F.count(F.lit(1)).over(own), "spread": F.max("log_loss").over(own) - F.min("log_loss").over(own)})
+    return ranked.where((F.col("place") <= n) | (F.col("place") == F.col("points"))).drop("points")
+
+
 def on_edge(best: Setting, grid: Sequence[Setting]) -> list[str]:
     """Names of the parameters whose best value is the least or largest tried: the grid may end too soon."""
     return [f for f in Setting._fields if len({getattr(s, f) for s in grid}) > 1 and getattr(best, f) in (min(getattr(s, f) for s in grid), max(getattr(s, f) for s in grid))]

@@ -135,3 +135,14 @@ def difference(got: DataFrame, want: DataFrame, key: Sequence[str], values: Sequ
     g, w = (df.select(*key, F.struct(*values).alias(n)).distinct() for df, n in ((got, "__got"), (want, "__want")))
     kind = F.when(F.col("__got").isNull(), "missing").when(F.col("__want").isNull(), "extra").when(~F.col("__got").eqNullSafe(F.col("__want")), "changed")
     return g.join(w, list(key), "full").select(*key, kind.alias("kind")).where("kind is not null")
+
+
+def random_games(games: DataFrame, n: int, by: Sequence[str] = ("sport", "season"), seed: int = 23) -> DataFrame:
+    """``n`` games of each group, all of a smaller one: those with the least hashes of seed and key, so the same whatever the order or partitioning.
+
+    A task hands on ``n`` rows of a group at most, as ranks are limited before
+    the shuffle. Rows that repeat a key count one by one.
+    """
+    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in KEY)), 256)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__draw"))
+    return games.withColumn("__draw", draw).withColumn("__n", place).where(F.col("__n") <= n).drop("__draw", "__n")

@@ -123,6 +123,12 @@ def elo_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(each_sport(search))
 
 
+@query()
+def elo_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best points of each grid and the worst."""
+    return E.leaders(elo_grid(spark, d))
+
+
 @query(with_sql("select sport, game_id from games where false", GAMES))
 def elo_causality(spark: SparkSession, d: str) -> DataFrame:
     """No row: no forecast changes if later games are taken away."""

@@ -505,6 +505,11 @@ def prize_grid(spark: SparkSession, d: str) -> DataFrame:
     return Y.prize(modelled(spark, d), "m").withColumns({"profit": F.round("profit", 4), "roi": F.round("roi", 6)})
 
 
+@query(with_sql("select sport, season, game_id from (select *, row_number() over (partition by sport, season order by sha256(concat_ws('|', '23', sport, season, cast(game_id as varchar)))) as k from games) where k <= 100", GAMES))
+def random_games(spark: SparkSession, d: str) -> DataFrame:
+    return O.random_games(D.games(spark, d), 100).select("sport", "season", "game_id")
+
+
 _TOLD = " ".join(f"when {k} then '{r}'" for k, r in enumerate(("no_moneyline_market", "label_mismatch_at_slug", "no_market", "implausible_game_start_time", "unparseable_market", "missing_gameStartTime", "unparseable_gameStartTime", "no_pre_tipoff_points", "complementarity_failed")))
 
 

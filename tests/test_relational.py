@@ -188,3 +188,21 @@ def test_one_plan_for_backtest_and_slate(spark):
     back = P.assemble(games, P.backtest_targets(games, 0), venues).where("game_id = 'g3'").collect()
     live = P.assemble(games, P.targets_at(games.where("game_id = 'g3'"), T0 + 4 * DAY), venues).collect()
     assert back == live
+
+
+def test_a_random_sample_is_the_same_however_it_is_dealt(spark):
+    from plumbline.operators import elo as E
+    from plumbline.operators.anchors import price_table
+    from plumbline.operators.outcomes import random_games
+
+    games = spark.createDataFrame([("nba", str(i % 3), f"g{i}") for i in range(300)] + [("nhl", "0", "only")], "sport string, season string, game_id string")
+    one, other = (sorted(map(tuple, random_games(games.repartition(n), 7).collect())) for n in (1, 6))
+    assert one == other and len(one) == 3 * 7 + 1
+    assert one != sorted(map(tuple, random_games(games, 7, seed=24).collect()))
+    assert "WindowGroupLimit" in random_games(games, 7)._jdf.queryExecution().executedPlan().toString()
+    assert random_games(games.limit(0), 7).count() == 0
+    anchors = spark.createDataFrame([("nba", "1", "g", "home", h) for h in (0, 3600, 60)], "sport string, season string, game_id string, side string, horizon_secs long")
+    assert [r.horizon_secs for r in price_table(anchors).collect()] == [3600, 60, 0]
+    scores = spark.createDataFrame([("nba", float(i), 50.0, 0.5, 0.6 + i / 100) for i in range(6)], "sport string, k double, home_bonus double, carry double, log_loss double")
+    found = E.leaders(scores, 2).orderBy("place").collect()
+    assert [(r.place, r.k) for r in found] == [(1, 0.0), (2, 1.0), (6, 5.0)] and found[0].spread == pytest.approx(0.05)
