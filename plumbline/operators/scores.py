@@ -125,9 +125,14 @@ def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    sound = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_ranks(average_ranks(sound, a, "__a", by), b, "__b", by)
-    return ranked.groupBy(*by).agg(F.corr("__a", "__b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """Rank correlation and number of rows of each group, from rows that have both values; a row for each group goes to the driver."""
+    sound = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b).persist()  # read for bounds, counts and ranks
+    try:
+        ranked = average_ranks(average_ranks(sound, a, "__a", by), b, "__b", by)
+        found = ranked.groupBy(*by).agg(F.corr("__a", "__b").alias("rho"), F.count(F.lit(1)).alias("n"))
+        return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    finally:
+        sound.unpersist()
 
 
 def discrimination(df: DataFrame, by: Sequence[str] = (), p: str = "p", y: str = "y", least: int = 30) -> DataFrame:
