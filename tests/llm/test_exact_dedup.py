@@ -89,3 +89,12 @@ def test_rows_that_change_partition_between_the_readings(spark, tmp_path):
     got = exact_duplicates(moving(spark, rows, COLUMNS, tmp_path)).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(rows)
     assert len(list(tmp_path.iterdir())) >= 8
+
+
+def test_texts_are_hashed_and_not_sorted_and_names_are_any(spark):
+    docs = spark.createDataFrame([(1, "a  b"), (2, "a b"), (None, "a b"), (3, "c")], "`i.d` long, `te``xt` string")
+    found = exact_duplicates(docs, "i.d", "te`xt")
+    assert sorted((tuple(r[:4]) for r in found.collect()), key=str) == sorted([(1, 1, 3, True), (2, 1, 3, False), (None, 1, 3, False), (3, 3, 1, True)], key=str)
+    told = spark.createDataFrame([(b"x", "t", 1)], "sha binary, norm string, id long").groupBy("sha", "norm").agg(F.count(F.lit(1)), F.min("id"))
+    assert "SortAggregate" not in told._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["te`xt"] for r in drop_duplicates(docs, "i.d", "te`xt").collect()) == ["a  b", "c"]

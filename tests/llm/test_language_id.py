@@ -75,3 +75,9 @@ def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
         rows = [(i, t, "en", "s", 0.5) for i, t in enumerate(texts + [hot] * 3000)] + german
         fit(spark.createDataFrame(rows, SCHEMA).repartition(3), sample_texts=40)
     assert fitted == [80, 80]
+
+
+def test_the_stage_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "ein Wort", "de", 1), (2, "12 34", None, 2), (3, None, "de", 3)], "`d.id` long, `te``xt` string, `la.ng` string, `odd ``one``` int")
+    kept = drop_undetermined(docs, "d.id", "te`xt", "la.ng")
+    assert [tuple(r) for r in kept.collect()] == [(1, "ein Wort", "de", 1)] and kept.columns == docs.columns
