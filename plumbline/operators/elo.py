@@ -1,14 +1,17 @@
 """Elo ratings with results that become public after a delay.
 
 The walk over a sport is sequential: each game's forecast hangs on all results
-public by its start, so a sport is a task. The points of a grid are walked
-together, ratings being arrays over them.
+public by its start, so a sport is a task. Spark sorts the games, and a task
+meets them batch by batch and holds only ratings and what isn't public yet. The
+points of a grid are walked together, ratings being arrays over them, and games
+between which nothing becomes public are taken at once.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -51,6 +54,14 @@ class Forecast(NamedTuple):
     y: float
 
 
+def expected(edge: float) -> float:
+    """The chance of a side with this edge; 0 where ten to its power is beyond floating point, as arrays and columns have it."""
+    try:
+        return 1 / (1 + 10 ** (-edge / RATING_SCALE))
+    except OverflowError:
+        return 0.0
+
+
 class Walk:
     """Ratings as they are known in event time; updates wait until they are public."""
 
@@ -79,7 +90,7 @@ class Walk:
         self.settle(g.start_t)
         r_away, r_home = self._enter(g.away, g.season), self._enter(g.home, g.season)
         edge = r_home - r_away + (0.0 if g.neutral else self.setting.home)
-        p = 1 / (1 + 10 ** (-edge / RATING_SCALE))
+        p = expected(edge)
         margin = abs(g.home_pts - g.away_pts)
         if not margin > 0:
             raise ValueError(f"game {g.game_id} has no winner")
@@ -113,26 +124,131 @@ def _delay(sport: str, delays: Mapping[str, int]) -> int:
     return delays.get(sport, max(delays.values()))
 
 
+def _in_order(games: DataFrame, step: Callable[[str], Stepper], schema: str) -> DataFrame:
+    """What a stepper of each sport makes of its games, which come in batches by start and game; the sort may spill, and no task holds a sport."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sport, own = None, None
+        for batch in batches:
+            sports = batch["sport"].to_numpy()
+            cuts = [0, *(np.flatnonzero(sports[1:] != sports[:-1]) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if own is None or sports[a] != sport:
+                    if own is not None and (last := own.end()) is not None:
+                        yield last
+                    sport, own = sports[a], step(sports[a])
+                if (out := own.meet(batch.iloc[a:b])) is not None:
+                    yield out
+        if own is not None and (last := own.end()) is not None:
+            yield last
+
+    tasks = games.sparkSession.sparkContext.defaultParallelism
+    order = [F.col(c).asc_nulls_last() for c in ("sport", "start_t", "game_id")]
+    return games.select(*INPUT).repartition(tasks, "sport").sortWithinPartitions(*order).mapInPandas(run, schema)
+
+
+class Stepper(NamedTuple):
+    """``meet`` takes the next games of a sport, ``end`` is called after the last; either may give rows."""
+
+    meet: Callable[[pd.DataFrame], pd.DataFrame | None]
+    end: Callable[[], pd.DataFrame | None]
+
+
 def ratings(games: DataFrame, settings: Mapping[str, Setting], delays: Mapping[str, int] = RESULT_DELAY) -> DataFrame:
-    """A forecast from the ratings before each game; one group per sport."""
+    """A forecast from the ratings before each game; one walk per sport."""
     kinds = {f.name: f.dataType.simpleString() for f in games.schema}
     schema = f"sport string, game_id {kinds['game_id']}, season string, start_t long, away string, home string, r_away double, r_home double, p_home double, y double"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sport = rows["sport"].iloc[0]
-        out, _ = walk(games_of(rows), settings[sport], _delay(sport, delays))
-        return pd.DataFrame([(sport, *f) for f in out], columns=["sport", *Forecast._fields])
+    def step(sport: str) -> Stepper:
+        own = Walk(settings[sport], _delay(sport, delays))
+        return Stepper(lambda rows: pd.DataFrame([(sport, *own.play(g)) for g in games_of(rows)], columns=["sport", *Forecast._fields]), lambda: None)
 
-    return games.select(*INPUT).groupBy("sport").applyInPandas(run, schema)
+    return _in_order(games, step, schema)
 
 
 def final_ratings(games: DataFrame, settings: Mapping[str, Setting], delays: Mapping[str, int] = RESULT_DELAY) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sport = rows["sport"].iloc[0]
-        _, final = walk(games_of(rows), settings[sport], _delay(sport, delays))
-        return pd.DataFrame([(sport, t, r) for t, r in sorted(final.items())], columns=["sport", "team", "rating"])
-
-    return games.select(*INPUT).groupBy("sport").applyInPandas(run, "sport string, team string, rating double")
+    def step(sport: str) -> Stepper:
+        own = Walk(settings[sport], _delay(sport, delays))
+
+        def meet(rows: pd.DataFrame) -> None:
+            for g in games_of(rows):
+                own.play(g)
+
+        def end() -> pd.DataFrame:
+            own.settle()
+            return pd.DataFrame([(sport, t, r) for t, r in sorted(own.rating.items())], columns=["sport", "team", "rating"])
+
+        return Stepper(meet, end)
+
+    return _in_order(games, step, "sport string, team string, rating double")
+
+
+class GridWalk:
+    """``Walk`` of many settings over blocks of games: (team, point) ratings, updates in the order in which they become public."""
+
+    def __init__(self, points: Setting, delay: int):
+        self.points, self.delay = points, delay
+        self.index: dict[str, int] = {}
+        self.season: list[str | None] = []
+        self.rating = np.empty((0, len(points.k)))
+        self.waiting: deque[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = deque()
+
+    def settle(self, now: int) -> None:
+        while self.waiting and self.waiting[0][0][0] <= now:
+            public, away, home, change = self.waiting.popleft()
+            m = int(np.searchsorted(public, now, side="right"))
+            if m < len(public):
+                self.waiting.appendleft((public[m:], away[m:], home[m:], change[m:]))
+            for teams, sign in ((home[:m], 1.0), (away[:m], -1.0)):
+                order = np.argsort(teams, kind="stable")
+                first = np.flatnonzero(np.diff(teams[order], prepend=-1))
+                self.rating[teams[order][first]] += sign * np.add.reduceat(change[:m][order], first)
+
+    def _enter(self, teams: np.ndarray, season: str) -> None:
+        for t in teams.tolist():
+            if self.season[t] is None:
+                self.rating[t] = RATING_START
+            elif self.season[t] != season:
+                self.rating[t] = RATING_START + self.points.carry * (self.rating[t] - RATING_START)
+            self.season[t] = season
+
+    def _numbers(self, names: pd.Series) -> np.ndarray:
+        codes, found = pd.factorize(names, use_na_sentinel=False)
+        own = [self.index.setdefault(n, len(self.index)) for n in found]
+        if new := len(self.index) - len(self.season):
+            self.season += [None] * new
+            self.rating = np.concatenate([self.rating, np.empty((new, self.rating.shape[1]))])
+        return np.array(own, np.int64)[codes]
+
+    def play(self, rows: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Season, outcomes and (game, point) forecasts of runs of games, which come in order."""
+        rows = rows.sort_values(["start_t", "game_id"], kind="stable")
+        margin = (rows["home_pts"].astype(float) - rows["away_pts"].astype(float)).to_numpy()
+        if not np.all(np.abs(margin) > 0):
+            raise ValueError(f"game {rows['game_id'].iloc[int(np.flatnonzero(~(np.abs(margin) > 0))[0])]} has no winner")
+        start, seasons = rows["start_t"].to_numpy().astype(np.int64), rows["season"].tolist()
+        away, home = self._numbers(rows["away"]), self._numbers(rows["home"])
+        at_home = np.array([0.0 if bool(v) and v == v else 1.0 for v in rows["neutral_site"].tolist()])
+        same = np.array([a == b for a, b in zip(seasons[1:], seasons[:-1], strict=True)], bool)
+        turns = np.append(np.flatnonzero(~same) + 1, len(rows))
+        i = 0
+        while i < len(rows):
+            self.settle(int(start[i]))
+            bound = int(start[i]) + self.delay
+            if self.waiting:
+                bound = min(bound, int(self.waiting[0][0][0]))
+            to = min(max(i + 1, int(np.searchsorted(start, bound, side="left"))), int(turns[np.searchsorted(turns, i, side="right")]))
+            own = slice(i, to)
+            self._enter(np.unique(np.concatenate([away[own], home[own]])), seasons[i])
+            edge = self.rating[home[own]] - self.rating[away[own]] + at_home[own, None] * self.points.home
+            with np.errstate(over="ignore"):
+                p = expected(edge)
+            y = (margin[own] > 0).astype(float)[:, None]
+            size = (np.abs(margin[own]) + MARGIN_ADD) ** MARGIN_POWER
+            change = self.points.k * size[:, None] / (MARGIN_BASE + MARGIN_EDGE * np.where(y > 0, edge, -edge)) * (y - p)
+            self.waiting.append((start[own] + self.delay, away[own], home[own], change))
+            yield seasons[i], y, p
+            i = to
 
 
 def grid_search(games: DataFrame, grid: Sequence[Setting], season: str, delays: Mapping[str, int] = RESULT_DELAY) -> DataFrame:
@@ -144,18 +260,24 @@ def grid_search(games: DataFrame, grid: Sequence[Setting], season: str, delays:
     """
     points = Setting(*(np.array(v, float) for v in zip(*grid, strict=True)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sport = rows["sport"].iloc[0]
-        own, n, loss, brier = Walk(points, _delay(sport, delays)), 0, np.zeros(len(grid)), np.zeros(len(grid))
-        for g in games_of(rows):
-            f = own.play(g)
-            if f.season == season:
-                q = np.clip(f.p_home, 1e-15, 1 - 1e-15)
-                n, loss, brier = n + 1, loss - np.log(q if f.y else 1 - q), brier + (f.p_home - f.y) ** 2
-        score = lambda v: v / n if n else [None] * len(grid)
-        return pd.DataFrame({"sport": sport, "k": points.k, "home_bonus": points.home, "carry": points.carry, "n": n, "log_loss": score(loss), "brier": score(brier)})
-
-    scores = games.select(*INPUT).groupBy("sport").applyInPandas(run, "sport string, k double, home_bonus double, carry double, n long, log_loss double, brier double")
+    def step(sport: str) -> Stepper:
+        own, n, sums = GridWalk(points, _delay(sport, delays)), [0], np.zeros((2, len(grid)))
+
+        def meet(rows: pd.DataFrame) -> None:
+            for played, y, p in own.play(rows):
+                if played == season:
+                    q = np.clip(p, 1e-15, 1 - 1e-15)
+                    n[0] += len(y)
+                    sums[0] -= np.log(np.where(y > 0, q, 1 - q)).sum(axis=0)
+                    sums[1] += ((p - y) ** 2).sum(axis=0)
+
+        def end() -> pd.DataFrame:
+            loss, brier = (v / n[0] if n[0] else [None] * len(grid) for v in sums)
+            return pd.DataFrame({"sport": sport, "k": points.k, "home_bonus": points.home, "carry": points.carry, "n": n[0], "log_loss": loss, "brier": brier})
+
+        return Stepper(meet, end)
+
+    scores = _in_order(games, step, "sport string, k double, home_bonus double, carry double, n long, log_loss double, brier double")
     return scores.orderBy("sport", "log_loss", "k", "home_bonus", F.desc("carry"))
 
 
