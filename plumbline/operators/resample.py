@@ -33,6 +33,10 @@ from plumbline.operators.cox import CLIP, STEPS, TOLERANCE
 FAILURES = 0.01
 #: Units whose weights a task holds at a time.
 HELD_UNITS = 256
+#: Nodes that stand for the units of a cell of logits, its width, and the slope up to which their interpolation (4 e-9 there) is trusted.
+NODES, CELL, TRUSTED = 16, 0.5, 8.0
+#: Replicates that a task fits at a time, and bytes of sums that a task holds.
+BLOCK, HELD_BYTES = 250, 64 << 20
 #: Ranges of prices for bins of equal counts, at least.
 RANGES = 8
 
@@ -64,9 +68,11 @@ def intervals(replicates: DataFrame, names: Sequence[str], alpha: float = 0.05,
 
 def weights(keys: np.ndarray, rates: np.ndarray, reps: int, seed: int) -> np.ndarray:
     """How often each unit (row) counts in each replicate (column): Poisson numbers of its rate, drawn by its own key."""
-    out = np.empty((len(keys), reps))
-    for i, (key, rate) in enumerate(zip(keys.astype(np.int64).view(np.uint64).tolist(), rates.tolist(), strict=True)):
-        out[i] = np.random.Generator(np.random.Philox(key=np.array([seed, key], np.uint64))).poisson(rate, reps)
+    out, last = np.empty((len(keys), reps)), None
+    for i, unit in enumerate(zip(keys.astype(np.int64).view(np.uint64).tolist(), rates.tolist(), strict=True)):
+        key, rate = unit
+        out[i] = out[i - 1] if unit == last else np.random.Generator(np.random.Philox(key=np.array([seed, key], np.uint64))).poisson(rate, reps)
+        last = unit
     return out
 
 
@@ -83,7 +89,11 @@ class Units:
         told = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (clusters or [*groups, "p", "y"])]
         folded = rows.groupBy(*groups, *clusters, "p", "y").agg(F.sum("rate").alias("rate"))
         drawn, times = (F.lit(1.0), F.col("rate")) if clusters else (F.col("rate"), F.lit(1.0))
-        own = folded.select(*groups, F.xxhash64(*told).alias("key"), "p", "y", logit("p", CLIP).alias("x"), drawn.alias("rate"), times.alias("times")).persist()
+        own = folded.select(*groups, F.xxhash64(*told).alias("key"), "p", "y", logit("p", CLIP).alias("x"), drawn.alias("rate"), times.alias("times"))
+        # few bytes, but much work: dealt to a given number of tasks, units of one cluster or cell side by side
+        tasks, salt = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), F.pmod(F.xxhash64("p"), F.lit(4))
+        own = own.repartition(tasks, "key", salt).sortWithinPartitions("key") if clusters else own.repartition(tasks, *groups, F.floor(F.col("x") / CELL), salt).sortWithinPartitions(*groups, "p")
+        own = own.persist()
         self.held = [own]
         schema = StructType()
         for i, c in enumerate(by):
@@ -149,26 +159,118 @@ def _sums(units: Units, of: Callable[[int, dict[str, np.ndarray], np.ndarray], n
     return out
 
 
-_SHAPE = {"n": F.sum, "won": F.sum, "loss2": F.sum, "won_lo": F.min, "won_hi": F.max, "lost_lo": F.min, "lost_hi": F.max}
+_SHAPE = {"n": F.sum, "won": F.sum, "loss2": F.sum, "won_lo": F.min, "won_hi": F.max, "lost_lo": F.min, "lost_hi": F.max, "won_x": F.sum}
 
 
 def _shape(_: int, c: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
-    """Weight, weight of wins, weighted squared error, and the ranges of x where won and where lost."""
+    """Weight, weight of wins, weighted squared error, the ranges of x where won and where lost, and x summed where won."""
     met, x, won = w > 0, c["x"][:, None], c["y"][:, None] == 1
     edge = lambda mask, f, empty: f(np.where(mask, x, empty), axis=0)
     finite = lambda v: np.where(np.isfinite(v), v, np.nan)
-    return np.stack([w.sum(0), c["y"] @ w, (c["p"] - c["y"]) ** 2 @ w, *(finite(edge(met & side, f, e)) for side in (won, ~won) for f, e in ((np.min, np.inf), (np.max, -np.inf)))])
+    return np.stack([w.sum(0), c["y"] @ w, (c["p"] - c["y"]) ** 2 @ w, *(finite(edge(met & side, f, e)) for side in (won, ~won) for f, e in ((np.min, np.inf), (np.max, -np.inf))), (c["x"] * c["y"]) @ w])
 
 
 def shape_of(units: Units) -> dict[str, np.ndarray]:
     return dict(zip(_SHAPE, _sums(units, _shape, list(_SHAPE), list(_SHAPE.values())), strict=True))
 
 
+_AT = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+_BASIS = np.polynomial.chebyshev.chebvander(_AT, NODES - 1).T * np.where(np.arange(NODES), 2.0, 1.0)[:, None] / NODES
+
+
+def at_nodes(x: np.ndarray, cell: int) -> np.ndarray:
+    """(unit, node): the shares by which a unit of a cell counts at the cell's Chebyshev nodes, so that sums of smooth functions of x stay."""
+    return np.polynomial.chebyshev.chebvander(2 * (x / CELL - cell) - 1, NODES - 1) @ _BASIS
+
+
+def _newton(x: np.ndarray, w: np.ndarray, n: np.ndarray, won: np.ndarray, won_x: np.ndarray, sound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, intercept and whether it is met, for the columns (replicates) of the weights of points x; halved where the loss rises."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        a, b = np.where(sound, np.log(won / (n - won)), 0.0), np.zeros(len(n))
+    open_, done = sound.copy(), np.zeros(len(n), bool)
+    a0, b0, best = a.copy(), b.copy(), np.full(len(n), np.inf)
+    for _ in range(2 * STEPS):
+        on = np.flatnonzero(open_)
+        if not len(on):
+            break
+        eta, v = a[on] + x[:, None] * b[on], w[:, on]
+        mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+        r, h = v * mu, v * mu * (1 - mu)
+        g0, g1, h0, h1, h2 = r.sum(0) - won[on], x @ r - won_x[on], h.sum(0), x @ h, (x * x) @ h
+        loss = (v * np.logaddexp(0.0, eta)).sum(0) - a[on] * won[on] - b[on] * won_x[on]
+        worse = ~(loss <= best[on] + 1e-12 * np.abs(best[on]))
+        bad, fine = on[worse], on[~worse]
+        a[bad], b[bad] = (a0[bad] + a[bad]) / 2, (b0[bad] + b[bad]) / 2
+        open_[bad[np.maximum(abs(a - a0), abs(b - b0))[bad] < 1e-12]] = False
+        a0[fine], b0[fine], best[fine] = a[fine], b[fine], loss[~worse]
+        g0, g1, h0, h1, h2 = (s[~worse] for s in (g0, g1, h0, h1, h2))
+        met = np.maximum(abs(g0), abs(g1)) < TOLERANCE * np.maximum(1.0, np.sqrt(n[fine]))
+        det = h0 * h2 - h1 * h1
+        lost = ~met & ((det <= 1e-12 * np.maximum(1.0, h0 * h2)) | (np.maximum(abs(a), abs(b))[fine] > 1e4))
+        done[fine[met]], open_[fine[met | lost]] = True, False
+        go = ~(met | lost)
+        at, g0, g1, h0, h1, h2, det = (s[go] for s in (fine, g0, g1, h0, h1, h2, det))
+        a[at], b[at] = a[at] - (h2 * g0 - h1 * g1) / det, b[at] - (h0 * g1 - h1 * g0) / det
+    return b0, a0, done
+
+
+def _by_nodes(units: Units, shape: dict[str, np.ndarray], sound: np.ndarray) -> np.ndarray:
+    """(slope, intercept, trusted) by group and replicate, from one pass over the units.
+
+    Units of a cell of logits count at the cell's nodes, whatever their number,
+    and a task takes all Newton steps of some replicates over the nodes. Steep
+    fits, for which the nodes are too far apart, aren't trusted.
+    """
+    reps, seed = units.reps, units.seed
+    told = {c: shape[c] for c in ("n", "won", "won_x")}
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (g, cell), sums in held.items():
+                blocks = [np.ascontiguousarray(sums[:, i : i + BLOCK]).tobytes() for i in range(0, reps, BLOCK)]
+                k = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, g, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, cell, np.int32)), pa.array(blocks, pa.binary())], names=["g", "block", "cell", "sums"])
+            held.clear()
+
+        for batch in batches:
+            for c, w in _weighted(batch, reps, seed):
+                cells = np.floor(c["x"] / CELL).astype(np.int64)
+                for g, cell in np.unique(np.column_stack([c["g"], cells]), axis=0).tolist():
+                    at = (c["g"] == g) & (cells == cell)
+                    sums = at_nodes(c["x"][at], cell).T @ w[at]
+                    held[g, cell] = held[g, cell] + sums if (g, cell) in held else sums
+                if len(held) * NODES * reps * 8 > HELD_BYTES:
+                    yield from flush()
+        yield from flush()
+
+    def solve(rows: pa.Table) -> pa.Table:
+        g, block = rows["g"][0].as_py(), rows["block"][0].as_py()
+        sums: dict[int, np.ndarray] = {}
+        for cell, part in zip(rows["cell"].to_pylist(), rows["sums"], strict=True):
+            own = np.frombuffer(part.as_buffer()).reshape(NODES, -1)
+            sums[cell] = sums[cell] + own if cell in sums else own
+        cells = sorted(sums)
+        x, w = np.concatenate([(c + (_AT + 1) / 2) * CELL for c in cells]), np.concatenate([sums[c] for c in cells])
+        some = slice(block * BLOCK, block * BLOCK + w.shape[1])
+        slope, intercept, met = _newton(x, w, *(told[c][g, some] for c in ("n", "won", "won_x")), sound[g, some])
+        k = w.shape[1]
+        return pa.table({"g": np.full(k, g, np.int32), "rep": np.arange(k) + block * BLOCK, "slope": slope, "intercept": intercept, "trusted": (met & (np.abs(slope) <= TRUSTED)).astype(float)})
+
+    parts = units.rows.mapInArrow(gather, "g int, block int, cell int, sums binary")
+    rows = parts.groupBy("g", "block").applyInArrow(solve, "g int, rep long, slope double, intercept double, trusted double").toArrow()  # a row for each group and replicate
+    out = np.zeros((3, len(units.groups), reps))
+    out[:, rows["g"].to_numpy(), rows["rep"].to_numpy()] = [rows[c].to_numpy() for c in ("slope", "intercept", "trusted")]
+    return out
+
+
 def fits(units: Units, shape: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Slope and intercept of each group and replicate; NaN where the rows drawn don't determine a fit.
 
-    All replicates take their Newton steps together: a step is one aggregate of
-    six sums for each. A step that raises the loss is halved.
+    Replicates are fitted over nodes, by one pass. The few whose fit is too
+    steep for that take their Newton steps together over the units: a step is
+    one aggregate of six sums for each, halved where the loss rises.
     """
     n, won = shape["n"], shape["won"]
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -176,7 +278,10 @@ def fits(units: Units, shape: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nda
         span = np.fmax(shape["won_hi"], shape["lost_hi"]) - np.fmin(shape["won_lo"], shape["lost_lo"])
         sound = (n > 0) & (rate > 0) & (rate < 1) & (span >= 1e-9) & (shape["won_lo"] < shape["lost_hi"]) & (shape["lost_lo"] < shape["won_hi"])
         a, b = np.where(sound, np.log(rate / (1 - rate)), np.nan), np.where(sound, 0.0, np.nan)
-    open_, done = sound.copy(), np.zeros_like(sound)
+    b_nodes, a_nodes, trusted = _by_nodes(units, shape, sound) if sound.any() else np.zeros((3, *sound.shape))
+    done = sound & (trusted > 0)
+    open_ = sound & ~done
+    a, b = np.where(done, a_nodes, a), np.where(done, b_nodes, b)
     a0, b0, best = a.copy(), b.copy(), np.full(a.shape, np.inf)
     for _ in range(2 * STEPS):
         if not open_.any():

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators.cox import newton
 from plumbline.operators import cox as X
 from plumbline.operators import resample
 
@@ -129,3 +130,28 @@ def test_agreement_by_chance_from_numbers_alone(spark):
     assert found[0] == pytest.approx(0.5, abs=0.01) and found[2] == 0.5
     n = 600  # the number that agree is twice a hypergeometric one, less a constant
     assert found[1] == pytest.approx(2 * (400 * (1 / 2) * (1 / 2) * (n - 400) / (n - 1)) ** 0.5 / n, rel=0.2)
+
+
+def test_steep_and_flat_fits_over_nodes_agree_with_weighted_ones(spark):
+    """All groups are fitted by one pass over few nodes; a slope beyond what nodes resolve takes steps over the units."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, slope in (("flat", 0.8), ("steep", 12.0)):
+        x = rng.normal(0, 1.5 if g == "flat" else 0.3, 300)
+        p, y = 1 / (1 + np.exp(-x)), (rng.random(300) < 1 / (1 + np.exp(-slope * x))).astype(float)
+        rows += [(g, float(a), float(b)) for a, b in zip(p, y, strict=True)]
+    df = spark.createDataFrame(rows, "g string, p double, y double")
+    with resample.Units(df, ["g"], 40, 3) as units:
+        shape = resample.shape_of(units)
+        slope, intercept = resample.fits(units, shape)
+        told = resample._by_nodes(units, shape, np.ones_like(slope, bool))
+        own = units.rows.toPandas()
+    assert told[2, 0].all() and not told[2, 1].all()
+    assert units.rows.rdd.getNumPartitions() > 1
+    for i in range(2):
+        mine = own[own["g"] == i]
+        w = resample.weights(mine["key"].to_numpy(), mine["rate"].to_numpy(), 40, 3)
+        for r in range(40):
+            x, y, n = (np.repeat(mine[c].to_numpy(), w[:, r].astype(int)) for c in ("x", "y", "x"))
+            want = newton(np.column_stack([np.ones(len(n)), x]), y, np.zeros(2))
+            assert (intercept[i, r], slope[i, r]) == pytest.approx(tuple(want), abs=1e-5, rel=1e-5)
