@@ -23,6 +23,7 @@ from plumbline.plans import domain as D
 from plumbline.plans.domain import GAMES, with_sql
 from plumbline.plans.queries import _LOOKED, ORACLES, _features_sql, look, modelled, query, rounded
 from plumbline.schemas import BUCKET_EDGES, NULL_TABLE, RATING_GRIDS, RATING_SETTINGS
+from plumbline.sources.scratch import kept
 
 SETTINGS = {s: E.Setting(*map(float, v)) for s, v in RATING_SETTINGS.items()}
 
@@ -205,8 +206,9 @@ def gbm_ceiling(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold forecasts of each sport, by the folds of ``rolling_folds``."""
     key = ["sport", "season", "game_id"]
     rows = features_of(spark, d).join(look(spark, d).select(*key, "p", "y"), key).join(D.games(spark, d).select(*key, "start_t"), key)
-    rows = rows.withColumn("logit", F.ln(F.col("p") / (1 - F.col("p"))))
-    return rounded(each_sport(lambda s: M.rolling_ceiling(rows.where(F.col("sport") == s), ORIGINS, ["logit", "home_games_7d", "away_games_7d"])), 4)
+    features = ["logit", "home_games_7d", "away_games_7d"]
+    rows = kept(rows.withColumn("logit", F.ln(F.col("p") / (1 - F.col("p")))).select(*key, "y", "start_t", *features), "ceiling")  # trees read them again and again
+    return rounded(each_sport(lambda s: M.rolling_ceiling(rows.where(F.col("sport") == s), ORIGINS, features)), 4)
 
 
 #: Covariates of the hierarchical model by sport, and what is filled with medians before they are derived.
