@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plumbline.operators.cox import FitError, cox, logistic_mle
+from plumbline.functions.scalars import inv_logit
+from plumbline.operators.cox import CLIP, STEPS, cox
+from plumbline.sources.scratch import kept
 
 TERMS = ("rest_diff", "b2b_diff", "travel_diff", "tz_diff", "rating_diff")
 #: R-hat above which a fit is refused; chains, warm-up and draws.
@@ -203,32 +207,88 @@ def recalibration_null(p_fit: np.ndarray, y_fit: np.ndarray, p_apply: np.ndarray
     return 1 / (1 + np.exp(-(intercept + slope * np.log(q / (1 - q)))))
 
 
+def _logistic_sums(name: str, x: Sequence[Column], y: Column) -> list[Column]:
+    """Aggregates of loss, gradient and upper Hessian of a logistic model at the coefficients ``{name}0``, ``{name}1`` and so on."""
+    eta = functools.reduce(lambda s, t: s + t, (F.col(f"{name}{i}") * v for i, v in enumerate(x)))
+    mu = inv_logit(eta)
+    terms = [F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - y * eta, *((mu - y) * v for v in x), *(mu * (1 - mu) * x[i] * x[j] for i in range(len(x)) for j in range(i, len(x)))]
+    return [F.sum(t).alias(f"{name}s{i}") for i, t in enumerate(terms)]
+
+
+class _Newton:
+    """Newton steps of one group's model as sums come in; the fit of ``logistic_mle``."""
+
+    def __init__(self, d: int, n: int):
+        self.d, self.n, self.ridge, self.tolerance = d, n, 1e-8, 1e-8
+        self.beta, self.last, self.best, self.failure, self.open = np.zeros(d), np.zeros(d), np.inf, None, True
+
+    def close(self, failure: str | None = None) -> None:
+        self.open, self.failure = False, failure
+
+    def meet(self, sums: Sequence[float]) -> None:
+        d, hessian = self.d, np.empty((self.d, self.d))
+        loss, gradient = sums[0] + self.ridge * float(self.beta @ self.beta) / 2, np.array(sums[1 : d + 1]) + self.ridge * self.beta
+        if not loss <= self.best * (1 + 1e-12):  # the step was too long
+            self.beta = (self.last + self.beta) / 2
+            return self.close("no convergence") if np.max(np.abs(self.beta - self.last)) < 1e-12 else None
+        self.last, self.best = self.beta, loss
+        if np.max(np.abs(gradient)) < self.tolerance * max(1.0, self.n**0.5):
+            return self.close()
+        at = np.triu_indices(d)
+        hessian[at] = hessian.T[at] = sums[d + 1 :]
+        try:
+            self.beta = self.beta - np.linalg.solve(hessian + self.ridge * np.eye(d), gradient)
+        except np.linalg.LinAlgError:
+            return self.close("singular")
+        return self.close("diverges") if not np.all(np.isfinite(self.beta)) or np.max(np.abs(self.beta)) > 1e4 else None
+
+
 def rolling_nested(df: DataFrame, origins: Sequence[int], covariates: Sequence[str], by: Sequence[str] = ("sport",), price: str = "p", y: str = "y", key: str = "game_id") -> DataFrame:
-    """Out-of-fold forecasts of a model of the price alone (``p_a``) and one with covariates (``p_b``), fold by fold in parallel.
+    """Out-of-fold forecasts of a model of the price alone (``p_a``) and one with covariates (``p_b``).
 
     A fold whose training or test rows are missing, or that has no fit, gives
-    no forecast but one row that names why.
+    no forecast but one row that names why. Newton steps of all folds and both
+    models are taken together: a step is one aggregate of sums by fold. Rows
+    stay where they are; a few numbers for each fold go to the driver.
     """
-    kind = df.schema[key].dataType.simpleString()
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{kinds}, fold int, {key} {kind}, y double, p_a double, p_b double, skipped string"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head = {c: rows[c].iloc[0] for c in (*by, "fold")}
-        q = rows[price].clip(1e-6, 1 - 1e-6)
-        rows = rows.assign(__x=np.log(q / (1 - q))).sort_values(key)
-        train, test = (rows[rows["role"] == r].dropna(subset=[price, y, *covariates]) for r in ("train", "test"))
-        try:
-            if not len(train) or not len(test):
-                raise FitError("no rows to train on" if not len(train) else "no rows to test on")
-            wide = ["__x", *covariates]
-            a, b = logistic_mle(train[["__x"]].to_numpy(), train[y].to_numpy()), logistic_mle(train[wide].to_numpy(float), train[y].to_numpy())
-        except FitError as e:
-            return pd.DataFrame([head | {key: None, "y": None, "p_a": None, "p_b": None, "skipped": str(e)}])
-        apply = lambda beta, x: 1 / (1 + np.exp(-(beta[0] + x @ beta[1:])))
-        return pd.DataFrame(head | {key: test[key], "y": test[y].astype(float), "p_a": apply(a, test[["__x"]].to_numpy()), "p_b": apply(b, test[wide].to_numpy(float)), "skipped": None})
-
-    return folds(df, origins).select(*by, "fold", "role", key, price, y, *covariates).groupBy(*by, "fold").applyInPandas(run, schema)
+    spark, groups = df.sparkSession, [*(f"__b{i}" for i in range(len(by))), "fold"]
+    told = functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (price, y, *covariates)))
+    wide = [F.lit(1.0), F.col("__x"), *(F.col(f"__z{i}") for i in range(len(covariates)))]
+    cut = F.least(F.greatest(F.col(price).cast("double"), F.lit(CLIP)), F.lit(1 - CLIP))
+    each = folds(df, origins).select(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=False)), "fold", "role", F.col(key).alias("__key"), told.alias("told"), F.ln(cut / (1 - cut)).alias("__x"), *(F.col(c).cast("double").alias(f"__z{i}") for i, c in enumerate(covariates)), F.col(y).cast("double").alias("__y"))
+    rows = kept(each, "nested")
+    sizes = rows.groupBy(*groups).agg(*(F.count(F.when(F.col("told") & (F.col("role") == r), 1)).alias(r) for r in ("train", "test"))).collect()
+    fits = {tuple(r[g] for g in groups): [_Newton(d, r["train"]) for d in (2, len(wide))] for r in sizes}
+    for r in sizes:
+        if not r["train"] or not r["test"]:
+            for f in fits[tuple(r[g] for g in groups)]:
+                f.close("no rows to train on" if not r["train"] else "no rows to test on")
+    names = [("a", 2), ("b", len(wide))]
+    coefficients = [f"{m}{i}" for m, d in names for i in range(d)]
+
+    def meeting(rows: DataFrame, some: Sequence[tuple]) -> DataFrame:
+        kinds = functools.reduce(lambda s, g: s.add(f"{g}_", rows.schema[g].dataType), groups, StructType()).add("g", "integer")
+        kinds = functools.reduce(lambda s, c: s.add(c, "double"), coefficients, kinds)
+        table = spark.createDataFrame([(*k, i, *(float(v) for f in fits[k] for v in f.beta)) for i, k in enumerate(some)], kinds)
+        same = functools.reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups))
+        return rows.join(F.broadcast(table), same)  # a row for each fold
+
+    for _ in range(2 * STEPS):
+        some = [k for k, v in fits.items() if any(f.open for f in v)]
+        if not some:
+            break
+        sums = [c for m, d in names for c in _logistic_sums(m, wide[:d], F.col("__y"))]
+        for r in meeting(rows.where("told and role = 'train'"), some).groupBy("g").agg(*sums).collect():
+            for (m, d), f in zip(names, fits[some[r["g"]]], strict=True):
+                if f.open:
+                    f.meet([r[f"{m}s{i}"] for i in range(1 + d + d * (d + 1) // 2)])
+    why = {k: next((f.failure or ("no convergence" if f.open else None) for f in v if f.failure or f.open), None) for k, v in fits.items()}
+    apply = lambda m, d: inv_logit(functools.reduce(lambda s, t: s + t, (F.col(f"{m}{i}") * v for i, v in enumerate(wide[:d]))))
+    own = [F.col(g).alias(c) for c, g in zip(by, groups, strict=False)]
+    found = meeting(rows.where("told and role = 'test'"), [k for k, v in why.items() if v is None]).select(*own, F.col("fold").cast("int").alias("fold"), F.col("__key").alias(key), F.col("__y").alias("y"), *(apply(m, d).alias(f"p_{m}") for m, d in names), F.lit(None).cast("string").alias("skipped"))
+    lacking = functools.reduce(lambda s, g: s.add(g, rows.schema[g].dataType), groups, StructType()).add("skipped", "string")
+    none = spark.createDataFrame([(*k, v) for k, v in why.items() if v is not None], lacking)
+    return found.unionByName(none.select(*own, F.col("fold").cast("int").alias("fold"), "skipped"), allowMissingColumns=True)
 
 
 def gbm_ceiling(df: DataFrame, features: Sequence[str], train: str, y: str = "y", key: str = "game_id", rounds: int = 40) -> DataFrame:
