@@ -15,10 +15,12 @@ from plumbline.operators.frame import LOOKS, assign_strata, look
 from plumbline.operators.matching import CALIPER, caliper_match
 from plumbline.operators.scores import bin_count, bin_table, calibration_error, equal_count_bins, murphy, null_reference, pool_shape, score_set
 from plumbline.schemas import COST_GRID, GATE_ECE, GATE_INTERCEPT, GATE_MAX_BIN, GATE_SLOPE, NULL_SIZES, PRICE_BANDS
+from plumbline.sources.scratch import kept
 
 
 def calibration_report(df: DataFrame, by: Sequence[str], key: Sequence[str] = ("game_id",)) -> DataFrame:
     """One row per group: n, scores, ECE with bins by the rule of 150, Murphy parts, slope and intercept (null without a fit)."""
+    df = kept(df, "report")  # each part reads the rows again
     sized = df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), list(by)).withColumn("__k", bin_count(F.col("__n")))
     bins = bin_table(equal_count_bins(sized, F.col("__k"), by, key), by)
     parts = [score_set(df, by), calibration_error(bins, by).drop("n"), murphy(bins, by), cox_by(df, by).drop("n")]
