@@ -77,8 +77,8 @@ _DESIGN = "design as (select f.*, case when g.winner = 'home' then 1.0 else 0.0
 @query(with_sql("select sport, game_id, (home_rest_days is null)::int + (away_rest_days is null)::int as filled, coalesce(cast(home_rest_days as double), (select median(home_rest_days) from design where season < '1998')) as home_rest_days, coalesce(cast(away_rest_days as double), (select median(away_rest_days) from design where season < '1998')) as away_rest_days from design", GAMES, _DESIGN))
 def median_fill(spark: SparkSession, d: str) -> DataFrame:
     """Filled with medians of the seasons before 1998 alone."""
-    rows = features_of(spark, d)
     columns = ["home_rest_days", "away_rest_days"]
+    rows = kept(features_of(spark, d).select("sport", "season", "game_id", *columns), "features")  # for the medians and for the filling
     return M.fill(rows, M.medians(rows, columns, "season < '1998'")).select("sport", "game_id", "filled", *columns)
 
 
@@ -267,8 +267,8 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
 
     games = D.games(spark, d)
     winners = games.select("sport", "season", "game_id", F.col("winner").alias("market_winner"))
-    priced = D.priced(spark, d).join(winners, ["sport", "season", "game_id"])
-    results = G.run_gate(G.Census(games, priced, D.misses(spark, d), D.quotes(spark, d)), [c for c in G.CHECKS if c is not G.price_series])
+    priced = kept(D.priced(spark, d).join(winners, ["sport", "season", "game_id"]), "priced")  # each check reads them
+    results = G.run_gate(G.Census(games, priced, kept(D.misses(spark, d), "misses"), D.quotes(spark, d)), [c for c in G.CHECKS if c is not G.price_series])
     return spark.createDataFrame([(r.name, r.passed) for r in results], "name string, passed boolean")
 
 

@@ -152,3 +152,21 @@ def test_a_prize_by_hand(spark):
     assert found[0.02, 0.0].profit == pytest.approx(1 / 0.52 - 1 - 1 + 1 / 0.22 - 1)
     paid = [0.5 + 0.02 + 0.05 * 0.25, 0.2 + 0.02 + 0.05 * 0.16]
     assert found[0.02, 0.05].roi == pytest.approx((1 / paid[0] - 1 - 1 + 1 / paid[1] - 1) / 3)
+
+
+def test_reports_read_what_was_written_once(spark, monkeypatch):
+    """What several passes read is joined once: rows to fill and the parts of a report."""
+    from plumbline.operators import analysis
+    from plumbline.plans import models
+
+    real, met = models.kept, []
+
+    def counted(df, name):
+        met.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(models, "kept", counted)
+    monkeypatch.setattr(analysis, "kept", counted)
+    models.median_fill(spark, "/root/testdata/sf0.001")
+    models.calibration_report(spark, "/root/testdata/sf0.001")
+    assert met == ["features", "report"]
