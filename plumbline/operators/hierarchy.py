@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,47 @@ DESIGN = ("g", "role", "season", "game_id", "home", "away", "neutral", "y", "rat
 BLOCK_DRAWS = 250
 
 
+class Fits(NamedTuple):
+    """Where design and draws of some groups are, and the team-seasons that each has seen."""
+
+    design: str
+    draws: str
+    names: dict[int, list[str]]
+
+
+def _read(path: str, g: int, columns: Sequence[str], role: str | None = None):
+    """Record batches of a group's files."""
+    import pyarrow.dataset as ds
+
+    store, root = opened(f"{path}/g={g}")
+    files = ds.dataset(root, filesystem=store, format="parquet")
+    yield from files.to_batches(columns=list(columns), filter=None if role is None else ds.field("role") == role, batch_size=BLOCK_DRAWS if role is None else 65_536)
+
+
+def training_data(path: str, g: int, names: Sequence[str]) -> M.Data:
+    """The training rows of a group as arrays, in canonical order; they are put there batch by batch."""
+    keys = pa.Table.from_batches(list(_read(path, g, ["season", "game_id"], "train")))
+    n = keys.num_rows
+    place = np.empty(n, np.int64)
+    place[pc.sort_indices(keys, [("season", "ascending"), ("game_id", "ascending")]).to_numpy()] = np.arange(n)
+    del keys
+    known, at, out = pa.array(names, pa.string()), 0, {}
+    for batch in _read(path, g, ["home", "away", "neutral", "y", "rating", "x"], "train"):
+        to = place[at : at + batch.num_rows]
+        at += batch.num_rows
+        columns = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("rating", "neutral", "y")}
+        columns |= {c: pc.index_in(batch[c], known).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("home", "away")}
+        columns["x"] = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for c, v in columns.items():
+            if c not in out:
+                out[c] = np.empty((n, *v.shape[1:]), v.dtype)
+            out[c][to] = v
+    return M.Data(**out, teams=len(names))
+
+
+_DRAWS = 250
+
+
 class Fits(NamedTuple):
     """Where design and draws of some groups are, and the team-seasons that each has seen."""
 

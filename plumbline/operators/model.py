@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -19,6 +19,8 @@ from plumbline.sources.scratch import kept
 TERMS = ("rest_diff", "b2b_diff", "travel_diff", "tz_diff", "rating_diff")
 #: R-hat above which a fit is refused; chains, warm-up and draws.
 MAX_RHAT, CHAINS, WARMUP, SAMPLES = 1.01, 4, 1500, 1500
+#: Rows of a likelihood that are taken together, and rows for each parameter from which paths follow its expansion.
+BLOCK_ROWS, EXPANDED_ROWS = 1 << 14, 15
 
 
 class DiagnosticsError(RuntimeError):
@@ -116,11 +118,146 @@ def log_density(theta: np.ndarray, d: Data, q: Priors) -> tuple[float, np.ndarra
     ])
 
 
+def _effects(theta: np.ndarray, d: Data) -> np.ndarray:
+    """What the likelihood hangs on: alpha, mean home edge, rating, features, and effects of teams, overall and at home, each times its scale."""
+    a, m, b, w, lt, lh, zt, zh = unpack(theta, d)
+    return np.concatenate([[a, m, b], w, np.exp(min(lt, 20.0)) * zt, np.exp(min(lh, 20.0)) * zh])
+
+
+def _blocks(d: Data) -> Iterator[Data]:
+    for at in range(0, len(d.y), BLOCK_ROWS):
+        yield Data(*(v[at : at + BLOCK_ROWS] for v in d[:-1]), d.teams)
+
+
+def _eta(effects: np.ndarray, d: Data) -> np.ndarray:
+    k = 3 + d.x.shape[1]
+    team, host = effects[k : k + d.teams], effects[1] + effects[k + d.teams :]
+    return effects[0] + effects[2] * d.rating + d.x @ effects[3:k] + (team[d.home] - team[d.away]) + (1.0 - d.neutral) * host[d.home]
+
+
+def log_likelihood(effects: np.ndarray, d: Data) -> float:
+    """Block by block; the logarithm is taken of products of sixteen chances, none of which is beyond e^36."""
+    total = 0.0
+    for part in _blocks(d):
+        eta = _eta(effects, part)
+        odds = 1.0 + np.exp(np.minimum(eta, 36.0))
+        whole = len(odds) // 16 * 16
+        total += float(part.y @ eta) - float(np.maximum(eta - 36.0, 0.0).sum())
+        total -= float(np.log(np.multiply.reduce(odds[:whole].reshape(16, -1), axis=0)).sum() + np.log(odds[whole:]).sum())
+    return total
+
+
+def curvature(effects: np.ndarray, d: Data) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood by the effects, and its second derivatives with the sign turned: sums over the rows, block by block."""
+    t, k = d.teams, 3 + d.x.shape[1]
+    gradient, matrix = np.zeros(k + 2 * t), np.zeros((k + 2 * t, k + 2 * t))
+    both, at_site = np.zeros(t * t), np.zeros(t * t)
+    for part in _blocks(d):
+        mu = 1 / (1 + np.exp(-np.clip(_eta(effects, part), -700, 700)))
+        r, v, here = part.y - mu, mu * (1 - mu), 1.0 - part.neutral
+        wide = np.column_stack([np.ones(len(r)), here, part.rating, part.x])
+        home, away = (lambda w, c=c: np.bincount(c, w, t) for c in (part.home, part.away))
+        gradient += np.concatenate([wide.T @ r, home(r) - away(r), home(r * here)])
+        matrix[:k, :k] += wide.T @ (v[:, None] * wide)
+        for j in range(k):
+            w = v * wide[:, j]
+            matrix[j, k:] += np.concatenate([home(w) - away(w), home(w * here)])
+        own = np.arange(t)
+        matrix[k + own, k + own] += home(v) + away(v)
+        matrix[k + own, k + t + own] += home(v * here)
+        matrix[k + t + own, k + t + own] += home(v * here * here)
+        pair = part.home * t + part.away
+        both += np.bincount(pair, v, t * t)
+        at_site += np.bincount(pair, v * here, t * t)
+    both, at_site = both.reshape(t, t), at_site.reshape(t, t)
+    matrix[k : k + t, k : k + t] -= both + both.T
+    matrix[k : k + t, k + t :] -= at_site.T
+    matrix[k:, :k] = matrix[:k, k:].T
+    matrix[k + t :, k : k + t] = matrix[k : k + t, k + t :].T
+    return gradient, matrix
+
+
+class Expansion(NamedTuple):
+    """The log likelihood around some effects, to the second order, and the scales that go with them."""
+
+    effects: np.ndarray
+    gradient: np.ndarray
+    matrix: np.ndarray
+    scales: tuple[float, float]
+
+    def slope(self, effects: np.ndarray) -> np.ndarray:
+        return self.gradient - self.matrix @ (effects - self.effects)
+
+
+def _precision(d: Data, q: Priors, scales: tuple[float, float]) -> np.ndarray:
+    each = [q.intercept, q.home, q.rating, *[q.feature] * d.x.shape[1], *[scales[0]] * d.teams, *[scales[1]] * d.teams]
+    return 1 / np.array(each) ** 2
+
+
+def expansion(d: Data, q: Priors, steps: int = 12) -> Expansion:
+    """At the mode of the effects, for scales that are led there with them; Newton steps are halved where they are too long."""
+    k, t = 3 + d.x.shape[1], d.teams
+    effects, scales = np.zeros(k + 2 * t), (q.team / 2, q.team_home / 2)
+    for _ in range(steps):
+        gradient, matrix = curvature(effects, d)
+        precision = _precision(d, q, scales)
+        spread = np.linalg.inv(matrix + np.diag(precision))
+        change = spread @ (gradient - precision * effects)
+        value = lambda e: log_likelihood(e, d) - 0.5 * float(precision @ e**2)  # noqa: B023, E731
+        now, share = value(effects), 1.0
+        while share > 1e-6 and not value(effects + share * change) >= now - 1e-9 * abs(now):
+            share /= 2
+        effects = effects + share * change
+        second = effects**2 + np.diag(spread)
+        scales = tuple(float(np.clip(np.sqrt(second[at].mean()), top / 50, 2 * top)) for at, top in ((slice(k, k + t), q.team), (slice(k + t, None), q.team_home)))
+    return Expansion(effects, *curvature(effects, d), scales)
+
+
+def _from_effects(theta: np.ndarray, d: Data, q: Priors, slope: np.ndarray) -> np.ndarray:
+    """The gradient of the posterior, given that of the likelihood by the effects."""
+    a, m, b, w, lt, lh, zt, zh = unpack(theta, d)
+    st, sh, k = np.exp(min(lt, 20.0)), np.exp(min(lh, 20.0)), 3 + d.x.shape[1]
+    team, host = slope[k : k + d.teams], slope[k + d.teams :]
+    return np.concatenate([
+        [slope[0] - a / q.intercept**2, slope[1] - m / q.home**2, slope[2] - b / q.rating**2],
+        slope[3:k] - w / q.feature**2,
+        [st * float(team @ zt) - (st / q.team) ** 2 + 1, sh * float(host @ zh) - (sh / q.team_home) ** 2 + 1],
+        st * team - zt,
+        sh * host - zh,
+    ])
+
+
+def _prior(theta: np.ndarray, d: Data, q: Priors) -> float:
+    a, m, b, w, lt, lh, zt, zh = unpack(theta, d)
+    st, sh = np.exp(min(lt, 20.0)), np.exp(min(lh, 20.0))
+    return -0.5 * ((a / q.intercept) ** 2 + (m / q.home) ** 2 + (b / q.rating) ** 2 + float(w @ w) / q.feature**2 + float(zt @ zt) + float(zh @ zh) + (st / q.team) ** 2 + (sh / q.team_home) ** 2) + lt + lh
+
+
 def hmc(d: Data, q: Priors, rng: np.random.Generator, warmup: int, samples: int, accept: float = 0.9) -> tuple[np.ndarray, int]:
-    """Draws and divergences of one chain: paths of random length, step size by dual averaging, diagonal metric from the warm-up."""
-    n = 5 + d.x.shape[1] + 2 * d.teams
-    theta = rng.normal(0, 0.1, n)
-    value, gradient = log_density(theta, d, q)
+    """Draws and divergences of one chain: paths of random length, step size by dual averaging, diagonal metric from the warm-up.
+
+    Paths are taken in coordinates in which the posterior around its mode is
+    round. With many rows for each parameter they follow the gradient of the
+    expansion instead of the rows' own; any gradient gives paths that can be
+    taken back, and whether a path's end is taken is judged by the density of
+    all rows. So draws are of the same posterior, for one pass over the rows a draw.
+    """
+    around, k, t = expansion(d, q), d.x.shape[1], d.teams
+    n = 5 + k + 2 * t
+    scale = np.concatenate([np.ones(3 + k), np.full(t, around.scales[0]), np.full(t, around.scales[1])])
+    mode = np.insert(around.effects / scale, 3 + k, np.log(around.scales))
+    rest = np.r_[0 : 3 + k, 5 + k : n]
+    turn = 0.5 * np.eye(n)  # the scales by themselves
+    turn[np.ix_(rest, rest)] = np.linalg.cholesky(np.linalg.inv(scale[:, None] * around.matrix * scale + np.diag(scale**2 * _precision(d, q, around.scales))))
+    place = lambda x: mode + turn @ x
+    if len(d.y) >= EXPANDED_ROWS * n:
+        slope = lambda x: turn.T @ _from_effects(theta := place(x), d, q, around.slope(_effects(theta, d)))
+        density = lambda x: log_likelihood(_effects(theta := place(x), d), d) + _prior(theta, d, q)
+    else:
+        slope = lambda x: turn.T @ log_density(place(x), d, q)[1]
+        density = lambda x: log_density(place(x), d, q)[0]
+    theta = rng.normal(0, 1, n)
+    value, gradient = density(theta), slope(theta)
     metric, step = np.ones(n), 0.1
     mu, bar, h, count = np.log(10 * step), 0.0, 0.0, 0
     seen, out, divergences = [], [], 0
@@ -129,15 +266,16 @@ def hmc(d: Data, q: Priors, rng: np.random.Generator, warmup: int, samples: int,
         energy = value - 0.5 * float(momentum**2 @ metric)
         length = max(1, int(rng.uniform(0.5, 1.5) * 1.6 / step)) if step > 0 else 1
         x, g, p = theta, gradient, momentum
-        new = value
         for _ in range(min(length, 200)):
             p = p + 0.5 * step * g
             x = x + step * metric * p
-            new, g = log_density(x, d, q)
+            g = slope(x)
             p = p + 0.5 * step * g
-            if not np.isfinite(new) or energy - (new - 0.5 * float(p**2 @ metric)) > 1000:
-                new = -np.inf
+            if not np.all(np.isfinite(p)):
                 break
+        new = density(x) if np.all(np.isfinite(p)) and np.all(np.isfinite(x)) else -np.inf
+        if not np.isfinite(new) or energy - (new - 0.5 * float(p**2 @ metric)) > 1000:
+            new = -np.inf
         gain = new - 0.5 * float(p**2 @ metric) - energy if np.isfinite(new) else -np.inf
         rate = float(np.exp(min(0.0, gain)))
         if gain == -np.inf and i >= warmup:
@@ -159,7 +297,7 @@ def hmc(d: Data, q: Priors, rng: np.random.Generator, warmup: int, samples: int,
             if i == warmup - 1:
                 step = float(np.exp(bar))
         else:
-            out.append(theta)
+            out.append(place(theta))
     return np.array(out), divergences
 
 

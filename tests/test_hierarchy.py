@@ -158,3 +158,32 @@ def test_the_query_fits_all_games_of_all_sports(spark, monkeypatch):
     monkeypatch.setattr(M, "MAX_RHAT", 0.5)
     with pytest.raises(M.DiagnosticsError):
         models.hierarchical_chains(spark, small)
+
+
+def test_paths_along_the_expansion_draw_the_same_posterior_and_meet_the_rows_once_a_draw(monkeypatch):
+    home, away, rating, y = games(n=3000)
+    neutral = (np.arange(3000) % 9 == 0).astype(float)
+    data = M.Data(np.random.default_rng(4).normal(size=(3000, 2)), rating, home, away, neutral, y, 6)
+    q, theta = M.Priors(), np.random.default_rng(5).normal(0, 0.3, 5 + 2 + 12)
+    effects = M._effects(theta, data)
+    assert M.log_likelihood(effects, data) + M._prior(theta, data, q) == pytest.approx(M.log_density(theta, data, q)[0], abs=1e-8)
+    gradient, matrix = M.curvature(effects, data)
+    assert np.allclose(M._from_effects(theta, data, q, gradient), M.log_density(theta, data, q)[1])
+    for i in range(len(effects)):
+        step = np.eye(len(effects))[i] * 1e-5
+        assert np.allclose((M.curvature(effects - step, data)[0] - M.curvature(effects + step, data)[0]) / 2e-5, matrix[i], atol=1e-4)
+    passes = []
+    whole, each = M.log_density, M.log_likelihood
+    monkeypatch.setattr(M, "log_density", lambda *a: passes.append(1) or whole(*a))
+    monkeypatch.setattr(M, "log_likelihood", lambda *a: passes.append(1) or each(*a))
+    draws, counts = [], []
+    for rows in (0, 10**9):
+        passes.clear()
+        monkeypatch.setattr(M, "EXPANDED_ROWS", rows)
+        own, bad = M.hmc(data, q, np.random.default_rng(6), 500, 1500)
+        assert not bad
+        draws.append(own)
+        counts.append(len(passes))
+    assert counts[0] < 2000 + 1 + 12 * 30 < counts[1]
+    means, sds = [x.mean(axis=0) for x in draws], [x.std(axis=0) for x in draws]
+    assert np.all(np.abs(means[0] - means[1]) < 0.25 * sds[1] + 1e-9) and np.allclose(sds[0], sds[1], rtol=0.35)
