@@ -109,6 +109,19 @@ class Units:
         else:
             own = own.withColumn("g", F.lit(0))
         self.rows = own.select("g", "key", "p", "y", "x", "rate", "times")
+        on = lambda mask: F.when(mask, F.col("x"))
+        won, lost, one = F.col("y") == 1, F.col("y") != 1, F.lit(1.0)
+        added = {"n": F.col("times"), "won": F.col("times") * F.col("y"), "loss2": F.col("times") * F.pow(F.col("p") - F.col("y"), 2), "won_x": F.col("times") * F.col("x") * F.col("y")}
+        ends = {"won_lo": (F.min, on(won)), "won_hi": (F.max, on(won)), "lost_lo": (F.min, on(lost)), "lost_hi": (F.max, on(lost))}
+        self.nodes = None
+        if not clusters:  # a unit is drawn by itself
+            self.shapes = self.rows.select("g", "key", "rate", one.alias("times"), *(v.alias(c) for c, v in added.items()), *(v.alias(c) for c, (_, v) in ends.items()))
+            return
+        # all that a cluster's units add is drawn together, so it is summed before it is drawn
+        self.shapes = self.rows.groupBy("g", "key").agg(*(F.sum(v).alias(c) for c, v in added.items()), *(f(v).alias(c) for c, (f, v) in ends.items())).withColumns({"rate": one, "times": one})
+        names = [f"n{i}" for i in range(NODES)]
+        parts = self.rows.select("g", "key", "x", "times").mapInArrow(_node_sums, "g int, key long, cell int, " + ", ".join(f"{c} double" for c in names))
+        self.nodes = parts.repartition(tasks, "key").groupBy("g", "key", "cell").agg(*(F.sum(c).alias(c) for c in names)).sortWithinPartitions("key").withColumns({"rate": one, "times": one})
 
     def close(self) -> None:
         for df in self.held:
@@ -127,6 +140,20 @@ class Units:
         return self.spark.createDataFrame(rows, schema)
 
 
+def _node_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By group, cluster and cell, how much a batch's units count at the cell's nodes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g, key, x, times = (batch[c].to_numpy(zero_copy_only=False) for c in ("g", "key", "x", "times"))
+        cell = np.floor(x / CELL).astype(np.int32)
+        order = np.lexsort((cell, key, g))
+        g, key, cell = g[order], key[order], cell[order]
+        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        sums = np.add.reduceat(at_nodes(x[order], cell) * times[order][:, None], first, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(key[first]), pa.array(cell[first]), *(pa.array(np.ascontiguousarray(v)) for v in sums.T)], names=["g", "key", "cell", *(f"n{i}" for i in range(NODES))])
+
+
 def _weighted(batch: pa.RecordBatch | pa.Table, reps: int, seed: int, some: np.ndarray | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Columns and weights of a few units at a time, of ``some`` of the replicates."""
     for at in range(0, batch.num_rows, HELD_UNITS):
@@ -136,8 +163,8 @@ def _weighted(batch: pa.RecordBatch | pa.Table, reps: int, seed: int, some: np.n
         yield columns, w if some is None else w[:, some]
 
 
-def _sums(units: Units, of: Callable[[int, dict[str, np.ndarray], np.ndarray], np.ndarray], names: Sequence[str], how: Sequence[Callable[[str], Column]]) -> np.ndarray:
-    """(statistic, group, replicate) of what ``of`` makes of a group's units: an array (statistic, replicate) each, reduced in the tasks and then by ``how``."""
+def _sums(units: Units, rows: DataFrame, of: Callable[[int, dict[str, np.ndarray], np.ndarray], np.ndarray], names: Sequence[str], how: Sequence[Callable[[str], Column]]) -> np.ndarray:
+    """(statistic, group, replicate) of what ``of`` makes of a group's units, or of sums of them: an array (statistic, replicate) each, reduced in the tasks and then by ``how``."""
     groups, reps, seed = len(units.groups), units.reps, units.seed
     numpy_how = [{"sum": np.add, "min": np.fmin, "max": np.fmax}[h.__name__] for h in how]
 
@@ -153,7 +180,7 @@ def _sums(units: Units, of: Callable[[int, dict[str, np.ndarray], np.ndarray], n
             yield pa.RecordBatch.from_arrays([pa.array(np.full(reps, g, np.int32)), pa.array(np.arange(reps)), *(pa.array(v, from_pandas=True) for v in values)], names=["g", "rep", *names])
 
     schema = "g int, rep long, " + ", ".join(f"{n} double" for n in names)
-    rows = units.rows.mapInArrow(run, schema).groupBy("g", "rep").agg(*(h(n).alias(n) for h, n in zip(how, names, strict=True))).toArrow()  # a row for each group and replicate
+    rows = rows.mapInArrow(run, schema).groupBy("g", "rep").agg(*(h(n).alias(n) for h, n in zip(how, names, strict=True))).toArrow()  # a row for each group and replicate
     out = np.full((len(names), groups, reps), np.nan)
     out[:, rows["g"].to_numpy(), rows["rep"].to_numpy()] = [rows[c].to_numpy() for c in names]
     return out
@@ -164,21 +191,22 @@ _SHAPE = {"n": F.sum, "won": F.sum, "loss2": F.sum, "won_lo": F.min, "won_hi": F
 
 def _shape(_: int, c: dict[str, np.ndarray], w: np.ndarray) -> np.ndarray:
     """Weight, weight of wins, weighted squared error, the ranges of x where won and where lost, and x summed where won."""
-    met, x, won = w > 0, c["x"][:, None], c["y"][:, None] == 1
-    edge = lambda mask, f, empty: f(np.where(mask, x, empty), axis=0)
+    met = w > 0
     finite = lambda v: np.where(np.isfinite(v), v, np.nan)
-    return np.stack([w.sum(0), c["y"] @ w, (c["p"] - c["y"]) ** 2 @ w, *(finite(edge(met & side, f, e)) for side in (won, ~won) for f, e in ((np.min, np.inf), (np.max, -np.inf))), (c["x"] * c["y"]) @ w])
+    edge = lambda x, f, empty: finite(f(np.where(met & ~np.isnan(x)[:, None], x[:, None], empty), axis=0))
+    low, high = (lambda name: edge(c[name], np.min, np.inf)), (lambda name: edge(c[name], np.max, -np.inf))
+    return np.stack([c["n"] @ w, c["won"] @ w, c["loss2"] @ w, low("won_lo"), high("won_hi"), low("lost_lo"), high("lost_hi"), c["won_x"] @ w])
 
 
 def shape_of(units: Units) -> dict[str, np.ndarray]:
-    return dict(zip(_SHAPE, _sums(units, _shape, list(_SHAPE), list(_SHAPE.values())), strict=True))
+    return dict(zip(_SHAPE, _sums(units, units.shapes, _shape, list(_SHAPE), list(_SHAPE.values())), strict=True))
 
 
 _AT = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
 _BASIS = np.polynomial.chebyshev.chebvander(_AT, NODES - 1).T * np.where(np.arange(NODES), 2.0, 1.0)[:, None] / NODES
 
 
-def at_nodes(x: np.ndarray, cell: int) -> np.ndarray:
+def at_nodes(x: np.ndarray, cell: int | np.ndarray) -> np.ndarray:
     """(unit, node): the shares by which a unit of a cell counts at the cell's Chebyshev nodes, so that sums of smooth functions of x stay."""
     return np.polynomial.chebyshev.chebvander(2 * (x / CELL - cell) - 1, NODES - 1) @ _BASIS
 
@@ -221,7 +249,7 @@ def _by_nodes(units: Units, shape: dict[str, np.ndarray], sound: np.ndarray) ->
     and a task takes all Newton steps of some replicates over the nodes. Steep
     fits, for which the nodes are too far apart, aren't trusted.
     """
-    reps, seed = units.reps, units.seed
+    reps, seed, summed = units.reps, units.seed, units.nodes is not None
     told = {c: shape[c] for c in ("n", "won", "won_x")}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +264,11 @@ def _by_nodes(units: Units, shape: dict[str, np.ndarray], sound: np.ndarray) ->
 
         for batch in batches:
             for c, w in _weighted(batch, reps, seed):
-                cells = np.floor(c["x"] / CELL).astype(np.int64)
+                cells = (c["cell"] if summed else np.floor(c["x"] / CELL)).astype(np.int64)
                 for g, cell in np.unique(np.column_stack([c["g"], cells]), axis=0).tolist():
                     at = (c["g"] == g) & (cells == cell)
-                    sums = at_nodes(c["x"][at], cell).T @ w[at]
+                    shares = np.column_stack([c[f"n{i}"][at] for i in range(NODES)]) if summed else at_nodes(c["x"][at], cell)
+                    sums = shares.T @ w[at]
                     held[g, cell] = held[g, cell] + sums if (g, cell) in held else sums
                 if len(held) * NODES * reps * 8 > HELD_BYTES:
                     yield from flush()
@@ -258,7 +287,7 @@ def _by_nodes(units: Units, shape: dict[str, np.ndarray], sound: np.ndarray) ->
         k = w.shape[1]
         return pa.table({"g": np.full(k, g, np.int32), "rep": np.arange(k) + block * BLOCK, "slope": slope, "intercept": intercept, "trusted": (met & (np.abs(slope) <= TRUSTED)).astype(float)})
 
-    parts = units.rows.mapInArrow(gather, "g int, block int, cell int, sums binary")
+    parts = (units.rows if units.nodes is None else units.nodes).mapInArrow(gather, "g int, block int, cell int, sums binary")
     rows = parts.groupBy("g", "block").applyInArrow(solve, "g int, rep long, slope double, intercept double, trusted double").toArrow()  # a row for each group and replicate
     out = np.zeros((3, len(units.groups), reps))
     out[:, rows["g"].to_numpy(), rows["rep"].to_numpy()] = [rows[c].to_numpy() for c in ("slope", "intercept", "trusted")]
@@ -300,7 +329,7 @@ def fits(units: Units, shape: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nda
                 out[:, some] = r.sum(0), x @ r, v.sum(0), x @ v, (x * x) @ v, loss.sum(0)
             return out
 
-        g0, g1, h0, h1, h2, loss = _sums(units, step, [f"s{i}" for i in range(6)], [F.sum] * 6)
+        g0, g1, h0, h1, h2, loss = _sums(units, units.rows, step, [f"s{i}" for i in range(6)], [F.sum] * 6)
         worse = on & ~(loss <= best * (1 + 1e-12))
         a, b = np.where(worse, (a0 + a) / 2, a), np.where(worse, (b0 + b) / 2, b)
         open_ &= ~(worse & (np.maximum(abs(a - a0), abs(b - b0)) < 1e-12))

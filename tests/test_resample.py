@@ -155,3 +155,27 @@ def test_steep_and_flat_fits_over_nodes_agree_with_weighted_ones(spark):
             x, y, n = (np.repeat(mine[c].to_numpy(), w[:, r].astype(int)) for c in ("x", "y", "x"))
             want = newton(np.column_stack([np.ones(len(n)), x]), y, np.zeros(2))
             assert (intercept[i, r], slope[i, r]) == pytest.approx(tuple(want), abs=1e-5, rel=1e-5)
+
+
+def test_clusters_are_summed_before_they_are_drawn(spark):
+    rng = np.random.default_rng(8)
+    n, clusters = 3000, 7
+    p = rng.uniform(0.02, 0.98, n)
+    df = spark.createDataFrame([(f"d{int(c)}", "low" if i % 3 else "high", float(v), float(rng.random() < v)) for i, (c, v) in enumerate(zip(rng.integers(0, clusters, n), p, strict=True))], "d string, level string, p double, y double").repartition(5).persist()
+    with resample.Units(df, ["level"], 40, 3, ["d"]) as units:
+        assert units.rows.count() > 2500  # almost each row has a price of its own
+        assert units.shapes.count() == 2 * clusters and units.nodes.count() <= 2 * clusters * 18
+        shape = resample.shape_of(units)
+        slope, intercept = resample.fits(units, shape)
+        keys = {r["d"]: r["k"] for r in df.select("d", F.xxhash64(F.coalesce(F.col("d"), F.lit("\0"))).alias("k")).distinct().collect()}
+        w = dict(zip(keys, resample.weights(np.array(list(keys.values())), np.ones(clusters), 40, 3), strict=True))
+        for g, (level,) in enumerate(units.groups):
+            rows = df.where(F.col("level") == level).toPandas()
+            times = np.stack([w[d] for d in rows["d"]])
+            x = np.log(rows["p"] / (1 - rows["p"])).to_numpy()
+            assert np.allclose(shape["n"][g], times.sum(0)) and np.allclose(shape["won_x"][g], (x * rows["y"].to_numpy()) @ times)
+            assert np.allclose(shape["loss2"][g], ((rows["p"] - rows["y"]) ** 2).to_numpy() @ times)
+            assert np.allclose(shape["won_lo"][g], np.where((times > 0) & (rows["y"].to_numpy() == 1)[:, None], x[:, None], np.inf).min(0))
+            eta = intercept[g] + x[:, None] * slope[g]
+            residual = times * (rows["y"].to_numpy()[:, None] - 1 / (1 + np.exp(-eta)))
+            assert np.abs(residual.sum(0)).max() < 1e-3 and np.abs(x @ residual).max() < 1e-3
