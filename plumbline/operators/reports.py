@@ -14,6 +14,7 @@ from plumbline.operators.features import neutral
 from plumbline.operators.outcomes import KEY
 from plumbline.operators.scores import global_rank
 from plumbline.schemas import COST_GRID, DECIDING_COST
+from plumbline.sources.scratch import kept
 
 SEASON = ("sport", "season")
 
@@ -111,22 +112,23 @@ def split_prize(rows: DataFrame, order: Sequence[str], date: str, costs: Sequenc
     Without a bet all but the counts are null.
     """
     sound = rows.where((F.col(p) > 0) & (F.col(p) < 1) & F.col(y).isNotNull() & F.col(stratum).isNotNull())
-    ranked = global_rank(sound, list(order), by=[stratum]).withColumn("first", F.col("rank") < F.floor(F.col("total") / 2))
+    sound = kept(sound.select(*dict.fromkeys([*order, date, stratum, p, y])), "sound")  # for the bounds, the counts and the ranks
+    ranked = kept(global_rank(sound, list(order), by=[stratum]).select(date, stratum, p, y, (F.col("rank") < F.floor(F.col("total") / 2)).alias("first")), "halves")  # for the fits and the bets
     fits = cox_by(ranked.where("first"), [stratum]).select(F.col(stratum).alias("__s"), "slope", "intercept")
     later = ranked.where("not first").join(fits, F.col(stratum) == F.col("__s"))  # a row for each stratum
     fair = inv_logit(F.col("intercept") + F.col("slope") * logit(p, CLIP))
     sides = F.array(F.struct(F.col(p).alias("paid"), fair.alias("fair"), (F.col(y) == 1).alias("won")), F.struct((1 - F.col(p)).alias("paid"), (1 - fair).alias("fair"), (F.col(y) == 0).alias("won")))
     grid = rows.sparkSession.createDataFrame([(float(h), float(f)) for h, f in costs], "half_spread double, fee double")
     cell = ["half_spread", "fee"]
-    # the costs are a fixed few
-    bets = later.select(F.col(date).cast("string").alias("d"), F.inline(sides)).crossJoin(F.broadcast(grid)).withColumn("bet", settled_bet("paid", "fair", "won", *cell)).where("bet is not null").select(*cell, "d", F.col("bet.profit").alias("profit")).persist()
+    # the costs are a fixed few; a row for each cost and date is all that is read more than once
+    bets = later.select(F.col(date).cast("string").alias("d"), F.inline(sides)).crossJoin(F.broadcast(grid)).withColumn("bet", settled_bet("paid", "fair", "won", *cell)).where("bet is not null").groupBy(*cell, "d").agg(F.sum("bet.profit").alias("profit"), F.count("bet.profit").alias("n")).persist()
     try:
-        found = bets.groupBy(*cell).agg(F.count(F.lit(1)).alias("bets"), F.avg("profit").alias("roi"), F.count_distinct("d").alias("dates")).collect()
+        found = bets.groupBy(*cell).agg(F.sum("n").alias("bets"), (F.sum("profit") / F.sum("n")).alias("roi"), F.count("d").alias("dates")).collect()
         known = rows.sparkSession.createDataFrame([tuple(r) for r in found], "half_spread double, fee double, bets long, roi double, dates long")
         out = grid.join(known, cell, "left").select(*cell, F.coalesce("bets", F.lit(0)).alias("bets"), "roi", F.coalesce("dates", F.lit(0)).alias("dates"), ((F.col("half_spread") == DECIDING_COST[0]) & (F.col("fee") == DECIDING_COST[1])).alias("decides"))
         if not found:
             return out.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
-        drawn = resample.dated_means(bets, "profit", "d", cell, reps, seed)
+        drawn = resample.dated_means(bets, "profit", "d", cell, reps, seed, times="n")
         return out.join(drawn.groupBy(*cell).agg(F.percentile("mean", 0.05).alias("lo"), F.percentile("mean", 0.95).alias("hi")), cell, "left")
     finally:
         bets.unpersist()

@@ -507,9 +507,12 @@ def stationary_mean(df: DataFrame, value: str, date: str, reps: int = 2000, seed
     return replicate(df.sparkSession, reps, seed, one, ["mean"])
 
 
-def dated_means(df: DataFrame, value: str, date: str, by: Sequence[str], reps: int = 2000, seed: int = 0) -> DataFrame:
-    """By group and replicate, the mean over rows whose dates are drawn one by one: ``by``, rep and mean. Two numbers for each group and date travel."""
-    days = df.where(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(*by, F.col(date).cast("string").alias("__d")).agg(F.sum(value).alias("__s"), F.count(value).alias("__n")).orderBy(*by, "__d").collect()
+def dated_means(df: DataFrame, value: str, date: str, by: Sequence[str], reps: int = 2000, seed: int = 0, times: str | None = None) -> DataFrame:
+    """By group and replicate, the mean over rows whose dates are drawn one by one: ``by``, rep and mean. Two numbers for each group and date travel.
+
+    With ``times``, a row is the sum of so many.
+    """
+    days = df.where(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(*by, F.col(date).cast("string").alias("__d")).agg(F.sum(value).alias("__s"), (F.count(value) if times is None else F.sum(times)).alias("__n")).orderBy(*by, "__d").collect()
     groups: dict[tuple, list[tuple[float, float]]] = {}
     for r in days:
         groups.setdefault(tuple(r[c] for c in by), []).append((float(r["__s"]), float(r["__n"])))

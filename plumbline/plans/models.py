@@ -443,5 +443,6 @@ def fit_design(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def split_prize(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.assign_strata(_frame(spark, d)).withColumn("p", F.col("p_t1h"))
+    rows = R.assign_strata(kept(_frame(spark, d), "frame")).select("sport", "season", "game_id", "et_date", "liquidity", F.col("p_t1h").alias("p"), "y")
+    rows = kept(rows, "split")  # for each sport
     return rounded(each_sport(lambda s: T.split_prize(rows.where(F.col("sport") == s), ["season", "game_id"], "et_date")))

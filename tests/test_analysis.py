@@ -170,3 +170,14 @@ def test_reports_read_what_was_written_once(spark, monkeypatch):
     models.median_fill(spark, "/root/testdata/sf0.001")
     models.calibration_report(spark, "/root/testdata/sf0.001")
     assert met == ["features", "report"]
+def test_a_prize_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(v: float) -> float:
+        seen.add(1)
+        return v
+
+    rows = [(i, str(i // 8), "low" if i % 2 else "high", (i * 37 % 97 + 1) / 99, float(i * 53 % 89 < i * 37 % 97)) for i in range(400)]
+    df = spark.createDataFrame(rows, "game_id int, day string, liquidity string, p double, y double")
+    found = T.split_prize(df.withColumn("p", F.udf(touch, "double").asNondeterministic()("p")), ["game_id"], "day", [(0.0, 0.0)], reps=20).first()
+    assert found.bets > 0 and 400 <= seen.value <= 800
