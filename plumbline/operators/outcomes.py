@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("sport", "season", "game_id")
+#: Parts into which games are dealt to be told apart, for each of a usual shuffle; too many to be put together again.
+DEALT = 4
 
 
 class BooksError(AssertionError):
@@ -34,7 +36,9 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) ->
 
 
 def settled(priced: DataFrame, misses: DataFrame) -> DataFrame:
-    return priced.select(*KEY).union(misses.select(*KEY)).distinct()
+    """The games of either, each once; dealt out by key before they are held to each other, so that no task holds many."""
+    both = priced.select(*KEY).union(misses.select(*KEY))
+    return both.repartition(DEALT * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY).distinct()
 
 
 def reconcile(games: DataFrame, priced: DataFrame, misses: DataFrame, by: Sequence[str] = ("sport", "season")) -> DataFrame:

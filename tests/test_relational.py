@@ -206,3 +206,10 @@ def test_a_random_sample_is_the_same_however_it_is_dealt(spark):
     scores = spark.createDataFrame([("nba", float(i), 50.0, 0.5, 0.6 + i / 100) for i in range(6)], "sport string, k double, home_bonus double, carry double, log_loss double")
     found = E.leaders(scores, 2).orderBy("place").collect()
     assert [(r.place, r.k) for r in found] == [(1, 0.0), (2, 1.0), (6, 5.0)] and found[0].spread == pytest.approx(0.05)
+
+
+def test_settled_games_are_dealt_out_before_they_are_told_apart(spark):
+    priced, misses = (spark.createDataFrame([("nba", "24", i % 50) for i in r], "sport string, season string, game_id long") for r in (range(0, 80), range(40, 60)))
+    found = O.settled(priced, misses)
+    assert found.rdd.getNumPartitions() == O.DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.game_id for r in found.collect()) == list(range(50))
