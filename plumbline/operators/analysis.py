@@ -92,7 +92,7 @@ def _look_samples(own: DataFrame) -> list[tuple[str, DataFrame]]:
 
 def sensitivity_intervals(frame: DataFrame, sport: str = "nba", caliper: float = CALIPER, reps: int = 2000, seed: int = 0) -> DataFrame:
     """The difference of slopes in each sample of ``range_sensitivity`` and ``sensitivity``, each with an interval of its own, never one over all."""
-    own = assign_strata(frame.where(F.col("sport") == sport)).where("liquidity is not null")
+    own = kept(assign_strata(frame.where(F.col("sport") == sport)).where("liquidity is not null"), "strata")  # each sample reads them
     samples = _price_samples(look(own, "p_close"), caliper) + _look_samples(own)
     rows = functools.reduce(DataFrame.unionByName, (x.select(F.lit(name).alias("sample"), "liquidity", "p", "y") for name, x in samples))
     return _differences(rows, "sample", reps, seed)
@@ -100,7 +100,7 @@ def sensitivity_intervals(frame: DataFrame, sport: str = "nba", caliper: float =
 
 def range_sensitivity(frame: DataFrame, sport: str = "nba", look_name: str = "p_close", caliper: float = CALIPER) -> DataFrame:
     """Slopes by liquidity over all prices, within bands, and over games matched on price; with the spread of the prices."""
-    rows = look(assign_strata(frame), look_name).where((F.col("sport") == sport) & F.col("liquidity").isNotNull())
+    rows = kept(look(assign_strata(frame), look_name).where((F.col("sport") == sport) & F.col("liquidity").isNotNull()), "strata")  # each sample reads them
     out = None
     for name, own in _price_samples(rows, caliper):
         one = cox_by(own, ["liquidity"]).join(pool_shape(own, ["liquidity"]), "liquidity").withColumn("sample", F.lit(name))
