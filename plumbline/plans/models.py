@@ -115,13 +115,8 @@ def elo_final(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def elo_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every point of each sport's grid, over all its games; scored on one season."""
-
-    def search(sport: str) -> DataFrame:
-        ks, homes, carries = RATING_GRIDS[sport]
-        grid = [E.Setting(k, h, c) for k in ks for h in homes for c in carries]
-        return E.grid_search(D.games(spark, d).where(F.col("sport") == sport), grid, "2000")
-
-    return rounded(each_sport(search))
+    grids = {s: [E.Setting(k, h, c) for k in ks for h in homes for c in carries] for s, (ks, homes, carries) in RATING_GRIDS.items()}
+    return rounded(E.grid_search(D.games(spark, d), grids, "2000"))
 
 
 @query()
