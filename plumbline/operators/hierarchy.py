@@ -1,18 +1,21 @@
 """Fits of the hierarchical model by task, from designs in the shared folder: whole tables, and rolling origins.
 
 A design is a table of games with the group (``g``, a number from 0) whose fit
-they belong to and their role in it. It is written by group; a task samples one
-chain of one group from the group's training rows. Draws are written by group
-too, and forecasts are made where the games are: each task meets the draws of
-its games' group block by block. Nothing but names of teams and diagnostics
-comes to the driver.
+they belong to and their role in it. It is written by group, cell by cell; a
+task samples one chain of one group from the group's training rows, or, where
+these are many, from sums over its cells that all tasks have made. Draws are
+written by group too, and forecasts are made where the games are: each task
+meets the draws of its games' group block by block. Nothing but names of teams,
+modes and diagnostics comes to the driver.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -23,12 +26,14 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import model as M
 from plumbline.operators.scores import score_set
-from plumbline.sources.scratch import opened, shared_folder
+from plumbline.sources.scratch import dropped, opened, shared_folder
 
 #: Columns of a design besides what a caller adds.
 DESIGN = ("g", "role", "season", "game_id", "home", "away", "neutral", "y", "rating", "x")
-#: Draws that meet a task's games at a time.
-BLOCK_DRAWS = 250
+#: Draws that meet a task's games at a time, and games that are read at a time.
+BLOCK_DRAWS, BLOCK_GAMES = 250, 1 << 16
+#: Rows of a group above which all tasks sum its cells, and above which no chain holds them; passes that lead to a mode.
+SUMMED_ROWS, HELD_ROWS, MODE_STEPS = 1 << 18, 1 << 21, 20
 
 
 class Fits(NamedTuple):
@@ -39,13 +44,36 @@ class Fits(NamedTuple):
     names: dict[int, list[str]]
 
 
-def _read(path: str, g: int, columns: Sequence[str], role: str | None = None):
-    """Record batches of a group's files."""
-    import pyarrow.dataset as ds
+def _files(path: str, g: int) -> list[str]:
+    """A group's files, by name."""
+    from pyarrow.fs import FileSelector
 
     store, root = opened(f"{path}/g={g}")
-    files = ds.dataset(root, filesystem=store, format="parquet")
-    yield from files.to_batches(columns=list(columns), filter=None if role is None else ds.field("role") == role, batch_size=BLOCK_DRAWS if role is None else 65_536)
+    return sorted(f.path for f in store.get_file_info(FileSelector(root)) if f.path.endswith(".parquet"))
+
+
+def _read(path: str, g: int, columns: Sequence[str], role: str | None = None, files: Sequence[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Record batches of a group's files, or of some of them, file after file; nothing is read ahead."""
+    import pyarrow.parquet as pq
+
+    store, _ = opened(path)
+    for name in _files(path, g) if files is None else files:
+        with store.open_input_file(name) as source:
+            more = [] if role is None else ["role"]
+            for batch in pq.ParquetFile(source).iter_batches(BLOCK_DRAWS if role is None else BLOCK_GAMES, columns=[*columns, *more], use_threads=False):
+                batch = batch if role is None else batch.filter(pc.equal(batch["role"], role))
+                yield batch.select(list(columns))
+
+
+def _parts(path: str, g: int, names: Sequence[str], files: Sequence[str] | None = None) -> Iterator[M.Data]:
+    """The training rows of a group as they come."""
+    known = pa.array(names, pa.string())
+    for batch in _read(path, g, ["home", "away", "neutral", "y", "rating", "x"], "train", files):
+        if batch.num_rows:
+            rating, neutral, y = (batch[c].to_numpy(zero_copy_only=False) for c in ("rating", "neutral", "y"))
+            home, away = (pc.index_in(batch[c], known).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("home", "away"))
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield M.Data(x, rating, home, away, neutral, y, len(names))
 
 
 def training_data(path: str, g: int, names: Sequence[str]) -> M.Data:
@@ -55,60 +83,129 @@ def training_data(path: str, g: int, names: Sequence[str]) -> M.Data:
     place = np.empty(n, np.int64)
     place[pc.sort_indices(keys, [("season", "ascending"), ("game_id", "ascending")]).to_numpy()] = np.arange(n)
     del keys
-    known, at, out = pa.array(names, pa.string()), 0, {}
-    for batch in _read(path, g, ["home", "away", "neutral", "y", "rating", "x"], "train"):
-        to = place[at : at + batch.num_rows]
-        at += batch.num_rows
-        columns = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("rating", "neutral", "y")}
-        columns |= {c: pc.index_in(batch[c], known).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("home", "away")}
-        columns["x"] = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        for c, v in columns.items():
+    at, out = 0, {}
+    for part in _parts(path, g, names):
+        to = place[at : at + len(part.y)]
+        at += len(part.y)
+        for c, v in zip(M.Data._fields[:-1], part[:-1], strict=True):
             if c not in out:
                 out[c] = np.empty((n, *v.shape[1:]), v.dtype)
             out[c][to] = v
     return M.Data(**out, teams=len(names))
 
 
-_DRAWS = 250
+_DRAWS = "g int, chain int, draw int, values array<double>, divergences long"
 
 
-class Fits(NamedTuple):
-    """Where design and draws of some groups are, and the team-seasons that each has seen."""
+_CELLS = "g int, home int, away int, neutral double, sums array<double>"
+_STEP = "g int, effects array<double>, scales array<double>, tried array<double>, value double, near boolean"
 
-    design: str
-    draws: str
-    names: dict[int, list[str]]
 
+class Large(NamedTuple):
+    """A group of many rows: how many covariates, its files, where sums over its cells are, and its mode."""
+
+    covariates: int
+    files: list[str]
+    cells: str
+    mode: M.Search
 
-def _read(path: str, g: int, columns: Sequence[str], role: str | None = None):
-    """Record batches of a group's files."""
-    import pyarrow.dataset as ds
+    def shape(self, teams: int) -> M.Data:
+        return M.Data(np.empty((0, self.covariates)), *[np.empty(0)] * 5, teams)
 
-    store, root = opened(f"{path}/g={g}")
-    files = ds.dataset(root, filesystem=store, format="parquet")
-    yield from files.to_batches(columns=list(columns), filter=None if role is None else ds.field("role") == role, batch_size=BLOCK_DRAWS if role is None else 65_536)
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
-def training_data(path: str, g: int, names: Sequence[str]) -> M.Data:
-    """The training rows of a group as arrays, in canonical order."""
-    rows = pa.Table.from_batches(list(_read(path, g, ["season", "game_id", "home", "away", "neutral", "y", "rating", "x"], "train"))).sort_by([("season", "ascending"), ("game_id", "ascending")])
-    index = {n: i for i, n in enumerate(names)}
-    at = lambda c: np.array([index[n] for n in rows[c].to_pylist()], np.int64)
-    x = np.array(rows["x"].to_pylist(), float).reshape(rows.num_rows, -1)
-    return M.Data(x, *(rows[c].to_numpy() for c in ("rating",)), at("home"), at("away"), rows["neutral"].to_numpy(), rows["y"].to_numpy(), len(names))
 
+def _sum_cells(batches: Iterator[pa.RecordBatch], tasks: Sequence[tuple[int, str]], design: str, names: Mapping[int, Sequence[str]], at: Mapping[int, np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
+    """Sums over the cells of a file, whose rows come cell by cell; what is cut off by a batch waits for the next."""
+    for g, name in (tasks[i] for batch in batches for i in batch["id"].to_pylist()):
+        held = None
+        for part in itertools.chain(_parts(design, g, names[g], [name]), [None]):
+            if held is not None:
+                part, last = (held, True) if part is None else (M.Data(*map(np.concatenate, zip(held[:-1], part[:-1], strict=True)), held.teams), False)
+            elif part is None:
+                break
+            else:
+                last = False
+            cut = len(part.y) if last else int(M.pieces(part)[-1])
+            held = M.part_of(part, cut, len(part.y))
+            if not cut:
+                continue
+            for first, sums in M.piece_sums(at[g], M.part_of(part, 0, cut), order):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), g, np.int32)), pa.array(first.home.astype(np.int32)), pa.array(first.away.astype(np.int32)), pa.array(first.neutral), _lists(sums)], names=["g", "home", "away", "neutral", "sums"])
 
-_DRAWS = "g int, chain int, draw int, values array<double>, divergences long"
 
+def _cells(path: str, g: int, group: Large, teams: int, effects: np.ndarray, order: int) -> M.Cells:
+    """Sums over cells that tasks have written, in one order whoever wrote them."""
+    rows = pa.Table.from_batches(list(_read(path, g, ["home", "away", "neutral", "sums"])))
+    sums = rows["sums"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    keys = [rows[c].to_numpy() for c in ("home", "away", "neutral")]
+    place = np.lexsort([*sums.T[:3], *keys[::-1]])
+    home, away, neutral = (k[place] for k in keys)
+    return M.Cells(effects, group.shape(teams)._replace(home=home.astype(np.int64), away=away.astype(np.int64), neutral=neutral), sums[place], order)
 
-def _sample(batches: Iterator[pa.RecordBatch], design: str, names: Mapping[int, Sequence[str]], priors: M.Priors, seed: int, warmup: int, samples: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for g, chain in zip(batch["g"].to_pylist(), batch["chain"].to_pylist(), strict=True):
-            rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(g, chain)))
-            draws, bad = M.hmc(training_data(design, g, names[g]), priors, rng, warmup, samples)
-            n = len(draws)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * draws.shape[1]), pa.array(draws.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array(np.full(n, chain, np.int32)), pa.array(np.arange(n, dtype=np.int32)), values, pa.array(np.full(n, bad))], names=["g", "chain", "draw", "values", "divergences"])
+
+def _step(batches: Iterator[pa.RecordBatch], some: Sequence[int], groups: Mapping[int, Large], names: Mapping[int, Sequence[str]], sums: str, priors: M.Priors) -> Iterator[pa.RecordBatch]:
+    for g in (some[i] for batch in batches for i in batch["id"].to_pylist()):
+        own = groups[g].mode
+        new = M.searched(own, _cells(sums, g, groups[g], len(names[g]), own.tried, 2), priors)
+        made = [_lists(np.array(v)[None]) for v in (new.effects, new.scales, new.tried)]
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *made, pa.array([float(new.value)]), pa.array([new.near])], names=["g", "effects", "scales", "tried", "value", "near"])
+
+
+def _modes(spark: SparkSession, design: str, names: Mapping[int, Sequence[str]], covariates: Mapping[int, int], priors: M.Priors) -> dict[int, Large]:
+    """The mode of each group, and sums over its cells there: a pass of all tasks over the rows a step, and one for the sums."""
+    at = {g: Large(k, _files(design, g), "", None) for g, k in covariates.items()}
+    at = {g: v._replace(mode=M.search(v.shape(len(names[g])), priors)) for g, v in at.items()}
+
+    def passed(some: Sequence[int], order: int) -> str:
+        path, tasks = shared_folder(spark, "cells"), [(g, f) for g in some for f in at[g].files]
+        run = functools.partial(_sum_cells, tasks=tasks, design=design, names={g: names[g] for g in some}, at={g: at[g].mode.tried for g in some}, order=order)
+        spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, _CELLS).write.partitionBy("g").parquet(path)
+        return path
+
+    for _ in range(MODE_STEPS):
+        some = [g for g, v in at.items() if not v.mode.near]
+        if not some:
+            break
+        path = passed(some, 2)
+        step = functools.partial(_step, some=some, groups=at, names={g: names[g] for g in some}, sums=path, priors=priors)
+        for r in spark.range(0, len(some), 1, len(some)).mapInArrow(step, _STEP).collect():
+            at[r["g"]] = at[r["g"]]._replace(mode=M.Search(np.array(r["effects"]), tuple(r["scales"]), np.array(r["tried"]), r["value"], r["near"]))
+        dropped(path)
+    path = passed(list(at), M.ORDER)
+    return {g: v._replace(cells=path) for g, v in at.items()}
+
+
+def _rows_likelihood(path: str, g: int, names: Sequence[str], rows: int) -> Callable[[np.ndarray], float]:
+    """The log likelihood of all rows of a group; they are held from the first time on, or read each time where they are many."""
+    held: list[M.Data] = []
+
+    def passed(effects: np.ndarray) -> float:
+        if rows > HELD_ROWS:
+            return math.fsum(M.log_likelihood(effects, d) for d in _parts(path, g, names))
+        if not held:
+            held.append(training_data(path, g, names))
+        return M.log_likelihood(effects, held[0])
+
+    return passed
+
+
+def _chain(path: str, g: int, names: Sequence[str], group: Large | None, rows: int, priors: M.Priors, rng: np.random.Generator, warmup: int, samples: int) -> tuple[np.ndarray, int]:
+    if group is None:
+        return M.hmc(training_data(path, g, names), priors, rng, warmup, samples)
+    cells = _cells(group.cells, g, group, len(names), group.mode.tried, M.ORDER)
+    around = M.Expansion(group.mode.tried, *cells.curvature(), group.mode.scales)
+    return M.hmc(group.shape(len(names)), priors, rng, warmup, samples, around=around, cells=cells, rows=_rows_likelihood(path, g, names, rows))
+
+
+def _sample(batches: Iterator[pa.RecordBatch], tasks: Sequence[tuple[int, int]], design: str, names: Mapping[int, Sequence[str]], large: Mapping[int, Large], rows: Mapping[int, int], priors: M.Priors, seed: int, warmup: int, samples: int) -> Iterator[pa.RecordBatch]:
+    for g, chain in (tasks[i] for batch in batches for i in batch["id"].to_pylist()):
+        rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(g, chain)))
+        draws, bad = _chain(design, g, names[g], large.get(g), rows[g], priors, rng, warmup, samples)
+        n = len(draws)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array(np.full(n, chain, np.int32)), pa.array(np.arange(n, dtype=np.int32)), _lists(draws), pa.array(np.full(n, bad))], names=["g", "chain", "draw", "values", "divergences"])
 
 
 def fit(design: DataFrame, priors: M.Priors = M.Priors(), seed: int = 0, chains: int = M.CHAINS, warmup: int = M.WARMUP, samples: int = M.SAMPLES, sealed: str | None = None) -> Fits:
@@ -116,8 +213,9 @@ def fit(design: DataFrame, priors: M.Priors = M.Priors(), seed: int = 0, chains:
 
     Training rows of the ``sealed`` season, or without a season, are refused
     before anything is sampled, whatever comes with them. Rows that lack an
-    outcome, a rating or a covariate are refused too. The caller judges the
-    draws by ``diagnostics`` and ``assert_sound``.
+    outcome, a rating or a covariate are refused too. Where a group has many
+    rows, all tasks sum them over cells first, and a chain reads these sums.
+    The caller judges the draws by ``diagnostics`` and ``assert_sound``.
     """
     from plumbline.sources.seal import assert_dev_only
 
@@ -125,18 +223,21 @@ def fit(design: DataFrame, priors: M.Priors = M.Priors(), seed: int = 0, chains:
     if sealed is not None:
         assert_dev_only(train, sealed)
     lacking = F.col("y").isNull() | F.col("rating").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    path, drawn = shared_folder(spark, "design"), shared_folder(spark, "draws")
-    design.select(*DESIGN).write.partitionBy("g").parquet(path)
+    path, drawn, cell = shared_folder(spark, "design"), shared_folder(spark, "draws"), ["home", "away", "neutral"]
+    design.select(*DESIGN).repartition(2 * spark.sparkContext.defaultParallelism, "g", *cell).sortWithinPartitions("g", "role", *cell, "season", "game_id").write.partitionBy("g").parquet(path)
     train = spark.read.parquet(path).where("role = 'train'")
-    if bad := train.where(lacking).count():
+    sizes = {r["g"]: r for r in train.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(lacking, 1)).alias("bad"), F.max(F.size("x")).alias("k")).collect()}
+    if bad := sum(r["bad"] for r in sizes.values()):
         raise ValueError(f"{bad} training rows lack an outcome, a rating or a covariate")
     found = train.select("g", F.explode(F.array("home", "away")).alias("name")).distinct().collect()  # a row for each team and season
     if not found:
         raise ValueError("no training rows")
     names = {g: sorted(r["name"] for r in found if r["g"] == g) for g in sorted({r["g"] for r in found})}
-    tasks = spark.createDataFrame([(g, c) for g in names for c in range(chains)], "g int, chain int").repartition(len(names) * chains, "g", "chain")
-    sample = functools.partial(_sample, design=path, names=names, priors=priors, seed=seed, warmup=warmup, samples=samples)
-    tasks.mapInArrow(sample, _DRAWS).write.partitionBy("g").parquet(drawn)
+    many = {g: sizes[g]["k"] for g, n in names.items() if sizes[g]["n"] > SUMMED_ROWS and sizes[g]["n"] >= M.EXPANDED_ROWS * (5 + sizes[g]["k"] + 2 * len(n))}
+    large = _modes(spark, path, names, many, priors) if many else {}
+    tasks = [(g, c) for g in names for c in range(chains)]
+    sample = functools.partial(_sample, tasks=tasks, design=path, names=names, large=large, rows={g: r["n"] for g, r in sizes.items()}, priors=priors, seed=seed, warmup=warmup, samples=samples)
+    spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(sample, _DRAWS).write.partitionBy("g").parquet(drawn)
     return Fits(path, drawn, names)
 
 

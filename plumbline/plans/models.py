@@ -218,13 +218,13 @@ DEV = "season < '1998'"
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     """All games of both sports with features and the difference of ratings before them."""
     key = ["sport", "season", "game_id"]
-    ratings = E.ratings(D.games(spark, d), SETTINGS).select(*key, (F.col("r_home") - F.col("r_away")).alias("rating_diff"), "y")
-    return features_of(spark, d).join(ratings, key).join(D.games(spark, d).select(*key, "start_t"), key)
+    ratings = E.ratings(D.games(spark, d), SETTINGS).select(*key, (F.col("r_home") - F.col("r_away")).alias("rating_diff"), "y", "start_t")
+    return features_of(spark, d).join(ratings, key)
 
 
 def model_design(spark: SparkSession, d: str) -> DataFrame:
     """All games of each sport to train on; gaps are filled and covariates standardised by the development rows alone."""
-    rows, parts = _model_rows(spark, d).persist(), []
+    rows, parts = kept(_model_rows(spark, d), "rows"), []  # read again and again, after a walk
     for g, sport in enumerate(sorted(COVARIATES)):
         own = rows.where(F.col("sport") == sport)
         b2b = {f"{s}_b2b": F.coalesce(f"{s}_b2b", F.lit(False)).cast("double") for s in ("home", "away")}
@@ -248,7 +248,7 @@ def hierarchical_chains(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rolling_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Scores of each sport's forecasts, fold by fold out of sample, with fits, medians and scales of what had started before."""
-    design = H.rolling_design(_model_rows(spark, d), ORIGINS, FILLED, COVARIATES)
+    design = H.rolling_design(kept(_model_rows(spark, d), "rows"), ORIGINS, FILLED, COVARIATES)
     return rounded(H.pooled(H.rolling_forecasts(design, seed=1)))
 
 

@@ -187,3 +187,72 @@ def test_paths_along_the_expansion_draw_the_same_posterior_and_meet_the_rows_onc
     assert counts[0] < 2000 + 1 + 12 * 30 < counts[1]
     means, sds = [x.mean(axis=0) for x in draws], [x.std(axis=0) for x in draws]
     assert np.all(np.abs(means[0] - means[1]) < 0.25 * sds[1] + 1e-9) and np.allclose(sds[0], sds[1], rtol=0.35)
+
+
+def many(n=20000, teams=8, seed=3):
+    rng = np.random.default_rng(seed)
+    home = rng.integers(0, teams, n)
+    away = (home + 1 + rng.integers(0, teams - 1, n)) % teams
+    neutral, x, rating = (rng.random(n) < 0.1).astype(float), rng.normal(size=(n, 2)), rng.normal(size=n)
+    data = M.Data(x, rating, home, away, neutral, np.zeros(n), teams)
+    effects = np.concatenate([[0.1, 0.2, 0.5], rng.normal(0, 0.2, 2), rng.normal(0, 0.4, teams), rng.normal(0, 0.2, teams)])
+    return data._replace(y=(rng.random(n) < 1 / (1 + np.exp(-M._eta(effects, data)))).astype(float)), effects
+
+
+def test_sums_over_cells_are_within_their_bound_of_all_rows(monkeypatch):
+    data, effects = many()
+    q = M.Priors()
+    monkeypatch.setattr(M, "CELL_ROWS", 100)  # cells in pieces
+    whole, cells = M.curvature(effects, data), M.cells_of(effects, data)
+    assert len(cells.size) > 8 * 7 * 2 and cells.size.sum() == 20000
+    for a, b in zip(whole, cells.curvature(), strict=True):
+        assert np.allclose(a, b, atol=1e-8)
+    rng = np.random.default_rng(7)
+    for size in (0.003, 0.01, 0.03, 0.1, 0.5):
+        there = effects + rng.normal(0, size, len(effects))
+        value, doubt = cells.log_likelihood(there)
+        assert abs(value - M.log_likelihood(there, data)) <= doubt + 1e-7 and (size > 0.01 or doubt < 0.2)
+    at, steps = M.search(data, q), 0
+    while not at.near:
+        at, steps = M.searched(at, M.cells_of(at.tried, data, 2), q), steps + 1
+    assert steps < 8 and np.allclose(at.tried, M.expansion(data, q).effects, atol=1e-4)
+
+
+def test_chains_of_many_rows_meet_them_seldom_and_mix(monkeypatch):
+    data, _ = many()
+    q, met = M.Priors(), []
+    each = M.log_likelihood
+    around, cells = M.expansion(data, q), M.cells_of(M.expansion(data, q).effects, data)
+    monkeypatch.setattr(M, "log_likelihood", lambda *a: met.append(1) or each(*a))
+    draws, bad = M.hmc(data, q, np.random.default_rng(2), 500, 1000, around=around, cells=cells)
+    assert not bad and len(met) < 100  # 1500 before
+    assert min(M.effective_size(draws[None, :, i]) for i in range(draws.shape[1])) > 150
+    monkeypatch.setattr(cells, "log_likelihood", lambda e: (each(e, data), 0.0))
+    same, _ = M.hmc(data, q, np.random.default_rng(2), 500, 1000, around=around, cells=cells)
+    assert np.all(np.abs(draws.mean(axis=0) - same.mean(axis=0)) < 0.3 * same.std(axis=0))
+
+
+def test_effects_are_drawn_alike_as_they_are_and_by_their_scale(monkeypatch):
+    data, _ = many(3000)
+    draws = []
+    for share in (0.0, 10.0):
+        monkeypatch.setattr(M, "CENTRED", share)
+        draws.append(M.hmc(data, M.Priors(), np.random.default_rng(6), 1000, 4000)[0])
+    means, sds = [x.mean(axis=0) for x in draws], [x.std(axis=0) for x in draws]
+    assert np.all(np.abs(means[0] - means[1]) < 0.35 * sds[1]) and np.allclose(sds[0], sds[1], rtol=0.35)
+
+
+def test_all_tasks_sum_the_cells_of_large_groups(spark, monkeypatch):
+    both = design(spark, (0, 1), n=600)
+    plain = H.draws_of(spark, H.fit(both, seed=2, **SIZES)).toPandas()
+    monkeypatch.setattr(H, "SUMMED_ROWS", 0)
+    tasks = []
+    found = H._modes
+    monkeypatch.setattr(H, "_modes", lambda *a: tasks.append(found(*a)) or tasks[-1])
+    one, other = (H.draws_of(spark, H.fit(both.repartition(n), seed=2, **SIZES)).toPandas() for n in (5, 2))
+    key = ["g", "chain", "draw"]
+    assert np.array_equal(*(np.stack(x.sort_values(key)["values"]) for x in (one, other)))
+    assert set(tasks[0]) == {0, 1} and all(v.mode.near and len(v.files) > 1 for v in tasks[0].values())
+    for g in (0, 1):
+        a, b = (np.stack(x[x["g"] == g]["values"])[:, :5] for x in (plain, one))
+        assert np.all(np.abs(a.mean(axis=0) - b.mean(axis=0)) < 0.35 * a.std(axis=0))
