@@ -5,8 +5,8 @@ they belong to and their role in it. It is written by group, cell by cell; a
 task samples one chain of one group from the group's training rows, or, where
 these are many, from sums over its cells that all tasks have made. Draws are
 written by group too, and forecasts are made where the games are: each task
-meets the draws of its games' group block by block. Nothing but names of teams,
-modes and diagnostics comes to the driver.
+meets the draws of a group at a time. Nothing but names of teams, modes and
+diagnostics comes to the driver.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from plumbline.operators import model as M
 from plumbline.operators.scores import score_set
 from plumbline.sources.scratch import dropped, opened, shared_folder
+from plumbline.sources.scratch import kept as written
 
 #: Columns of a design besides what a caller adds.
 DESIGN = ("g", "role", "season", "game_id", "home", "away", "neutral", "y", "rating", "x")
-#: Draws that meet a task's games at a time, and games that are read at a time.
-BLOCK_DRAWS, BLOCK_GAMES = 250, 1 << 16
+#: Draws and games that are read at a time, and chances that are taken at a time.
+BLOCK_DRAWS, BLOCK_GAMES, BLOCK_CHANCES = 250, 1 << 16, 1 << 16
 #: Rows of a group above which all tasks sum its cells, and above which no chain holds them; passes that lead to a mode.
 SUMMED_ROWS, HELD_ROWS, MODE_STEPS = 1 << 18, 1 << 21, 20
 
@@ -268,36 +269,63 @@ def _unseen(name: str, seed: int, chains: np.ndarray, draws: np.ndarray) -> np.n
     return out.T
 
 
+class _Posterior:
+    """All draws of a group: what a game's linear predictor is made of, by draw; sides that the fit hasn't seen are drawn when they are met."""
+
+    def __init__(self, fits: Fits, g: int, covariates: int, seed: int):
+        blocks = [b for b in _read(fits.draws, g, ["chain", "draw", "values"]) if b.num_rows]
+        if not blocks:
+            raise ValueError(f"no draws of group {g}")
+        self.g, self.seed = g, seed
+        self.chain, self.draw = (np.concatenate([b[c].to_numpy() for b in blocks]) for c in ("chain", "draw"))
+        t = np.concatenate([b["values"].flatten().to_numpy().reshape(b.num_rows, -1) for b in blocks])
+        k, teams = covariates, len(fits.names[g])
+        self.alpha, self.home, self.slopes = t[:, 0].copy(), t[:, 1].copy(), t[:, 2 : 3 + k].T.copy()
+        self.scales = np.exp(t[:, 3 + k]), np.exp(t[:, 4 + k])
+        own = [(s[:, None] * t[:, at : at + teams]).T.copy() for s, at in zip(self.scales, (5 + k, 5 + k + teams), strict=True)]
+        self.seen, self.effects = set(fits.names[g]), dict(zip(fits.names[g], zip(*own, strict=True), strict=True))
+
+    def of(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Effects of a side, overall and at home, by draw."""
+        if name not in self.effects:
+            self.effects[name] = tuple(s * z for s, z in zip(self.scales, _unseen(name, self.seed, self.chain, self.draw), strict=True))
+        return self.effects[name]
+
+    def chances(self, home: str, away: str, at_home: float, z: np.ndarray) -> np.ndarray:
+        """Mean chances, over the draws, of games of two sides; a few games at a time."""
+        (team, host), other = self.of(home), self.of(away)[0]
+        base = self.alpha + team - other + at_home * (self.home + host)
+        out, some = np.empty(len(z)), max(1, BLOCK_CHANCES // len(base))
+        with np.errstate(over="ignore"):
+            for i in range(0, len(z), some):
+                odds = z[i : i + some] @ self.slopes
+                odds += base
+                np.negative(odds, out=odds)
+                np.exp(odds, out=odds)
+                odds += 1.0
+                np.reciprocal(odds, out=odds)
+                out[i : i + some] = odds.mean(axis=1)
+        return out
+
+
 def _predict(batches: Iterator[pa.RecordBatch], fits: Fits, seed: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    own = None
     for batch in batches:
-        groups = batch["g"].to_numpy()
+        groups, x = batch["g"].to_numpy(), batch["x"]
+        sides = [batch[c].to_pylist() for c in ("home", "away")]
+        codes = [pa.array(s, pa.string()).dictionary_encode(null_encoding="encode").indices.to_numpy() for s in sides]
+        rating = batch["rating"].to_numpy(zero_copy_only=False)
         p, strange = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, bool)
-        for g in np.unique(groups).tolist():
-            at = np.flatnonzero(groups == g)
-            rows = pa.Table.from_batches([batch]).take(pa.array(at))
-            index = {n: i for i, n in enumerate(fits.names[g])}
-            sides = [rows[c].to_pylist() for c in ("home", "away")]
-            new = sorted({n for side in sides for n in side if n not in index})
-            place = {n: len(index) + i for i, n in enumerate(new)} | index
-            home, away = (np.array([place[n] for n in side], np.int64) for side in sides)
-            strange[at] = (home >= len(index)) | (away >= len(index))
-            x = np.array(rows["x"].to_pylist(), float).reshape(len(at), -1)
-            rating, at_home = rows["rating"].to_numpy(), 1.0 - rows["neutral"].to_numpy()
-            total, count = np.zeros(len(at)), 0
-            for block in _read(fits.draws, g, ["chain", "draw", "values"]):
-                if not block.num_rows:
-                    continue
-                t = block["values"].flatten().to_numpy().reshape(block.num_rows, -1)
-                k, teams = x.shape[1], len(index)
-                a, m, b, w, lt, lh = t[:, 0], t[:, 1], t[:, 2], t[:, 3 : 3 + k], t[:, 3 + k], t[:, 4 + k]
-                effects = [_unseen(n, seed, block["chain"].to_numpy(), block["draw"].to_numpy()) for n in new]
-                zt, zh = (np.column_stack([z, *(e[i] for e in effects)]) for i, z in enumerate((t[:, 5 + k : 5 + k + teams], t[:, 5 + k + teams :])))
-                eta = a[:, None] + b[:, None] * rating + w @ x.T + np.exp(lt)[:, None] * (zt[:, home] - zt[:, away]) + at_home * (m[:, None] + np.exp(lh)[:, None] * zh[:, home])
-                total += (1 / (1 + np.exp(-np.clip(eta, -700, 700)))).sum(axis=0)
-                count += block.num_rows
-            if not count:
-                raise ValueError(f"no draws of group {g}")
-            p[at] = total / count
+        at_home = 1.0 - batch["neutral"].to_numpy(zero_copy_only=False)
+        order = np.lexsort([at_home, *codes, groups])
+        turns = np.any([v[order][1:] != v[order][:-1] for v in (at_home, *codes, groups)], axis=0)
+        for at in np.split(order, np.flatnonzero(turns) + 1) if batch.num_rows else ():
+            g, home, away = int(groups[at[0]]), sides[0][at[0]], sides[1][at[0]]
+            rows = x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            if own is None or own.g != g:
+                own = _Posterior(fits, g, rows.shape[1], seed)
+            strange[at] = home not in own.seen or away not in own.seen
+            p[at] = own.chances(home, away, float(at_home[at[0]]), np.column_stack([rating[at], rows]))
         kept = [batch[c] for c in batch.schema.names if c != "x"]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array(strange)], schema=schema)
 
@@ -307,15 +335,15 @@ def predictive(games: DataFrame, fits: Fits, seed: int = 0) -> DataFrame:
 
     A team and season that the fit hasn't seen isn't set to nought: its effects
     are drawn from their prior for each draw, the same for all its games. Games
-    stay where they are; a task holds a block of draws. A group without draws is
-    an error.
+    stay where they are, sorted by group; a task holds the draws of one group, and
+    meets games of the same sides together. A group without draws is an error.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
     kept = [f for f in games.schema if f.name != "x"]
     schema = StructType([*kept, StructField("p", DoubleType()), StructField("unseen", BooleanType())])
-    return games.mapInArrow(functools.partial(_predict, fits=fits, seed=seed, schema=to_arrow_schema(schema)), schema)
+    return games.sortWithinPartitions("g", "home", "away").mapInArrow(functools.partial(_predict, fits=fits, seed=seed, schema=to_arrow_schema(schema)), schema)
 
 
 def _by_fold(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -348,7 +376,7 @@ def rolling_design(df: DataFrame, origins: Sequence[int], filled: Sequence[str],
     whole = _by_fold(rows, told).withColumns({c: F.coalesce(number(c), F.col(f"med_{c}")) for c in filled}).withColumns({f"{s}_b2b": F.coalesce(F.col(f"{s}_b2b").cast("int"), F.lit(0)).cast("double") for s in ("home", "away")})
     terms = M.derive_terms(whole)
     scaled = list(dict.fromkeys([*(c for s in sports for c in covariates[s]), "rating_diff"]))
-    scale = terms.groupBy("g").agg(*(F.avg(train(F.col(c))).alias(f"m_{c}") for c in scaled), *(F.stddev_pop(train(F.col(c))).alias(f"s_{c}") for c in scaled))
+    scale = written(terms.groupBy("g").agg(*(F.avg(train(F.col(c))).alias(f"m_{c}") for c in scaled), *(F.stddev_pop(train(F.col(c))).alias(f"s_{c}") for c in scaled)), "scale")
     z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
     x = functools.reduce(lambda out, s: out.when(F.col("sport") == s, F.array(*(z(c) for c in covariates[s])).cast("array<double>")), sports, F.when(F.lit(False), F.array().cast("array<double>")))
     name = lambda side: F.concat_ws(":", "season", side).alias(side)
@@ -360,7 +388,8 @@ def rolling_forecasts(design: DataFrame, seed: int = 0, sealed: str | None = Non
     spark = design.sparkSession
     fits = fit(design, seed=seed, sealed=sealed, **sizes)
     assert_sound(diagnostics(spark, fits))
-    return predictive(design.where("role = 'test'"), fits, seed).select("sport", "fold", "season", "game_id", "y", "p", "unseen")
+    found = predictive(design.where("role = 'test'"), fits, seed).select("sport", "fold", "season", "game_id", "y", "p", "unseen")
+    return written(found, "forecasts")  # scores pass over them more than once
 
 
 def pooled(forecasts: DataFrame) -> DataFrame:

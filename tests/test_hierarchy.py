@@ -256,3 +256,21 @@ def test_all_tasks_sum_the_cells_of_large_groups(spark, monkeypatch):
     for g in (0, 1):
         a, b = (np.stack(x[x["g"] == g]["values"])[:, :5] for x in (plain, one))
         assert np.all(np.abs(a.mean(axis=0) - b.mean(axis=0)) < 0.35 * a.std(axis=0))
+
+
+def test_forecasts_meet_the_draws_of_a_group_once_a_task(spark, monkeypatch):
+    import pyarrow as pa
+
+    both = design(spark, (0, 1), n=60)
+    fits = H.fit(both, seed=2, chains=2, warmup=30, samples=40)
+    rows = both.orderBy("g", "home", "away").toArrow().combine_chunks()
+    schema = pa.schema([*(f for f in rows.schema if f.name != "x"), ("p", pa.float64()), ("unseen", pa.bool_())])
+    met, each = [], H._read
+    monkeypatch.setattr(H, "_read", lambda path, g, *a: met.append(g) or each(path, g, *a))
+    found = pa.Table.from_batches(H._predict(iter(rows.to_batches(max_chunksize=7)), fits, 0, schema), schema).to_pandas()
+    assert met == [0, 1]  # a reading for each batch before
+    for g in (0, 1):
+        data = H.training_data(fits.design, g, fits.names[g])
+        draws = np.stack(H.draws_of(spark, fits).where(f"g = {g}").toPandas()["values"])
+        want = np.mean([1 / (1 + np.exp(-M._eta(M._effects(t, data), data))) for t in draws], axis=0)
+        assert np.allclose(found[found["g"] == g].sort_values("game_id")["p"], want)
