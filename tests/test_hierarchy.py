@@ -237,7 +237,8 @@ def test_effects_are_drawn_alike_as_they_are_and_by_their_scale(monkeypatch):
     draws = []
     for share in (0.0, 10.0):
         monkeypatch.setattr(M, "CENTRED", share)
-        draws.append(M.hmc(data, M.Priors(), np.random.default_rng(6), 1000, 4000)[0])
+        around = M.expansion(data, M.Priors())
+        draws.append(M.hmc(data, M.Priors(), np.random.default_rng(6), 1000, 4000, around=around, cells=M.cells_of(around.effects, data))[0])
     means, sds = [x.mean(axis=0) for x in draws], [x.std(axis=0) for x in draws]
     assert np.all(np.abs(means[0] - means[1]) < 0.35 * sds[1]) and np.allclose(sds[0], sds[1], rtol=0.35)
 
